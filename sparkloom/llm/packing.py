@@ -14,8 +14,10 @@ Defined cases
 
 from __future__ import annotations
 
+import os
 import sys
 import types
+import unicodedata
 import zlib
 
 import numpy as np
@@ -34,6 +36,12 @@ RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+#: The byte-level alphabet's letters for the bytes that are no printable Latin-1 character:
+#: those bytes in order, from code point 256.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+SPECIAL = b"<|"  # may open a special token, which is found before case is lowered
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -46,32 +54,62 @@ class WordIds:
     words' ids one after the other."""
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.end_id = end_id
+        #: a closing comma or full stop after a letter is a piece of its own
+        self.closing = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
         self.reset()
 
     def reset(self) -> None:
         self.index, self.starts, self.lengths = {}, [0], [1]
-        self.pool = [np.array([self.end_id], np.uint32)]
-        self.size, self.tables = 1, None
+        self.pool, self.size, self.tables = [np.array([self.end_id], np.uint32)], 1, None
+
+    def plain(self, word: str) -> list[int] | None:
+        """The ids of a word of Latin letters, straight from the merges: normalising leaves
+        it as it is and splitting leaves it whole."""
+        tail = self.closing.get(word[-1])
+        if tail is not None:
+            word = word[:-1]
+        if not word.isalpha():
+            return None
+        word = word.lower()
+        if not word.isascii():
+            if max(word) >= "\u0250" or not word.isalpha() or not unicodedata.is_normalized("NFC", word):
+                return None
+            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return ids if tail is None else ids + tail
 
     def learn(self, words: list[bytes]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)):
+        flat, rest = [], []
+        for word in words:
+            ids = self.plain(word.decode())
+            if ids is None:
+                rest.append(word)
+            else:
+                self.index[word] = len(self.starts)
+                self.starts.append(self.size + len(flat))
+                self.lengths.append(len(ids))
+                flat += ids
+        for word, e in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)):
             self.index[word] = len(self.starts)
-            ids = np.array(e.ids, np.uint32)
-            self.pool.append(ids)
-            self.starts.append(self.size)
-            self.lengths.append(len(ids))
-            self.size += len(ids)
+            self.starts.append(self.size + len(flat))
+            self.lengths.append(len(e.ids))
+            flat += e.ids
+        self.pool.append(np.array(flat, np.uint32))
+        self.size += len(flat)
         self.tables = None
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and the ids' count for each text."""
         if len(self.index) > CACHE_WORDS:
             self.reset()
-        split = [t.split() for t in texts]  # bytes.split: exactly the ASCII white space
+        # the tokenizer lowers case too; bytes.split splits at exactly the ASCII white space
+        split = [(t if SPECIAL in t else t.lower()).split() for t in texts]
         if fresh := list({w for words in split for w in words if w not in self.index}):
             for at in range(0, len(fresh), 100_000):
                 self.learn(fresh[at : at + 100_000])
