@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import digest, packing, topk
+from . import digest, jaccard, packing, pii, quality, topk
 
 QUERIES = {
     "op2_document_fingerprints": digest.op2_document_fingerprints,
+    "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_pii_pseudonyms": pii.op5_pii_pseudonyms,
     "op7_exact_top_k": topk.op7_exact_top_k,
     "op9_sequence_packing": packing.op9_sequence_packing,
 }
