@@ -31,7 +31,7 @@ WINDOW = 2048
 OPEN_WINDOWS = 32
 MERGE_PARTS = 32
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -39,6 +39,7 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 #: The byte-level alphabet's letters for the bytes that are no printable Latin-1 character:
 #: those bytes in order, from code point 256.
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+MARK = b"\x00\x01\x00"  # stands between the texts that are split together
 SPECIAL = b"<|"  # may open a special token, which is found before case is lowered
 
 
@@ -48,6 +49,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Growing:
+    """An array that grows by doubling."""
+
+    def __init__(self, kind):
+        self.values, self.size = np.empty(1 << 12, kind), 0
+
+    def add(self, more) -> None:
+        size = self.size + len(more)
+        if size > len(self.values):
+            self.values = np.concatenate([self.values[: self.size], np.empty(max(size, 2 * self.size) - self.size, self.values.dtype)])
+        self.values[self.size : size] = more
+        self.size = size
+
+
 class WordIds:
     """Token ids of texts, by a bounded store of the ids of white-space separated words.
     The tokenizer drops white space and never joins across it, so a text's ids are its
@@ -65,8 +80,11 @@ class WordIds:
         self.reset()
 
     def reset(self) -> None:
-        self.index, self.starts, self.lengths = {}, [0], [1]
-        self.pool, self.size, self.tables = [np.array([self.end_id], np.uint32)], 1, None
+        self.index = {MARK: 0}
+        self.starts, self.lengths, self.pool = _Growing(np.int64), _Growing(np.int64), _Growing(np.uint32)
+        self.starts.add([0])
+        self.lengths.add([1])
+        self.pool.add([self.end_id])
 
     def plain(self, word: str) -> list[int] | None:
         """The ids of a word of Latin letters, straight from the merges: normalising leaves
@@ -85,45 +103,48 @@ class WordIds:
         return ids if tail is None else ids + tail
 
     def learn(self, words: list[bytes]) -> None:
-        flat, rest = [], []
+        flat, lengths, rest, n, plain = [], [], [], len(self.index), self.plain
         for word in words:
-            ids = self.plain(word.decode())
+            ids = plain(word.decode())
             if ids is None:
                 rest.append(word)
             else:
-                self.index[word] = len(self.starts)
-                self.starts.append(self.size + len(flat))
-                self.lengths.append(len(ids))
+                self.index[word] = n
+                n += 1
+                lengths.append(len(ids))
                 flat += ids
         for word, e in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)):
-            self.index[word] = len(self.starts)
-            self.starts.append(self.size + len(flat))
-            self.lengths.append(len(e.ids))
+            self.index[word] = n
+            n += 1
+            lengths.append(len(e.ids))
             flat += e.ids
-        self.pool.append(np.array(flat, np.uint32))
-        self.size += len(flat)
-        self.tables = None
+        lengths = np.array(lengths, np.int64)
+        self.starts.add(self.pool.size + np.cumsum(lengths) - lengths)
+        self.lengths.add(lengths)
+        self.pool.add(flat)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and the ids' count for each text."""
         if len(self.index) > CACHE_WORDS:
             self.reset()
         # the tokenizer lowers case too; bytes.split splits at exactly the ASCII white space
-        split = [(t if SPECIAL in t else t.lower()).split() for t in texts]
-        if fresh := list({w for words in split for w in words if w not in self.index}):
-            for at in range(0, len(fresh), 100_000):
-                self.learn(fresh[at : at + 100_000])
-        if self.tables is None:
-            self.tables = np.concatenate(self.pool), np.array(self.starts), np.array(self.lengths)
-            self.pool = [self.tables[0]]
-        pool, starts, lengths = self.tables
-        get = self.index.__getitem__
-        rows = np.fromiter((i for words in split for i in (*map(get, words), 0)), np.int64)
-        n = lengths[rows]
+        joined = (b" %s " % MARK).join([*texts, b""])
+        words = (joined if SPECIAL in joined else joined.lower()).split()
+        if words.count(MARK) != len(texts):  # a text holds the mark itself
+            halves = [self.encode([t]) for t in texts] if len(texts) > 1 else [self._odd(texts[0])]
+            return np.concatenate([ids for ids, _ in halves]), np.concatenate([n for _, n in halves])
+        fresh = list(set(words).difference(self.index))
+        for at in range(0, len(fresh), 100_000):
+            self.learn(fresh[at : at + 100_000])
+        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        n = self.lengths.values[rows]
         ends = np.cumsum(n)
-        ids = pool[np.repeat(starts[rows] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        closing = np.cumsum([len(words) + 1 for words in split]) - 1
-        return ids, np.diff(ends[closing], prepend=0)
+        ids = self.pool.values[np.repeat(self.starts.values[rows] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(ends[rows == 0], prepend=0)
+
+    def _odd(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array([*self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.end_id], np.uint32)
+        return ids, np.array([len(ids)])
 
 
 def word_ids(path: str, end_id: int) -> WordIds:
