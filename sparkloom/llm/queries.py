@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest, html_tree, jaccard, mixing, packing, pii, quality, topk, warc
+from . import attention_lm, digest, html_tree, jaccard, mixing, packing, pii, quality, topk, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_exact_top_k": topk.op7_exact_top_k,
     "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_sequence_packing": packing.op9_sequence_packing,
+    "op10_lm_scoring": attention_lm.op10_lm_scoring,
 }
 
 ORACLE_SQL = {"op7_exact_top_k": topk.OP7_SQL, "op8_warc_revisits": warc.OP8_SQL}
