@@ -31,7 +31,7 @@ WINDOW = 2048
 OPEN_WINDOWS = 32
 MERGE_PARTS = 32
 END_ID = 1
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -39,7 +39,7 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 #: The byte-level alphabet's letters for the bytes that are no printable Latin-1 character:
 #: those bytes in order, from code point 256.
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
-MARK = b"\x00\x01\x00"  # stands between the texts that are split together
+MARK = b"\xff"  # stands between texts that are split together; no byte of UTF-8
 SPECIAL = b"<|"  # may open a special token, which is found before case is lowered
 
 
@@ -76,7 +76,7 @@ class WordIds:
         self.model = self.tokenizer.model
         self.end_id = end_id
         #: a closing comma or full stop after a letter is a piece of its own
-        self.closing = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
+        self.closing = {ord(c): self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in ",."}
         self.reset()
 
     def reset(self) -> None:
@@ -89,9 +89,6 @@ class WordIds:
     def plain(self, word: str) -> list[int] | None:
         """The ids of a word of Latin letters, straight from the merges: normalising leaves
         it as it is and splitting leaves it whole."""
-        tail = self.closing.get(word[-1])
-        if tail is not None:
-            word = word[:-1]
         if not word.isalpha():
             return None
         word = word.lower()
@@ -99,22 +96,33 @@ class WordIds:
             if max(word) >= "\u0250" or not word.isalpha() or not unicodedata.is_normalized("NFC", word):
                 return None
             word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = [t.id for t in self.model.tokenize(word)]
-        return ids if tail is None else ids + tail
+        return [t.id for t in self.model.tokenize(word)]
 
     def learn(self, words: list[bytes]) -> None:
-        flat, lengths, rest, n, plain = [], [], [], len(self.index), self.plain
+        flat, lengths, rest, n = [], [], [], len(self.index)
+        index, closing, plain, tokenize = self.index, self.closing, self.plain, self.model.tokenize
+        pool, starts, known, old = self.pool.values, self.starts.values, self.lengths.values, n
         for word in words:
-            ids = plain(word.decode())
-            if ids is None:
-                rest.append(word)
+            tail = closing.get(word[-1])
+            base = word if tail is None else word[:-1]
+            row = index.get(base)
+            if row is not None and row < old and tail is not None and base.isalpha():
+                ids = pool[starts[row] : starts[row] + known[row]].tolist()
+            elif base.isalpha() and base.islower():  # of bytes: ASCII letters alone
+                ids = [t.id for t in tokenize(base.decode())]
             else:
-                self.index[word] = n
-                n += 1
-                lengths.append(len(ids))
-                flat += ids
+                ids = plain(base.decode())
+                if ids is None:
+                    rest.append(word)
+                    continue
+            if tail is not None:
+                ids.append(tail)
+            index[word] = n
+            n += 1
+            lengths.append(len(ids))
+            flat += ids
         for word, e in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)):
-            self.index[word] = n
+            index[word] = n
             n += 1
             lengths.append(len(e.ids))
             flat += e.ids
@@ -130,9 +138,6 @@ class WordIds:
         # the tokenizer lowers case too; bytes.split splits at exactly the ASCII white space
         joined = (b" %s " % MARK).join([*texts, b""])
         words = (joined if SPECIAL in joined else joined.lower()).split()
-        if words.count(MARK) != len(texts):  # a text holds the mark itself
-            halves = [self.encode([t]) for t in texts] if len(texts) > 1 else [self._odd(texts[0])]
-            return np.concatenate([ids for ids, _ in halves]), np.concatenate([n for _, n in halves])
         fresh = list(set(words).difference(self.index))
         for at in range(0, len(fresh), 100_000):
             self.learn(fresh[at : at + 100_000])
@@ -142,10 +147,6 @@ class WordIds:
         ids = self.pool.values[np.repeat(self.starts.values[rows] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.diff(ends[rows == 0], prepend=0)
 
-    def _odd(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([*self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.end_id], np.uint32)
-        return ids, np.array([len(ids)])
-
 
 def word_ids(path: str, end_id: int) -> WordIds:
     """One store for each worker process, kept from task to task."""
