@@ -35,6 +35,7 @@ from .common import bounded_batches, written
 LAYOUT_PART = 0.1  # of a node's importance; the rest is the content's
 LOW, LOW_IN_ARTICLE = 0.5, 0.15
 FEW_PAGES, FEW_IN_ARTICLE = 6, 20
+SALTS = 64
 RESULT = "page_id long, url string, text string, n_chars long"
 
 #: Elements of the HTML standard by what they do here.
@@ -269,7 +270,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
     rows = rows.withColumn("host", F.xxhash64("host"))
     cut = low_branches(rows.select("host", "html"))
-    return rows.join(cut, "host", "left").select("page_id", "url", "html", "cut").mapInArrow(_texts, RESULT)
+    # a host's pages are dealt to many tasks; its cuts, a short list, go to each
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    spread = cut.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "cut").mapInArrow(_texts, RESULT)
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:
