@@ -1,0 +1,3 @@
+"""A Spark-native analytics engine for semi-structured log lines."""
+
+__version__ = "0.1.0"
