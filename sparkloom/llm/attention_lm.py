@@ -26,8 +26,6 @@ from __future__ import annotations
 
 import math
 import os
-import sys
-import types
 from collections import Counter
 
 import numpy as np
@@ -35,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc32_of_id, utf8, written
+from .common import bounded_batches, crc32_of_id, kept, utf8, written
 
 TOPICS, PIECES, TOP_WORDS = 6, 1024, 400_000
 DIM, STRIDE, STEPS, BATCH, RATE = 16, 16, 300, 256, 0.02
@@ -97,14 +95,6 @@ class Vocabulary:
         return [i for p, k in zip(pieces, out) for i in ((k,) if k >= 0 else (LETTER_BYTES[c] for c in p))] if -1 in out else out
 
 
-def kept(name, make):
-    """An object of this worker process, kept from task to task."""
-    held = sys.modules.setdefault("_sparkloom_kept", types.ModuleType("_sparkloom_kept")).__dict__
-    if name not in held:
-        held[name] = make()
-    return held[name]
-
-
 class Growing:
     """An array that grows by doubling."""
 
@@ -209,7 +199,7 @@ def _count(path: str, chosen: list[str], shares):
     def run(batches):
         vocabulary = Vocabulary(chosen)
         n, count = vocabulary.size, shares.value.shape[1]
-        words = Words(kept(("subwords", path), lambda: Subwords(path)), vocabulary)
+        words = Words(kept("lm", path, lambda: Subwords(path)), vocabulary)
         pairs = np.zeros((count, n * n), np.int64)
         seen = [Growing(np.int64) for _ in range(count)]
 
@@ -439,7 +429,7 @@ class Scorer:
         self.attention = model.attention
         self.logs = np.concatenate([model.logs, [np.nan]])
         self.top = {w: i for i, w in enumerate(model.names.split(b"\n"))} if model.names else {}
-        self.words = Words(kept(("subwords", model.path), lambda: Subwords(model.path)), self.vocabulary)
+        self.words = Words(Subwords(model.path), self.vocabulary)
         self.names: list[bytes] = []
         self.reset()
 
@@ -498,7 +488,7 @@ def _score(model, name: str, held_out: int):
     def run(batches):
         from pyspark import TaskContext
 
-        scorer = kept(("scorer", name), lambda: model.value.scorer())
+        scorer = kept(f"lm {name}", "scorer", lambda: model.value.scorer())
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at, texts in chunks(batch.column(2)):

@@ -4,7 +4,9 @@ folder, bounded Arrow batches and byte-level text access."""
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -64,6 +66,18 @@ def utf8(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+def kept(group: str, name: str, make):
+    """An object of this worker process, kept from task to task.  A worker holds those of
+    one operator at a time, so that its memory stays bounded through a pipeline."""
+    held = sys.modules.setdefault("_sparkloom_kept", types.ModuleType("_sparkloom_kept")).__dict__
+    if held.get("group") != group:
+        held.clear()
+        held["group"] = group
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def int64s(column: pa.Array) -> np.ndarray:
     """A long column as numpy; nulls become 0 and need a mask of their own."""
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)

@@ -22,8 +22,6 @@ Defined cases
 
 from __future__ import annotations
 
-import sys
-import types
 from fractions import Fraction
 from math import comb
 
@@ -33,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8, written
+from .common import bounded_batches, kept, utf8, written
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -59,10 +57,7 @@ class _Store(dict):
 
 
 def _store() -> _Store:
-    kept = sys.modules.setdefault("_sparkloom_kept", types.ModuleType("_sparkloom_kept")).__dict__
-    if "word_hashes" not in kept:
-        kept["word_hashes"] = _Store()
-    return kept["word_hashes"]
+    return kept("jaccard", "words", _Store)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

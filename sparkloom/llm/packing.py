@@ -15,8 +15,6 @@ Defined cases
 from __future__ import annotations
 
 import os
-import sys
-import types
 import unicodedata
 import zlib
 
@@ -25,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8, written
+from .common import bounded_batches, kept, utf8, written
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
@@ -149,12 +147,8 @@ class WordIds:
 
 
 def word_ids(path: str, end_id: int) -> WordIds:
-    """One store for each worker process, kept from task to task."""
-    kept = sys.modules.setdefault("_sparkloom_kept", types.ModuleType("_sparkloom_kept")).__dict__
-    key = ("word_ids", path, end_id)
-    if key not in kept:
-        kept[key] = WordIds(path, end_id)
-    return kept[key]
+    """One store for each worker process."""
+    return kept("packing", f"{path} {end_id}", lambda: WordIds(path, end_id))
 
 
 class Packer:
