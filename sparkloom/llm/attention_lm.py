@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc32_of_id, kept, utf8, written
 
-TOPICS, PIECES, TOP_WORDS = 6, 1024, 400_000
+TOPICS, PIECES, TOP_WORDS = 6, 1024, 300_000
 DIM, STRIDE, STEPS, BATCH, RATE = 16, 16, 300, 256, 0.02
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 32_768
-STORE_WORDS = 500_000
+STORE_WORDS = 400_000
 FOLDS, HELD_OUT = 7, 2
 END = b"\xff"  # no byte of UTF-8, so no word
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
@@ -63,36 +63,46 @@ class Subwords:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-
-    def __call__(self, word: bytes) -> list[str]:
-        text = word.decode()
-        tail = text[-1] if text[-1] in ",." else ""
-        plain = text[:-1] if tail else text
-        if plain.isalpha():
-            letters = plain if plain.isascii() else plain.encode().decode("latin-1").translate(BYTE_LETTERS)
-            found = [t.value for t in self.model.tokenize(SPACE + letters)]
-            return [*found, tail] if tail else found
-        return self.tokenizer.encode(" " + text, add_special_tokens=False).tokens
+        self.tokenize = self.tokenizer.model.tokenize
+        self.tails = {ord(c): self.tokenizer.token_to_id(c) for c in ",."}
+
+    def __call__(self, word: bytes) -> list[int]:
+        """The tokenizer's ids.  A word of letters, perhaps with a closing comma or full
+        stop, goes straight through the merges."""
+        tail = self.tails.get(word[-1])
+        plain = word if tail is None else word[:-1]
+        if plain.isalpha():  # of bytes: ASCII letters alone
+            ids = [t.id for t in self.tokenize(SPACE + plain.decode())]
+        elif plain.decode().isalpha():
+            ids = [t.id for t in self.tokenize(SPACE + plain.decode("latin-1").translate(BYTE_LETTERS))]
+        else:
+            return self.tokenizer.encode(" " + word.decode(), add_special_tokens=False).ids
+        if tail is not None:
+            ids.append(tail)
+        return ids
 
 
 class Vocabulary:
-    """Subword ids: the bytes, the chosen subwords, and the end."""
+    """Subword ids: the bytes, the chosen subwords (as the tokenizer's ids), and the end."""
 
-    def __init__(self, chosen: list[str]):
-        self.ids = {c: b for c, b in LETTER_BYTES.items()}
+    def __init__(self, subwords: Subwords, chosen: list[int]):
+        tokenizer = subwords.tokenizer
+        ids = {tokenizer.token_to_id(c): b for c, b in LETTER_BYTES.items()}
         for piece in chosen:
-            self.ids.setdefault(piece, len(self.ids))
-        self.end = len(self.ids)
+            ids.setdefault(piece, len(ids))
+        self.end = len(ids)
         self.size = self.end + 1
-        starts = np.zeros(self.size, bool)
-        starts[[i for p, i in self.ids.items() if p[0] == SPACE] + [self.end]] = True
-        self.starts = starts
+        self.subwords, self.pieces = subwords, tokenizer.id_to_token
+        self.map = [ids.get(i, -1) for i in range(tokenizer.get_vocab_size())]
+        self.starts = np.zeros(self.size, bool)
+        self.starts[[k for i, k in ids.items() if self.pieces(i)[0] == SPACE] + [self.end]] = True
 
-    def encode(self, pieces: list[str]) -> list[int]:
-        ids = self.ids
-        out = [ids.get(p, -1) for p in pieces]
-        return [i for p, k in zip(pieces, out) for i in ((k,) if k >= 0 else (LETTER_BYTES[c] for c in p))] if -1 in out else out
+    def encode(self, word: bytes) -> list[int]:
+        own, found = self.map, self.subwords(word)
+        ids = [own[i] for i in found]
+        if -1 in ids:
+            ids = [k for i, j in zip(found, ids) for k in ((j,) if j >= 0 else [LETTER_BYTES[c] for c in self.pieces(i)])]
+        return ids
 
 
 class Growing:
@@ -112,8 +122,8 @@ class Growing:
 class Words:
     """Rows for words: first and last subword id, and the pairs within.  Row 0 is the end."""
 
-    def __init__(self, subwords: Subwords, vocabulary: Vocabulary):
-        self.subwords, self.vocabulary = subwords, vocabulary
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
         self.reset()
 
     def reset(self) -> None:
@@ -126,9 +136,10 @@ class Words:
     def learn(self, words: list[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
         """The first new row; the pairs within the new words and the words' places."""
         at, n, flat, lengths = len(self.index), self.vocabulary.size, [], []
+        encode, index = self.vocabulary.encode, self.index
         for row, word in enumerate(words, at):
-            ids = self.vocabulary.encode(self.subwords(word))
-            self.index[word] = row
+            ids = encode(word)
+            index[word] = row
             flat += ids
             lengths.append(len(ids))
         flat, lengths = np.array(flat, np.int32), np.array(lengths)
@@ -195,30 +206,29 @@ def topics(rows: list[np.ndarray], first: np.ndarray, size: int, count: int) ->
 # ---------------------------------------------------------------- counts
 
 
-def _count(path: str, chosen: list[str], shares):
+def _count(path: str, chosen: list[int], shares):
+    """Words and subword pairs with their counts in each topic: (word, pair, t0, t1, ...)."""
+
     def run(batches):
-        vocabulary = Vocabulary(chosen)
+        vocabulary = kept(f"lm {hash(tuple(chosen))}", "vocabulary", lambda: Vocabulary(Subwords(path), chosen))
         n, count = vocabulary.size, shares.value.shape[1]
-        words = Words(kept("lm", path, lambda: Subwords(path)), vocabulary)
-        pairs = np.zeros((count, n * n), np.int64)
-        seen = [Growing(np.int64) for _ in range(count)]
+        words = Words(vocabulary)
+        pairs = np.zeros((count, n * n), np.int32)
+        seen = Growing(np.int32, count)
+        names = ["word", "pair", *(f"t{j}" for j in range(count))]
 
         def settle():
             """The words so far, with what their inner pairs add."""
-            names, pair, owner = list(words.index), words.pair, words.owner
-            total = []
+            seen.add(np.zeros((max(0, len(words.index) - seen.size), count), np.int32))
+            c, owner, pair = seen.values[: len(words.index)], words.owner.values[: words.owner.size], words.pair.values[: words.pair.size]
             for j in range(count):
-                seen[j].add(np.zeros(max(0, len(names) - seen[j].size), np.int64))
-                c = seen[j].values[: len(names)]
-                pairs[j] += np.bincount(pair.values[: pair.size], weights=c[owner.values[: owner.size]], minlength=n * n).astype(np.int64)
-                total.append(c)
-            for j, c in enumerate(total):
-                at = np.nonzero(c)[0]
-                for k in range(0, len(at), 50_000):
-                    cut = at[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in cut.tolist()], pa.binary()), pa.array(np.full(len(cut), j, np.int64)), pa.array(c[cut])], ["word", "code", "n"])
+                pairs[j] += np.bincount(pair, weights=c[owner, j], minlength=n * n).astype(np.int32)
+            keys, used = list(words.index), np.nonzero(c.any(1))[0]
+            for k in range(0, len(used), 50_000):
+                cut = used[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in cut.tolist()], pa.binary()), pa.nulls(len(cut), pa.int64()), *(pa.array(c[cut, j].astype(np.int64)) for j in range(count))], names)
             words.reset()
-            seen[:] = [Growing(np.int64) for _ in range(count)]
+            seen.__init__(np.int32, count)
 
         def learnt(_, at, pair, owner):
             words.pair.add(pair)
@@ -235,20 +245,19 @@ def _count(path: str, chosen: list[str], shares):
                 before = np.concatenate([[vocabulary.end], last[:-1]]).astype(np.int64)
                 before[begins] = vocabulary.end
                 code = before * n + first
+                seen.add(np.zeros((max(0, len(words.index) - seen.size), count), np.int32))
                 for j in range(count):
                     here = topic == j
                     if here.any():
-                        seen[j].add(np.zeros(max(0, len(words.index) - seen[j].size), np.int64))
-                        seen[j].values[: len(words.index)] += np.bincount(rows[here], minlength=len(words.index))
-                        pairs[j] += np.bincount(code[here], minlength=n * n)
+                        seen.values[: len(words.index), j] += np.bincount(rows[here], minlength=len(words.index)).astype(np.int32)
+                        pairs[j] += np.bincount(code[here], minlength=n * n).astype(np.int32)
                 if len(words.index) > STORE_WORDS:
                     yield from settle()
         yield from settle()
-        flat = pairs.ravel()
-        at = np.nonzero(flat)[0]
-        for k in range(0, len(at), 200_000):
-            cut = at[k : k + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.binary()), pa.array(cut), pa.array(flat[cut])], ["word", "code", "n"])
+        used = np.nonzero(pairs.any(0))[0]
+        for k in range(0, len(used), 100_000):
+            cut = used[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.binary()), pa.array(cut), *(pa.array(pairs[j, cut].astype(np.int64)) for j in range(count))], names)
 
     return run
 
@@ -271,20 +280,18 @@ def gathered(df: DataFrame, kinds) -> list:
     return [[w for p in parts for w in bytes(p[k]).split(b"\n")] if kind is None else np.concatenate([np.frombuffer(bytes(p[k]), kind) for p in parts]) if parts else np.empty(0, kind) for k, kind in enumerate(kinds)]
 
 
-def transitions(code: np.ndarray, n: np.ndarray, size: int, count: int) -> np.ndarray:
+def transitions(pair: np.ndarray, counts: list[np.ndarray], size: int) -> np.ndarray:
     """Log of each topic's bigram probabilities, discounted towards its unigrams: (pairs, topics)."""
-    out = np.empty((size * size, count), np.float32)
-    for j in range(count):
-        here = code // (size * size) == j
+    out = np.empty((size * size, len(counts)), np.float32)
+    for j, n in enumerate(counts):
         c = np.zeros(size * size, np.float32)
-        c[code[here] % (size * size)] = n[here]
+        c[pair] = n
         c = c.reshape(size, size)
         unigram = c.sum(0) + 0.01
         unigram /= unigram.sum()
-        back = 0.5 * (c > 0).sum(1, keepdims=True) + 1
-        total = c.sum(1, keepdims=True) + 1
         # of a seen pair 0.5 goes to the unigrams
-        c = (np.maximum(c - 0.5, 0) + back * unigram) / total
+        back = 0.5 * (c > 0).sum(1, keepdims=True) + 1
+        c = np.maximum(c - 0.5, 0) + back * unigram
         out[:, j] = np.log(c / c.sum(1, keepdims=True)).ravel()
     return out
 
@@ -424,12 +431,12 @@ class Scorer:
     """A worker's state: words met so far with their expert parts."""
 
     def __init__(self, model: Model):
-        self.vocabulary = Vocabulary(model.chosen)
+        self.vocabulary = Vocabulary(Subwords(model.path), model.chosen)
         self.experts = Experts(self.vocabulary, model.table, np.concatenate([model.share, np.full((1, model.share.shape[1]), NEVER, np.float32)]))
         self.attention = model.attention
         self.logs = np.concatenate([model.logs, [np.nan]])
         self.top = {w: i for i, w in enumerate(model.names.split(b"\n"))} if model.names else {}
-        self.words = Words(Subwords(model.path), self.vocabulary)
+        self.words = Words(self.vocabulary)
         self.names: list[bytes] = []
         self.reset()
 
@@ -513,20 +520,19 @@ def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, pieces: int = PIE
     drawn = train.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(grain)) < chance) & (F.octet_length("text") <= SAMPLE_BYTES)).select("text").limit(2 * SAMPLE_DOCS).collect()
     sample = sorted(bytes(r.text) for r in drawn)
     subwords = Subwords(tokenizer)
-    often = Counter(p for t in sample for w in t.lower().split() for p in subwords(w))
-    chosen = [p for p, _ in sorted(often.items(), key=lambda x: (-x[1], x[0])) if len(p) > 1][:pieces]
-    vocabulary = Vocabulary(chosen)
-    words = Words(subwords, vocabulary)
+    often = Counter(i for t in sample for w in t.lower().split() for i in subwords(w))
+    chosen = [i for i, _ in sorted(often.items(), key=lambda x: (-x[1], x[0])) if len(subwords.tokenizer.id_to_token(i)) > 1][:pieces]
+    vocabulary = Vocabulary(subwords, chosen)
+    words = Words(vocabulary)
     shape = topics([words.rows([t]) for t in sample], words.first.values, vocabulary.size, count)
 
     shares = spark.sparkContext.broadcast(shape)
-    found = train.select("text").mapInArrow(_count(tokenizer, chosen, shares), "word binary, code long, n long")
-    key = F.when(F.col("word").isNull(), F.col("code")).alias("pair")
-    by_topic = [F.sum(F.when(F.col("code") == j, F.col("n")).otherwise(0)).alias(f"t{j}") for j in range(count)]
-    counts = written(found.groupBy("word", key).agg(F.sum("n").alias("n"), *by_topic), "counts")
-    code, n = gathered(counts.where("word is null").select("pair", "n"), [np.int64, np.int64])  # at most topics x subwords^2
-    table = transitions(code, n, vocabulary.size, count)
-    del code, n
+    by_topic = [f"t{j}" for j in range(count)]
+    found = train.select("text").mapInArrow(_count(tokenizer, chosen, shares), "word binary, pair long, " + ", ".join(f"{t} long" for t in by_topic))
+    counts = written(found.groupBy("word", "pair").agg(*[F.sum(t).alias(t) for t in by_topic]).withColumn("n", sum((F.col(t) for t in by_topic[1:]), F.col(by_topic[0]))), "counts")
+    pair, *n = gathered(counts.where("word is null").select("pair", *by_topic), [np.int64] * (count + 1))  # at most subwords^2 rows
+    table = transitions(pair, n, vocabulary.size)
+    del pair, n
 
     seen = counts.where("word is not null")
     tokens, distinct = seen.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -538,7 +544,7 @@ def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, pieces: int = PIE
         room -= r["count"]
         least = r.step
     frequent = (F.floor(F.log2("n") * 8) >= least) if least is not None else F.lit(False)
-    top = gathered(seen.where(frequent | (F.col("word") == F.lit(bytearray(END)))).select("word", "n", *[f"t{j}" for j in range(count)]), [None, *[np.int64] * (count + 1)])
+    top = gathered(seen.where(frequent | (F.col("word") == F.lit(bytearray(END)))).select("word", "n", *by_topic), [None, *[np.int64] * (count + 1)])
     names, n, share = top[0], top[1], np.stack(top[2:], 1).astype(np.float32).reshape(-1, count)
     whole = np.maximum(share.sum(0), 1)
     with np.errstate(divide="ignore"):
