@@ -2,8 +2,8 @@
 
 Text is read as subword ids of a public byte-level tokenizer, cut down to its ``PIECES``
 most frequent subwords here and single bytes for the rest, so that every text has ids.  A
-word's probability is a mixture of experts: for each of a few latent topics, the chain of
-its subwords' bigram probabilities (normalised over whole words), and the topic's share of
+word's probability is a mixture of experts: for each of a few latent topics and for all
+text, the chain of its subwords' bigram probabilities (normalised over whole words), and the topic's share of
 the word among the frequent words.  The mixture's gates come from causal self-attention
 over the subword ids that open the words so far.  Texts are scored in overlapping windows
 of twice ``STRIDE`` words, of which the second half is scored: each token once, with batched masked
@@ -530,8 +530,9 @@ def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, pieces: int = PIE
     by_topic = [f"t{j}" for j in range(count)]
     found = train.select("text").mapInArrow(_count(tokenizer, chosen, shares), "word binary, pair long, " + ", ".join(f"{t} long" for t in by_topic))
     counts = written(found.groupBy("word", "pair").agg(*[F.sum(t).alias(t) for t in by_topic]).withColumn("n", sum((F.col(t) for t in by_topic[1:]), F.col(by_topic[0]))), "counts")
+    # beside the topics there is all text as one
     pair, *n = gathered(counts.where("word is null").select("pair", *by_topic), [np.int64] * (count + 1))  # at most subwords^2 rows
-    table = transitions(pair, n, vocabulary.size)
+    table = transitions(pair, [*n, sum(n)], vocabulary.size)
     del pair, n
 
     seen = counts.where("word is not null")
@@ -545,7 +546,7 @@ def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, pieces: int = PIE
         least = r.step
     frequent = (F.floor(F.log2("n") * 8) >= least) if least is not None else F.lit(False)
     top = gathered(seen.where(frequent | (F.col("word") == F.lit(bytearray(END)))).select("word", "n", *by_topic), [None, *[np.int64] * (count + 1)])
-    names, n, share = top[0], top[1], np.stack(top[2:], 1).astype(np.float32).reshape(-1, count)
+    names, n, share = top[0], top[1], np.stack([*top[2:], top[1]], 1).astype(np.float32).reshape(-1, count + 1)
     whole = np.maximum(share.sum(0), 1)
     with np.errstate(divide="ignore"):
         # the gates learn from texts that are counted: there each word counts without itself
@@ -553,13 +554,13 @@ def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, pieces: int = PIE
         share = np.maximum(np.log(share / whole), NEVER)
 
     rng = np.random.default_rng(seed)
-    attention = Attention(vocabulary.size, 2 * count, rng)
+    attention = Attention(vocabulary.size, 2 * count + 2, rng)
     model = Model(tokenizer, chosen, table, names, share, np.log10(n + 1.0), attention)
     if sample:
         scorer = model.scorer()
         rows, first, before, begins, ends = scorer.parts(sample)
         logp = scorer.experts.words(before, first, scorer.inner.values[rows], scorer.place.values[rows])
-        logp[:, count:] = np.concatenate([others, np.full((1, count), NEVER, np.float32)])[scorer.place.values[rows]]
+        logp[:, count + 1 :] = np.concatenate([others, np.full((1, count + 1), NEVER, np.float32)])[scorer.place.values[rows]]
         context, base, low, high = windows(first, begins, ends, vocabulary.end)
         ids, there, place = window_ids(context, base, low, high)
         attention.train(ids, there, logp[np.clip(place[:, STRIDE:], 0, len(logp) - 1)], rng)

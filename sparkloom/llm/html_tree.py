@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, written
 
 LAYOUT_PART = 0.1  # of a node's importance; the rest is the content's
-LOW, LOW_IN_ARTICLE = 0.5, 0.15
-FEW_PAGES, FEW_IN_ARTICLE = 6, 20
+LOW, LOW_IN_ARTICLE, OWN = 0.5, 0.05, 0.85
+FEW_PAGES, FEW_IN_ARTICLE = 6, 50
 SALTS = 64
 RESULT = "page_id long, url string, text string, n_chars long"
 
@@ -55,6 +55,7 @@ NOISE = frozenset(
     "overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related recommended footer masthead pagination pager skip toolbar tooltip".split()
 )
 MAIN = frozenset("article content entry post main body page wrapper container layout story text".split())
+TEXT = frozenset("article content entry story".split())
 WITH = frozenset("has with without no".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -98,16 +99,19 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
     stack, buffer, blocks = [top], [], []
     nodes: dict[int, list] = {}
 
+    def put(text: str) -> None:
+        if not stack[-1].dropped:
+            buffer.append(text)
+
     def flush() -> None:
         if buffer:
-            if not stack[-1].dropped:
-                text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
-                if text:
-                    chain = [e for e in stack if e.node]
-                    blocks.append(([e.node for e in chain], text))
-                    h = _hash(text)
-                    for e in chain:
-                        nodes[e.node][1] += h
+            text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
+            if text:
+                chain = [e for e in stack if e.node]
+                blocks.append(([e.node for e in chain], text))
+                h = _hash(text)
+                for e in chain:
+                    nodes[e.node][1] += h
             buffer.clear()
 
     def close(at: int) -> None:
@@ -118,26 +122,26 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
     while at < end:
         m = _TAG.search(source, at)
         if m is None:
-            buffer.append(source[at:])
+            put(source[at:])
             break
         if m.start() > at:
-            buffer.append(source[at : m.start()])
+            put(source[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if name is None:
             if m[0].startswith("<![CDATA["):
-                buffer.append(m[0][9:-3].replace("&", "&amp;"))
+                put(m[0][9:-3].replace("&", "&amp;"))
             continue
         name = name.lower()
         if m[1] or m[4]:
             if name == "br":
-                buffer.append(" ")
+                put(" ")
             elif name == "p" and not any(e.name == "p" for e in stack):
                 flush()
             else:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == name:
-                        if name in BLOCK or stack[k].dropped != stack[k - 1].dropped:
+                        if name in BLOCK:
                             close(k)
                         else:
                             del stack[k]
@@ -147,7 +151,7 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
             continue
         attributes = m[3] if m[2] else m[6]
         if name == "br" or name == "wbr":
-            buffer.append(" " if name == "br" else "")
+            put(" " if name == "br" else "")
             continue
         words, hidden, role = _marks(attributes)
         block = name in BLOCK
@@ -176,7 +180,7 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
         if parent.article:
             noisy = noisy or bool(parts & {"comment", "comments"})
         dropped = parent.dropped or hidden or role or noisy or name in DROPPED or name == "header" and not parent.article
-        article = parent.article or name in ("article", "main")
+        article = parent.article or not dropped and (name in ("article", "main") or bool(parts & TEXT))
         if name in VOID:
             continue
         if name in RAW:
@@ -186,7 +190,7 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
             after = source.find(">", close_at.end())
             at = end if after < 0 else after + 1
             continue
-        if not block and dropped == parent.dropped:
+        if not block:
             # inline elements are transparent, but their end tag must find them
             stack.append(Element(name, parent.path, dropped, article, 0))
             continue
@@ -195,7 +199,7 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
         path = f"{parent.path}/{label}"
         node = _hash(path) if not dropped and name not in ("html", "body") else 0
         if node:
-            nodes.setdefault(node, [article and name not in ("article", "main") or name in ("article", "main"), 0, 0])
+            nodes.setdefault(node, [article, 0, 0])
             holder = next((e for e in reversed(stack) if e.node), None)
             if holder is not None:
                 nodes[holder.node][2] = (nodes[holder.node][2] * 31 + _hash(label)) & (2**63 - 1)
@@ -245,10 +249,11 @@ def low_branches(pages: DataFrame) -> DataFrame:
     once = found.groupBy("host", "node", "article", "content", "layout", "page").agg(F.lit(1).alias("one"))
     counts = written(once.groupBy("host", "node", "article", "content", "layout").agg(F.count(F.lit(1)).alias("n")), "style-nodes")
     low = (F.col("article") & (F.col("pages") >= FEW_IN_ARTICLE) & (F.col("importance") < LOW_IN_ARTICLE)) | (~F.col("article") & (F.col("pages") >= FEW_PAGES) & (F.col("importance") < LOW))
-    own = importance(counts, "host", "node").where(low).select("host", "node")
-    everywhere = importance(counts, "node").where(low).select("node")
-    of_host = counts.select("host", "node").distinct()
-    return own.unionAll(of_host.join(everywhere, "node").select("host", "node")).groupBy("host").agg(F.collect_set("node").alias("cut"))
+    # what is low over all hosts is cut where the host's own pages are few or say nothing else
+    plain = (F.col("pages") < FEW_PAGES) | (F.col("importance") < OWN)
+    everywhere = importance(counts, "node").where(low).select("node", F.lit(True).alias("low_everywhere"))
+    own = importance(counts, "host", "node").join(everywhere, "node", "left")
+    return own.where(low | (F.col("low_everywhere") & plain)).groupBy("host").agg(F.collect_set("node").alias("cut"))
 
 
 def page_text(source: str, cut: set[int]) -> str:

@@ -96,15 +96,18 @@ _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 
 def _characters(feistel: Feistel, tag: str, text: str) -> str:
     """Each digit, small and capital letter goes to one of its own kind; hex stays hex."""
-    sets = ("0123456789abcdef",) if re.fullmatch(r"[0-9a-f]{8,}", text) else _SETS
+    is_hex = re.fullmatch(r"[0-9a-f]{8,}", text) and not text.isdigit()
+    sets = ("0123456789abcdef",) if is_hex else _SETS
     kind = [next((s for s in sets if c in s), None) for c in text]
     places = [i for i, s in enumerate(kind) if s]
     shape = "".join(c if s is None else "xh"[len(sets) == 1] if s is sets[0] else "aA"[s is sets[-1]] for c, s in zip(text, kind))
-    new = feistel.mixed(f"{tag}:{shape}", [len(kind[i]) for i in places], [kind[i].index(text[i]) for i in places])
     out = list(text)
-    for i, d in zip(places, new):
-        out[i] = kind[i][d]
-    return "".join(out)
+    while True:
+        new = feistel.mixed(f"{tag}:{shape}", [len(kind[i]) for i in places], [kind[i].index(out[i]) for i in places])
+        for i, d in zip(places, new):
+            out[i] = kind[i][d]
+        if not is_hex or not "".join(out).isdigit():  # hex walks on until it shows as hex
+            return "".join(out)
 
 
 def luhn(digits: list[int]) -> int:
