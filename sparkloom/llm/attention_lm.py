@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import os
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc32_of_id, kept, utf8, written
 
 TOPICS, PIECES, TOP_WORDS = 6, 1024, 300_000
-DIM, STRIDE, STEPS, BATCH, RATE = 16, 16, 300, 256, 0.02
-SAMPLE_DOCS, SAMPLE_BYTES = 1500, 32_768
-STORE_WORDS = 400_000
+DIM, STRIDE, STEPS, BATCH, RATE = 16, 12, 300, 256, 0.02
+SAMPLE_DOCS, SAMPLE_BYTES = 1000, 32_768
+STORE_WORDS, BASE_WORDS = 400_000, 150_000
 FOLDS, HELD_OUT = 7, 2
 END = b"\xff"  # no byte of UTF-8, so no word
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
@@ -120,18 +121,22 @@ class Growing:
 
 
 class Words:
-    """Rows for words: first and last subword id, and the pairs within.  Row 0 is the end."""
+    """Rows for words: first and last subword id, and the pairs within.  Row 0 is the end.
+    When it is reset, the first words met stay: they are mostly the frequent ones."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.reset()
-
-    def reset(self) -> None:
         self.index = {END: 0}
         self.first, self.last = Growing(np.int32), Growing(np.int32)
         self.pair, self.owner = Growing(np.int32), Growing(np.int32)
-        self.first.add([self.vocabulary.end])
-        self.last.add([self.vocabulary.end])
+        self.first.add([vocabulary.end])
+        self.last.add([vocabulary.end])
+
+    def reset(self, base: int = BASE_WORDS) -> None:
+        if len(self.index) > base:
+            self.index = dict(islice(self.index.items(), base))
+            self.first.size = self.last.size = base
+            self.pair.size = self.owner.size = int(np.searchsorted(self.owner.values[: self.owner.size], base))
 
     def learn(self, words: list[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
         """The first new row; the pairs within the new words and the words' places."""
@@ -162,7 +167,7 @@ class Words:
         return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
 
 
-def chunks(column, size: int = 4 << 20):
+def chunks(column, size: int = 3 << 20):
     """Lists of texts of some MB each, with their place in the batch."""
     texts = column.to_pylist()
     at = 0
@@ -210,9 +215,10 @@ def _count(path: str, chosen: list[int], shares):
     """Words and subword pairs with their counts in each topic: (word, pair, t0, t1, ...)."""
 
     def run(batches):
-        vocabulary = kept(f"lm {hash(tuple(chosen))}", "vocabulary", lambda: Vocabulary(Subwords(path), chosen))
+        words = kept(f"lm {hash(tuple(chosen))}", "words", lambda: Words(Vocabulary(Subwords(path), chosen)))
+        words.reset()
+        vocabulary = words.vocabulary
         n, count = vocabulary.size, shares.value.shape[1]
-        words = Words(vocabulary)
         pairs = np.zeros((count, n * n), np.int32)
         seen = Growing(np.int32, count)
         names = ["word", "pair", *(f"t{j}" for j in range(count))]
@@ -314,25 +320,34 @@ class Attention:
         gap = STRIDE + np.arange(STRIDE)[:, None] - np.arange(2 * STRIDE)[None, :]
         self.gap, self.mask = np.maximum(gap, 0), np.where(gap < 0, NEVER, np.float32(0))
 
-    def gates(self, ids: np.ndarray, there: np.ndarray):
-        """Log gates of the second half of each window, and what the gradient needs."""
+    def attend(self, ids: np.ndarray, there: np.ndarray):
+        """Attention of the second half of each window over what stands before, and the
+        gates' logits.  The masks' exponentials are zeros."""
         p = self.p
-        q, k, v = p["query"][ids[:, STRIDE:]], p["key"][ids], p["value"][ids]
+        late = ids[:, STRIDE:]
+        q, k, v = p["query"][late], p["key"][ids], p["value"][ids]
         s = q @ k.transpose(0, 2, 1)
         s *= np.float32(DIM**-0.5)
         s += (p["distance"][self.gap] + self.mask)[None]
-        s += np.where(there, np.float32(0), NEVER)[:, None, :]
-        s -= s.max(2, keepdims=True)
+        np.minimum(s, np.float32(60), out=s)
+        if not there.all():
+            s += np.where(there, np.float32(0), NEVER)[:, None, :]
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        z = s @ v + p["skip"][ids[:, STRIDE:]] + p["bias"]
-        z -= z.max(2, keepdims=True)
-        return z - np.log(np.exp(z).sum(2, keepdims=True)), (q, k, v, s)
+        s /= (s @ np.ones((2 * STRIDE, 1), s.dtype)) + np.float32(1e-30)
+        return s @ v + p["skip"][late] + p["bias"], (q, k, v, s)
+
+    def gates(self, ids: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Log gates of the second half of each window."""
+        z, _ = self.attend(ids, there)
+        z = z - z.max(2, keepdims=True)
+        return z - np.log(np.exp(z).sum(2, keepdims=True))
 
     def gradient(self, ids, there, logp):
         """Mean loss and its gradient for windows whose tokens have expert log
         probabilities ``logp`` (windows, STRIDE, experts)."""
-        log_g, (q, k, v, a) = self.gates(ids, there)
+        z, (q, k, v, a) = self.attend(ids, there)
+        z = z - z.max(2, keepdims=True)
+        log_g = z - np.log(np.exp(z).sum(2, keepdims=True))
         use = there[:, STRIDE:]
         joint = log_g + logp
         top = joint.max(2, keepdims=True)
@@ -355,8 +370,9 @@ class Attention:
         g["distance"] = np.bincount(self.gap.ravel(), weights=(ds.sum(0) * (self.mask == 0)).ravel(), minlength=2 * STRIDE).astype(np.float32)
         return loss, g
 
-    def train(self, ids, there, logp, rng) -> list[float]:
-        """Adam over windows in a random order."""
+    def train(self, ids, there, logp, place, rng) -> list[float]:
+        """Adam over windows in a random order; ``place``: the rows of ``logp`` that are a
+        window's."""
         m = {n: np.zeros_like(x) for n, x in self.p.items()}
         v = {n: np.zeros_like(x) for n, x in self.p.items()}
         losses, order = [], np.empty(0, np.int64)
@@ -364,7 +380,7 @@ class Attention:
             if len(order) < BATCH:
                 order = np.concatenate([order, rng.permutation(len(ids))])
             cut, order = order[:BATCH], order[BATCH:]
-            loss, g = self.gradient(ids[cut], there[cut], logp[cut])
+            loss, g = self.gradient(ids[cut], there[cut], logp[place[cut]])
             losses.append(float(loss))
             rate = RATE * min(1, step / 20) * (1 - step / (STEPS + 1))
             for n in self.p:
@@ -409,49 +425,67 @@ class Experts:
             out[owner[at]] = np.add.reduceat(self.table[pair], at, axis=0)
         return out + self.opens[last]
 
-    def words(self, before, first, inner, top):
-        """(words, experts): the chains, then the frequent words' shares (NEVER for others)."""
+    def words(self, before, first, inner, top) -> np.ndarray:
+        """(experts, words): the chains, then the frequent words' shares (NEVER for others)."""
         n = self.vocabulary.size
-        chain = self.table[before.astype(np.int64) * n + first] - self.opens[before] + inner
-        share = self.share[top]
-        return np.concatenate([chain, share], axis=1)
+        chain = self.table[before.astype(np.int64) * n + first]
+        chain -= self.opens[before]
+        chain += inner
+        return np.concatenate([chain.T, self.share[top].T])
 
 
 class Model:
-    """All that scoring needs, as it is broadcast."""
-
-    def __init__(self, path, chosen, table, names: list[bytes], share, logs, attention):
-        self.path, self.chosen, self.table, self.names, self.share, self.logs, self.attention = path, chosen, table, b"\n".join(names), share, logs, attention
+    """All that scoring needs, as it is broadcast.  The frequent words come with their rows,
+    the end first."""
+
+    def __init__(self, path: str, chosen: list[int], table: np.ndarray, names: list[bytes], share: np.ndarray, logs: np.ndarray, attention: Attention):
+        if END in names:
+            own = names.index(END)
+        else:  # nothing was counted
+            own, names, share, logs = len(names), [*names, END], np.concatenate([share, np.full((1, share.shape[1]), NEVER, np.float32)]), np.append(logs, np.nan)
+        order = np.argsort(np.arange(len(names)) != own, kind="stable")
+        self.path, self.chosen, self.table, self.attention = path, chosen, table, attention
+        self.share, self.logs = share[order], logs[order]
+        rest = [names[i] for i in order[1:].tolist()]
+        vocabulary = Vocabulary(Subwords(path), chosen)
+        words = Words(vocabulary)
+        _, pair, owner = words.learn(rest) if rest else (1, np.empty(0, np.int64), np.empty(0, np.int32))
+        experts = Experts(vocabulary, table, share[:0])
+        n = len(names)
+        self.names, self.first, self.last = b"\n".join(rest), words.first.values[:n].copy(), words.last.values[:n].copy()
+        # nothing follows an end
+        self.inner = np.concatenate([np.zeros((1, table.shape[1]), np.float32), experts.inner(n - 1, pair, owner, self.last[1:])])
 
     def scorer(self) -> Scorer:
         return Scorer(self)
 
 
 class Scorer:
-    """A worker's state: words met so far with their expert parts."""
+    """A worker's state: the frequent words, and others as they are met."""
 
     def __init__(self, model: Model):
+        self.model = model
         self.vocabulary = Vocabulary(Subwords(model.path), model.chosen)
+        self.frequent = len(model.logs)
         self.experts = Experts(self.vocabulary, model.table, np.concatenate([model.share, np.full((1, model.share.shape[1]), NEVER, np.float32)]))
-        self.attention = model.attention
-        self.logs = np.concatenate([model.logs, [np.nan]])
-        self.top = {w: i for i, w in enumerate(model.names.split(b"\n"))} if model.names else {}
+        self.attention, self.logs = model.attention, np.append(model.logs, np.nan)
         self.words = Words(self.vocabulary)
+        rest = model.names.split(b"\n") if model.names else []
+        self.words.index = {END: 0, **{w: i for i, w in enumerate(rest, 1)}}
+        self.words.first.size = self.words.last.size = 0
+        self.words.first.add(model.first)
+        self.words.last.add(model.last)
+        self.inner = Growing(np.float32, model.table.shape[1])
+        self.inner.add(model.inner)
         self.names: list[bytes] = []
-        self.reset()
 
     def reset(self) -> None:
-        self.words.reset()
-        none = len(self.logs) - 1
-        self.inner, self.place = Growing(np.float32, self.experts.table.shape[1]), Growing(np.int32)
-        self.inner.add(np.zeros((1, self.experts.table.shape[1]), np.float32))  # nothing follows an end
-        self.place.add([self.top.get(END, none)])
-        self.names = [END]
+        self.words.reset(self.frequent)
+        self.inner.size = self.frequent
+        self.names = []
 
     def learnt(self, fresh, at, pair, owner):
-        none = len(self.logs) - 1
         self.inner.add(self.experts.inner(len(fresh), pair, owner, self.words.last.values[at : at + len(fresh)]))
-        self.place.add([self.top.get(w, none) for w in fresh])
         self.names += fresh
 
     def parts(self, texts: list[bytes]):
@@ -463,30 +497,39 @@ class Scorer:
         before[begins] = self.vocabulary.end
         return rows, first, before, begins, ends
 
+    def place(self, rows: np.ndarray) -> np.ndarray:
+        """Places in the tables of frequent words; the last stands for all others."""
+        return np.minimum(rows, self.frequent)
+
     def score(self, texts: list[bytes]):
         """For each text: tokens, frequent ones, their base sum, log10 probability, and the
         words that are not frequent."""
-        if len(self.words.index) > STORE_WORDS:
+        if len(self.words.index) > self.frequent + BASE_WORDS:
             self.reset()
         rows, first, before, begins, ends = self.parts(texts)
-        place = self.place.values[rows]
+        place = self.place(rows)
         context, base, low, high = windows(first, begins, ends, self.vocabulary.end)
         total = np.empty(len(rows), np.float64)
-        for at in range(0, len(base), 2048):
-            cut = slice(at, at + 2048)
+        for at in range(0, len(base), 1024):
+            cut = slice(at, at + 1024)
             ids, there, where = window_ids(context, base[cut], low[cut], high[cut])
-            log_g, _ = self.attention.gates(ids, there)
+            z, _ = self.attention.attend(ids, there)
             use = there[:, STRIDE:]
             w = where[:, STRIDE:][use]
-            joint = log_g[use] + self.experts.words(before[w], first[w], self.inner.values[rows[w]], place[w])
-            most = joint.max(1, keepdims=True)
-            total[w] = most[:, 0] + np.log(np.exp(joint - most).sum(1))
+            z = np.ascontiguousarray(z[use].T)  # experts by row: what follows runs along the words
+            most = z.max(0)
+            gate = most + np.log(np.exp(z - most).sum(0))
+            z += self.experts.words(before[w], first[w], self.inner.values[rows[w]], place[w])
+            most = z.max(0)
+            z -= most
+            np.exp(z, out=z)
+            total[w] = most + np.log(z.sum(0)) - gate
         logs = self.logs[place]
         known = ~np.isnan(logs)
         counts = ends - begins + 1
-        rare = np.nonzero(~known)[0]
+        rare = np.nonzero(rows >= self.frequent)[0]
         split = np.searchsorted(rare, ends, "right")
-        lists = [self.names[i] for i in rows[rare].tolist()]
+        lists = [self.names[i] for i in (rows[rare] - self.frequent).tolist()]
         cuts = np.concatenate([[0], split]).tolist()
         return counts, np.add.reduceat(known.astype(np.int64), begins), np.add.reduceat(np.where(known, logs, 0), begins), np.add.reduceat(total, begins) / math.log(10), [lists[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -559,11 +602,14 @@ def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, pieces: int = PIE
     if sample:
         scorer = model.scorer()
         rows, first, before, begins, ends = scorer.parts(sample)
-        logp = scorer.experts.words(before, first, scorer.inner.values[rows], scorer.place.values[rows])
-        logp[:, count + 1 :] = np.concatenate([others, np.full((1, count + 1), NEVER, np.float32)])[scorer.place.values[rows]]
+        place = scorer.place(rows)
+        logp = scorer.experts.words(before, first, scorer.inner.values[rows], place).T
+        others = np.concatenate([others[np.argsort([w != END for w in names], kind="stable")], np.full((1, count + 1), NEVER, np.float32)])
+        logp[:, count + 1 :] = others[np.minimum(place, len(others) - 1)]
         context, base, low, high = windows(first, begins, ends, vocabulary.end)
         ids, there, place = window_ids(context, base, low, high)
-        attention.train(ids, there, logp[np.clip(place[:, STRIDE:], 0, len(logp) - 1)], rng)
+        attention.train(ids, there, logp, np.clip(place[:, STRIDE:], 0, len(logp) - 1), rng)
+        del scorer, logp, others
     rare = seen.where(~frequent & (F.col("word") != F.lit(bytearray(END)))).select("word", "n")
     return model, rare, int(tokens or 0), int(distinct or 0)
 

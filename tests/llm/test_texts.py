@@ -291,9 +291,9 @@ def test_gradient():
     rng = np.random.default_rng(1)
     model = attention_lm.Attention(12, 4, rng)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    ids, there = rng.integers(0, 12, (3, 32)), np.ones((3, 32), bool)
-    there[0, :20], there[2, 28:] = False, False
-    logp = rng.normal(-3, 1, (3, 16, 4))
+    ids, there = rng.integers(0, 12, (3, 2 * attention_lm.STRIDE)), np.ones((3, 2 * attention_lm.STRIDE), bool)
+    there[0, :15], there[2, 20:] = False, False
+    logp = rng.normal(-3, 1, (3, attention_lm.STRIDE, 4))
     _, g = model.gradient(ids, there, logp)
     for name, x in model.p.items():
         for at in (0, x.size // 2, x.size - 1):
@@ -309,10 +309,10 @@ def test_gradient():
 def test_attention_is_causal():
     rng = np.random.default_rng(2)
     model = attention_lm.Attention(12, 4, rng)
-    ids, there = rng.integers(0, 12, (1, 32)), np.ones((1, 32), bool)
-    before, _ = model.gates(ids, there)
-    ids[0, 25:] = rng.integers(0, 12, 7)
-    after, _ = model.gates(ids, there)
+    ids, there = rng.integers(0, 12, (1, 2 * attention_lm.STRIDE)), np.ones((1, 2 * attention_lm.STRIDE), bool)
+    before = model.gates(ids, there)
+    ids[0, attention_lm.STRIDE + 9 :] = 11 - ids[0, attention_lm.STRIDE + 9 :]
+    after = model.gates(ids, there)
     assert np.allclose(before[0, :9], after[0, :9]) and not np.allclose(before[0, 9:], after[0, 9:])
 
 
