@@ -252,11 +252,8 @@ def _count(path: str, chosen: list[int], shares):
                 before[begins] = vocabulary.end
                 code = before * n + first
                 seen.add(np.zeros((max(0, len(words.index) - seen.size), count), np.int32))
-                for j in range(count):
-                    here = topic == j
-                    if here.any():
-                        seen.values[: len(words.index), j] += np.bincount(rows[here], minlength=len(words.index)).astype(np.int32)
-                        pairs[j] += np.bincount(code[here], minlength=n * n).astype(np.int32)
+                np.add.at(seen.values.reshape(-1), rows.astype(np.int64) * count + topic, 1)
+                np.add.at(pairs.reshape(-1), topic * (n * n) + code, 1)
                 if len(words.index) > STORE_WORDS:
                     yield from settle()
         yield from settle()
