@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc32_of_id, kept, utf8, written
+from .common import bounded_batches, crc32_of_id, kept, pieces, split_words, text, written
 
 TOPICS, PIECES, TOP_WORDS = 6, 1024, 300_000
 DIM, STRIDE, STEPS, BATCH, RATE = 16, 12, 300, 256, 0.02
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 32_768
-STORE_WORDS, BASE_WORDS = 400_000, 150_000
+STORE_WORDS, BASE_WORDS = 500_000, 250_000
 FOLDS, HELD_OUT = 7, 2
 END = b"\xff"  # no byte of UTF-8, so no word
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
@@ -156,28 +156,20 @@ class Words:
         pair = flat[inner] * n + flat[inner + 1]
         return at, pair, owner[inner].astype(np.int32)
 
-    def rows(self, texts: list[bytes], learnt=None) -> np.ndarray:
+    def rows(self, texts: pa.Array, learnt=None) -> np.ndarray:
         """The rows of all words, row 0 after each text."""
-        words = (b" %s " % END).join([*texts, b""]).lower().split()
-        fresh = list(set(words).difference(self.index))
+        words, codes, counts = split_words(texts)
+        fresh = [w for w in words if w not in self.index]
         if fresh:
             new = self.learn(fresh)
             if learnt:
                 learnt(fresh, *new)
-        return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
-
-
-def chunks(column, size: int = 3 << 20):
-    """Lists of texts of some MB each, with their place in the batch."""
-    texts = column.to_pylist()
-    at = 0
-    while at < len(texts):
-        end, held = at, 0
-        while end < len(texts) and (end == at or held + len(texts[end]) < size):
-            held += len(texts[end])
-            end += 1
-        yield at, texts[at:end]
-        at = end
+        table = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+        inner = np.ones(len(codes) + len(counts), bool)
+        inner[np.cumsum(counts + 1) - 1] = False
+        rows = np.zeros(len(inner), np.int32)
+        rows[inner] = table[codes]
+        return rows
 
 
 # ---------------------------------------------------------------- topics
@@ -241,8 +233,8 @@ def _count(path: str, chosen: list[int], shares):
             words.owner.add(owner + at)
 
         for batch in batches:
-            for _, texts in chunks(batch.column(0)):
-                rows = words.rows(texts, learnt)
+            for part in pieces(batch, 0):
+                rows = words.rows(part.column(0), learnt)
                 first, last = words.first.values[rows], words.last.values[rows]
                 ends = np.nonzero(rows == 0)[0]
                 begins = np.concatenate([[0], ends[:-1] + 1])
@@ -412,7 +404,7 @@ class Experts:
         n = vocabulary.size
         self.vocabulary, self.table, self.share = vocabulary, table, share
         # chance that the next subword opens a word: ends one word, and conditions the next
-        self.opens = np.log(np.exp(table.reshape(n, n, -1))[:, vocabulary.starts].sum(1)).astype(np.float32) if n < 64 else np.stack([np.log(np.exp(table[i * n : (i + 1) * n][vocabulary.starts]).sum(0)) for i in range(n)]).astype(np.float32)
+        self.opens = np.stack([np.log(np.exp(table[i * n : (i + 1) * n][vocabulary.starts]).sum(0)) for i in range(n)]).astype(np.float32)
 
     def inner(self, count: int, pair: np.ndarray, owner: np.ndarray, last: np.ndarray) -> np.ndarray:
         """What a word has whatever stands before it: its inner pairs and its closing."""
@@ -485,7 +477,7 @@ class Scorer:
         self.inner.add(self.experts.inner(len(fresh), pair, owner, self.words.last.values[at : at + len(fresh)]))
         self.names += fresh
 
-    def parts(self, texts: list[bytes]):
+    def parts(self, texts: pa.Array):
         rows = self.words.rows(texts, self.learnt)
         first, last = self.words.first.values[rows], self.words.last.values[rows]
         ends = np.nonzero(rows == 0)[0]
@@ -498,10 +490,10 @@ class Scorer:
         """Places in the tables of frequent words; the last stands for all others."""
         return np.minimum(rows, self.frequent)
 
-    def score(self, texts: list[bytes]):
+    def score(self, texts: pa.Array):
         """For each text: tokens, frequent ones, their base sum, log10 probability, and the
         words that are not frequent."""
-        if len(self.words.index) > self.frequent + BASE_WORDS:
+        if len(self.words.index) > self.frequent + STORE_WORDS // 2:
             self.reset()
         rows, first, before, begins, ends = self.parts(texts)
         place = self.place(rows)
@@ -538,33 +530,33 @@ def _score(model, name: str, held_out: int):
         scorer = kept(f"lm {name}", "scorer", lambda: model.value.scorer())
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at, texts in chunks(batch.column(2)):
-                counts, known, base, score, rare = scorer.score(texts)
-                part = batch.slice(at, len(texts))
+            for part in pieces(batch, 2):
+                n = part.num_rows
+                counts, known, base, score, rare = scorer.score(part.column(2))
                 fold = np.asarray(part.column(1), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid, rid + len(texts))), part.column(0), pa.array(fold == held_out), pa.array(counts), pa.array(known), pa.array(base), pa.array(score), pa.array(rare, pa.list_(pa.binary()))],
+                    [pa.array(np.arange(rid, rid + n)), part.column(0), pa.array(fold == held_out), pa.array(counts), pa.array(known), pa.array(base), pa.array(score), pa.array(rare, pa.list_(pa.binary()))],
                     ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
                 )
-                rid += len(texts)
+                rid += n
 
     return run
 
 
-def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, pieces: int = PIECES, top_words: int = TOP_WORDS, seed: int = 5) -> tuple[Model, DataFrame, int, int]:
+def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, subword_count: int = PIECES, top_words: int = TOP_WORDS, seed: int = 5) -> tuple[Model, DataFrame, int, int]:
     """The model, the counts of the words that are not frequent, all tokens and distinct ones."""
     spark = train.sparkSession
     total = train.count()
     grain = 1 << 20
     chance = min(grain, math.ceil(grain * SAMPLE_DOCS / max(1, total)))
     drawn = train.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(grain)) < chance) & (F.octet_length("text") <= SAMPLE_BYTES)).select("text").limit(2 * SAMPLE_DOCS).collect()
-    sample = sorted(bytes(r.text) for r in drawn)
+    sample = sorted(r.text.encode() for r in drawn)
     subwords = Subwords(tokenizer)
     often = Counter(i for t in sample for w in t.lower().split() for i in subwords(w))
-    chosen = [i for i, _ in sorted(often.items(), key=lambda x: (-x[1], x[0])) if len(subwords.tokenizer.id_to_token(i)) > 1][:pieces]
+    chosen = [i for i, _ in sorted(often.items(), key=lambda x: (-x[1], x[0])) if len(subwords.tokenizer.id_to_token(i)) > 1][:subword_count]
     vocabulary = Vocabulary(subwords, chosen)
     words = Words(vocabulary)
-    shape = topics([words.rows([t]) for t in sample], words.first.values, vocabulary.size, count)
+    shape = topics([words.rows(pa.array([t.decode()], pa.string())) for t in sample], words.first.values, vocabulary.size, count)
 
     shares = spark.sparkContext.broadcast(shape)
     by_topic = [f"t{j}" for j in range(count)]
@@ -598,7 +590,7 @@ def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, pieces: int = PIE
     model = Model(tokenizer, chosen, table, names, share, np.log10(n + 1.0), attention)
     if sample:
         scorer = model.scorer()
-        rows, first, before, begins, ends = scorer.parts(sample)
+        rows, first, before, begins, ends = scorer.parts(pa.array([t.decode() for t in sample], pa.string()))
         place = scorer.place(rows)
         logp = scorer.experts.words(before, first, scorer.inner.values[rows], place).T
         others = np.concatenate([others[np.argsort([w != END for w in names], kind="stable")], np.full((1, count + 1), NEVER, np.float32)])
@@ -615,7 +607,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """Score and base of every document (RESULT), learning from those outside the fold."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_of_id(id_col) % folds).alias("fold"), utf8(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_of_id(id_col) % folds).alias("fold"), text(text_col).alias("text"))
     model, rare, tokens, distinct = fit(rows.where(F.col("fold") != held_out), tokenizer or default_tokenizer())
     run = _score(spark.sparkContext.broadcast(model), f"{id(model)}-{tokens}-{spark.sparkContext.applicationId}", held_out)
     scored = written(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>"), "scored")

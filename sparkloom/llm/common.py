@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +87,32 @@ def int64s(column: pa.Array) -> np.ndarray:
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of the id as decimal text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def text(column: str):
+    """The text as a string, null as empty."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def pieces(batch: pa.RecordBatch, column: int, size: int = 8 << 20):
+    """Slices of a batch whose texts have at most about ``size`` bytes, one text at least."""
+    offsets = np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1].astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words between ASCII white space, in ASCII lower case unless told otherwise: the
+    distinct words, each word's place among them, and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    counts = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+    flat = lists.flatten()
+    empty = np.asarray(pc.equal(pc.binary_length(flat), 0))
+    if empty.any():  # white space at either end leaves an empty word
+        counts -= np.bincount(np.repeat(np.arange(len(counts)), counts)[empty], minlength=len(counts))
+        flat = flat.filter(pa.array(~empty))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), np.asarray(coded.indices), counts
