@@ -172,7 +172,7 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
                         break
                     if stack[k].name in limit:
                         break
-        elif name == "option" or name in VOID and name not in DROPPED:
+        if name in VOID:
             continue
         parent = stack[-1]
         parts = set(words.split(".")) if words else set()
@@ -181,8 +181,6 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
             noisy = noisy or bool(parts & {"comment", "comments"})
         dropped = parent.dropped or hidden or role or noisy or name in DROPPED or name == "header" and not parent.article
         article = parent.article or not dropped and (name in ("article", "main") or bool(parts & TEXT))
-        if name in VOID:
-            continue
         if name in RAW:
             close_at = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(source, at)
             if close_at is None:

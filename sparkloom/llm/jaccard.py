@@ -31,52 +31,40 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept, utf8, written
+from .common import bounded_batches, pieces, split_words, text, written
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 4  # a pair at the threshold misses all bands with a chance of 4e-7
 TOLERANCE, STEP = 1e-5, 16
 TILE = 1024
-STORE_WORDS = 400_000
-RESULT = "doc_id long, class_id long, copy_id long, n_links long, n_copies long"
 
 _rng = np.random.default_rng(20240601)
 _MUL = (_rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
-class _Store(dict):
-    """Word hashes, kept from task to task; emptied when full."""
-
-    def __missing__(self, word):
-        if len(self) > STORE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def _store() -> _Store:
-    return kept("jaccard", "words", _Store)
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: bytes, size: int = WORDS, store: dict | None = None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map((_store() if store is None else store).__getitem__, words), np.uint64, len(words))
-    n = max(1, len(w) - size + 1)
-    h = np.full(n, len(w) if len(w) < size else size, np.uint64)
-    for k in range(min(size, len(w))):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n])
-    return np.unique(h)
+def shingles(texts: pa.Array, size: int = WORDS):
+    """For each text the sorted distinct 64-bit hashes of its word shingles."""
+    words, codes, counts = split_words(texts)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[codes]
+    at = 0
+    for count in counts.tolist():
+        w, at = hashes[at : at + count], at + count
+        if not count:
+            yield np.empty(0, np.uint64)
+            continue
+        n = max(1, count - size + 1)
+        h = np.full(n, min(count, size), np.uint64)
+        for k in range(min(size, count)):
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n])
+        yield np.unique(h)
 
 
 def signature(sh: np.ndarray) -> np.ndarray:
@@ -186,10 +174,9 @@ def shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sketch(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 2)):
             rows = []
-            for text in batch.column(2).to_pylist():
-                sh = shingles(text, size)
+            for sh in shingles(batch.column(2), size):
                 rows.append((*set_digest(sh), len(sh), signature(sh).tobytes()))
             d1, d2, n, sig = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["uid", "doc_id", "d1", "d2", "n", "sig"])
@@ -262,7 +249,7 @@ def _verify(size: int, threshold: float, tolerance: float):
     def run(batches):
         for key, table in _groups(batches, 3):
             cid, d1, d2 = (np.asarray(table.column(k), dtype=np.int64) for k in (4, 5, 6))
-            sets = [shingles(x, size) for x in table.column(7).to_pylist()]
+            sets = [s for chunk in table.column(7).chunks for s in shingles(chunk, size)]
             # rows that repeat an id come with every row of it: keep one of the class's own text
             fit = np.array([set_digest(s) == (x, y) for s, x, y in zip(sets, d1.tolist(), d2.tolist())], bool)
             _, at = np.unique(np.where(fit, cid, -1), return_index=True)
@@ -299,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each document: uid (its id, or a hash of its text), doc_id, class_uid,
     class_id, copy_id, n_links and n_copies."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text(text_col).alias("text"))
     sketch = written(rows.mapInArrow(_sketch(size), "uid long, doc_id long, d1 long, d2 long, n long, sig binary"), "sketches")
     classes = written(sketch.groupBy("d1", "d2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("cid", F.monotonically_increasing_id()), "classes")
 

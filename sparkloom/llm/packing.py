@@ -20,10 +20,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept, utf8, written
+from .common import bounded_batches, kept, pieces, split_words, text, written
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
@@ -37,8 +38,7 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 #: The byte-level alphabet's letters for the bytes that are no printable Latin-1 character:
 #: those bytes in order, from code point 256.
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
-MARK = b"\xff"  # stands between texts that are split together; no byte of UTF-8
-SPECIAL = b"<|"  # may open a special token, which is found before case is lowered
+SPECIAL = "<|"  # may open a special token, which is found before case is lowered
 
 
 def default_tokenizer() -> str:
@@ -78,7 +78,7 @@ class WordIds:
         self.reset()
 
     def reset(self) -> None:
-        self.index = {MARK: 0}
+        self.index = {None: 0}  # row 0 is the end
         self.starts, self.lengths, self.pool = _Growing(np.int64), _Growing(np.int64), _Growing(np.uint32)
         self.starts.add([0])
         self.lengths.add([1])
@@ -129,21 +129,23 @@ class WordIds:
         self.lengths.add(lengths)
         self.pool.add(flat)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and the ids' count for each text."""
         if len(self.index) > CACHE_WORDS:
             self.reset()
-        # the tokenizer lowers case too; bytes.split splits at exactly the ASCII white space
-        joined = (b" %s " % MARK).join([*texts, b""])
-        words = (joined if SPECIAL in joined else joined.lower()).split()
-        fresh = list(set(words).difference(self.index))
-        for at in range(0, len(fresh), 100_000):
-            self.learn(fresh[at : at + 100_000])
-        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        # the tokenizer lowers case too, but only after it has looked for special tokens
+        words, codes, counts = split_words(texts, lower=not pc.any(pc.match_substring(texts, SPECIAL)).as_py())
+        self.learn([w for w in words if w not in self.index])
+        table = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        closing = np.cumsum(counts + 1) - 1
+        inner = np.ones(len(codes) + len(counts), bool)
+        inner[closing] = False
+        rows = np.zeros(len(inner), np.int64)
+        rows[inner] = table[codes]
         n = self.lengths.values[rows]
         ends = np.cumsum(n)
         ids = self.pool.values[np.repeat(self.starts.values[rows] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.diff(ends[rows == 0], prepend=0)
+        return ids, np.diff(ends[closing], prepend=0)
 
 
 def word_ids(path: str, end_id: int) -> WordIds:
@@ -220,25 +222,17 @@ def _pack(path: str, end_id: int, size: int, most: int, merge: int):
         part = TaskContext.get().partitionId()
         store, packer, rows, done = word_ids(path, end_id), Packer(size, most), _Rows(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            doc_ids = batch.column(0).to_pylist()
-            at = 0
-            while at < len(texts):  # some MB of text at a time
-                end, held = at, 0
-                while end < len(texts) and (end == at or held + len(texts[end]) < 4 << 20):
-                    held += len(texts[end])
-                    end += 1
-                ids, counts = store.encode(texts[at:end])
+            for piece in pieces(batch, 1):
+                ids, counts = store.encode(piece.column(1))
                 cut = 0
-                for doc_id, n in zip(doc_ids[at:end], counts.tolist()):
-                    for pieces in packer.place(doc_id, 0, ids[cut : cut + n], n):
-                        rows.add(pieces, (part << 32) + done)
+                for doc_id, n in zip(piece.column(0).to_pylist(), counts.tolist()):
+                    for full in packer.place(doc_id, 0, ids[cut : cut + n], n):
+                        rows.add(full, (part << 32) + done)
                         done += 1
                     cut += n
                 # open windows must not keep a whole batch's ids alive
                 for w in packer.open:
                     w[1] = [(d, s, i.copy() if i.base is not None else i, t) for d, s, i, t in w[1]]
-                at = end
             if rows.columns[0]:
                 yield rows.batch(True)
         for piece in packer.rest():
@@ -286,12 +280,12 @@ def _merge(size: int, most: int):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, open_windows: int = OPEN_WINDOWS, tokenizer: str | None = None, end_id: int = END_ID, merge_parts: int = MERGE_PARTS) -> DataFrame:
     """Pieces of all documents in windows of ``window`` ids (RESULT)."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text(text_col).alias("text"))
     run = _pack(tokenizer or default_tokenizer(), end_id, window, open_windows, merge_parts)
-    pieces = written(rows.mapInArrow(run, f"{RESULT}, part_group long, ids binary"), "pieces")
+    packed = written(rows.mapInArrow(run, f"{RESULT}, part_group long, ids binary"), "pieces")
     # at most open_windows windows of each partition are left: a group's size has a fixed bound
-    merged = pieces.where("part_group is not null").groupBy("part_group").applyInArrow(_merge(window, 4 * open_windows), RESULT)
-    return pieces.where("part_group is null").select(*_NAMES).unionByName(merged)
+    merged = packed.where("part_group is not null").groupBy("part_group").applyInArrow(_merge(window, 4 * open_windows), RESULT)
+    return packed.where("part_group is null").select(*_NAMES).unionByName(merged)
 
 
 def op9_sequence_packing(spark, sf_dir: str) -> DataFrame:

@@ -80,8 +80,7 @@ class Feistel:
 
     def mixed(self, tag: str, radices: list[int], digits: list[int]) -> list[int]:
         """The permutation of a mixed-radix number."""
-        n = x = 0
-        n = 1
+        n, x = 1, 0
         for r, d in zip(radices, digits):
             n, x = n * r, x * r + d
         x, out = self.permute(tag, n, x), []
@@ -203,7 +202,7 @@ def intl(f: Feistel, text: str) -> str:
 
 
 def pseudonym(f: Feistel, m: re.Match) -> str:
-    kind, text = m.lastgroup, m[0]
+    text = m[0]
     kind = next(k for k in ("email", "access", "secret", "iban", "iso", "slash", "ssn", "ip", "intl", "nanp", "card") if m[k] is not None)
     if kind == "email":
         return _characters(f, "email", text[:-1]) + "@"

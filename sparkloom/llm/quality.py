@@ -23,7 +23,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc32_of_id, int64s, utf8, written
@@ -199,7 +199,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, thres
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, threshold: float = THRESHOLD, text: Column | None = None) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, all columns as they came."""
     bounded_batches(docs.sparkSession)
     model = fit(measured(docs), labels, held_out)

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def test_words_have_the_tokenizers_ids():
     texts = [ODD, "", "  ", ODD.lower(), "x" * 300, "the thing, the. thing"]
     store = packing.WordIds(packing.default_tokenizer(), 1)
     for _ in range(2):  # the second time all words are known
-        ids, counts = store.encode([t.encode() for t in texts])
+        ids, counts = store.encode(pa.array(texts))
         assert np.array_equal(ids, np.concatenate(reference_ids(texts))) and counts.tolist() == [len(x) for x in reference_ids(texts)]
 
 
