@@ -39,6 +39,19 @@ class LogEngine:
 
     compress_lines = compress
 
+    def compress_batch(self, sources: list[str], folder: str) -> DataFrame:
+        """An archive for each file, and a row of its outcome: a file that fails does not
+        stop the others."""
+        rows = []
+        for source in sources:
+            name = source.rstrip("/").rsplit("/", 1)[-1]
+            try:
+                s = self.compress_file(source, f"{folder}/{name}").first()
+                rows.append((name, True, s.original_size, s.compressed_size, s.compression_time, None))
+            except (FileNotFoundError, ValueError) as e:
+                rows.append((name, False, None, None, None, str(e)))
+        return self.spark.createDataFrame(rows, "name string, ok boolean, original_size long, compressed_size long, seconds double, error string")
+
     def load(self, path: str) -> DataFrame:
         return archive.read_archive(self.spark, path)[0]
 

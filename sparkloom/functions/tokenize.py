@@ -31,8 +31,15 @@ def _raw(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(GENERAL), F.lit(0))
 
 
-def _segments(line: Column) -> Column:
-    return F.transform(F.split(line, r"\|", -1), stripped)
+def _blank(line: Column) -> Column:
+    return F.coalesce(~line.rlike(r"(?U)\S"), F.lit(True))
+
+
+def parts(line: Column) -> Column:
+    """What a line is split into: stripped segments, or tokens but white space.  Keep it as
+    a column of its own, and ``fields_of`` and ``types_of`` share the work."""
+    segments = F.transform(F.split(line, r"\|", -1), stripped)
+    return F.when(_blank(line), F.array().cast("array<string>")).when(is_piped(line), segments).otherwise(_raw(line))
 
 
 def token_type(token: Column) -> Column:
@@ -41,31 +48,36 @@ def token_type(token: Column) -> Column:
     return (
         F.when((first == "[") & token.rlike(r"^\[[^\]]+\]$"), BRACKET)
         .when(first.isin('"', "'") & token.rlike(r"""^["'][^"']*["']$"""), QUOTED)
-        .when(token.rlike(r"(?U)^\d+(?:\.\d+)?$"), NUMBER)
-        .when(F.instr(F.lit(MARKS), token) > 0, PUNCTUATION)
+        .when(~first.between("A", "z") & token.rlike(r"(?U)^\d+(?:\.\d+)?$"), NUMBER)
+        .when((F.length(token) <= len(MARKS)) & (F.instr(F.lit(MARKS), token) > 0), PUNCTUATION)
         .otherwise(WORD)
     )
 
 
 def _bare(token: Column) -> Column:
-    special = token.rlike(rf"^(?:{SPECIAL})$")
+    special = F.substring(token, 1, 1).isin("[", '"', "'") & token.rlike(rf"^(?:{SPECIAL})$")
     return F.when(special, F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(token)
 
 
+def fields_of(parts_: Column, piped: Column) -> Column:
+    mark = lambda t: (F.length(t) <= len(MARKS)) & (F.instr(F.lit(MARKS), t) > 0)
+    return F.when(piped, parts_).otherwise(F.transform(F.filter(parts_, lambda t: ~mark(t)), _bare))
+
+
+def types_of(parts_: Column, piped: Column) -> Column:
+    segment = F.flatten(F.transform(parts_, lambda t, i: F.when(i == 0, F.array(F.lit(WORD))).otherwise(F.array(F.lit(PIPE), F.lit(WORD)))))
+    return F.when(piped, segment).otherwise(F.transform(parts_, token_type))
+
+
 def fields(line: Column) -> Column:
     """The field values of a line: its tokens without white space, punctuation, pipes and
     delimiters."""
-    blank = F.coalesce(~line.rlike(r"(?U)\S"), F.lit(True))
-    general = F.transform(F.filter(_raw(line), lambda t: (F.length(t) > 2) | (F.instr(F.lit(MARKS), t) == 0)), _bare)
-    return F.when(blank, F.array().cast("array<string>")).when(is_piped(line), _segments(line)).otherwise(general)
+    return fields_of(parts(line), F.coalesce(is_piped(line), F.lit(False)))
 
 
 def token_types(line: Column) -> Column:
     """The types of a line's tokens but white space, in order."""
-    blank = F.coalesce(~line.rlike(r"(?U)\S"), F.lit(True))
-    count = F.size(F.split(line, r"\|", -1))
-    piped = F.flatten(F.transform(F.sequence(F.lit(1), count), lambda k: F.when(k == 1, F.array(F.lit(WORD))).otherwise(F.array(F.lit(PIPE), F.lit(WORD)))))
-    return F.when(blank, F.array().cast("array<string>")).when(is_piped(line), piped).otherwise(F.transform(_raw(line), token_type))
+    return types_of(parts(line), F.coalesce(is_piped(line), F.lit(False)))
 
 
 def tokens(line: Column) -> Column:
@@ -84,9 +96,8 @@ def tokens(line: Column) -> Column:
         )
         return F.aggregate(values, start, step, lambda acc: acc["out"])
 
-    blank = F.coalesce(~line.rlike(r"(?U)\S"), F.lit(True))
     none = F.array().cast("array<struct<type:string,value:string,start:int,end:int>>")
-    return F.when(blank, none).when(is_piped(line), placed(pieces, piped, stripped)).otherwise(placed(every, kind, lambda t: t))
+    return F.when(_blank(line), none).when(is_piped(line), placed(pieces, piped, stripped)).otherwise(placed(every, kind, lambda t: t))
 
 
 def words(line: Column) -> Column:

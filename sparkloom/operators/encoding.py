@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import struct
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -303,3 +304,26 @@ def inverse_bwt(data: bytes) -> bytes:
         out += piece
         at += 8 + n
     return bytes(out)
+
+
+#: Byte codecs by name: (encode, decode) of a list of whole numbers.
+CODECS = {
+    "varint": (varints_encode, lambda data: varints_decode(data, sum(b < 0x80 for b in data))),
+    "rle": (rle_encode, rle_decode),
+    "timestamps": (timestamps_encode, timestamps_decode),
+}
+
+
+def codec_functions(name: str):
+    """A codec as two functions for DataFrames: array<long> to binary, and back."""
+    encode, decode = CODECS[name]
+
+    @F.pandas_udf("binary")
+    def encoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else encode([int(x) for x in v]))
+
+    @F.pandas_udf("array<long>")
+    def decoded(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: None if d is None else decode(bytes(d)))
+
+    return encoded, decoded

@@ -23,9 +23,11 @@ def tokenized(lines: DataFrame) -> DataFrame:
     """``lines`` (log_idx, raw and perhaps source) that are not blank, with fields and signature."""
     df = lines if "source" in lines.columns else lines.withColumn("source", F.lit(""))
     df = df.where(F.col("raw").rlike(r"(?U)\S"))
-    df = df.withColumn("fields", tokenize.fields(F.col("raw")))
+    raw, parts, piped = F.col("raw"), F.col("_parts"), F.col("_piped")
+    split = df.select("*", tokenize.parts(raw).alias("_parts"), tokenize.is_piped(raw).alias("_piped"))
+    both = split.select(*df.columns, tokenize.fields_of(parts, piped).alias("fields"), F.slice(tokenize.types_of(F.slice(parts, 1, SIGNATURE_TYPES), piped), 1, SIGNATURE_TYPES).alias("_types"))
     n = F.size("fields")
-    return df.withColumn("n_fields", n).withColumn("signature", F.xxhash64(n, F.slice(tokenize.token_types(F.col("raw")), 1, SIGNATURE_TYPES)))
+    return both.select(*df.columns, "fields", n.alias("n_fields"), F.xxhash64(n, "_types").alias("signature"))
 
 
 def signature_groups(tokens: DataFrame, min_support: int = 3) -> DataFrame:

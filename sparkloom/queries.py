@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,6 +116,22 @@ def parse_epoch_ms_compat(spark, d):
     return log_lines(spark, d).select("log_idx", classify.epoch_ms_compat(tokenize.fields(F.col("raw"))[0]).alias("ts_ms"))
 
 
+@query_of("SELECT source AS name, count(*) AS lines, CAST(sum(strlen(raw)) AS DOUBLE) / 1048576 AS size_mb FROM (SELECT 'events' AS source, raw FROM l) GROUP BY source")
+def dataset_listing(spark, d):
+    return text.listing(log_lines(spark, d))
+
+
+@query_of("SELECT event_type, count(*) AS n FROM events GROUP BY event_type", with_lines=False)
+def stream_equals_batch(spark, d):
+    """The events as a stream, counted as they come until all are read."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    name = f"stream_equals_batch_{uuid.uuid4().hex}"
+    counts = stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 # ---------------------------------------------------------------- templates
 
 

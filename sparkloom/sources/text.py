@@ -76,3 +76,8 @@ def datasets(spark: SparkSession, root: str) -> DataFrame:
 def paired(logs: DataFrame, archives: DataFrame) -> DataFrame:
     """Data sets that have both a log and an archive (name, archive_path)."""
     return logs.join(archives, "name").orderBy("name")
+
+
+def listing(lines: DataFrame) -> DataFrame:
+    """name, lines and size_mb of the sources of a table of lines, by name."""
+    return lines.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("lines"), (F.sum(F.octet_length("raw")) / (1 << 20)).alias("size_mb")).orderBy("name")

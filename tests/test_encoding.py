@@ -89,3 +89,10 @@ def test_dictionary(spark):
     assert [(r.value, r.id) for r in ids.orderBy("id").collect()] == [(9, 0), (7, 1), (8, 2)]
     coded = c.dictionary_encode(df, "ts_ms").withColumn("ts_ms_id", F.when(F.col("log_idx") == 3, 99).otherwise(F.col("ts_ms_id")))
     assert [r.v for r in c.dictionary_decode(coded, ids, "ts_ms_id", "v").orderBy("log_idx").collect()] == [9, None, 9, 8]
+
+
+@pytest.mark.parametrize("name", list(c.CODECS))
+def test_codec_functions(spark, name):
+    encode, decode = c.codec_functions(name)
+    df = spark.createDataFrame([([5, 5, 7, 300],), ([],), ([0],)], "v array<long>")
+    assert all(r.v == r.back for r in df.select("v", decode(encode("v")).alias("back")).collect())

@@ -130,3 +130,11 @@ def test_coverage_and_summary(spark):
     plain = parse(text.from_lines(spark, [f"alpha beta {i}" for i in range(9)]))
     assert matching.exact_coverage(text.from_lines(spark, ["alpha beta 77", "alpha gamma 1", "x"]), plain.templates).first().matched == 1
     assert quality.covered(plain.templates, 18).first().percent == 50
+
+
+def test_batch(spark, tmp_path):
+    (tmp_path / "good.log").write_text("\n".join(f"[2024-01-01 00:00:00] [info] took {i} ms" for i in range(30)))
+    (tmp_path / "bad.log").write_text("x\n")
+    report = LogEngine(spark).compress_batch([str(tmp_path / n) for n in ("good.log", "bad.log", "none.log")], str(tmp_path / "out"))
+    assert {r.name: r.ok for r in report.collect()} == {"good.log": True, "bad.log": False, "none.log": False}
+    assert quality.batch_report(report).first().failed == 2
