@@ -26,13 +26,34 @@ def _chain(value: Column, registry: Registry, pick) -> Column:
     return case.otherwise(pick(DEFAULT))
 
 
+def best_pattern(value: Column, registry: Registry = DEFAULT_REGISTRY) -> Column:
+    """The place of the best match's pattern in order of priority; 0 for a blank value, and
+    one past the last where none fits.  One CASE, from which type and confidence follow."""
+    case = F.when(is_blank(value), 0)
+    for k, p in enumerate(registry.by_priority(), 1):
+        case = case.when(value.rlike(p.java), k)
+    return case.otherwise(len(registry.patterns) + 1)
+
+
+def _looked_up(place: Column, registry: Registry, pick) -> Column:
+    return F.element_at(F.array(*[F.lit(pick(p)) for p in (UNKNOWN, *registry.by_priority(), DEFAULT)]), place + 1)
+
+
+def type_of(place: Column, registry: Registry = DEFAULT_REGISTRY) -> Column:
+    return _looked_up(place, registry, lambda p: p.type)
+
+
+def confidence_of(place: Column, registry: Registry = DEFAULT_REGISTRY) -> Column:
+    """In hundredths, so that sums are exact."""
+    return _looked_up(place, registry, lambda p: p.confidence % 100)
+
+
 def best_type(value: Column, registry: Registry = DEFAULT_REGISTRY) -> Column:
-    return _chain(value, registry, lambda p: F.lit(p.type))
+    return type_of(best_pattern(value, registry), registry)
 
 
 def best_confidence(value: Column, registry: Registry = DEFAULT_REGISTRY) -> Column:
-    """In hundredths, so that sums are exact."""
-    return _chain(value, registry, lambda p: F.lit(p.confidence % 100))
+    return confidence_of(best_pattern(value, registry), registry)
 
 
 def _match(value: Column, p: Pattern) -> Column:

@@ -56,14 +56,16 @@ def extract_templates(tokens: DataFrame, min_support: int = 3, registry: Registr
     examples = first.where(F.col("seen") <= EXAMPLES).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "raw"))), lambda x: x["raw"]).alias("example_logs"))
 
     at = [*keys, "pos"]
-    values = first.select(*keys, "seen", F.posexplode("fields").alias("pos", "value"))
-    value = F.col("value")
-    typed = values.select("*", classify.best_type(value, registry).alias("type"), classify.best_confidence(value, registry).alias("conf"))
-    heads = typed.where("seen = 1").select(*at, "value", F.col("type").alias("head_type"), F.col("conf").alias("head_conf"))
-    votes = typed.where("type <> 'UNKNOWN'").groupBy(*at, "type").agg(F.sum("conf").alias("weight"), F.min("seen").alias("since"))
-    winners = votes.groupBy(*at).agg(F.min_by("type", F.struct(-F.col("weight"), F.col("since"))).alias("vote"))
-
-    cells = heads.join(position_cardinality(tokens), at).join(winners, at, "left").join(groups.select(*keys, "match_count"), keys)
+    placed = first.select(*keys, "seen", F.posexplode("fields").alias("pos", "value")).withColumn("place", classify.best_pattern(F.col("value"), registry))
+    seen = F.struct("seen", "value", classify.type_of(F.col("place"), registry).alias("type"), classify.confidence_of(F.col("place"), registry).alias("conf"))
+    # at most ten values meet in a row
+    values = placed.groupBy(*at).agg(F.array_sort(F.collect_list(seen)).alias("values"))
+    kinds = F.array_distinct(F.transform("values", lambda v: v["type"]))
+    weight = lambda t: F.aggregate(F.filter("values", lambda v: v["type"] == t), F.lit(0), lambda a, v: a + v["conf"])
+    vote = F.array_min(F.transform(F.filter(kinds, lambda t: t != "UNKNOWN"), lambda t: F.struct((-weight(t)).alias("w"), F.array_position(kinds, t).alias("at"), t.alias("type"))))["type"]
+    head = F.col("values")[0]
+    cells = values.select(*at, head["value"].alias("value"), head["type"].alias("head_type"), head["conf"].alias("head_conf"), vote.alias("vote"))
+    cells = cells.join(position_cardinality(tokens), at).join(groups.select(*keys, "match_count"), keys)
     few = (F.col("cardinality") <= 3) & (F.col("match_count") >= 10)
     type_ = (
         F.when(F.col("cardinality") == 1, F.when(F.col("head_conf") > 80, F.col("head_type")))

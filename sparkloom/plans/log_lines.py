@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, log_idx and raw: one line for each event."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """source, log_idx and raw: one line for each event.  A table of fewer splits than there
+    are cores is dealt out, as a folder of log files would be."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    cores = spark.sparkContext.defaultParallelism
+    if len(e.inputFiles()) < cores:
+        e = e.repartition(cores)
     level = F.expr("case event_type when 'error' then 'ERROR' when 'purchase' then 'WARN' when 'signup' then 'NOTICE' when 'click' then 'INFO' else 'DEBUG' end")
     ip = F.expr("concat('10.0.', user_id div 256, '.', user_id % 256)")
     tail = F.expr("concat('user=', user_id, ' ', event_type, ' took ', cast(floor(value) as bigint), ' ms')")
