@@ -37,7 +37,7 @@ from .components import components
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 4  # a pair at the threshold misses all bands with a chance of 4e-7
 TOLERANCE, STEP = 1e-5, 16
-TILE = 1024
+TILE = 512
 
 _rng = np.random.default_rng(20240601)
 _MUL = (_rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
@@ -97,17 +97,23 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n + 1
 
 
-def prune(sig: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (a, b) of rows those that the posterior never rules out."""
-    seen = np.zeros(len(a), np.int64)
-    for at in range(0, sig.shape[1], STEP):
-        seen += (sig[a, at : at + STEP] == sig[b, at : at + STEP]).sum(1)
-        keep = seen >= least_matches(min(at + STEP, sig.shape[1]), threshold, tolerance)
-        a, b, seen = a[keep], b[keep], seen[keep]
-    return a, b
+def prune(sig: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b) of rows those that the posterior never rules out; some pairs at a
+    time, so that many pairs take little memory."""
+    least = [least_matches(min(at + STEP, sig.shape[1]), threshold, tolerance) for at in range(0, sig.shape[1], STEP)]
+    kept = []
+    for cut in range(0, len(a), block):
+        x, y = a[cut : cut + block], b[cut : cut + block]
+        seen = np.zeros(len(x), np.int64)
+        for k, at in enumerate(range(0, sig.shape[1], STEP)):
+            seen += (sig[x, at : at + STEP] == sig[y, at : at + STEP]).sum(1)
+            keep = seen >= least[k]
+            x, y, seen = x[keep], y[keep], seen[keep]
+        kept.append((x, y))
+    return tuple(np.concatenate([k[i] for k in kept]) if kept else np.empty(0, np.int64) for i in (0, 1))
 
 
-def tile_pairs(left: np.ndarray, right: np.ndarray | None, most: int = 1 << 18):
+def tile_pairs(left: np.ndarray, right: np.ndarray | None, most: int = 1 << 16):
     """Index pairs within ``left``, or between both, some at a time."""
     if right is None:
         n, at = len(left), 0
@@ -156,11 +162,11 @@ def shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     start = np.cumsum(df) - df
     count = np.zeros((n, n), np.int32)
     wide = np.nonzero(df > 12)[0]
-    for at in range(0, len(wide), 4096):
+    for at in range(0, len(wide), 2048):
         place = np.full(len(df), -1)
-        place[wide[at : at + 4096]] = np.arange(len(wide[at : at + 4096]))
+        place[wide[at : at + 2048]] = np.arange(len(wide[at : at + 2048]))
         here = place[column] >= 0
-        m = np.zeros((n, len(wide[at : at + 4096])), np.float32)
+        m = np.zeros((n, len(wide[at : at + 2048])), np.float32)
         m[row[here], place[column[here]]] = 1
         count += (m @ m.T).astype(np.int32)
     for d in range(2, 13):
@@ -233,7 +239,7 @@ def _candidates(threshold: float, tolerance: float):
             cids.append(cid)
             sigs.append(sig)
             n += len(cid)
-            if n > 16_384 or pairs > 1 << 20:
+            if n > 8_192 or pairs > 1 << 18:
                 yield settle(cids, sigs, lists)
                 cids, sigs, lists, n, pairs = [], [], [], 0, 0
         if n:

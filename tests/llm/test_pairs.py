@@ -118,7 +118,7 @@ def near_copies(rng, count, length=120):
     return out
 
 
-@pytest.mark.parametrize("tile", [1024, 8])
+@pytest.mark.parametrize("tile", [512, 8])
 def test_join_groups_and_tiles(spark, tile):
     rng = random.Random(5)
     texts = [*near_copies(rng, 40), *near_copies(rng, 3), *near_copies(rng, 2), *[words(rng, 100, 5_000) for _ in range(20)]]
