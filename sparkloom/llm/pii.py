@@ -45,7 +45,7 @@ PII = re.compile(
   | (?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))
   | (?P<intl>(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w))
   | (?P<nanp>(?<![\w+-])(?:\(\d{3}\)[ ]?|\d{3}[-.])\d{3}[-.]\d{4}(?![\w-]))
-  | (?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))
+  | (?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}(?:(?P=gap)\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))
     """,
     re.X | re.A,
 )

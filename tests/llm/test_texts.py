@@ -113,6 +113,12 @@ def test_formats(text, shape):
         datetime.date.fromisoformat(new[4:14])
 
 
+def test_neighbours_are_told_apart():
+    text = "+1 (836) 555-9331 4913187196670932 53.121.55.90 a.b@c.example 3782 822463 10005"
+    new, n = pii.replace(F_, text)
+    assert n == 5 and not set(text.replace("+1", "").split()[:4]) & set(new.split()) and luhn_ok(new[18:34])
+
+
 def test_pseudonyms_are_linked_and_apart():
     cards = [f"41111111{i:07d}" for i in range(300)]
     cards = [c + str(pii.luhn([int(x) for x in c])) for c in cards]
