@@ -52,9 +52,10 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related recommended footer masthead pagination pager skip toolbar tooltip".split()
+    "overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related recommended footer masthead pagination pager skip toolbar tooltip header topbar copyright announcement".split()
 )
-MAIN = frozenset("article content entry post main body page wrapper container layout story text".split())
+MAIN = frozenset("article content main body page layout story text".split())
+COMMENT = frozenset("comment comments disqus replies respond".split())
 TEXT = frozenset("article content entry story".split())
 WITH = frozenset("has with without no".split())
 
@@ -68,20 +69,30 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool]:
-    """Class and id words, whether the element is hidden, whether its role says no text."""
+def _noise(words: list[str], article: bool) -> bool:
+    """Whether a class or id says that its element is no text: it names something of the
+    kind, and is not about the whole ("sidebar-layout", "with-sidebar")."""
+    if WITH.intersection(words):
+        return False
+    found = NOISE.intersection(words) - ({"header"} if article else set())
+    return bool(found) and (words[-1] not in MAIN or not COMMENT.isdisjoint(words))
+
+
+def _marks(attributes: str, article: bool) -> tuple[str, bool, bool, bool]:
+    """Class and id words; whether they are noise, and of reader comments; whether the
+    element is hidden or its role says no text."""
     if not attributes or attributes.isspace():
-        return "", False, False
-    names, hidden, role = [], False, False
+        return "", False, False, False
+    names, hidden = [], False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            names += _WORDS.findall(value)
+            names += [words for x in value.split() if (words := [w.lower() for w in _WORDS.findall(x)])]
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-        elif name == "role":
-            role = value.strip().lower() in ROLES
-    return ".".join(n.lower() for n in names), hidden, role
+        elif name == "role" and value.strip().lower() in ROLES:
+            hidden = True
+    return ".".join(w for words in names for w in words), any(_noise(words, article) for words in names), any(not COMMENT.isdisjoint(words) for words in names), hidden
 
 
 class Element:
@@ -153,7 +164,7 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
         if name == "br" or name == "wbr":
             put(" " if name == "br" else "")
             continue
-        words, hidden, role = _marks(attributes)
+        words, noisy, comment, hidden = _marks(attributes, stack[-1].article)
         block = name in BLOCK
         if block:
             flush()
@@ -176,10 +187,9 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
             continue
         parent = stack[-1]
         parts = set(words.split(".")) if words else set()
-        noisy = bool(parts & NOISE) and not parts & MAIN and not parts & WITH and name not in ("html", "body", "main")
-        if parent.article:
-            noisy = noisy or bool(parts & {"comment", "comments"})
-        dropped = parent.dropped or hidden or role or noisy or name in DROPPED or name == "header" and not parent.article
+        if name in ("html", "body", "main", "article"):
+            noisy = comment and name == "article"
+        dropped = parent.dropped or hidden or noisy or name in DROPPED or name == "header" and not parent.article
         article = parent.article or not dropped and (name in ("article", "main") or bool(parts & TEXT))
         if name in RAW:
             close_at = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(source, at)

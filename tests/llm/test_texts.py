@@ -188,6 +188,17 @@ def test_html_edges(spark):
     assert html_tree.extract(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "post-comments", "comment-body", "articleComments", "page-footer", "main-menu", "ad-container", "cookie_notice", "share-buttons", "header", "newsletterSignup"])
+def test_noise_by_class(name):
+    assert html_tree.page_text(f"<body><div class='{name}'>x <p>y</p></div><article class='post'><p>z</p><article class='comment'>first</article></article></body>", set()) == "z"
+    assert html_tree.page_text(f"<body><div id='{name}'>x</div><p>z</p></body>", set()) == "z"
+
+
+@pytest.mark.parametrize("name", ["content", "with-sidebar", "sidebar-layout", "no-ads", "story-text", "shareholder", "adopted", "main page-wrapper"])
+def test_no_noise_by_class(name):
+    assert html_tree.page_text(f"<body><div class='{name}'><p>z</p></div></body>", set()) == "z"
+
+
 def test_line_breaks_and_inline_elements(spark):
     (r,) = html_tree.extract(pages(spark, [(1, "u", "<main><p>one<br>two <em>th</em>ree<span class='ad'>Buy</span> end</p><div>x<p>y</p>z</div></main>")])).collect()
     assert r.text == "one two three end\n\nx\n\ny\n\nz"
