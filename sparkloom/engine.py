@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.patterns import PATTERNS, Registry
-from .operators import query, quality, templates
+from .operators import matching, quality, query, templates
 from .plans.parse import Parsed, parse
 from .sources import archive, text
 
@@ -27,12 +27,14 @@ class LogEngine:
     def compress(self, lines: DataFrame | Iterable[str], path: str) -> DataFrame:
         """Writes an archive; its statistics as one row.  Raises ValueError where no
         template has enough lines."""
-        began, parsed = time.time(), self.parse(lines)
-        archive.write_archive(parsed.logs, parsed.templates, path)
-        logs, found = archive.read_archive(self.spark, path)
+        began = time.time()
+        tokens = templates.tokenized(lines if isinstance(lines, DataFrame) else text.from_lines(self.spark, lines))
+        found = archive.write_templates(templates.extract_templates(tokens, self.min_support, self.registry), path)
         if not found.head(1):
             raise ValueError("no template has enough lines")
-        return quality.compression_stats(logs, found, archive.archive_size(self.spark, path), time.time() - began)
+        match = matching.match_strict if self.strict else matching.match_first_fit
+        archive.write_logs(matching.parsed_logs(match(tokens, found, small=matching.is_small(found))), path)
+        return quality.compression_stats(self.load(path), found, archive.archive_size(self.spark, path), time.time() - began)
 
     def compress_file(self, source: str, path: str) -> DataFrame:
         return self.compress(text.read_logs(self.spark, source), path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify
 
 TOLERANCE = 2
+BROADCAST_TEMPLATES = 20_000
 
 
 def _entries(last: bool) -> Column:
@@ -23,9 +24,20 @@ def _entries(last: bool) -> Column:
     return F.map_from_entries(F.filter(both, hold))
 
 
-def match_strict(tokens: DataFrame, templates: DataFrame) -> DataFrame:
-    """A line belongs to the template that its own structure gave; others stay unmatched."""
-    dim = templates.select("source", "signature", "template_id", "types")
+def _small(dim: DataFrame, checked: bool) -> DataFrame:
+    return F.broadcast(dim) if checked else dim
+
+
+def is_small(templates: DataFrame, rows: int = BROADCAST_TEMPLATES) -> bool:
+    """Whether a written table of templates may be broadcast, so that the lines need no
+    shuffle; a larger one is joined as Spark sees fit."""
+    return templates.limit(rows + 1).count() <= rows
+
+
+def match_strict(tokens: DataFrame, templates: DataFrame, small: bool = False) -> DataFrame:
+    """A line belongs to the template that its own structure gave; others stay unmatched.
+    ``small``: the size of ``templates`` has been checked with ``is_small``."""
+    dim = _small(templates.select("source", "signature", "template_id", "types"), small)
     matched = tokens.join(dim, ["source", "signature"], "left")
     return matched.withColumn("extracted", F.when(F.col("template_id").isNotNull(), _entries(last=False)))
 
@@ -36,10 +48,10 @@ def fit_by_length(templates: DataFrame, tolerance: int = TOLERANCE) -> DataFrame
     return wide.groupBy("source", F.col("fit").alias("n_fields")).agg(F.min_by(F.struct("template_id", "types"), "rank").alias("t")).select("source", "n_fields", "t.template_id", "t.types")
 
 
-def match_first_fit(tokens: DataFrame, templates: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+def match_first_fit(tokens: DataFrame, templates: DataFrame, small: bool = False, tolerance: int = TOLERANCE) -> DataFrame:
     """A line belongs to the most frequent template of nearly its number of fields, whatever
     its literals; of a type that repeats the last value holds."""
-    matched = tokens.join(fit_by_length(templates, tolerance), ["source", "n_fields"], "left")
+    matched = tokens.join(_small(fit_by_length(templates, tolerance), small), ["source", "n_fields"], "left")
     return matched.withColumn("extracted", F.when(F.col("template_id").isNotNull(), _entries(last=True)))
 
 

@@ -11,16 +11,26 @@ FORMAT = "3.4"
 READABLE = ("3.0", "3.1", "3.2", "3.3", "3.4")
 
 
-def write_archive(logs: DataFrame, templates: DataFrame, path: str, level: int = 9, by_source: bool = False) -> None:
-    """Lines with their typed columns, templates and totals under ``path``.  Dictionaries,
-    runs and deltas are Parquet's own; the address column has a Bloom filter."""
+def write_templates(templates: DataFrame, path: str) -> DataFrame:
+    """Writes the templates and reads them back: a small table that is made only once."""
+    templates.write.mode("overwrite").parquet(f"{path}/templates")
+    return templates.sparkSession.read.parquet(f"{path}/templates")
+
+
+def write_logs(logs: DataFrame, path: str, level: int = 9, by_source: bool = False) -> None:
+    """Lines with their typed columns, and totals, beside templates that are there.
+    Dictionaries, runs and deltas are Parquet's own; the address column has a Bloom filter."""
+    spark = logs.sparkSession
     bloom = {"parquet.bloom.filter.enabled#ip_address": "true", "parquet.bloom.filter.expected.ndv#ip_address": "100000"}
     writer = logs.sortWithinPartitions("source", "ts_ms", "log_idx").write.mode("overwrite").options(**bloom).option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level))
     (writer.partitionBy("source") if by_source else writer).parquet(f"{path}/logs")
-    templates.write.mode("overwrite").parquet(f"{path}/templates")
-    written = logs.sparkSession.read.parquet(f"{path}/logs")
-    totals = written.agg(F.count(F.lit(1)).alias("total_logs"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("original_size"), F.count_if(F.col("template_id").isNotNull()).alias("matched"))
-    totals.withColumn("format_version", F.lit(FORMAT)).withColumn("template_count", F.lit(templates.sparkSession.read.parquet(f"{path}/templates").count())).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    totals = spark.read.parquet(f"{path}/logs").agg(F.count(F.lit(1)).alias("total_logs"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("original_size"), F.count_if(F.col("template_id").isNotNull()).alias("matched"))
+    totals.withColumn("format_version", F.lit(FORMAT)).withColumn("template_count", F.lit(spark.read.parquet(f"{path}/templates").count())).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def write_archive(logs: DataFrame, templates: DataFrame, path: str, **options) -> None:
+    write_templates(templates, path)
+    write_logs(logs, path, **options)
 
 
 def _meta(spark: SparkSession, path: str):

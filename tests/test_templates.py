@@ -123,6 +123,14 @@ def test_compress_needs_a_template(spark, tmp_path):
         LogEngine(spark).compress(["a", "b c"], str(tmp_path / "x"))
 
 
+def test_small_templates_spare_the_lines_a_shuffle(spark, tmp_path):
+    tokens = templates.tokenized(text.from_lines(spark, MIX))
+    found = archive.write_templates(templates.extract_templates(tokens, 2), str(tmp_path))
+    assert matching.is_small(found) and not matching.is_small(found, 1)
+    plan = matching.match_strict(tokens, found, small=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_coverage_and_summary(spark):
     _, parsed = query_log(spark)
     summary = templates.schema_summary(parsed.templates).first()
