@@ -58,9 +58,16 @@ class LogEngine:
         return archive.read_archive(self.spark, path)[0]
 
     def query(self, path: str, severity=None, timestamp_after=None, timestamp_before=None, limit: int | None = None, ip: str | None = None, **filters) -> DataFrame:
-        """Lines of an archive that meet all conditions: timestamp, severity, message, raw."""
-        logs = query.compound(self.load(path), severity, timestamp_after, timestamp_before, ip, limit, **filters)
-        return logs.select("log_idx", F.timestamp_millis("ts_ms").alias("timestamp"), F.coalesce("severity", "status").alias("severity"), "message", "raw", "extracted")
+        """Lines of an archive that meet all conditions: timestamp, severity, message, raw;
+        with conditions on other fields also the values by type."""
+        logs, found = archive.read_archive(self.spark, path)
+        kept = query.compound(logs, severity, timestamp_after, timestamp_before, ip)
+        columns = ["message", "raw"]
+        if filters:
+            kept = query.compound(archive.with_fields(kept, found, first=self.strict), **filters)
+            columns.append("extracted")
+        kept = kept.orderBy("source", "log_idx").limit(limit) if limit else kept
+        return kept.select("log_idx", F.timestamp_millis("ts_ms").alias("timestamp"), F.coalesce("severity", "status").alias("severity"), *columns)
 
     filter = query
 

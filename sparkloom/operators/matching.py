@@ -11,7 +11,7 @@ TOLERANCE = 2
 BROADCAST_TEMPLATES = 20_000
 
 
-def _entries(last: bool) -> Column:
+def typed_values(last: bool) -> Column:
     """The values at variable positions by type; of a type that repeats the first, or the
     last position holds."""
     n = F.least(F.size("fields"), F.size("types"))
@@ -39,7 +39,7 @@ def match_strict(tokens: DataFrame, templates: DataFrame, small: bool = False) -
     ``small``: the size of ``templates`` has been checked with ``is_small``."""
     dim = _small(templates.select("source", "signature", "template_id", "types"), small)
     matched = tokens.join(dim, ["source", "signature"], "left")
-    return matched.withColumn("extracted", F.when(F.col("template_id").isNotNull(), _entries(last=False)))
+    return matched.withColumn("extracted", F.when(F.col("template_id").isNotNull(), typed_values(last=False)))
 
 
 def fit_by_length(templates: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
@@ -52,7 +52,7 @@ def match_first_fit(tokens: DataFrame, templates: DataFrame, small: bool = False
     """A line belongs to the most frequent template of nearly its number of fields, whatever
     its literals; of a type that repeats the last value holds."""
     matched = tokens.join(_small(fit_by_length(templates, tolerance), small), ["source", "n_fields"], "left")
-    return matched.withColumn("extracted", F.when(F.col("template_id").isNotNull(), _entries(last=True)))
+    return matched.withColumn("extracted", F.when(F.col("template_id").isNotNull(), typed_values(last=True)))
 
 
 def parsed_logs(matched: DataFrame) -> DataFrame:

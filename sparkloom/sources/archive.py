@@ -6,7 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tokenize
+from ..operators import matching
+
 FORMAT = "3.4"
+COLUMNS = ["source", "log_idx", "raw", "template_id", "ts_ms", "severity", "status", "ip_address", "host"]
 #: The versions that can be read.
 READABLE = ("3.0", "3.1", "3.2", "3.3", "3.4")
 
@@ -19,9 +23,11 @@ def write_templates(templates: DataFrame, path: str) -> DataFrame:
 
 def write_logs(logs: DataFrame, path: str, level: int = 9, by_source: bool = False) -> None:
     """Lines with their typed columns, and totals, beside templates that are there.
-    Dictionaries, runs and deltas are Parquet's own; the address column has a Bloom filter."""
+    Dictionaries, runs and deltas are Parquet's own; the address column has a Bloom filter.
+    What follows from a line and its template is not stored: ``with_fields`` makes it again."""
     spark = logs.sparkSession
-    bloom = {"parquet.bloom.filter.enabled#ip_address": "true", "parquet.bloom.filter.expected.ndv#ip_address": "100000"}
+    logs = logs.select(*COLUMNS, F.when(F.col("template_id").isNotNull(), F.col("message")).alias("message"))
+    bloom = {"parquet.bloom.filter.enabled#ip_address": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(128 << 10)}
     writer = logs.sortWithinPartitions("source", "ts_ms", "log_idx").write.mode("overwrite").options(**bloom).option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level))
     (writer.partitionBy("source") if by_source else writer).parquet(f"{path}/logs")
     totals = spark.read.parquet(f"{path}/logs").agg(F.count(F.lit(1)).alias("total_logs"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("original_size"), F.count_if(F.col("template_id").isNotNull()).alias("matched"))
@@ -43,7 +49,18 @@ def _meta(spark: SparkSession, path: str):
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The logs and templates of an archive of a version that can be read."""
     _meta(spark, path)
-    return spark.read.parquet(f"{path}/logs"), spark.read.parquet(f"{path}/templates")
+    logs = spark.read.parquet(f"{path}/logs")
+    message = F.when(F.col("template_id").isNull(), F.col("raw")).otherwise(F.col("message"))
+    return logs.select(*COLUMNS, message.alias("message")), spark.read.parquet(f"{path}/templates")
+
+
+def with_fields(logs: DataFrame, templates: DataFrame, first: bool = True) -> DataFrame:
+    """The logs of an archive with all field values and the values by type; of a type that
+    repeats the first, or the last."""
+    dim = templates.select("source", "template_id", "types")
+    joined = logs.join(F.broadcast(dim) if matching.is_small(templates) else dim, ["source", "template_id"], "left").withColumn("fields", tokenize.fields(F.col("raw")))
+    matched = F.col("template_id").isNotNull()
+    return joined.select(*logs.columns, F.when(matched, F.col("fields")).alias("field_values"), F.when(matched, matching.typed_values(last=not first)).alias("extracted"))
 
 
 def archive_count(spark: SparkSession, path: str) -> int:

@@ -104,6 +104,10 @@ def test_archive(spark, tmp_path):
     assert engine.count(path) == 500
     assert engine.query(path, severity="error", limit=5).count() == 5
     assert engine.query(path, timestamp_after="2024-01-01 00:00:59").count() == 8
+    assert engine.query(path, severity="error", message="3").count() == 1
+    whole, again = parse(text.from_lines(spark, lines)).logs, archive.with_fields(*archive.read_archive(spark, path))
+    columns = ["log_idx", "message", "ts_ms", "field_values", "extracted"]
+    assert sorted(map(str, whole.select(columns).collect())) == sorted(map(str, again.select(columns).collect()))
     assert [r.raw for r in engine.decompress(path).orderBy("log_idx").collect()] == lines
     assert matching.positional_equality(engine.decompress(path), text.from_lines(spark, lines)).first().equal == 500
     assert engine.statistics(path)["top_severities"][0] == ("info", 333)
