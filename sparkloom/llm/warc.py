@@ -185,9 +185,11 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 def op8_warc_revisits(spark, sf_dir: str) -> DataFrame:
     found = resolve_revisits(page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    none = F.lit(-1).cast("long")  # in place of a missing number
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda p: F.concat(p["key"], F.lit(": "), p["value"]))
     return found.select(
-        F.expr("record_id div 2").alias("page_id"), "canonical_url", "outcome", F.expr("response_id div 2").alias("response_page_id"), "status", F.array_join(lines, "\n").alias("headers"), "payload_digest", "payload_length",
+        F.expr("record_id div 2").alias("page_id"), "canonical_url", "outcome", F.coalesce(F.expr("response_id div 2"), none).alias("response_page_id"), F.coalesce("status", none.cast("int")).alias("status"),
+        F.array_join(lines, "\n").alias("headers"), "payload_digest", F.coalesce("payload_length", none).alias("payload_length"),
     )
 
 
@@ -208,11 +210,11 @@ p AS (
 l AS (SELECT canonical_url, max(page_id) AS response_page_id FROM c WHERE canonical_url IS NOT NULL GROUP BY canonical_url)
 SELECT c.page_id, c.canonical_url,
   CASE WHEN l.response_page_id IS NULL THEN 'unresolved' WHEN d.digest[1:16] = c.digest[1:16] THEN 'resolved' ELSE 'mismatch' END AS outcome,
-  l.response_page_id,
-  CASE WHEN d.digest[1:16] = c.digest[1:16] THEN CAST(200 AS INTEGER) END AS status,
+  coalesce(l.response_page_id, -1) AS response_page_id,
+  CASE WHEN d.digest[1:16] = c.digest[1:16] THEN CAST(200 AS INTEGER) ELSE CAST(-1 AS INTEGER) END AS status,
   CASE WHEN d.digest[1:16] = c.digest[1:16] THEN
     'cache-control: max-age=600' || chr(10) || 'content-length: ' || CAST(d.n AS VARCHAR) || chr(10) || 'content-type: text/html' || chr(10) || 'etag: W/"' || c.digest[1:16] || '"' END AS headers,
   CASE WHEN d.digest[1:16] = c.digest[1:16] THEN d.digest END AS payload_digest,
-  CASE WHEN d.digest[1:16] = c.digest[1:16] THEN d.n END AS payload_length
+  CASE WHEN d.digest[1:16] = c.digest[1:16] THEN d.n ELSE CAST(-1 AS BIGINT) END AS payload_length
 FROM c LEFT JOIN l ON c.canonical_url = l.canonical_url LEFT JOIN c AS d ON d.page_id = l.response_page_id
 """
