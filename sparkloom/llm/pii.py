@@ -194,11 +194,16 @@ def intl(f: Feistel, text: str) -> str:
     d = [int(c) for c in text if c.isdigit()]
     if not 8 <= len(d) <= 15:
         return text
-    if d[0] == 1 and len(d) == 11:
+    american = d[0] == 1 and len(d) == 11
+    if american and d[1] > 1 and d[4] > 1:
         return text[: text.index("1") + 1] + nanp(f, text[text.index("1") + 1 :])
     code = re.match(r"\+(\d{1,3})(?=[ .(-])|\+(\d\d)", text)
-    code = len(code[1] or code[2])
-    return _fill(text, [*d[:code], *f.mixed(f"intl{len(d)}:{d[:code]}", [10] * (len(d) - code), d[code:])])
+    code = 1 if american else len(code[1] or code[2])
+    new = d[code:]
+    while True:
+        new = f.mixed(f"intl{len(d)}:{d[:code]}", [10] * (len(d) - code), new)
+        if not american or new[0] < 2 or new[3] < 2:  # numbers that are no NANP ones walk on among themselves
+            return _fill(text, [*d[:code], *new])
 
 
 def pseudonym(f: Feistel, m: re.Match) -> str:

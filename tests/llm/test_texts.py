@@ -119,6 +119,15 @@ def test_neighbours_are_told_apart():
     assert n == 5 and not set(text.replace("+1", "").split()[:4]) & set(new.split()) and luhn_ok(new[18:34])
 
 
+def test_american_numbers_of_any_area():
+    for text in ("+1 (017) 555-7713", "+1 (123) 555-7713", "+1-836-055-9331", "+10175557713"):
+        new, n = pii.replace(F_, f"call {text}, ok")
+        assert n == 1 and text not in new and [c for c in new if not c.isdigit()] == [c for c in f"call {text}, ok" if not c.isdigit()] and new[5:7] == "+1"
+    old = [f"+1 (017) 555-{i:04d}" for i in range(300)] + [f"+1 (319) 555-{i:04d}" for i in range(300)]
+    new = [pii.replace(F_, t)[0] for t in old]
+    assert len(set(new)) == 600 and all(("2" <= t[4] and "2" <= t[9]) == (k >= 300) for k, t in enumerate(new))
+
+
 def test_pseudonyms_are_linked_and_apart():
     cards = [f"41111111{i:07d}" for i in range(300)]
     cards = [c + str(pii.luhn([int(x) for x in c])) for c in cards]
