@@ -302,6 +302,10 @@ def test_lm_rare_words_are_joined(spark, monkeypatch):
     check_lm(docs, rows)
 
 
+def test_lm_size():
+    assert (attention_lm.STRIDE, attention_lm.SAMPLE_DOCS, attention_lm.TOP_WORDS) == (16, 1500, 400_000)
+
+
 def test_lm_edges(edge_docs, edge_rows, no_docs):
     check_lm(edge_docs, edge_rows)
     assert attention_lm.score(no_docs).count() == 0
