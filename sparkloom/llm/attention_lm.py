@@ -4,7 +4,7 @@ Text is read as subword ids of a public byte-level tokenizer, cut down to its ``
 most frequent subwords here and single bytes for the rest, so that every text has ids.  A
 word's probability is a mixture of experts: for each of a few latent topics and for all
 text, the chain of its subwords' bigram probabilities (normalised over whole words), and the topic's share of
-the word among the frequent words.  The mixture's gates come from causal self-attention
+the word among all words.  The mixture's gates come from causal self-attention
 over the subword ids that open the words so far.  Texts are scored in overlapping windows
 of twice ``STRIDE`` words, of which the second half is scored: each token once, with batched masked
 attention.
@@ -13,7 +13,7 @@ What is counted (words and subword pairs by topic, the base's counts, all tokens
 every training document.  Two things are fit on a bounded sample of at most about
 ``SAMPLE_DOCS`` whole training documents: the topics' first shape and the attention
 weights.  Words are looked up in two ways: the frequent ones, at most ``TOP_WORDS``, are
-broadcast; all others are joined.
+broadcast; all others are joined, with their counts by topic, and added to the score.
 
 Defined cases
   * null text counts as empty: its only token is the end; without training documents
@@ -398,7 +398,7 @@ def window_ids(context, base, low, high):
 
 
 class Experts:
-    """Expert log probabilities of words: bigram chains and frequent words, by topic."""
+    """Expert log probabilities of words: bigram chains and frequent words' shares, by topic."""
 
     def __init__(self, vocabulary: Vocabulary, table: np.ndarray, share: np.ndarray):
         n = vocabulary.size
@@ -492,13 +492,17 @@ class Scorer:
 
     def score(self, texts: pa.Array):
         """For each text: tokens, frequent ones, their base sum, log10 probability, and the
-        words that are not frequent."""
+        words that are not frequent, with what their own shares are added to: the log
+        probability of the chains alone and the gates of the word experts."""
         if len(self.words.index) > self.frequent + STORE_WORDS // 2:
             self.reset()
         rows, first, before, begins, ends = self.parts(texts)
         place = self.place(rows)
         context, base, low, high = windows(first, begins, ends, self.vocabulary.end)
         total = np.empty(len(rows), np.float64)
+        rare = np.nonzero(rows >= self.frequent)[0]
+        width = self.experts.share.shape[1]
+        own = np.empty((len(rare), width), np.float32)
         for at in range(0, len(base), 1024):
             cut = slice(at, at + 1024)
             ids, there, where = window_ids(context, base[cut], low[cut], high[cut])
@@ -508,6 +512,10 @@ class Scorer:
             z = np.ascontiguousarray(z[use].T)  # experts by row: what follows runs along the words
             most = z.max(0)
             gate = most + np.log(np.exp(z - most).sum(0))
+            # scored places rise, so that those of a cut are a run of ``rare``
+            some = slice(*np.searchsorted(rare, [w[0], w[-1] + 1]))
+            here = np.searchsorted(w, rare[some])
+            own[some] = np.exp(z[-width:, here] - gate[here]).T
             z += self.experts.words(before[w], first[w], self.inner.values[rows[w]], place[w])
             most = z.max(0)
             z -= most
@@ -516,11 +524,11 @@ class Scorer:
         logs = self.logs[place]
         known = ~np.isnan(logs)
         counts = ends - begins + 1
-        rare = np.nonzero(rows >= self.frequent)[0]
-        split = np.searchsorted(rare, ends, "right")
-        lists = [self.names[i] for i in (rows[rare] - self.frequent).tolist()]
-        cuts = np.concatenate([[0], split]).tolist()
-        return counts, np.add.reduceat(known.astype(np.int64), begins), np.add.reduceat(np.where(known, logs, 0), begins), np.add.reduceat(total, begins) / math.log(10), [lists[a:b] for a, b in zip(cuts, cuts[1:])]
+        cuts = np.concatenate([[0], np.searchsorted(rare, ends, "right")]).astype(np.int32)
+        words = pa.array([self.names[i] for i in (rows[rare] - self.frequent).tolist()], pa.binary())
+        rows_of = [words, pa.array(total[rare]), *(pa.array(np.ascontiguousarray(own[:, j])) for j in range(width))]
+        rare = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays(rows_of, ["word", "chain", *(f"g{j}" for j in range(width))]))
+        return counts, np.add.reduceat(known.astype(np.int64), begins), np.add.reduceat(np.where(known, logs, 0), begins), np.add.reduceat(total, begins) / math.log(10), rare
 
 
 def _score(model, name: str, held_out: int):
@@ -535,7 +543,7 @@ def _score(model, name: str, held_out: int):
                 counts, known, base, score, rare = scorer.score(part.column(2))
                 fold = np.asarray(part.column(1), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid, rid + n)), part.column(0), pa.array(fold == held_out), pa.array(counts), pa.array(known), pa.array(base), pa.array(score), pa.array(rare, pa.list_(pa.binary()))],
+                    [pa.array(np.arange(rid, rid + n)), part.column(0), pa.array(fold == held_out), pa.array(counts), pa.array(known), pa.array(base), pa.array(score), rare],
                     ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
                 )
                 rid += n
@@ -544,7 +552,8 @@ def _score(model, name: str, held_out: int):
 
 
 def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, subword_count: int = PIECES, top_words: int = TOP_WORDS, seed: int = 5) -> tuple[Model, DataFrame, int, int]:
-    """The model, the counts of the words that are not frequent, all tokens and distinct ones."""
+    """The model, the counts and shares of the words that are not frequent, all tokens and
+    distinct ones."""
     spark = train.sparkSession
     total = train.count()
     grain = 1 << 20
@@ -579,11 +588,19 @@ def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, subword_count: in
     frequent = (F.floor(F.log2("n") * 8) >= least) if least is not None else F.lit(False)
     top = gathered(seen.where(frequent | (F.col("word") == F.lit(bytearray(END)))).select("word", "n", *by_topic), [None, *[np.int64] * (count + 1)])
     names, n, share = top[0], top[1], np.stack([*top[2:], top[1]], 1).astype(np.float32).reshape(-1, count + 1)
-    whole = np.maximum(share.sum(0), 1)
+    totals = seen.agg(*[F.sum(t) for t in [*by_topic, "n"]]).first()
+    whole = np.maximum(np.array([t or 0 for t in totals], np.float64), 1)
+    # the gates learn from texts that are counted: there each word counts without itself,
+    # and the texts' other words are looked up
+    met = sorted(set(words.index) - set(names))
+    more = seen.join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w in met], "word binary")), "word", "left_semi") if met else seen.limit(0)
+    found = gathered(more.select("word", "n", *by_topic), [None, *[np.int64] * (count + 1)])
+    learnt = dict(zip(found[0], np.stack([*found[2:], found[1]], 1))) if len(found[1]) else {}
+    without = lambda c: np.maximum(np.log(np.maximum(c - 1, 0) / whole), NEVER)
     with np.errstate(divide="ignore"):
-        # the gates learn from texts that are counted: there each word counts without itself
-        others = np.maximum(np.log(np.maximum(share - 1, 0) / whole), NEVER)
-        share = np.maximum(np.log(share / whole), NEVER)
+        others = without(share).astype(np.float32)
+        learnt = {w: without(c) for w, c in learnt.items()}
+        share = np.maximum(np.log(share / whole), NEVER).astype(np.float32)
 
     rng = np.random.default_rng(seed)
     attention = Attention(vocabulary.size, 2 * count + 2, rng)
@@ -595,11 +612,14 @@ def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, subword_count: in
         logp = scorer.experts.words(before, first, scorer.inner.values[rows], place).T
         others = np.concatenate([others[np.argsort([w != END for w in names], kind="stable")], np.full((1, count + 1), NEVER, np.float32)])
         logp[:, count + 1 :] = others[np.minimum(place, len(others) - 1)]
+        for at in np.nonzero(rows >= scorer.frequent)[0].tolist():
+            logp[at, count + 1 :] = learnt[scorer.names[rows[at] - scorer.frequent]]
         context, base, low, high = windows(first, begins, ends, vocabulary.end)
         ids, there, place = window_ids(context, base, low, high)
         attention.train(ids, there, logp, np.clip(place[:, STRIDE:], 0, len(logp) - 1), rng)
         del scorer, logp, others
-    rare = seen.where(~frequent & (F.col("word") != F.lit(bytearray(END)))).select("word", "n")
+    shared = [(F.col(t) / F.lit(float(total))).alias(f"s{j}") for j, (t, total) in enumerate(zip([*by_topic, "n"], whole))]
+    rare = seen.where(~frequent & (F.col("word") != F.lit(bytearray(END)))).select("word", "n", *shared)
     return model, rare, int(tokens or 0), int(distinct or 0)
 
 
@@ -610,12 +630,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_of_id(id_col) % folds).alias("fold"), text(text_col).alias("text"))
     model, rare, tokens, distinct = fit(rows.where(F.col("fold") != held_out), tokenizer or default_tokenizer())
     run = _score(spark.sparkContext.broadcast(model), f"{id(model)}-{tokens}-{spark.sparkContext.applicationId}", held_out)
-    scored = written(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>"), "scored")
-    met = scored.select("rid", F.explode("rare").alias("word")).join(rare, "word")
-    more = met.groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("sum"))
+    width = model.share.shape[1]
+    entry = "word: binary, chain: double, " + ", ".join(f"g{j}: float" for j in range(width))
+    scored = written(rows.mapInArrow(run, f"rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<{entry}>>"), "scored")
+    met = scored.select("rid", F.inline("rare")).join(rare, "word")
+    # the word's own share, weighed by its gates, is added to the chains: log(e^chain + own) - chain
+    gap = F.log(sum((F.col(f"g{j}") * F.col(f"s{j}") for j in range(1, width)), F.col("g0") * F.col("s0"))) - F.col("chain")
+    gain = F.coalesce(F.greatest(gap, F.lit(0.0)) + F.log1p(F.exp(-F.abs(gap))), F.lit(0.0))  # null: no gate is open
+    more = met.groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("sum"), (F.sum(gain) / F.lit(math.log(10))).alias("gain"))
     both = scored.drop("rare").join(more, "rid", "left")
     base = F.col("base") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(tokens + distinct + 1))
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    whole = F.col("score") + F.coalesce("gain", F.lit(0.0))
+    return both.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:

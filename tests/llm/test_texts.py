@@ -302,6 +302,16 @@ def test_lm_rare_words_are_joined(spark, monkeypatch):
     check_lm(docs, rows)
 
 
+def test_lm_score_does_not_hang_on_what_is_broadcast(spark, monkeypatch):
+    docs = rows_to_docs(spark, lm_rows(60)).repartition(3).cache()
+    got = []
+    few = attention_lm.fit.__defaults__
+    for top in (100_000, 20):
+        monkeypatch.setattr(attention_lm.fit, "__defaults__", (*few[:2], top, *few[3:]))
+        got.append({r.doc_id: r.score for r in attention_lm.score(docs).collect()})
+    assert max(abs(got[0][k] - got[1][k]) for k in got[0]) < 0.05
+
+
 def test_lm_size():
     assert (attention_lm.STRIDE, attention_lm.SAMPLE_DOCS, attention_lm.TOP_WORDS) == (16, 1500, 400_000)
 
