@@ -45,7 +45,7 @@ PII = re.compile(
   | (?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))
   | (?P<intl>(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w))
   | (?P<nanp>(?<![\w+-])(?:\(\d{3}\)[ ]?|\d{3}[-.])\d{3}[-.]\d{4}(?![\w-]))
-  | (?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}(?:(?P=gap)\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))
+  | (?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}(?:(?P=gap)\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-]))
     """,
     re.X | re.A,
 )
@@ -206,9 +206,23 @@ def intl(f: Feistel, text: str) -> str:
             return _fill(text, [*d[:code], *new])
 
 
+def grouped(f: Feistel, kind: str, text: str) -> str:
+    """A card number or IBAN in groups, the last of which may be its neighbours'."""
+    change = {"card": card, "iban": iban}[kind]
+    end, least = len(text), 13 if kind == "card" else 15
+    while end > 0 and sum(c.isalnum() for c in text[:end]) >= least:
+        new = change(f, text[:end])
+        if new != text[:end]:
+            return new
+        end = max(text.rfind(" ", 0, end), text.rfind("-", 0, end))
+    return text
+
+
 def pseudonym(f: Feistel, m: re.Match) -> str:
     text = m[0]
     kind = next(k for k in ("email", "access", "secret", "iban", "iso", "slash", "ssn", "ip", "intl", "nanp", "card") if m[k] is not None)
+    if kind in ("card", "iban"):
+        return grouped(f, kind, text)
     if kind == "email":
         return _characters(f, "email", text[:-1]) + "@"
     if kind == "access":
@@ -218,22 +232,24 @@ def pseudonym(f: Feistel, m: re.Match) -> str:
     if kind == "secret":
         at = m.start("value") - m.start()
         return text[:at] + _characters(f, "secret", m["value"])
-    return {"iban": iban, "iso": iso, "slash": slash, "ssn": ssn, "ip": ip, "intl": intl, "nanp": nanp, "card": card}[kind](f, text)
+    return {"iso": iso, "slash": slash, "ssn": ssn, "ip": ip, "intl": intl, "nanp": nanp}[kind](f, text)
 
 
 def replace(f: Feistel, text: str) -> tuple[str, int]:
     """The text with its pseudonyms, and how many there are."""
     if not MAYBE.search(text):
         return text, 0
-    n = 0
-
-    def one(m: re.Match) -> str:
-        nonlocal n
+    n, out, done, at = 0, [], 0, 0
+    while m := PII.search(text, at):
         new = pseudonym(f, m)
-        n += new != m[0]
-        return new
-
-    return PII.sub(one, text), n
+        at = m.end()
+        if m["card"] or m["iban"]:  # goes on behind the groups that were taken, or behind the first one
+            at = m.start() + (len(new) if new != m[0] else re.match(r"[^ -]+", new).end())
+        if new != m[0]:
+            n += 1
+            out += [text[done : m.start()], new]
+            done = at
+    return "".join([*out, text[done:]]), n
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY, count_col: str | None = None) -> DataFrame:

@@ -128,6 +128,25 @@ def test_american_numbers_of_any_area():
     assert len(set(new)) == 600 and all(("2" <= t[4] and "2" <= t[9]) == (k >= 300) for k, t in enumerate(new))
 
 
+@pytest.mark.parametrize(
+    "before, value, after",
+    [
+        ("", "4111 1111 1111 1111", " 12/27"), ("", "4111 1111 1111 1111", " 123"), ("", "4111-1111-1111-1111", "-123"), ("2024 ", "4111 1111 1111 1111", " 12"), ("", "3852 000002 3237", " 12"), ("", "3782 822463 10005", ""),
+        ("", "AT61 1904 3002 3457 3201", " EUR"), ("", "AT61 1904 3002 3457 3201", " PAID BY"), ("AB12 ", "AT61 1904 3002 3457 3201", " EUR"), ("", "AT611904300234573201", " EUR"),
+    ],
+)
+def test_numbers_beside_other_groups(before, value, after):
+    new, n = pii.replace(F_, f"pay {before}{value}{after}, ok")
+    assert n == 1 and new.startswith(f"pay {before}") and new.endswith(f"{after}, ok") and value not in new
+    value = new[len(f"pay {before}") : -len(f"{after}, ok")]
+    assert pii._mod97(value.replace(" ", "")) == 1 if value[0] == "A" else luhn_ok(value)
+
+
+def test_what_follows_a_number_is_read():
+    assert pii.replace(F_, "4111 1111 1111 1111 12/31/1999 a@b.example")[1] == 3
+    assert pii.replace(F_, "AB12 CODE WORD PWD=correcthorse1")[1] == 1
+
+
 def test_pseudonyms_are_linked_and_apart():
     cards = [f"41111111{i:07d}" for i in range(300)]
     cards = [c + str(pii.luhn([int(x) for x in c])) for c in cards]
