@@ -32,7 +32,7 @@ KEY = b"sparkloom: give a key of your own"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-MAYBE = re.compile(r"[0-9@]|AKIA|(?i:passw|token|secret|api[_-]?key)")
+MAYBE = re.compile(r"[0-9@]|AKIA|(?i:passw|pwd|token|secret|api[_-]?key)")
 PII = re.compile(
     r"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))

@@ -147,6 +147,13 @@ def test_what_follows_a_number_is_read():
     assert pii.replace(F_, "AB12 CODE WORD PWD=correcthorse1")[1] == 1
 
 
+@pytest.mark.parametrize("name", ["password", "passwd", "pwd", "PWD", "token", "Secret", "apikey", "api-key", "api_key"])
+def test_assignments_without_digits(name):
+    text = f"{name}=correcthorse"
+    new, n = pii.replace(F_, text)
+    assert pii.MAYBE.search(text) and n == 1 and new != text and new.startswith(f"{name}=")
+
+
 def test_pseudonyms_are_linked_and_apart():
     cards = [f"41111111{i:07d}" for i in range(300)]
     cards = [c + str(pii.luhn([int(x) for x in c])) for c in cards]
