@@ -9,10 +9,10 @@ over the subword ids that open the words so far.  Texts are scored in overlappin
 of twice ``STRIDE`` words, of which the second half is scored: each token once, with batched masked
 attention.
 
-What is counted (words and subword pairs by topic, the base's counts, all tokens) covers
-every training document.  Two things are fit on a bounded sample of at most about
-``SAMPLE_DOCS`` whole training documents: the topics' first shape and the attention
-weights.  Words are looked up in two ways: the frequent ones, at most ``TOP_WORDS``, are
+What is counted (the subwords that are kept, words and subword pairs by topic, the base's
+counts, all tokens) covers every training document.  Two things are fit on a bounded sample
+of about ``SAMPLE_DOCS`` training texts, of which long ones go in parts: the topics' first
+shape and the attention weights.  Words are looked up in two ways: the frequent ones, at most ``TOP_WORDS``, are
 broadcast; all others are joined, with their counts by topic, and added to the score.
 
 Defined cases
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import math
 import os
-from collections import Counter
+import zlib
 from itertools import islice
 
 import numpy as np
@@ -203,6 +203,49 @@ def topics(rows: list[np.ndarray], first: np.ndarray, size: int, count: int) ->
 # ---------------------------------------------------------------- counts
 
 
+def _opening(path: str, chance: int, grain: int):
+    """The tokenizer's ids with their counts, and the drawn texts: (id, n, text)."""
+
+    def run(batches):
+        subwords = kept("lm subwords", "subwords", lambda: Subwords(path))
+        met = kept("lm subwords", "met", dict)
+        size = subwords.tokenizer.get_vocab_size()
+        often = np.zeros(size, np.int64)
+        kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("text", pa.string())])
+        for batch in batches:
+            for part in pieces(batch, 1):
+                words, codes, _ = split_words(part.column(1))
+                if len(met) > BASE_WORDS:
+                    met.clear()
+                flat, lengths = [], []
+                for word in words:
+                    ids = met.get(word)
+                    if ids is None:
+                        ids = met[word] = subwords(word)
+                    flat += ids
+                    lengths.append(len(ids))
+                n = np.repeat(np.bincount(codes, minlength=len(words)), lengths)
+                often += np.bincount(np.array(flat, np.int64), weights=n, minlength=size).astype(np.int64)
+                drawn = [t for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for k, t in enumerate(parts_of(x)) if zlib.crc32(f"{i} {k} {t}".encode()) % grain < chance]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(drawn), pa.int64()), pa.nulls(len(drawn), pa.int64()), pa.array(drawn, pa.string())], schema=kind)
+        used = np.nonzero(often)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(often[used]), pa.nulls(len(used), pa.string())], schema=kind)
+
+    return run
+
+
+def parts_of(text: str) -> list[str]:
+    """The text in parts of whole words, each of about SAMPLE_BYTES at most or one word."""
+    raw, out, at = text.encode(), [], 0
+    while len(raw) - at > SAMPLE_BYTES:
+        cut = max(raw.rfind(c, at + 1, at + SAMPLE_BYTES) for c in (b" ", b"\n", b"\t"))
+        if cut < 0:
+            cut = min((k for c in (b" ", b"\n", b"\t") if (k := raw.find(c, at + SAMPLE_BYTES)) >= 0), default=len(raw))
+        out.append(raw[at:cut].decode())
+        at = cut
+    return [*out, raw[at:].decode()]
+
+
 def _count(path: str, chosen: list[int], shares):
     """Words and subword pairs with their counts in each topic: (word, pair, t0, t1, ...)."""
 
@@ -555,14 +598,14 @@ def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, subword_count: in
     """The model, the counts and shares of the words that are not frequent, all tokens and
     distinct ones."""
     spark = train.sparkSession
-    total = train.count()
-    grain = 1 << 20
+    total = train.agg(F.sum(F.ceil((F.octet_length("text") + 1) / SAMPLE_BYTES))).first()[0] or 0
+    grain = 1 << 30
     chance = min(grain, math.ceil(grain * SAMPLE_DOCS / max(1, total)))
-    drawn = train.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(grain)) < chance) & (F.octet_length("text") <= SAMPLE_BYTES)).select("text").limit(2 * SAMPLE_DOCS).collect()
-    sample = sorted(r.text.encode() for r in drawn)
+    opening = written(train.select("doc_id", "text").mapInArrow(_opening(tokenizer, chance, grain), "id long, n long, text string"), "opening")
+    sample = sorted(r.text.encode() for r in opening.where("text is not null").select("text").limit(2 * SAMPLE_DOCS).collect())
     subwords = Subwords(tokenizer)
-    often = Counter(i for t in sample for w in t.lower().split() for i in subwords(w))
-    chosen = [i for i, _ in sorted(often.items(), key=lambda x: (-x[1], x[0])) if len(subwords.tokenizer.id_to_token(i)) > 1][:subword_count]
+    often = opening.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the tokenizer's ids
+    chosen = [r.id for r in sorted(often, key=lambda r: (-r.n, r.id)) if len(subwords.tokenizer.id_to_token(r.id)) > 1][:subword_count]
     vocabulary = Vocabulary(subwords, chosen)
     words = Words(vocabulary)
     shape = topics([words.rows(pa.array([t.decode()], pa.string())) for t in sample], words.first.values, vocabulary.size, count)

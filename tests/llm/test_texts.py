@@ -338,6 +338,19 @@ def test_lm_score_does_not_hang_on_what_is_broadcast(spark, monkeypatch):
     assert max(abs(got[0][k] - got[1][k]) for k in got[0]) < 0.05
 
 
+def test_lm_subwords_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "SAMPLE_DOCS", 1)
+    rows = [(i, "alpha beta gamma", "s") for i in range(40)] + [(99, "zebra crocodile elephant " * 3000, "s")]
+    train = rows_to_docs(spark, rows).select("doc_id", "text")
+    model = attention_lm.fit(train, attention_lm.default_tokenizer())[0]
+    subwords = attention_lm.Subwords(attention_lm.default_tokenizer())
+    want = {i for w in (b"alpha", b"beta", b"gamma", b"zebra", b"crocodile", b"elephant") for i in subwords(w) if len(subwords.tokenizer.id_to_token(i)) > 1}
+    assert set(model.chosen) == want
+    text = " ".join(f"w{i}" for i in range(20_000)) + " " + "x" * 50_000 + " é"
+    cut = attention_lm.parts_of(text)
+    assert "".join(cut) == text and len(cut) > 3 and [w for t in cut for w in t.split()] == text.split()
+
+
 def test_lm_size():
     assert (attention_lm.STRIDE, attention_lm.SAMPLE_DOCS, attention_lm.TOP_WORDS) == (16, 1500, 400_000)
 
