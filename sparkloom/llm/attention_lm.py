@@ -1,23 +1,25 @@
 """Language-model scoring with a causal self-attention model trained in numpy.
 
-Text is read as subword ids of a public byte-level tokenizer, cut down to its ``PIECES``
-most frequent subwords here and single bytes for the rest, so that every text has ids.  A
-word's probability is a mixture of experts: for each of a few latent topics and for all
-text, the chain of its subwords' bigram probabilities (normalised over whole words), and the topic's share of
-the word among all words.  The mixture's gates come from causal self-attention
-over the subword ids that open the words so far.  Texts are scored in overlapping windows
-of twice ``STRIDE`` words, of which the second half is scored: each token once, with batched masked
-attention.
-
-What is counted (the subwords that are kept, words and subword pairs by topic, the base's
-counts, all tokens) covers every training document.  Two things are fit on a bounded sample
-of about ``SAMPLE_DOCS`` training texts, of which long ones go in parts: the topics' first
-shape and the attention weights.  Words are looked up in two ways: the frequent ones, at most ``TOP_WORDS``, are
-broadcast; all others are joined, with their counts by topic, and added to the score.
+Words (split at ASCII white space, lower-cased in ASCII) are read as subword ids of a public
+byte-level tokenizer; an id that no training text holds is read as its bytes, so that every
+text has ids.  One layer of causal self-attention reads the ids so far and gives the
+distribution of the next id, as a softmax over classes of ids and one over the members of a
+class; counts enter as the biases that training starts from.  Texts are cut into overlapping
+windows of twice ``STRIDE`` ids, of which the second half is scored: each id once, with
+batched masked attention.  A text's score is the sum over its ids and its end.
+
+The weights are trained on every training document, by rounds of local gradient descent:
+in each round the tasks start from the same weights, descend along their own share of the
+documents and are averaged, weighted by ids.  The rounds' shares of the documents grow, and
+together they read each document once; where that is less than ``LEAST_IDS`` ids, all
+documents are read over again until it is enough.
+
+The base counts every word of every training document.  Counts of the ``TOP_WORDS`` most
+frequent words are broadcast; those of all others are joined, so that every base is exact.
 
 Defined cases
   * null text counts as empty: its only token is the end; without training documents
-    nothing is known and every base is 1;
+    nothing is known, every base is 1 and all ids are equally likely;
   * documents that share an id are scored each; null ids fall in the fold of the empty id;
     texts of any length are scored whole; an empty table gives an empty result.
 """
@@ -26,8 +28,6 @@ from __future__ import annotations
 
 import math
 import os
-import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +36,20 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc32_of_id, kept, pieces, split_words, text, written
 
-TOPICS, PIECES, TOP_WORDS = 6, 1024, 400_000
-DIM, STRIDE, STEPS, BATCH, RATE = 16, 16, 300, 256, 0.02
-SAMPLE_DOCS, SAMPLE_BYTES = 1500, 32_768
-STORE_WORDS, BASE_WORDS = 500_000, 250_000
+DIM, INNER, STRIDE = 40, 16, 32
+#: Windows of one step, ids read at least, and bytes of training text for each task.
+BATCH, LEAST_IDS, TASK_BYTES = 64, 4_000_000, 32 << 20
+#: The first way along the documents goes in rounds of so many 64ths, later ways in halves.
+ROUNDS, LATER_ROUNDS = (1, 1, 2, 4, 8, 16, 32), (32, 32)
+RATE, LAST_RATE = 0.03, 0.001
+TOP_WORDS, STORE_WORDS = 200_000, 400_000
+TEXT_BYTES = 2 << 20
 FOLDS, HELD_OUT = 7, 2
 END = b"\xff"  # no byte of UTF-8, so no word
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 LETTER_BYTES = {**{chr(b): b for b in range(256) if b not in BYTE_LETTERS}, **{chr(c): b for b, c in BYTE_LETTERS.items()}}
 SPACE = chr(BYTE_LETTERS[32])
 NEVER = np.float32(-1e30)
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def default_tokenizer() -> str:
@@ -84,504 +87,501 @@ class Subwords:
 
 
 class Vocabulary:
-    """Subword ids: the bytes, the chosen subwords (as the tokenizer's ids), and the end."""
-
-    def __init__(self, subwords: Subwords, chosen: list[int]):
-        tokenizer = subwords.tokenizer
-        ids = {tokenizer.token_to_id(c): b for c, b in LETTER_BYTES.items()}
-        for piece in chosen:
-            ids.setdefault(piece, len(ids))
-        self.end = len(ids)
-        self.size = self.end + 1
-        self.subwords, self.pieces = subwords, tokenizer.id_to_token
-        self.map = [ids.get(i, -1) for i in range(tokenizer.get_vocab_size())]
-        self.starts = np.zeros(self.size, bool)
-        self.starts[[k for i, k in ids.items() if self.pieces(i)[0] == SPACE] + [self.end]] = True
+    """Own ids of subwords: the end is 0, then the tokenizer's ids that training texts hold
+    and single bytes, the most frequent first."""
+
+    def __init__(self, path: str, ids: np.ndarray):
+        self.subwords = Subwords(path)
+        tokenizer = self.subwords.tokenizer
+        self.pieces, self.size = tokenizer.id_to_token, len(ids) + 1
+        self.map = np.full(tokenizer.get_vocab_size(), -1, np.int64)
+        self.map[ids] = np.arange(1, len(ids) + 1)
+        self.map = self.map.tolist()
+        self.of_byte = {b: self.map[tokenizer.token_to_id(c)] for c, b in LETTER_BYTES.items()}
 
     def encode(self, word: bytes) -> list[int]:
         own, found = self.map, self.subwords(word)
         ids = [own[i] for i in found]
         if -1 in ids:
-            ids = [k for i, j in zip(found, ids) for k in ((j,) if j >= 0 else [LETTER_BYTES[c] for c in self.pieces(i)])]
+            ids = [k for i, j in zip(found, ids) for k in ((j,) if j >= 0 else [self.of_byte[LETTER_BYTES[c]] for c in self.pieces(i)])]
         return ids
 
 
 class Growing:
     """An array that grows by doubling."""
 
-    def __init__(self, kind, width: int | None = None):
-        self.values, self.size = np.zeros((1 << 12,) if width is None else (1 << 12, width), kind), 0
+    def __init__(self, kind):
+        self.values, self.size = np.zeros(1 << 12, kind), 0
 
     def add(self, more) -> None:
         size = self.size + len(more)
         if size > len(self.values):
-            self.values = np.concatenate([self.values[: self.size], np.zeros((max(size, 2 * self.size) - self.size, *self.values.shape[1:]), self.values.dtype)])
+            self.values = np.concatenate([self.values[: self.size], np.zeros(max(size, 2 * self.size) - self.size, self.values.dtype)])
         self.values[self.size : size] = more
         self.size = size
 
 
 class Words:
-    """Rows for words: first and last subword id, and the pairs within.  Row 0 is the end.
-    When it is reset, the first words met stay: they are mostly the frequent ones."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.index = {END: 0}
-        self.first, self.last = Growing(np.int32), Growing(np.int32)
-        self.pair, self.owner = Growing(np.int32), Growing(np.int32)
-        self.first.add([vocabulary.end])
-        self.last.add([vocabulary.end])
-
-    def reset(self, base: int = BASE_WORDS) -> None:
-        if len(self.index) > base:
-            self.index = dict(islice(self.index.items(), base))
-            self.first.size = self.last.size = base
-            self.pair.size = self.owner.size = int(np.searchsorted(self.owner.values[: self.owner.size], base))
-
-    def learn(self, words: list[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
-        """The first new row; the pairs within the new words and the words' places."""
-        at, n, flat, lengths = len(self.index), self.vocabulary.size, [], []
-        encode, index = self.vocabulary.encode, self.index
-        for row, word in enumerate(words, at):
-            ids = encode(word)
-            index[word] = row
-            flat += ids
-            lengths.append(len(ids))
-        flat, lengths = np.array(flat, np.int32), np.array(lengths)
-        ends = np.cumsum(lengths)
-        self.first.add(flat[ends - lengths])
-        self.last.add(flat[ends - 1])
-        owner = np.repeat(np.arange(len(words)), lengths)
-        inner = np.nonzero(owner[1:] == owner[:-1])[0]
-        pair = flat[inner] * n + flat[inner + 1]
-        return at, pair, owner[inner].astype(np.int32)
-
-    def rows(self, texts: pa.Array, learnt=None) -> np.ndarray:
+    """Words with their ids, as they are met; row 0 is the end."""
+
+    def __init__(self, path: str, ids: np.ndarray):
+        self.vocabulary = Vocabulary(path, ids)
+        self.reset()
+
+    def reset(self) -> None:
+        """Forgets all words; their ids are found again when they are met."""
+        self.index: dict[bytes, int] = {END: 0}
+        self.names: list[bytes] = [END]
+        self.flat, self.start, self.length = Growing(np.int32), Growing(np.int64), Growing(np.int32)
+        self.flat.add([0])
+        self.start.add([0])
+        self.length.add([1])
+
+    def rows(self, texts: pa.Array) -> np.ndarray:
         """The rows of all words, row 0 after each text."""
         words, codes, counts = split_words(texts)
-        fresh = [w for w in words if w not in self.index]
+        index = self.index
+        fresh = [w for w in words if w not in index]
         if fresh:
-            new = self.learn(fresh)
-            if learnt:
-                learnt(fresh, *new)
-        table = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+            encode, flat, lengths = self.vocabulary.encode, [], []
+            for row, word in enumerate(fresh, len(index)):
+                index[word] = row
+                ids = encode(word)
+                flat += ids
+                lengths.append(len(ids))
+            lengths = np.array(lengths)
+            self.names += fresh
+            self.start.add(self.flat.size + np.cumsum(lengths) - lengths)
+            self.length.add(lengths)
+            self.flat.add(flat)
+        table = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
         inner = np.ones(len(codes) + len(counts), bool)
         inner[np.cumsum(counts + 1) - 1] = False
         rows = np.zeros(len(inner), np.int32)
         rows[inner] = table[codes]
         return rows
 
+    def stream(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in a row, and where each text's begin."""
+        length = self.length.values[rows].astype(np.int64)
+        ends = np.cumsum(length)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start.values[rows] - ends + length, length)
+        after = ends[rows == 0]
+        return self.flat.values[place], np.concatenate([[0], after[:-1]]) if len(after) else after
+
+
+# ---------------------------------------------------------------- the model
+
+
+def class_width(size: int) -> int:
+    """Ids of one class: about as many as there are classes."""
+    return max(1, math.isqrt(size - 1) + 1)
+
+
+def initial(counts: np.ndarray, seed: int) -> dict[str, np.ndarray]:
+    """Weights before training: what ids follow is told by the counts alone."""
+    rng, size, width = np.random.default_rng(seed), len(counts), class_width(len(counts))
+    classes = -(-size // width)
+    share = (counts + 0.5) / (counts + 0.5).sum()
+    of_class = np.add.reduceat(share, np.arange(0, size, width))
+    draw = lambda scale, *shape: rng.normal(0, scale, shape)
+    weights = {
+        "embed": draw(0.3, size, DIM), "query": draw(INNER**-0.5, DIM, INNER), "key": draw(DIM**-0.5, DIM, INNER), "value": draw(DIM**-0.5, DIM, INNER), "mix": draw(INNER**-0.5, INNER, DIM),
+        "last": draw(DIM**-0.5, DIM, DIM), "before": draw(DIM**-0.5, DIM, DIM), "distance": np.zeros(2 * STRIDE),
+        "member": draw(0.05, size, DIM), "member_bias": np.log(share) - np.log(np.repeat(of_class, width)[:size]), "class": draw(0.05, classes, DIM), "class_bias": np.log(of_class),
+    }
+    return {k: v.astype(np.float32) for k, v in weights.items()}
+
+
+def windows(stream: np.ndarray, begins: np.ndarray, step: int):
+    """Windows of every text: for each the place of its first told id, ``step`` places on
+    from the one before, and the first and last place of its text."""
+    ends = np.concatenate([begins[1:], [len(stream)]])
+    each = -(-(ends - begins) // step)
+    text = np.repeat(np.arange(len(begins)), each)
+    base = begins[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each))
+    return base, begins[text], ends[text] - 1
+
+
+def cut_windows(stream, base, low, high, ahead: int):
+    """Read ids, whether they are there, the ids to tell, and which of these count.
+    ``ahead``: places of the windows that are only read."""
+    place = base[:, None] + np.arange(-ahead, 2 * STRIDE - ahead)
+    there = (place >= low[:, None]) & (place <= high[:, None])
+    read = stream[np.clip(place - 1, 0, len(stream) - 1)]
+    read[place == low[:, None]] = 0  # a text opens after an end
+    return read, there, stream[np.minimum(place[:, ahead:], len(stream) - 1)], there[:, ahead:]
+
 
-# ---------------------------------------------------------------- topics
-
-
-def topics(rows: list[np.ndarray], first: np.ndarray, size: int, count: int) -> np.ndarray:
-    """Log shares of the opening subwords in each topic: a mixture of unigrams by EM,
-    started from texts that are far from each other."""
-    m = np.zeros((len(rows), size), np.float32)
-    for k, r in enumerate(rows):
-        m[k] = np.bincount(first[r], minlength=size)
-    m = m[m.sum(1) >= 20] if (m.sum(1) >= 20).any() else m
-    if not len(m):
-        return np.full((size, count), -math.log(size), np.float32)
-    unit = np.sqrt(m / np.maximum(m.sum(1, keepdims=True), 1))
-    seeds, near = [0], unit @ unit[0]
-    while len(seeds) < min(count, len(m)):
-        seeds.append(int(near.argmin()))
-        near = np.maximum(near, unit @ unit[seeds[-1]])
-    share = np.zeros((len(m), count), np.float32)
-    share[np.arange(len(m)), (unit @ unit[seeds].T).argmax(1)] = 1
-    for _ in range(15):
-        u = m.T @ share + 0.05
-        u = np.log(u / u.sum(0))
-        z = m @ u + np.log(share.sum(0) + 1e-3)
-        share = np.exp(np.maximum(z - z.max(1, keepdims=True), -60))
-        share /= share.sum(1, keepdims=True)
-    return u.astype(np.float32)
+def _mask(ahead: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far back each place is of each told one, and what must not be seen yet."""
+    gap = np.arange(ahead, 2 * STRIDE)[None, :] - np.arange(2 * STRIDE)[:, None]
+    return np.maximum(gap, 0), np.where(gap < 0, NEVER, np.float32(0))
+
+
+_MASKS = {ahead: _mask(ahead) for ahead in (0, STRIDE)}
+
+
+def _times(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    return (x.reshape(-1, x.shape[2]) @ matrix).reshape(*x.shape[:2], -1)
+
+
+def attention(w: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray, there: np.ndarray, ahead: int):
+    """What each told place sees of the places before it.  Scores are kept as (window, place,
+    told), so that sums run along what is told."""
+    a = k @ q.transpose(0, 2, 1)
+    gap, later = _MASKS[ahead]
+    a += w["distance"][gap] + later
+    if not there.all():
+        a += np.where(there, np.float32(0), NEVER)[:, :, None]
+    np.minimum(a, np.float32(60), out=a)
+    np.exp(a, out=a)
+    total = a.sum(1)[:, :, None] + np.float32(1e-30)
+    seen = a.transpose(0, 2, 1) @ v
+    seen /= total
+    return seen, a, total
+
+
+def attend(w: dict, read: np.ndarray, there: np.ndarray):
+    """The state that tells each id of the windows, and what it was made of."""
+    x = w["embed"][read]
+    earlier = np.zeros_like(x)
+    np.multiply(x[:, :-1], there[:, :-1, None], out=earlier[:, 1:])
+    q, k, v = _times(x, w["query"]), _times(x, w["key"]), _times(x, w["value"])
+    seen, a, total = attention(w, q, k, v, there, 0)
+    return _times(seen, w["mix"]) + _times(x, w["last"]) + _times(earlier, w["before"]), (x, earlier, q, k, v, a, total, seen)
+
+
+def tables(w: dict) -> dict:
+    """Products of every id's embedding, so that scoring looks them up."""
+    return {**{k: w["embed"] @ w[k] for k in ("query", "key", "value", "last", "before")}, **{k: w[k] for k in ("mix", "distance", "member", "member_bias", "class", "class_bias")}}
+
+
+def attend_scored(t: dict, read: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """As ``attend``, for the windows' second halves, from tables."""
+    late, here = read[:, STRIDE:], slice(STRIDE - 1, -1)
+    seen, _, _ = attention(t, t["query"][late], t["key"][read], t["value"][read], there, STRIDE)
+    out = _times(seen, t["mix"])
+    out += t["last"][late]
+    earlier = t["before"][read[:, here]]
+    if not there[:, here].all():
+        earlier *= there[:, here, None]
+    out += earlier
+    return out
+
+
+def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities down each column (over ``z``) and the logs' common terms."""
+    most = z.max(0)
+    z -= most
+    np.exp(z, out=z)
+    total = z.sum(0)
+    z /= total
+    return z, most + np.log(total)
+
+
+def tell(w: dict, h: np.ndarray, ids: np.ndarray, grads: dict | None = None):
+    """Natural log probability of each id given its state; with ``grads`` also the gradient
+    of the mean loss by state, and by the output weights into ``grads``."""
+    size, n = len(w["member"]), len(ids)
+    width = class_width(size)
+    of = ids // width
+    order = np.argsort(of.astype(np.int16), kind="stable")
+    h, of, ids = h[order], of[order], ids[order]
+    at = np.arange(n)
+    z = w["class"] @ h.T
+    z += w["class_bias"][:, None]
+    logp = z[of, at]
+    z, norm = _softmax(z)
+    logp -= norm
+    if grads is not None:
+        z[of, at] -= 1
+        z *= np.float32(1 / n)
+        grads["class"], grads["class_bias"], dh = z @ h, z.sum(1), z.T @ w["class"]
+        grads["member"], grads["member_bias"] = np.zeros_like(w["member"]), np.zeros_like(w["member_bias"])
+    cuts = np.searchsorted(of, np.arange(len(w["class"]) + 1))
+    for c in np.nonzero(np.diff(cuts))[0].tolist():
+        rows, lo = slice(cuts[c], cuts[c + 1]), c * width
+        hi, x, own = min(size, lo + width), h[rows], ids[rows] - lo
+        z = w["member"][lo:hi] @ x.T
+        z += w["member_bias"][lo:hi, None]
+        part = z[own, at[: len(own)]]
+        z, norm = _softmax(z)
+        logp[rows] += part - norm
+        if grads is not None:
+            z[own, at[: len(own)]] -= 1
+            z *= np.float32(1 / n)
+            grads["member"][lo:hi], grads["member_bias"][lo:hi] = z @ x, z.sum(1)
+            dh[rows] += z.T @ w["member"][lo:hi]
+    back = np.empty_like(order)
+    back[order] = at
+    return logp[back] if grads is None else (logp[back], dh[back])
+
+
+def gradient(w: dict, read, there, ids, use) -> tuple[float, dict]:
+    """Mean loss over the ids that count, and its gradient."""
+    grads: dict[str, np.ndarray] = {}
+    state, (x, earlier, q, k, v, a, total, seen) = attend(w, read, there)
+    logp, d = tell(w, state[use], ids[use], grads)
+    dh = np.zeros_like(state)
+    dh[use] = d
+    flat = lambda y: y.reshape(-1, y.shape[2])
+    grads["mix"], grads["last"], grads["before"] = (flat(y).T @ flat(dh) for y in (seen, x, earlier))
+    part = _times(dh, w["mix"].T)
+    part /= total
+    ds = v @ part.transpose(0, 2, 1)
+    ds *= a
+    dv = a @ part
+    a *= ds.sum(1)[:, None, :] / total.transpose(0, 2, 1)
+    ds -= a
+    dq, dk = ds.transpose(0, 2, 1) @ k, ds @ q
+    grads["query"], grads["key"], grads["value"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
+    grads["distance"] = np.bincount(_MASKS[0][0].ravel(), weights=ds.sum(0).ravel(), minlength=2 * STRIDE).astype(np.float32)
+    dx = _times(dk, w["key"].T) + _times(dv, w["value"].T)
+    dx += _times(dq, w["query"].T) + _times(dh, w["last"].T)
+    dx[:, :-1] += _times(dh, w["before"].T)[:, 1:] * there[:, :-1, None]
+    where, dx = read.ravel(), dx.reshape(-1, DIM)
+    order = np.argsort(where, kind="stable")
+    sorted_ = where[order]
+    first = np.nonzero(np.diff(sorted_, prepend=-1))[0]
+    grads["embed"] = np.zeros_like(w["embed"])
+    grads["embed"][sorted_[first]] = np.add.reduceat(dx[order], first, axis=0)
+    return -float(logp.mean()), grads
+
+
+class Descent:
+    """Adam's steps from given weights."""
+
+    def __init__(self, weights: dict, rate: float):
+        self.w, self.rate, self.n = {k: v.copy() for k, v in weights.items()}, rate, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+
+    def step(self, *window) -> float:
+        loss, grads = gradient(self.w, *window)
+        self.n += 1
+        rate = self.rate * min(1.0, self.n / 10) / (1 - 0.9**self.n)
+        for name, g in grads.items():
+            m, v = self.m[name], self.v[name]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            v *= np.float32(0.99)
+            v += np.float32(0.01) * g * g
+            self.w[name] -= np.float32(rate) * m / (np.sqrt(v / np.float32(1 - 0.99**self.n)) + np.float32(1e-8))
+        return loss
+
+
+def descend(weights: dict, rate: float, streams, rng) -> tuple[dict, int]:
+    """The weights after one way along all windows of the streams, and the ids read.  Here
+    windows do not overlap, and all of their ids are told."""
+    run, told = Descent(weights, rate), 0
+    for stream, begins in streams:
+        base, low, high = windows(stream, begins, 2 * STRIDE)
+        order = rng.permutation(len(base))
+        for at in range(0, len(order), BATCH):
+            cut = order[at : at + BATCH]
+            read, there, ids, use = cut_windows(stream, base[cut], low[cut], high[cut], 0)
+            run.step(read, there, ids, use)
+            told += int(use.sum())
+    return run.w, told
+
+
+def log_probabilities(table: dict, stream: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Natural log probability of each id of the stream, each in one window, by the model
+    whose ``tables`` are given."""
+    base, low, high = windows(stream, begins, STRIDE)
+    out = np.empty(len(stream))
+    for at in range(0, len(base), 512):
+        cut = slice(at, at + 512)
+        read, there, ids, use = cut_windows(stream, base[cut], low[cut], high[cut], STRIDE)
+        state = attend_scored(table, read, there)
+        out[(base[cut][:, None] + np.arange(STRIDE))[use]] = tell(table, state[use], ids[use])
+    return out
 
 
 # ---------------------------------------------------------------- counts
 
 
-def _opening(path: str, chance: int, grain: int):
-    """The tokenizer's ids with their counts, and the drawn texts: (id, n, text)."""
+def _words(batches):
+    """(word, n): the words of some texts at a time, with the texts' ends."""
+    for batch in batches:
+        for part in pieces(batch, 0):
+            words, codes, _ = split_words(part.column(0))
+            n = np.bincount(codes, minlength=len(words))
+            yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array(np.append(n, part.num_rows))], ["word", "n"])
+
+
+def _subwords(path: str):
+    """Counted words to (id, n): the tokenizer's ids."""
 
     def run(batches):
         subwords = kept("lm subwords", "subwords", lambda: Subwords(path))
-        met = kept("lm subwords", "met", dict)
-        size = subwords.tokenizer.get_vocab_size()
-        often = np.zeros(size, np.int64)
-        kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("text", pa.string())])
+        often = np.zeros(subwords.tokenizer.get_vocab_size(), np.int64)
         for batch in batches:
-            for part in pieces(batch, 1):
-                words, codes, _ = split_words(part.column(1))
-                if len(met) > BASE_WORDS:
-                    met.clear()
-                flat, lengths = [], []
-                for word in words:
-                    ids = met.get(word)
-                    if ids is None:
-                        ids = met[word] = subwords(word)
-                    flat += ids
-                    lengths.append(len(ids))
-                n = np.repeat(np.bincount(codes, minlength=len(words)), lengths)
-                often += np.bincount(np.array(flat, np.int64), weights=n, minlength=size).astype(np.int64)
-                drawn = [t for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for k, t in enumerate(parts_of(x)) if zlib.crc32(f"{i} {k} {t}".encode()) % grain < chance]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(drawn), pa.int64()), pa.nulls(len(drawn), pa.int64()), pa.array(drawn, pa.string())], schema=kind)
+            found = [subwords(w) if w != END else [] for w in batch.column(0).to_pylist()]
+            n = np.repeat(np.asarray(batch.column(1)), [len(f) for f in found])
+            often += np.bincount(np.array([i for f in found for i in f], np.int64), weights=n, minlength=len(often)).astype(np.int64)
         used = np.nonzero(often)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(often[used]), pa.nulls(len(used), pa.string())], schema=kind)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(often[used])], ["id", "n"])
 
     return run
 
 
-def parts_of(text: str) -> list[str]:
-    """The text in parts of whole words, each of about SAMPLE_BYTES at most or one word."""
-    raw, out, at = text.encode(), [], 0
-    while len(raw) - at > SAMPLE_BYTES:
-        cut = max(raw.rfind(c, at + 1, at + SAMPLE_BYTES) for c in (b" ", b"\n", b"\t"))
-        if cut < 0:
-            cut = min((k for c in (b" ", b"\n", b"\t") if (k := raw.find(c, at + SAMPLE_BYTES)) >= 0), default=len(raw))
-        out.append(raw[at:cut].decode())
-        at = cut
-    return [*out, raw[at:].decode()]
+def vocabulary(counts: DataFrame, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """The tokenizer's ids that the counted words hold and those of all bytes, and how often
+    each own id is met (the end first)."""
+    often = counts.mapInArrow(_subwords(tokenizer), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the tokenizer's ids
+    of_id = {Subwords(tokenizer).tokenizer.token_to_id(c): 0 for c in LETTER_BYTES}
+    of_id.update({r.id: r.n for r in often})
+    ids = sorted(of_id, key=lambda i: (-of_id[i], i))
+    ends = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.sum("n")).first()[0]
+    return np.array(ids, np.int64), np.array([ends or 0, *(of_id[i] for i in ids)], np.float64)
 
 
-def _count(path: str, chosen: list[int], shares):
-    """Words and subword pairs with their counts in each topic: (word, pair, t0, t1, ...)."""
+# ---------------------------------------------------------------- training by rounds
 
-    def run(batches):
-        words = kept(f"lm {hash(tuple(chosen))}", "words", lambda: Words(Vocabulary(Subwords(path), chosen)))
-        words.reset()
-        vocabulary = words.vocabulary
-        n, count = vocabulary.size, shares.value.shape[1]
-        pairs = np.zeros((count, n * n), np.int32)
-        seen = Growing(np.int32, count)
-        names = ["word", "pair", *(f"t{j}" for j in range(count))]
-
-        def settle():
-            """The words so far, with what their inner pairs add."""
-            seen.add(np.zeros((max(0, len(words.index) - seen.size), count), np.int32))
-            c, owner, pair = seen.values[: len(words.index)], words.owner.values[: words.owner.size], words.pair.values[: words.pair.size]
-            for j in range(count):
-                pairs[j] += np.bincount(pair, weights=c[owner, j], minlength=n * n).astype(np.int32)
-            keys, used = list(words.index), np.nonzero(c.any(1))[0]
-            for k in range(0, len(used), 50_000):
-                cut = used[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in cut.tolist()], pa.binary()), pa.nulls(len(cut), pa.int64()), *(pa.array(c[cut, j].astype(np.int64)) for j in range(count))], names)
-            words.reset()
-            seen.__init__(np.int32, count)
-
-        def learnt(_, at, pair, owner):
-            words.pair.add(pair)
-            words.owner.add(owner + at)
 
-        for batch in batches:
-            for part in pieces(batch, 0):
-                rows = words.rows(part.column(0), learnt)
-                first, last = words.first.values[rows], words.last.values[rows]
-                ends = np.nonzero(rows == 0)[0]
-                begins = np.concatenate([[0], ends[:-1] + 1])
-                topic = np.add.reduceat(shares.value[first], begins, axis=0).argmax(1)
-                topic = np.repeat(topic, ends - begins + 1)
-                before = np.concatenate([[vocabulary.end], last[:-1]]).astype(np.int64)
-                before[begins] = vocabulary.end
-                code = before * n + first
-                seen.add(np.zeros((max(0, len(words.index) - seen.size), count), np.int32))
-                np.add.at(seen.values.reshape(-1), rows.astype(np.int64) * count + topic, 1)
-                np.add.at(pairs.reshape(-1), topic * (n * n) + code, 1)
-                if len(words.index) > STORE_WORDS:
-                    yield from settle()
-        yield from settle()
-        used = np.nonzero(pairs.any(0))[0]
-        for k in range(0, len(used), 100_000):
-            cut = used[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.binary()), pa.array(cut), *(pa.array(pairs[j, cut].astype(np.int64)) for j in range(count))], names)
+def _packed(weights: dict) -> bytes:
+    return b"".join(weights[k].tobytes() for k in sorted(weights))
 
-    return run
 
+def _unpacked(data: bytes, like: dict, kind=np.float32) -> dict:
+    out, at = {}, 0
+    flat = np.frombuffer(data, kind)
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
 
-def _blobs(kinds):
-    """Rows as one row of raw arrays for each batch; words are joined by line ends."""
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                cells = [b"\n".join(batch.column(k).to_pylist()) if kind is None else np.asarray(batch.column(k), dtype=kind).tobytes() for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], [f"c{k}" for k in range(len(kinds))])
+def _round(path: str, shared, rate: float, seed: int):
+    """The weights that a task comes to, times the ids it read: (n, weights)."""
 
-    return run
+    def run(batches):
+        from pyspark import TaskContext
 
+        ids, weights = shared.value
+        words = kept(f"lm {hash(ids.tobytes())}", "words", lambda: Words(path, ids))
 
-def gathered(df: DataFrame, kinds) -> list:
-    """The columns of a table of bounded size, at the driver."""
-    parts = df.mapInArrow(_blobs(kinds), ", ".join(f"c{k} binary" for k in range(len(kinds)))).collect()
-    return [[w for p in parts for w in bytes(p[k]).split(b"\n")] if kind is None else np.concatenate([np.frombuffer(bytes(p[k]), kind) for p in parts]) if parts else np.empty(0, kind) for k, kind in enumerate(kinds)]
-
-
-def transitions(pair: np.ndarray, counts: list[np.ndarray], size: int) -> np.ndarray:
-    """Log of each topic's bigram probabilities, discounted towards its unigrams: (pairs, topics)."""
-    out = np.empty((size * size, len(counts)), np.float32)
-    for j, n in enumerate(counts):
-        c = np.zeros(size * size, np.float32)
-        c[pair] = n
-        c = c.reshape(size, size)
-        unigram = c.sum(0) + 0.01
-        unigram /= unigram.sum()
-        # of a seen pair 0.5 goes to the unigrams
-        back = 0.5 * (c > 0).sum(1, keepdims=True) + 1
-        c = np.maximum(c - 0.5, 0) + back * unigram
-        out[:, j] = np.log(c / c.sum(1, keepdims=True)).ravel()
-    return out
+        def streams():
+            for batch in batches:
+                for part in pieces(batch, 0, TEXT_BYTES):
+                    if len(words.index) > STORE_WORDS:
+                        words.reset()
+                    yield words.stream(words.rows(part.column(0)))
 
+        found, told = descend(weights, rate, streams(), np.random.default_rng([seed, TaskContext.get().partitionId()]))
+        if told:
+            yield pa.RecordBatch.from_arrays([pa.array([told]), pa.array([(np.frombuffer(_packed(found), np.float32) * np.float64(told)).tobytes()], pa.binary())], ["n", "weights"])
 
-# ---------------------------------------------------------------- attention
-
-
-class Attention:
-    """Gates over the experts from causal self-attention over opening subword ids.
-
-    The layer is linear in the embeddings, so that the products of embedding and query,
-    key and value matrices are kept as tables by id."""
-
-    def __init__(self, size: int, experts: int, rng):
-        self.p = {
-            "query": rng.normal(0, 0.3, (size, DIM)), "key": rng.normal(0, 0.3, (size, DIM)), "value": rng.normal(0, 0.05, (size, experts)),
-            "skip": np.zeros((size, experts)), "distance": np.zeros(2 * STRIDE), "bias": np.zeros(experts),
-        }
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        gap = STRIDE + np.arange(STRIDE)[:, None] - np.arange(2 * STRIDE)[None, :]
-        self.gap, self.mask = np.maximum(gap, 0), np.where(gap < 0, NEVER, np.float32(0))
-
-    def attend(self, ids: np.ndarray, there: np.ndarray):
-        """Attention of the second half of each window over what stands before, and the
-        gates' logits.  The masks' exponentials are zeros."""
-        p = self.p
-        late = ids[:, STRIDE:]
-        q, k, v = p["query"][late], p["key"][ids], p["value"][ids]
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(DIM**-0.5)
-        s += (p["distance"][self.gap] + self.mask)[None]
-        np.minimum(s, np.float32(60), out=s)
-        if not there.all():
-            s += np.where(there, np.float32(0), NEVER)[:, None, :]
-        np.exp(s, out=s)
-        s /= (s @ np.ones((2 * STRIDE, 1), s.dtype)) + np.float32(1e-30)
-        return s @ v + p["skip"][late] + p["bias"], (q, k, v, s)
-
-    def gates(self, ids: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """Log gates of the second half of each window."""
-        z, _ = self.attend(ids, there)
-        z = z - z.max(2, keepdims=True)
-        return z - np.log(np.exp(z).sum(2, keepdims=True))
-
-    def gradient(self, ids, there, logp):
-        """Mean loss and its gradient for windows whose tokens have expert log
-        probabilities ``logp`` (windows, STRIDE, experts)."""
-        z, (q, k, v, a) = self.attend(ids, there)
-        z = z - z.max(2, keepdims=True)
-        log_g = z - np.log(np.exp(z).sum(2, keepdims=True))
-        use = there[:, STRIDE:]
-        joint = log_g + logp
-        top = joint.max(2, keepdims=True)
-        r = np.exp(joint - top)
-        norm = r.sum(2, keepdims=True)
-        loss = -((top + np.log(norm))[..., 0] * use).sum() / max(1, use.sum())
-        dz = (np.exp(log_g) - r / norm) * (use[..., None] / max(1, use.sum())).astype(np.float32)
-        da = dz @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(2, keepdims=True))
-        dq, dk = ds @ k * np.float32(DIM**-0.5), ds.transpose(0, 2, 1) @ q * np.float32(DIM**-0.5)
-        g = {n: np.zeros_like(x) for n, x in self.p.items()}
-        late = ids[:, STRIDE:].ravel()
-        for name, where, d in (("query", late, dq), ("key", ids.ravel(), dk), ("value", ids.ravel(), a.transpose(0, 2, 1) @ dz), ("skip", late, dz)):
-            d = d.reshape(len(where), -1)
-            order = np.argsort(where, kind="stable")
-            w = where[order]
-            at = np.nonzero(np.diff(w, prepend=-1))[0]
-            g[name][w[at]] = np.add.reduceat(d[order], at, axis=0)
-        g["bias"] = dz.sum((0, 1))
-        g["distance"] = np.bincount(self.gap.ravel(), weights=(ds.sum(0) * (self.mask == 0)).ravel(), minlength=2 * STRIDE).astype(np.float32)
-        return loss, g
-
-    def train(self, ids, there, logp, place, rng) -> list[float]:
-        """Adam over windows in a random order; ``place``: the rows of ``logp`` that are a
-        window's."""
-        m = {n: np.zeros_like(x) for n, x in self.p.items()}
-        v = {n: np.zeros_like(x) for n, x in self.p.items()}
-        losses, order = [], np.empty(0, np.int64)
-        for step in range(1, STEPS + 1):
-            if len(order) < BATCH:
-                order = np.concatenate([order, rng.permutation(len(ids))])
-            cut, order = order[:BATCH], order[BATCH:]
-            loss, g = self.gradient(ids[cut], there[cut], logp[place[cut]])
-            losses.append(float(loss))
-            rate = RATE * min(1, step / 20) * (1 - step / (STEPS + 1))
-            for n in self.p:
-                m[n] = 0.9 * m[n] + 0.1 * g[n]
-                v[n] = 0.99 * v[n] + 0.01 * g[n] ** 2
-                self.p[n] -= np.float32(rate) * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + np.float32(1e-8))
-        return losses
-
-
-def windows(first: np.ndarray, begins: np.ndarray, ends: np.ndarray, end_id: int):
-    """Overlapping windows of every text: the ids that the attention reads (what opened the
-    word before each place, the end id at a text's start), which places exist, and the
-    place of each window's first scored token."""
-    context = np.concatenate([[end_id], first[:-1]]).astype(np.int64)
-    context[begins] = end_id
-    each = -(-(ends - begins + 1) // STRIDE)
-    text = np.repeat(np.arange(len(begins)), each)
-    base = begins[text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each))
-    return context, base, begins[text], ends[text]
+    return run
 
 
-def window_ids(context, base, low, high):
-    place = base[:, None] + np.arange(-STRIDE, STRIDE)
-    there = (place >= low[:, None]) & (place <= high[:, None])
-    return context[np.clip(place, 0, len(context) - 1)], there, place
-
-
-class Experts:
-    """Expert log probabilities of words: bigram chains and frequent words' shares, by topic."""
-
-    def __init__(self, vocabulary: Vocabulary, table: np.ndarray, share: np.ndarray):
-        n = vocabulary.size
-        self.vocabulary, self.table, self.share = vocabulary, table, share
-        # chance that the next subword opens a word: ends one word, and conditions the next
-        self.opens = np.stack([np.log(np.exp(table[i * n : (i + 1) * n][vocabulary.starts]).sum(0)) for i in range(n)]).astype(np.float32)
-
-    def inner(self, count: int, pair: np.ndarray, owner: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """What a word has whatever stands before it: its inner pairs and its closing."""
-        out = np.zeros((count, self.table.shape[1]), np.float32)
-        if len(pair):
-            at = np.nonzero(np.diff(owner, prepend=-1))[0]
-            out[owner[at]] = np.add.reduceat(self.table[pair], at, axis=0)
-        return out + self.opens[last]
-
-    def words(self, before, first, inner, top) -> np.ndarray:
-        """(experts, words): the chains, then the frequent words' shares (NEVER for others)."""
-        n = self.vocabulary.size
-        chain = self.table[before.astype(np.int64) * n + first]
-        chain -= self.opens[before]
-        chain += inner
-        return np.concatenate([chain.T, self.share[top].T])
-
-
-class Model:
-    """All that scoring needs, as it is broadcast.  The frequent words come with their rows,
-    the end first."""
-
-    def __init__(self, path: str, chosen: list[int], table: np.ndarray, names: list[bytes], share: np.ndarray, logs: np.ndarray, attention: Attention):
-        if END in names:
-            own = names.index(END)
-        else:  # nothing was counted
-            own, names, share, logs = len(names), [*names, END], np.concatenate([share, np.full((1, share.shape[1]), NEVER, np.float32)]), np.append(logs, np.nan)
-        order = np.argsort(np.arange(len(names)) != own, kind="stable")
-        self.path, self.chosen, self.table, self.attention = path, chosen, table, attention
-        self.share, self.logs = share[order], logs[order]
-        rest = [names[i] for i in order[1:].tolist()]
-        vocabulary = Vocabulary(Subwords(path), chosen)
-        words = Words(vocabulary)
-        _, pair, owner = words.learn(rest) if rest else (1, np.empty(0, np.int64), np.empty(0, np.int32))
-        experts = Experts(vocabulary, table, share[:0])
-        n = len(names)
-        self.names, self.first, self.last = b"\n".join(rest), words.first.values[:n].copy(), words.last.values[:n].copy()
-        # nothing follows an end
-        self.inner = np.concatenate([np.zeros((1, table.shape[1]), np.float32), experts.inner(n - 1, pair, owner, self.last[1:])])
-
-    def scorer(self) -> Scorer:
-        return Scorer(self)
+def _added(batches):
+    n, total = 0, None
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            n, total = n + k, np.frombuffer(data) if total is None else total + np.frombuffer(data)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "weights"])
+
+
+def train(rows: DataFrame, tokenizer: str, ids: np.ndarray, counts: np.ndarray, size: int, seed: int = 5) -> dict:
+    """Weights after all rounds.  ``rows``: text, and part from 0 to 63; ``size``: its bytes."""
+    context = rows.sparkSession.sparkContext
+    weights, total = initial(counts, seed), counts.sum()
+    tasks = max(context.defaultParallelism, math.ceil(size / TASK_BYTES))
+    ways = math.ceil(LEAST_IDS / total) if total else 0
+    for way in range(ways):
+        at = 0
+        for k, parts in enumerate(LATER_ROUNDS if way else ROUNDS):
+            done = (way + (at + parts / 2) / 64) / ways
+            rate = RATE * (LAST_RATE / RATE) ** done
+            shared = context.broadcast((ids, weights))
+            here = rows.where(F.col("part").between(at, at + parts - 1)).select("text").coalesce(tasks)
+            found = here.mapInArrow(_round(tokenizer, shared, rate, seed + 100 * way + k), "n long, weights binary")
+            n = tasks
+            while n > 16:  # sums meet by sixteens, so that no task holds many
+                n = -(-n // 16)
+                found = found.repartition(n).mapInArrow(_added, "n long, weights binary")
+            sums = found.collect()  # at most 16 rows
+            if sums:
+                n = sum(r.n for r in sums)
+                weights = _unpacked((sum(np.frombuffer(bytes(r.weights)) for r in sums) / n).astype(np.float32).tobytes(), weights)
+            shared.destroy()
+            at += parts
+    return weights
+
+
+# ---------------------------------------------------------------- scoring
+
+
+def _blobs(batches):
+    """Counted words as one row of raw arrays for each batch; words are joined by line ends."""
+    for batch in batches:
+        if batch.num_rows:
+            cells = [b"\n".join(batch.column(0).to_pylist()), np.asarray(batch.column(1), np.int64).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["words", "n"])
+
+
+def frequent_words(counts: DataFrame, most: int) -> tuple[int, bytes, np.ndarray]:
+    """The least count of the words that are broadcast, these words, the end first, and
+    log10 of their counts and one.  Whole levels of counts, at most ``most`` words."""
+    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
+    least, room = 1 << 30, most
+    for r in sorted(counts.groupBy(step).count().collect(), reverse=True):  # a few hundred levels at most
+        if r["count"] > room:
+            break
+        room -= r["count"]
+        least = r.step
+    often = counts.where((F.floor(F.log2("n") * 8) >= least) & (F.col("word") != F.lit(bytearray(END))))
+    found = often.select("word", "n").mapInArrow(_blobs, "words binary, n binary").collect()
+    end = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.sum("n")).first()[0]
+    n = np.concatenate([[end or 0], *(np.frombuffer(bytes(r.n), np.int64) for r in found)]).astype(np.float64)
+    return least, b"\n".join(bytes(r.words) for r in found), np.where(n > 0, np.log10(n + 1), np.nan)
 
 
 class Scorer:
-    """A worker's state: the frequent words, and others as they are met."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.vocabulary = Vocabulary(Subwords(model.path), model.chosen)
-        self.frequent = len(model.logs)
-        self.experts = Experts(self.vocabulary, model.table, np.concatenate([model.share, np.full((1, model.share.shape[1]), NEVER, np.float32)]))
-        self.attention, self.logs = model.attention, np.append(model.logs, np.nan)
-        self.words = Words(self.vocabulary)
-        rest = model.names.split(b"\n") if model.names else []
-        self.words.index = {END: 0, **{w: i for i, w in enumerate(rest, 1)}}
-        self.words.first.size = self.words.last.size = 0
-        self.words.first.add(model.first)
-        self.words.last.add(model.last)
-        self.inner = Growing(np.float32, model.table.shape[1])
-        self.inner.add(model.inner)
-        self.names: list[bytes] = []
+    """A worker's state: the model, the frequent words' counts, and words as they are met."""
 
-    def reset(self) -> None:
-        self.words.reset(self.frequent)
-        self.inner.size = self.frequent
-        self.names = []
-
-    def learnt(self, fresh, at, pair, owner):
-        self.inner.add(self.experts.inner(len(fresh), pair, owner, self.words.last.values[at : at + len(fresh)]))
-        self.names += fresh
-
-    def parts(self, texts: pa.Array):
-        rows = self.words.rows(texts, self.learnt)
-        first, last = self.words.first.values[rows], self.words.last.values[rows]
-        ends = np.nonzero(rows == 0)[0]
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        before = np.concatenate([[self.vocabulary.end], last[:-1]])
-        before[begins] = self.vocabulary.end
-        return rows, first, before, begins, ends
+    def __init__(self, path: str, ids: np.ndarray, weights: dict, names: bytes, logs: np.ndarray):
+        self.tables, self.words = tables(weights), Words(path, ids)
+        self.count = dict(zip(names.split(b"\n") if names else (), logs[1:].tolist()))
+        self.end = logs[0]
+        self.reset()
 
-    def place(self, rows: np.ndarray) -> np.ndarray:
-        """Places in the tables of frequent words; the last stands for all others."""
-        return np.minimum(rows, self.frequent)
+    def reset(self) -> None:
+        self.words.reset()
+        self.logs = Growing(np.float64)
+        self.logs.add([self.end])
 
     def score(self, texts: pa.Array):
-        """For each text: tokens, frequent ones, their base sum, log10 probability, and the
-        words that are not frequent, with what their own shares are added to: the log
-        probability of the chains alone and the gates of the word experts."""
-        if len(self.words.index) > self.frequent + STORE_WORDS // 2:
+        """For each text: tokens, known frequent ones, their base sum, log10 probability, and
+        its words that are not frequent."""
+        if len(self.words.index) > STORE_WORDS:
             self.reset()
-        rows, first, before, begins, ends = self.parts(texts)
-        place = self.place(rows)
-        context, base, low, high = windows(first, begins, ends, self.vocabulary.end)
-        total = np.empty(len(rows), np.float64)
-        rare = np.nonzero(rows >= self.frequent)[0]
-        width = self.experts.share.shape[1]
-        own = np.empty((len(rare), width), np.float32)
-        for at in range(0, len(base), 1024):
-            cut = slice(at, at + 1024)
-            ids, there, where = window_ids(context, base[cut], low[cut], high[cut])
-            z, _ = self.attention.attend(ids, there)
-            use = there[:, STRIDE:]
-            w = where[:, STRIDE:][use]
-            z = np.ascontiguousarray(z[use].T)  # experts by row: what follows runs along the words
-            most = z.max(0)
-            gate = most + np.log(np.exp(z - most).sum(0))
-            # scored places rise, so that those of a cut are a run of ``rare``
-            some = slice(*np.searchsorted(rare, [w[0], w[-1] + 1]))
-            here = np.searchsorted(w, rare[some])
-            own[some] = np.exp(z[-width:, here] - gate[here]).T
-            z += self.experts.words(before[w], first[w], self.inner.values[rows[w]], place[w])
-            most = z.max(0)
-            z -= most
-            np.exp(z, out=z)
-            total[w] = most + np.log(z.sum(0)) - gate
-        logs = self.logs[place]
+        rows = self.words.rows(texts)
+        names = self.words.names
+        self.logs.add([self.count.get(w, math.nan) for w in names[self.logs.size :]])
+        stream, begins = self.words.stream(rows)
+        total = np.add.reduceat(log_probabilities(self.tables, stream, begins), begins) / math.log(10)
+        ends = np.nonzero(rows == 0)[0]
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        logs = self.logs.values[rows]
         known = ~np.isnan(logs)
-        counts = ends - begins + 1
-        cuts = np.concatenate([[0], np.searchsorted(rare, ends, "right")]).astype(np.int32)
-        words = pa.array([self.names[i] for i in (rows[rare] - self.frequent).tolist()], pa.binary())
-        rows_of = [words, pa.array(total[rare]), *(pa.array(np.ascontiguousarray(own[:, j])) for j in range(width))]
-        rare = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays(rows_of, ["word", "chain", *(f"g{j}" for j in range(width))]))
-        return counts, np.add.reduceat(known.astype(np.int64), begins), np.add.reduceat(np.where(known, logs, 0), begins), np.add.reduceat(total, begins) / math.log(10), rare
+        rare = np.nonzero(~known & (rows != 0))[0]
+        cuts = np.concatenate([[0], np.searchsorted(rare, ends)]).astype(np.int32)
+        others = pa.ListArray.from_arrays(pa.array(cuts), pa.array([names[i] for i in rows[rare].tolist()], pa.binary()))
+        return ends - starts + 1, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(np.where(known, logs, 0), starts), total, others
 
 
-def _score(model, name: str, held_out: int):
+def _score(path: str, shared, name: str, held_out: int):
     def run(batches):
         from pyspark import TaskContext
 
-        scorer = kept(f"lm {name}", "scorer", lambda: model.value.scorer())
+        scorer = kept(f"lm {name}", "scorer", lambda: Scorer(path, *shared.value))
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in pieces(batch, 2):
+            for part in pieces(batch, 2, TEXT_BYTES):
                 n = part.num_rows
                 counts, known, base, score, rare = scorer.score(part.column(2))
                 fold = np.asarray(part.column(1), dtype=np.int64)
@@ -594,97 +594,30 @@ def _score(model, name: str, held_out: int):
     return run
 
 
-def fit(train: DataFrame, tokenizer: str, count: int = TOPICS, subword_count: int = PIECES, top_words: int = TOP_WORDS, seed: int = 5) -> tuple[Model, DataFrame, int, int]:
-    """The model, the counts and shares of the words that are not frequent, all tokens and
-    distinct ones."""
-    spark = train.sparkSession
-    total = train.agg(F.sum(F.ceil((F.octet_length("text") + 1) / SAMPLE_BYTES))).first()[0] or 0
-    grain = 1 << 30
-    chance = min(grain, math.ceil(grain * SAMPLE_DOCS / max(1, total)))
-    opening = written(train.select("doc_id", "text").mapInArrow(_opening(tokenizer, chance, grain), "id long, n long, text string"), "opening")
-    sample = sorted(r.text.encode() for r in opening.where("text is not null").select("text").limit(2 * SAMPLE_DOCS).collect())
-    subwords = Subwords(tokenizer)
-    often = opening.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the tokenizer's ids
-    chosen = [r.id for r in sorted(often, key=lambda r: (-r.n, r.id)) if len(subwords.tokenizer.id_to_token(r.id)) > 1][:subword_count]
-    vocabulary = Vocabulary(subwords, chosen)
-    words = Words(vocabulary)
-    shape = topics([words.rows(pa.array([t.decode()], pa.string())) for t in sample], words.first.values, vocabulary.size, count)
-
-    shares = spark.sparkContext.broadcast(shape)
-    by_topic = [f"t{j}" for j in range(count)]
-    found = train.select("text").mapInArrow(_count(tokenizer, chosen, shares), "word binary, pair long, " + ", ".join(f"{t} long" for t in by_topic))
-    counts = written(found.groupBy("word", "pair").agg(*[F.sum(t).alias(t) for t in by_topic]).withColumn("n", sum((F.col(t) for t in by_topic[1:]), F.col(by_topic[0]))), "counts")
-    # beside the topics there is all text as one
-    pair, *n = gathered(counts.where("word is null").select("pair", *by_topic), [np.int64] * (count + 1))  # at most subwords^2 rows
-    table = transitions(pair, [*n, sum(n)], vocabulary.size)
-    del pair, n
-
-    seen = counts.where("word is not null")
-    tokens, distinct = seen.agg(F.sum("n"), F.count(F.lit(1))).first()
-    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
-    level, least, room = sorted(seen.groupBy(step).count().collect(), reverse=True), None, top_words
-    for r in level:
-        if r["count"] > room:
-            break
-        room -= r["count"]
-        least = r.step
-    frequent = (F.floor(F.log2("n") * 8) >= least) if least is not None else F.lit(False)
-    top = gathered(seen.where(frequent | (F.col("word") == F.lit(bytearray(END)))).select("word", "n", *by_topic), [None, *[np.int64] * (count + 1)])
-    names, n, share = top[0], top[1], np.stack([*top[2:], top[1]], 1).astype(np.float32).reshape(-1, count + 1)
-    totals = seen.agg(*[F.sum(t) for t in [*by_topic, "n"]]).first()
-    whole = np.maximum(np.array([t or 0 for t in totals], np.float64), 1)
-    # the gates learn from texts that are counted: there each word counts without itself,
-    # and the texts' other words are looked up
-    met = sorted(set(words.index) - set(names))
-    more = seen.join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w in met], "word binary")), "word", "left_semi") if met else seen.limit(0)
-    found = gathered(more.select("word", "n", *by_topic), [None, *[np.int64] * (count + 1)])
-    learnt = dict(zip(found[0], np.stack([*found[2:], found[1]], 1))) if len(found[1]) else {}
-    without = lambda c: np.maximum(np.log(np.maximum(c - 1, 0) / whole), NEVER)
-    with np.errstate(divide="ignore"):
-        others = without(share).astype(np.float32)
-        learnt = {w: without(c) for w, c in learnt.items()}
-        share = np.maximum(np.log(share / whole), NEVER).astype(np.float32)
-
-    rng = np.random.default_rng(seed)
-    attention = Attention(vocabulary.size, 2 * count + 2, rng)
-    model = Model(tokenizer, chosen, table, names, share, np.log10(n + 1.0), attention)
-    if sample:
-        scorer = model.scorer()
-        rows, first, before, begins, ends = scorer.parts(pa.array([t.decode() for t in sample], pa.string()))
-        place = scorer.place(rows)
-        logp = scorer.experts.words(before, first, scorer.inner.values[rows], place).T
-        others = np.concatenate([others[np.argsort([w != END for w in names], kind="stable")], np.full((1, count + 1), NEVER, np.float32)])
-        logp[:, count + 1 :] = others[np.minimum(place, len(others) - 1)]
-        for at in np.nonzero(rows >= scorer.frequent)[0].tolist():
-            logp[at, count + 1 :] = learnt[scorer.names[rows[at] - scorer.frequent]]
-        context, base, low, high = windows(first, begins, ends, vocabulary.end)
-        ids, there, place = window_ids(context, base, low, high)
-        attention.train(ids, there, logp, np.clip(place[:, STRIDE:], 0, len(logp) - 1), rng)
-        del scorer, logp, others
-    shared = [(F.col(t) / F.lit(float(total))).alias(f"s{j}") for j, (t, total) in enumerate(zip([*by_topic, "n"], whole))]
-    rare = seen.where(~frequent & (F.col("word") != F.lit(bytearray(END)))).select("word", "n", *shared)
-    return model, rare, int(tokens or 0), int(distinct or 0)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, tokenizer: str | None = None) -> DataFrame:
-    """Score and base of every document (RESULT), learning from those outside the fold."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, tokenizer: str | None = None, top_words: int = TOP_WORDS, seed: int = 5) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every
+    document, learning from those outside the fold."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    tokenizer = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_of_id(id_col) % folds).alias("fold"), text(text_col).alias("text"))
-    model, rare, tokens, distinct = fit(rows.where(F.col("fold") != held_out), tokenizer or default_tokenizer())
-    run = _score(spark.sparkContext.broadcast(model), f"{id(model)}-{tokens}-{spark.sparkContext.applicationId}", held_out)
-    width = model.share.shape[1]
-    entry = "word: binary, chain: double, " + ", ".join(f"g{j}: float" for j in range(width))
-    scored = written(rows.mapInArrow(run, f"rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<{entry}>>"), "scored")
-    met = scored.select("rid", F.inline("rare")).join(rare, "word")
-    # the word's own share, weighed by its gates, is added to the chains: log(e^chain + own) - chain
-    gap = F.log(sum((F.col(f"g{j}") * F.col(f"s{j}") for j in range(1, width)), F.col("g0") * F.col("s0"))) - F.col("chain")
-    gain = F.coalesce(F.greatest(gap, F.lit(0.0)) + F.log1p(F.exp(-F.abs(gap))), F.lit(0.0))  # null: no gate is open
-    more = met.groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("sum"), (F.sum(gain) / F.lit(math.log(10))).alias("gain"))
-    both = scored.drop("rare").join(more, "rid", "left")
+    learnt = rows.where(F.col("fold") != held_out).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(64)).alias("part"))
+    counts = written(learnt.select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    size = counts.agg(F.sum(F.col("n") * (F.octet_length("word") + 1))).first()[0] or 0
+    ids, often = vocabulary(counts, tokenizer)
+    weights = train(learnt, tokenizer, ids, often, size, seed)
+    least, names, logs = frequent_words(counts, top_words)
+    shared = spark.sparkContext.broadcast((ids, weights, names, logs))
+
+    run = _score(tokenizer, shared, f"{shared._jbroadcast.id()}-{spark.sparkContext.applicationId}", held_out)
+    scored = written(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>"), "scored")
+    rare = counts.where((F.floor(F.log2("n") * 8) < least) & (F.col("word") != F.lit(bytearray(END))))
+    met = scored.select("rid", F.explode("rare").alias("word")).join(rare, "word")
+    more = met.groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("sum"))
     base = F.col("base") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(tokens + distinct + 1))
-    whole = F.col("score") + F.coalesce("gain", F.lit(0.0))
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
+    known = F.col("known") + F.coalesce("more", F.lit(0))
+    return scored.drop("rare").join(more, "rid", "left").select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
