@@ -38,7 +38,7 @@ from .common import bounded_batches, crc32_of_id, kept, pieces, split_words, tex
 
 DIM, INNER, STRIDE = 40, 16, 32
 #: Windows of one step, ids read at least, and bytes of training text for each task.
-BATCH, LEAST_IDS, TASK_BYTES = 64, 4_000_000, 32 << 20
+BATCH, LEAST_IDS, TASK_BYTES = 128, 4_000_000, 32 << 20
 #: The first way along the documents goes in rounds of so many 64ths, later ways in halves.
 ROUNDS, LATER_ROUNDS = (1, 1, 2, 4, 8, 16, 32), (32, 32)
 RATE, LAST_RATE = 0.03, 0.001
@@ -58,8 +58,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def steady() -> None:
+    """Keeps numpy's products in this process to one thread, as tasks already use all cores,
+    and lets freed arrays stay with the process: every step takes the same ones again."""
+    import ctypes
+    import glob
+
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        for option in (-3, -1):  # fixed by glibc: sizes from which memory is mapped, and given back
+            libc.mallopt(option, 64 << 20)
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 class Subwords:
-    """Words to subwords, as the tokenizer splits them after a space."""
+    """Words to the tokenizer's ids, as it splits them after a space."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
@@ -67,44 +84,53 @@ class Subwords:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.tokenize = self.tokenizer.model.tokenize
-        self.tails = {ord(c): self.tokenizer.token_to_id(c) for c in ",."}
-
-    def __call__(self, word: bytes) -> list[int]:
-        """The tokenizer's ids.  A word of letters, perhaps with a closing comma or full
-        stop, goes straight through the merges."""
-        tail = self.tails.get(word[-1])
-        plain = word if tail is None else word[:-1]
-        if plain.isalpha():  # of bytes: ASCII letters alone
-            ids = [t.id for t in self.tokenize(SPACE + plain.decode())]
-        elif plain.decode().isalpha():
-            ids = [t.id for t in self.tokenize(SPACE + plain.decode("latin-1").translate(BYTE_LETTERS))]
-        else:
-            return self.tokenizer.encode(" " + word.decode(), add_special_tokens=False).ids
-        if tail is not None:
-            ids.append(tail)
-        return ids
+        self.pieces = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.opens = np.array([p[:1] == SPACE for p in self.pieces])
+
+    def __call__(self, words: list[bytes], some: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids one after the other, and how many each word has.  Words go in one
+        text with a space before each, which so opens its word's first subword."""
+        ids, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), some):
+            cut = words[at : at + some]
+            text = (b" " + b" ".join(cut)).decode()
+            if len(text.split()) == len(cut):
+                found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+                begins = np.nonzero(self.opens[found])[0]
+                ids.append(found)
+                counts.append(np.diff(begins, append=len(found)))
+            elif len(cut) > 1:  # some word holds white space that is not ASCII: on to fewer words
+                for part in (cut[: len(cut) // 2], cut[len(cut) // 2 :]):
+                    for held, new in zip((ids, counts), self(part, some)):
+                        held.append(new)
+            else:
+                ids.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64))
+                counts.append(np.array([len(ids[-1])]))
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 class Vocabulary:
     """Own ids of subwords: the end is 0, then the tokenizer's ids that training texts hold
-    and single bytes, the most frequent first."""
+    and single bytes, the most frequent first.  Any other id is read as its bytes."""
 
     def __init__(self, path: str, ids: np.ndarray):
         self.subwords = Subwords(path)
-        tokenizer = self.subwords.tokenizer
-        self.pieces, self.size = tokenizer.id_to_token, len(ids) + 1
-        self.map = np.full(tokenizer.get_vocab_size(), -1, np.int64)
-        self.map[ids] = np.arange(1, len(ids) + 1)
-        self.map = self.map.tolist()
-        self.of_byte = {b: self.map[tokenizer.token_to_id(c)] for c, b in LETTER_BYTES.items()}
-
-    def encode(self, word: bytes) -> list[int]:
-        own, found = self.map, self.subwords(word)
-        ids = [own[i] for i in found]
-        if -1 in ids:
-            ids = [k for i, j in zip(found, ids) for k in ((j,) if j >= 0 else [self.of_byte[LETTER_BYTES[c]] for c in self.pieces(i)])]
-        return ids
+        pieces = self.subwords.pieces
+        own = {int(i): k for k, i in enumerate(ids, 1)}
+        self.of_byte = {b: own[self.subwords.tokenizer.token_to_id(c)] for c, b in LETTER_BYTES.items()}
+        read = [[own[i]] if i in own else [self.of_byte[LETTER_BYTES[c]] for c in p if c in LETTER_BYTES] for i, p in enumerate(pieces)]
+        self.size = len(ids) + 1
+        self.length = np.array([len(r) for r in read])
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.array([k for r in read for k in r], np.int32)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' own ids one after the other, and how many each word has."""
+        found, counts = self.subwords(words)
+        length = self.length[found]
+        ends = np.cumsum(length)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[found] - ends + length, length)
+        return self.flat[place], np.add.reduceat(length, np.cumsum(counts) - counts) if len(counts) else counts
 
 
 class Growing:
@@ -125,11 +151,18 @@ class Words:
     """Words with their ids, as they are met; row 0 is the end."""
 
     def __init__(self, path: str, ids: np.ndarray):
+        steady()
         self.vocabulary = Vocabulary(path, ids)
         self.reset()
 
-    def reset(self) -> None:
-        """Forgets all words; their ids are found again when they are met."""
+    def reset(self, keep: int = 0) -> None:
+        """Forgets words but the first met, which are mostly the frequent ones."""
+        if keep:
+            self.names = self.names[:keep]
+            self.index = dict(zip(self.names, range(keep)))
+            self.start.size = self.length.size = keep
+            self.flat.size = int(self.start.values[keep - 1] + self.length.values[keep - 1])
+            return
         self.index: dict[bytes, int] = {END: 0}
         self.names: list[bytes] = [END]
         self.flat, self.start, self.length = Growing(np.int32), Growing(np.int64), Growing(np.int32)
@@ -143,13 +176,8 @@ class Words:
         index = self.index
         fresh = [w for w in words if w not in index]
         if fresh:
-            encode, flat, lengths = self.vocabulary.encode, [], []
-            for row, word in enumerate(fresh, len(index)):
-                index[word] = row
-                ids = encode(word)
-                flat += ids
-                lengths.append(len(ids))
-            lengths = np.array(lengths)
+            flat, lengths = self.vocabulary(fresh)
+            index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
             self.names += fresh
             self.start.add(self.flat.size + np.cumsum(lengths) - lengths)
             self.length.add(lengths)
@@ -242,14 +270,24 @@ def attention(w: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray, there: np.nd
     return seen, a, total
 
 
+#: The products of a place's embedding, side by side in one matrix.
+_SIDE = (("query", INNER), ("key", INNER), ("value", INNER), ("last", DIM))
+_AT = {name: slice(at, at + width) for (name, width), at in zip(_SIDE, np.cumsum([0, *(n for _, n in _SIDE)]).tolist())}
+
+
 def attend(w: dict, read: np.ndarray, there: np.ndarray):
     """The state that tells each id of the windows, and what it was made of."""
     x = w["embed"][read]
-    earlier = np.zeros_like(x)
-    np.multiply(x[:, :-1], there[:, :-1, None], out=earlier[:, 1:])
-    q, k, v = _times(x, w["query"]), _times(x, w["key"]), _times(x, w["value"])
+    all_ = _times(x, np.concatenate([w[name] for name, _ in _SIDE], 1))
+    q, k, v, last = (all_[:, :, _AT[name]] for name, _ in _SIDE)
     seen, a, total = attention(w, q, k, v, there, 0)
-    return _times(seen, w["mix"]) + _times(x, w["last"]) + _times(earlier, w["before"]), (x, earlier, q, k, v, a, total, seen)
+    mask = there[:, :-1, None].astype(x.dtype)
+    state = _times(seen, w["mix"])
+    state += last
+    earlier = _times(x, w["before"])[:, :-1]
+    earlier *= mask
+    state[:, 1:] += earlier
+    return state, (x, q, k, v, a, total, seen, mask)
 
 
 def tables(w: dict) -> dict:
@@ -270,14 +308,19 @@ def attend_scored(t: dict, read: np.ndarray, there: np.ndarray) -> np.ndarray:
     return out
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities down each column (over ``z``) and the logs' common terms."""
-    most = z.max(0)
-    z -= most
+def _chosen(z: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each column's own row; ``z`` becomes e^z, whose sums come with it."""
+    z -= z.max(0)
+    part = z[own, at]
     np.exp(z, out=z)
     total = z.sum(0)
-    z /= total
-    return z, most + np.log(total)
+    return part - np.log(total), total
+
+
+def _pull(z: np.ndarray, total: np.ndarray, own: np.ndarray, at: np.ndarray) -> None:
+    """e^z to the gradient of the loss by z."""
+    z *= 1 / total
+    z[own, at] -= 1
 
 
 def tell(w: dict, h: np.ndarray, ids: np.ndarray, grads: dict | None = None):
@@ -287,61 +330,73 @@ def tell(w: dict, h: np.ndarray, ids: np.ndarray, grads: dict | None = None):
     width = class_width(size)
     of = ids // width
     order = np.argsort(of.astype(np.int16), kind="stable")
-    h, of, ids = h[order], of[order], ids[order]
-    at = np.arange(n)
+    h, of, at = h[order], of[order], np.arange(n)
+    own = ids[order] - of * width
     z = w["class"] @ h.T
     z += w["class_bias"][:, None]
-    logp = z[of, at]
-    z, norm = _softmax(z)
-    logp -= norm
+    logp, total = _chosen(z, of, at)
     if grads is not None:
-        z[of, at] -= 1
-        z *= np.float32(1 / n)
-        grads["class"], grads["class_bias"], dh = z @ h, z.sum(1), z.T @ w["class"]
+        _pull(z, total, of, at)
+        scale = np.float32(1 / n)
+        grads["class"], grads["class_bias"], dh = (z @ h) * scale, z.sum(1) * scale, z.T @ w["class"]
         grads["member"], grads["member_bias"] = np.zeros_like(w["member"]), np.zeros_like(w["member_bias"])
-    cuts = np.searchsorted(of, np.arange(len(w["class"]) + 1))
-    for c in np.nonzero(np.diff(cuts))[0].tolist():
-        rows, lo = slice(cuts[c], cuts[c + 1]), c * width
-        hi, x, own = min(size, lo + width), h[rows], ids[rows] - lo
-        z = w["member"][lo:hi] @ x.T
-        z += w["member_bias"][lo:hi, None]
-        part = z[own, at[: len(own)]]
-        z, norm = _softmax(z)
-        logp[rows] += part - norm
+    cuts = np.searchsorted(of, np.arange(len(w["class"]) + 1)).tolist()
+    for c, (begin, end) in enumerate(zip(cuts, cuts[1:])):
+        if begin == end:
+            continue
+        lo = c * width
+        matrix, x, mine, here = w["member"][lo : lo + width], h[begin:end], own[begin:end], at[: end - begin]
+        z = matrix @ x.T
+        z += w["member_bias"][lo : lo + width, None]
+        part, total = _chosen(z, mine, here)
+        logp[begin:end] += part
         if grads is not None:
-            z[own, at[: len(own)]] -= 1
-            z *= np.float32(1 / n)
-            grads["member"][lo:hi], grads["member_bias"][lo:hi] = z @ x, z.sum(1)
-            dh[rows] += z.T @ w["member"][lo:hi]
+            _pull(z, total, mine, here)
+            np.matmul(z, x, out=grads["member"][lo : lo + width])
+            z.sum(1, out=grads["member_bias"][lo : lo + width])
+            dh[begin:end] += z.T @ matrix
     back = np.empty_like(order)
     back[order] = at
-    return logp[back] if grads is None else (logp[back], dh[back])
+    if grads is None:
+        return logp[back]
+    for g in (grads["member"], grads["member_bias"], dh):
+        g *= scale
+    return logp[back], dh[back]
 
 
 def gradient(w: dict, read, there, ids, use) -> tuple[float, dict]:
     """Mean loss over the ids that count, and its gradient."""
     grads: dict[str, np.ndarray] = {}
-    state, (x, earlier, q, k, v, a, total, seen) = attend(w, read, there)
-    logp, d = tell(w, state[use], ids[use], grads)
-    dh = np.zeros_like(state)
-    dh[use] = d
+    state, (x, q, k, v, a, total, seen, mask) = attend(w, read, there)
+    if use.all():
+        logp, dh = tell(w, state.reshape(-1, DIM), ids.ravel(), grads)
+        dh = dh.reshape(state.shape)
+    else:
+        logp, d = tell(w, state[use], ids[use], grads)
+        dh = np.zeros_like(state)
+        dh[use] = d
     flat = lambda y: y.reshape(-1, y.shape[2])
-    grads["mix"], grads["last"], grads["before"] = (flat(y).T @ flat(dh) for y in (seen, x, earlier))
+    grads["mix"] = flat(seen).T @ flat(dh)
     part = _times(dh, w["mix"].T)
     part /= total
     ds = v @ part.transpose(0, 2, 1)
     ds *= a
-    dv = a @ part
+    side = np.empty((*x.shape[:2], sum(n for _, n in _SIDE)), x.dtype)  # the gradients by the products, side by side
+    side[:, :, _AT["value"]] = a @ part
     a *= ds.sum(1)[:, None, :] / total.transpose(0, 2, 1)
     ds -= a
-    dq, dk = ds.transpose(0, 2, 1) @ k, ds @ q
-    grads["query"], grads["key"], grads["value"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    grads["distance"] = np.bincount(_MASKS[0][0].ravel(), weights=ds.sum(0).ravel(), minlength=2 * STRIDE).astype(np.float32)
-    dx = _times(dk, w["key"].T) + _times(dv, w["value"].T)
-    dx += _times(dq, w["query"].T) + _times(dh, w["last"].T)
-    dx[:, :-1] += _times(dh, w["before"].T)[:, 1:] * there[:, :-1, None]
-    where, dx = read.ravel(), dx.reshape(-1, DIM)
-    order = np.argsort(where, kind="stable")
+    side[:, :, _AT["query"]], side[:, :, _AT["key"]], side[:, :, _AT["last"]] = ds.transpose(0, 2, 1) @ k, ds @ q, dh
+    grads["distance"] = np.bincount(_MASKS[0][0].ravel(), weights=ds.sum(0).ravel(), minlength=2 * STRIDE).astype(x.dtype)
+    before = np.zeros_like(dh)
+    np.multiply(dh[:, 1:], mask, out=before[:, :-1])
+    both, into = flat(x).T @ flat(side), flat(x).T @ flat(before)
+    for name, _ in _SIDE:
+        grads[name] = both[:, _AT[name]]
+    grads["before"] = into
+    dx = flat(side) @ np.concatenate([w[name] for name, _ in _SIDE], 1).T
+    dx += flat(before) @ w["before"].T
+    where = read.ravel()
+    order = np.argsort(where.astype(np.uint16) if len(w["embed"]) < 1 << 16 else where, kind="stable")
     sorted_ = where[order]
     first = np.nonzero(np.diff(sorted_, prepend=-1))[0]
     grads["embed"] = np.zeros_like(w["embed"])
@@ -415,11 +470,12 @@ def _subwords(path: str):
 
     def run(batches):
         subwords = kept("lm subwords", "subwords", lambda: Subwords(path))
-        often = np.zeros(subwords.tokenizer.get_vocab_size(), np.int64)
+        often = np.zeros(len(subwords.pieces), np.int64)
         for batch in batches:
-            found = [subwords(w) if w != END else [] for w in batch.column(0).to_pylist()]
-            n = np.repeat(np.asarray(batch.column(1)), [len(f) for f in found])
-            often += np.bincount(np.array([i for f in found for i in f], np.int64), weights=n, minlength=len(often)).astype(np.int64)
+            words, n = batch.column(0).to_pylist(), np.asarray(batch.column(1))
+            found, counts = subwords([w for w in words if w != END])
+            n = np.repeat(n[[w != END for w in words]], counts)
+            often += np.bincount(found, weights=n, minlength=len(often)).astype(np.int64)
         used = np.nonzero(often)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(often[used])], ["id", "n"])
 
@@ -466,7 +522,7 @@ def _round(path: str, shared, rate: float, seed: int):
             for batch in batches:
                 for part in pieces(batch, 0, TEXT_BYTES):
                     if len(words.index) > STORE_WORDS:
-                        words.reset()
+                        words.reset(STORE_WORDS // 2)
                     yield words.stream(words.rows(part.column(0)))
 
         found, told = descend(weights, rate, streams(), np.random.default_rng([seed, TaskContext.get().partitionId()]))
@@ -546,19 +602,15 @@ class Scorer:
     def __init__(self, path: str, ids: np.ndarray, weights: dict, names: bytes, logs: np.ndarray):
         self.tables, self.words = tables(weights), Words(path, ids)
         self.count = dict(zip(names.split(b"\n") if names else (), logs[1:].tolist()))
-        self.end = logs[0]
-        self.reset()
-
-    def reset(self) -> None:
-        self.words.reset()
         self.logs = Growing(np.float64)
-        self.logs.add([self.end])
+        self.logs.add(logs[:1])
 
     def score(self, texts: pa.Array):
         """For each text: tokens, known frequent ones, their base sum, log10 probability, and
         its words that are not frequent."""
         if len(self.words.index) > STORE_WORDS:
-            self.reset()
+            self.words.reset(STORE_WORDS // 2)
+            self.logs.size = STORE_WORDS // 2
         rows = self.words.rows(texts)
         names = self.words.names
         self.logs.add([self.count.get(w, math.nan) for w in names[self.logs.size :]])
