@@ -2,39 +2,46 @@
 
 The pages of a host are merged into one tree of presentation nodes: an element's place is
 the chain of block elements above it with their names and class words.  Over the distinct
-pages of the host (and, for hosts of few pages, over those of all hosts) each node gets an
-importance from the entropy of what it shows and of how its children are laid out: menus,
-adverts and footers show the same few things everywhere, articles something else on every
-page.  Branches of low importance are cut from each page, as are elements whose own
-mark-up says that they are no text (scripts, forms, navigation, comments and the like).
-
-Only counts by (host, node, content) are shuffled, never pages or trees, so that a host
-of any size is one key among many after the map side has added up its counts.
+pages of the host each node gets an importance from the entropy of what it shows and of how
+its children are laid out: menus, adverts and notices show the same few things on many
+pages, articles something else on every page.  The tree of all hosts is the prior: it counts
+like ``PRIOR_PAGES`` pages of the host itself, and what all places of one name show is in
+turn the prior of a place.  Branches of low importance are cut from each page.  Mark-up
+alone takes away what the HTML standard says is no text (scripts, forms, navigation and the
+like), what is hidden, and reader comments, which differ from page to page as articles do.
+
+Pages are parsed once, into blocks and nodes.  Only counts by (host, node, content) are
+shuffled; the cuts, a short list for each host, are broadcast if they are few, else joined
+with pages that are dealt by salt.
 
 Defined cases
   * null html counts as empty and gives an empty text, as does a page without text;
   * a block is what no block element's start or end divides; a line break is white space;
-  * pages that repeat count once for the importance; null and odd URLs share one host;
-  * a page that would lose all its text to importance keeps what mark-up alone leaves;
+  * pages of a host with the same longest block are one page for the importance, whatever
+    stands around it; null and odd URLs share one host;
+  * a page that would lose all its text to importance keeps what mark-up alone leaves, and
+    one whose text is all within a form keeps that; a form that holds an article is a wrapper;
   * an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, pieces, text, written
 
 LAYOUT_PART = 0.1  # of a node's importance; the rest is the content's
-LOW, LOW_IN_ARTICLE, OWN = 0.5, 0.05, 0.85
-FEW_PAGES, FEW_IN_ARTICLE = 6, 50
+#: A node is cut under this importance; within an article only if it is nearly always the same.
+LOW, LOW_IN_ARTICLE = 0.9, 0.3
+PRIOR_PAGES = 8
+BROADCAST_CUTS = 200_000
 SALTS = 64
 RESULT = "page_id long, url string, text string, n_chars long"
 
@@ -50,13 +57,8 @@ ENDS_P = BLOCK - frozenset("option optgroup caption tbody td tfoot th thead tr l
 #: A start tag that ends an open element of these names, up to the given ancestors.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related recommended footer masthead pagination pager skip toolbar tooltip header topbar copyright announcement".split()
-)
-MAIN = frozenset("article content main body page layout story text".split())
+#: Class words of reader comments, and words that say that a class is about something else.
 COMMENT = frozenset("comment comments disqus replies respond".split())
-TEXT = frozenset("article content entry story".split())
 WITH = frozenset("has with without no".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -69,20 +71,11 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def _noise(words: list[str], article: bool) -> bool:
-    """Whether a class or id says that its element is no text: it names something of the
-    kind, and is not about the whole ("sidebar-layout", "with-sidebar")."""
-    if WITH.intersection(words):
-        return False
-    found = NOISE.intersection(words) - ({"header"} if article else set())
-    return bool(found) and (words[-1] not in MAIN or not COMMENT.isdisjoint(words))
-
-
-def _marks(attributes: str, article: bool) -> tuple[str, bool, bool, bool]:
-    """Class and id words; whether they are noise, and of reader comments; whether the
-    element is hidden or its role says no text."""
+def _marks(attributes: str) -> tuple[str, bool, bool]:
+    """Class and id words; whether they are of reader comments; whether the element is hidden
+    or its role says no text."""
     if not attributes or attributes.isspace():
-        return "", False, False, False
+        return "", False, False
     names, hidden = [], False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -92,38 +85,54 @@ def _marks(attributes: str, article: bool) -> tuple[str, bool, bool, bool]:
             hidden = True
         elif name == "role" and value.strip().lower() in ROLES:
             hidden = True
-    return ".".join(w for words in names for w in words), any(_noise(words, article) for words in names), any(not COMMENT.isdisjoint(words) for words in names), hidden
+    comment = any(not COMMENT.isdisjoint(words) and WITH.isdisjoint(words) for words in names)
+    return ".".join(w for words in names for w in words), comment, hidden
+
+
+#: Why an element's text goes: it never is text, or it is in a form that may be a wrapper.
+GONE, IN_FORM = 1, 2
 
 
 class Element:
-    __slots__ = ("name", "path", "dropped", "article", "content", "layout", "node")
+    __slots__ = ("name", "path", "dropped", "article", "node")
 
     def __init__(self, name, path, dropped, article, node):
         self.name, self.path, self.dropped, self.article, self.node = name, path, dropped, article, node
-        self.content = self.layout = 0
 
 
-def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
-    """The page's text blocks, each with the presentation nodes that hold it; and for each
-    node: whether it is in an article, a hash of its content and one of its layout."""
-    top = Element("", "", False, False, 0)
-    stack, buffer, blocks = [top], [], []
-    nodes: dict[int, list] = {}
+class Node:
+    """A presentation node of one page: hashes of what it shows and of its children's order."""
+
+    __slots__ = ("place", "label", "article", "content", "layout")
+
+    def __init__(self, place, label, article):
+        self.place, self.label, self.article, self.content, self.layout = place, label, article, 0, 0
+
+
+def parse(source: str) -> tuple[list[tuple[str, list[int]]], dict[int, Node]]:
+    """The page's text blocks, each with the places (in order) of the nodes that hold it, and
+    the nodes by the hash of their path."""
+    top = Element("", "", 0, False, 0)
+    stack, buffer, blocks, formed = [top], [], [], []
+    nodes: dict[int, Node] = {}
 
     def put(text: str) -> None:
-        if not stack[-1].dropped:
+        if stack[-1].dropped != GONE:
             buffer.append(text)
 
     def flush() -> None:
         if buffer:
             text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
+            buffer.clear()
             if text:
-                chain = [e for e in stack if e.node]
-                blocks.append(([e.node for e in chain], text))
+                if next(e for e in reversed(stack) if e is top or e.name in BLOCK).dropped == IN_FORM:
+                    formed.append((text, []))
+                    return
+                chain = [nodes[e.node] for e in stack if e.node]
+                blocks.append((text, [n.place for n in chain]))
                 h = _hash(text)
-                for e in chain:
-                    nodes[e.node][1] += h
-            buffer.clear()
+                for n in chain:
+                    n.content += h
 
     def close(at: int) -> None:
         flush()
@@ -164,7 +173,7 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
         if name == "br" or name == "wbr":
             put(" " if name == "br" else "")
             continue
-        words, noisy, comment, hidden = _marks(attributes, stack[-1].article)
+        words, comment, hidden = _marks(attributes)
         block = name in BLOCK
         if block:
             flush()
@@ -186,11 +195,12 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
         if name in VOID:
             continue
         parent = stack[-1]
-        parts = set(words.split(".")) if words else set()
-        if name in ("html", "body", "main", "article"):
-            noisy = comment and name == "article"
-        dropped = parent.dropped or hidden or noisy or name in DROPPED or name == "header" and not parent.article
-        article = parent.article or not dropped and (name in ("article", "main") or bool(parts & TEXT))
+        if name in ("html", "body", "main"):
+            comment = False
+        gone = parent.dropped == GONE or hidden or comment or name in DROPPED and name != "form" or name == "header" and not parent.article
+        main = not gone and name in ("article", "main")
+        dropped = GONE if gone else 0 if main else IN_FORM if name == "form" else parent.dropped
+        article = parent.article or main
         if name in RAW:
             close_at = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(source, at)
             if close_at is None:
@@ -207,86 +217,104 @@ def parse(source: str) -> tuple[list[tuple[list[int], str]], dict[int, list]]:
         path = f"{parent.path}/{label}"
         node = _hash(path) if not dropped and name not in ("html", "body") else 0
         if node:
-            nodes.setdefault(node, [article, 0, 0])
+            nodes.setdefault(node, Node(len(nodes), _hash(label), article))
             holder = next((e for e in reversed(stack) if e.node), None)
             if holder is not None:
-                nodes[holder.node][2] = (nodes[holder.node][2] * 31 + _hash(label)) & (2**63 - 1)
+                nodes[holder.node].layout = (nodes[holder.node].layout * 31 + _hash(label)) & (2**63 - 1)
         stack.append(Element(name, path, dropped, article, node))
     flush()
-    return blocks, nodes
+    return blocks or formed, nodes
 
 
 def _signed(h: int) -> int:
     return ((h + 2**63) & (2**64 - 1)) - 2**63
 
 
-_NODES = [("host", pa.int64()), ("node", pa.int64()), ("article", pa.bool_()), ("content", pa.int64()), ("layout", pa.int64()), ("page", pa.int64())]
+_NODE = "struct<node:bigint,label:bigint,article:boolean,content:bigint,layout:bigint>"
+_BLOCK = "struct<text:string,chain:array<int>>"
+_PARSED = f"page_id long, url string, host long, page long, nodes array<{_NODE}>, blocks array<{_BLOCK}>"
+_NODE_TYPE = pa.struct([("node", pa.int64()), ("label", pa.int64()), ("article", pa.bool_()), ("content", pa.int64()), ("layout", pa.int64())])
+_BLOCK_TYPE = pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int32()))])
 
 
-def _nodes(batches):
+def _parsed(batches):
+    """Pages (page_id, url, host, html) to _PARSED; ``page`` tells a host's pages apart."""
     for batch in batches:
-        columns = [[] for _ in _NODES]
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            blocks, nodes = parse(source)
-            page = _hash("\n\n".join(t for _, t in blocks))
-            for node, (article, content, layout) in nodes.items():
-                for c, v in zip(columns, (host, node, article, _signed(content), layout, page)):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _NODES)], [n for n, _ in _NODES])
-
-
-def importance(nodes: DataFrame, *keys: str) -> DataFrame:
-    """pages and importance of each node of the trees told apart by ``keys``: the entropy of
-    content and layout over the distinct pages, as a part of the greatest possible."""
-    once = nodes.groupBy(*keys, "article", "content", "layout").agg(F.sum("n").alias("n"))
-    content = once.groupBy(*keys, "article", "content").agg(F.sum("n").alias("n"))
-    layout = once.groupBy(*keys, "layout").agg(F.sum("n").alias("n"))
-    spread = lambda: F.sum(F.col("n") * F.log("n"))
-    c = content.groupBy(*keys).agg(F.sum("n").alias("pages"), spread().alias("cs"), F.max("article").alias("article"))
-    s = layout.groupBy(*keys).agg(spread().alias("ls"))
-    m = F.col("pages")
-    entropy = lambda x: F.when(m > 1, 1 - F.col(x) / (m * F.log(m))).otherwise(1.0)
-    return c.join(s, list(keys)).select(*keys, "article", "pages", (F.lit(1 - LAYOUT_PART) * entropy("cs") + F.lit(LAYOUT_PART) * entropy("ls")).alias("importance"))
-
-
-def low_branches(pages: DataFrame) -> DataFrame:
-    """host (hash) and cut (array of node hashes): what each host's pages lose.  ``pages``:
-    host long, html string."""
-    found = pages.mapInArrow(_nodes, "host long, node long, article boolean, content long, layout long, page long")
+        for part in pieces(batch, 3, 1 << 20):
+            pages, all_nodes, all_blocks = [], [], []
+            for source in part.column(3).to_pylist():
+                blocks, nodes = parse(source)
+                pages.append(_hash(max((t for t, _ in blocks), key=len, default="")))
+                all_nodes.append([{"node": k, "label": n.label, "article": n.article, "content": _signed(n.content), "layout": n.layout} for k, n in nodes.items()])
+                all_blocks.append([{"text": t, "chain": c} for t, c in blocks])
+            columns = [*(part.column(k) for k in range(3)), pa.array(pages, pa.int64()), pa.array(all_nodes, pa.list_(_NODE_TYPE)), pa.array(all_blocks, pa.list_(_BLOCK_TYPE))]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "page", "nodes", "blocks"])
+
+
+def sameness(counts: DataFrame, *keys: str) -> DataFrame:
+    """For the nodes of the trees told apart by ``keys``: whether in an article, pages, and how
+    much content and layout repeat, each as (same, most): the sum of n log n over what is
+    shown, and the value of that sum if all pages showed the same."""
+    n = F.sum("n").alias("n")
+    spread = F.sum(F.col("n") * F.log("n"))
+    content = counts.groupBy(*keys, "article", "content").agg(n).groupBy(*keys).agg(F.sum("n").alias("pages"), spread.alias("content"), F.max("article").alias("article"))
+    layout = counts.groupBy(*keys, "layout").agg(n).groupBy(*keys).agg(spread.alias("layout"))
+    same = F.lit(1 - LAYOUT_PART) * F.col("content") + F.lit(LAYOUT_PART) * F.when(F.col("content") > 0, F.col("layout")).otherwise(0.0)
+    return content.join(layout, list(keys)).select(*keys, "article", "pages", same.alias("same"), (F.col("pages") * F.log("pages")).alias("most"))
+
+
+def importance(counts: DataFrame) -> DataFrame:
+    """host, node, article, pages and importance: one less the share of the greatest possible
+    sameness, where the tree of all hosts counts like some pages of the host."""
+    weight = F.lit(PRIOR_PAGES * math.log(PRIOR_PAGES))
+    label = sameness(counts, "label").select("label", (F.col("same") / (F.col("most") + weight)).alias("of_label"))
+    place = sameness(counts, "node", "label").join(label, "label")
+    place = place.select("node", ((F.col("same") + weight * F.col("of_label")) / (F.col("most") + weight)).alias("of_place"))
+    own = sameness(counts, "host", "node").join(place, "node")
+    return own.select("host", "node", "article", "pages", (1 - (F.col("same") + weight * F.col("of_place")) / (F.col("most") + weight)).alias("importance"))
+
+
+def low_branches(parsed: DataFrame) -> DataFrame:
+    """host and cut (array of node hashes): what each host's pages lose."""
+    found = parsed.select("host", "page", F.inline("nodes")).where("content <> 0")  # nodes that show text
     # equal pages of a host count once
-    once = found.groupBy("host", "node", "article", "content", "layout", "page").agg(F.lit(1).alias("one"))
-    counts = written(once.groupBy("host", "node", "article", "content", "layout").agg(F.count(F.lit(1)).alias("n")), "style-nodes")
-    low = (F.col("article") & (F.col("pages") >= FEW_IN_ARTICLE) & (F.col("importance") < LOW_IN_ARTICLE)) | (~F.col("article") & (F.col("pages") >= FEW_PAGES) & (F.col("importance") < LOW))
-    # what is low over all hosts is cut where the host's own pages are few or say nothing else
-    plain = (F.col("pages") < FEW_PAGES) | (F.col("importance") < OWN)
-    everywhere = importance(counts, "node").where(low).select("node", F.lit(True).alias("low_everywhere"))
-    own = importance(counts, "host", "node").join(everywhere, "node", "left")
-    return own.where(low | (F.col("low_everywhere") & plain)).groupBy("host").agg(F.collect_set("node").alias("cut"))
-
-
-def page_text(source: str, cut: set[int]) -> str:
-    blocks, _ = parse(source)
-    kept = [text for chain, text in blocks if not cut.intersection(chain)] if cut else [text for _, text in blocks]
-    return "\n\n".join(kept or [text for _, text in blocks])
-
-
-def _texts(batches):
-    for batch in batches:
-        texts = [page_text(source, set(cut or ())) for source, cut in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
+    once = found.groupBy("host", "node", "label", "article", "content", "layout", "page").agg(F.lit(1).alias("one"))
+    counts = written(once.groupBy("host", "node", "label", "article", "content", "layout").agg(F.count(F.lit(1)).alias("n")), "style-nodes")
+    low = F.col("importance") < F.when(F.col("article"), LOW_IN_ARTICLE).otherwise(LOW)
+    return written(importance(counts).where(low).groupBy("host").agg(F.collect_list("node").alias("cut")), "style-cuts")
+
+
+def cleaned(parsed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Parsed pages without the cut branches (RESULT)."""
+    few = (cuts.agg(F.sum(F.size("cut"))).first()[0] or 0) <= BROADCAST_CUTS
+    if few:
+        joined = parsed.join(F.broadcast(cuts), "host", "left")
+    else:
+        salted = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        spread = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = salted.join(spread, ["host", "salt"], "left")
+    gone = F.transform("nodes", lambda n: F.array_contains(F.coalesce("cut", F.array().cast("array<bigint>")), n["node"]))
+    marked = joined.select("page_id", "url", "blocks", gone.alias("gone"))
+    left = F.filter("blocks", lambda b: ~F.exists(b["chain"], lambda k: F.get("gone", k)))
+    text = marked.select("page_id", "url", F.array_join(F.transform(F.when(F.size(left) > 0, left).otherwise(F.col("blocks")), lambda b: b["text"]), "\n\n").alias("text"))
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def page_text(source: str, cut: set[int] = frozenset()) -> str:
+    """One page's text by itself: without the nodes whose hashes are ``cut``."""
+    blocks, nodes = parse(source)
+    gone = {n.place for k, n in nodes.items() if k in cut}
+    left = [t for t, chain in blocks if gone.isdisjoint(chain)]
+    return "\n\n".join(left or [t for t, _ in blocks])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page (RESULT)."""
     bounded_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.trim(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    rows = rows.withColumn("host", F.xxhash64("host"))
-    cut = low_branches(rows.select("host", "html"))
-    # a host's pages are dealt to many tasks; its cuts, a short list, go to each
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-    spread = cut.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "cut").mapInArrow(_texts, RESULT)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.xxhash64(host).alias("host"), text(html_col).alias("html"))
+    parsed = written(rows.mapInArrow(_parsed, _PARSED), "parsed-pages")
+    return cleaned(parsed, low_branches(parsed))
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:
