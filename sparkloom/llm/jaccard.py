@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, pieces, split_words, text, written
@@ -185,7 +185,7 @@ def _sketch(size: int):
             for sh in shingles(batch.column(2), size):
                 rows.append((*set_digest(sh), len(sh), signature(sh).tobytes()))
             d1, d2, n, sig = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["uid", "doc_id", "d1", "d2", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["uid", "doc_id", "text_hash", "d1", "d2", "n", "sig"])
 
     return run
 
@@ -288,17 +288,27 @@ def _tiled(df: DataFrame, group: str, size: str, tile: int) -> DataFrame:
     return pair.select(F.col(group).alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", *[c for c in df.columns if c not in (group, size, "cid")])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, tile: int = TILE) -> DataFrame:
-    """One row for each document: uid (its id, or a hash of its text), doc_id, class_uid,
-    class_id, copy_id, n_links and n_copies."""
+def _uid(id_col: str, text_col: str):
+    """A document's id, or a hash of its text where it has none."""
+    return F.coalesce(F.col(id_col).cast("long"), _text_hash(text_col))
+
+
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, tile: int = TILE) -> DataFrame:
+    """As ``near_duplicates``, with text_hash and component, which tells classes apart even
+    where ids repeat."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text(text_col).alias("text"))
-    sketch = written(rows.mapInArrow(_sketch(size), "uid long, doc_id long, d1 long, d2 long, n long, sig binary"), "sketches")
+    rows = docs.select(_uid(id_col, text_col).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text(text_col).alias("text"))
+    sketch = written(rows.select("*", F.xxhash64("text").alias("text_hash")).mapInArrow(_sketch(size), "uid long, doc_id long, text_hash long, d1 long, d2 long, n long, sig binary"), "sketches")
     classes = written(sketch.groupBy("d1", "d2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
     keys = classes.where("n > 0").select("cid", band.alias("band", "key")).select("cid", "key")
-    met = keys.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
+    # a join, not a window: a band that very many share is split between tasks
+    met = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key")
     buckets = _tiled(met.join(classes.select("cid", "sig"), "cid"), "key", "size", 2 * tile).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     loose = components(buckets.mapInArrow(_candidates(threshold, tolerance), "a long, b long"))
 
@@ -312,16 +322,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     tied = classes.select("cid", "d1", "d2", "uid", "copy_id", "n_copies").join(links, "cid", "left").join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = tied.groupBy("component").agg(F.min("uid").alias("class_uid"), F.min("copy_id").alias("class_id"))
-    tied = tied.join(heads, "component").select("d1", "d2", "class_uid", "class_id", "copy_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return sketch.select("uid", "doc_id", "d1", "d2").join(tied, ["d1", "d2"]).drop("d1", "d2")
+    tied = tied.join(heads, "component").select("d1", "d2", "component", "class_uid", "class_id", "copy_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return sketch.select("uid", "doc_id", "text_hash", "d1", "d2").join(tied, ["d1", "d2"]).drop("d1", "d2")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row for each document: uid (its id, or a hash of its text), doc_id, class_uid,
+    class_id, copy_id, n_links and n_copies."""
+    return classified(docs, id_col, text_col, **options).drop("text_hash", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with one of each class of near duplicates left, that of the least id."""
-    uid = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    stay = near_duplicates(docs, id_col, text_col, **options).where("uid = class_uid").select(F.col("uid").alias("_uid"))
-    kept = docs.withColumn("_uid", uid).join(stay.distinct(), "_uid", "left_semi")
-    return kept.withColumn("_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates(["_uid", "_text"]).select(*docs.columns)
+    """The documents with one of each class of near duplicates left, that of the least id; of
+    rows that share this id too, one text's, and of rows that are all the same, one."""
+    found = classified(docs, id_col, text_col, **options)
+    stay = found.groupBy("component").agg(F.min(F.struct("uid", "text_hash")).alias("head")).select(F.col("head.uid").alias("_uid"), F.col("head.text_hash").alias("_text"))
+    marked = docs.withColumn("_uid", _uid(id_col, text_col)).withColumn("_text", _text_hash(text_col))
+    return marked.join(stay, ["_uid", "_text"], "left_semi").dropDuplicates(["_uid", "_text"]).select(*docs.columns)
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
