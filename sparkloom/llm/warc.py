@@ -7,13 +7,14 @@ header fields that a not-modified answer may change are merged over the stored o
 
 The as-of join carries the latest response of each slice of time over the slices, and
 within a slice over its records, so that a URL with very many captures is spread over
-tasks.
+tasks.  Slices are ranges of (time, record id) with about equal numbers of captures, so that
+neither an odd time nor a burst at one time fills one of them.
 
 Defined cases
   * a revisit without an earlier full response is "unresolved", one whose validators
     disagree "mismatch", one without a validator in common "unverified"; all are kept;
-  * captures of one URL and one time follow each other by record id; null URLs match
-    nothing; null header maps count as empty; header names are compared in lower case;
+  * captures of one URL and one time follow each other by record id; captures without a URL
+    or a time match nothing: such revisits are "unresolved"; null header maps count as empty; header names are compared in lower case;
   * an empty table gives an empty result; of repeated responses the one of the greatest
     record id counts.
 """
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 SLICES = 64
 #: Fixed by RFC 9110 and 9111: fields of the connection and of the stored body, which a
 #: not-modified answer must not change.
@@ -63,19 +66,22 @@ def resolve_revisits(captures: DataFrame, slices: int = SLICES) -> DataFrame:
     ("response" or "revisit"), status int, headers map, payload_digest string,
     payload_length long."""
     rows = captures.select("record_id", "url", "ts", "kind", "status", _lowered(F.col("headers")).alias("headers"), "payload_digest", "payload_length", canonical_url(F.col("url")).alias("canonical"))
-    edge = captures.agg(F.min("ts"), F.max("ts")).first()
-    low, high = edge[0] or 0, edge[1] or 0
-    piece = F.floor((F.col("ts") - low) / F.lit(max(1.0, (high - low + 1) / slices))).cast("int")
     full = F.struct("ts", "record_id", "status", "headers", "payload_digest", "payload_length")
-    rows = rows.withColumn("slice", piece).withColumn("full", F.when(F.col("kind") == "response", full))
+    rows = rows.withColumn("full", F.when(F.col("kind") == "response", full))
+    known = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    empty = F.lit(None).cast(rows.schema["full"].dataType)
+    alone = rows.where(~known & (F.col("kind") == "revisit")).drop("full").withColumn("base", empty)
+    # the ranges are those of one written table, whatever is computed again later
+    ranged = rows.where(known & F.col("kind").isin("response", "revisit")).repartitionByRange(slices, "ts", "record_id")
+    sliced = written(ranged.withColumn("slice", F.spark_partition_id()), "captures")
     order = Window.partitionBy("canonical", "slice").orderBy("ts", "record_id")
-    inner = rows.withColumn("before", F.last("full", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))).where("kind = 'revisit'")
-    latest = rows.where("full is not null and canonical is not null").groupBy("canonical", "slice").agg(F.max_by("full", F.struct("ts", "record_id")).alias("latest"))
+    inner = sliced.withColumn("before", F.last("full", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))).where("kind = 'revisit'").drop("full")
+    latest = sliced.where("full is not null").groupBy("canonical", "slice").agg(F.max_by("full", F.struct("ts", "record_id")).alias("latest"))
     # a slice takes what the last slice before it with a response has: at most ``slices`` rows for each URL
-    asked = inner.where("canonical is not null").select("canonical", "slice").distinct().withColumn("latest", F.lit(None).cast(latest.schema["latest"].dataType))
+    asked = sliced.where("full is null").select("canonical", "slice").distinct().withColumn("latest", empty)
     both = latest.unionByName(asked).groupBy("canonical", "slice").agg(F.first("latest", ignorenulls=True).alias("latest"))
     carried = both.withColumn("carried", F.last("latest", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).where("carried is not null").drop("latest")
-    found = inner.join(carried, ["canonical", "slice"], "left").withColumn("base", F.when(F.col("canonical").isNotNull(), F.coalesce("before", "carried")))
+    found = inner.join(carried, ["canonical", "slice"], "left").withColumn("base", F.coalesce("before", "carried")).select(*alone.columns).unionByName(alone)
 
     weak = lambda tag: F.regexp_replace(tag, "^W/", "")
     checks = [(weak(F.col("headers")["etag"]), weak(F.col("base.headers")["etag"])), (F.col("headers")["last-modified"], F.col("base.headers")["last-modified"]), (F.col("payload_digest"), F.col("base.payload_digest"))]
@@ -165,20 +171,21 @@ def read_warc(spark, path: str) -> DataFrame:
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """The crawl that ``pages`` stands for: a full response for each page at the time of
-    its id, and after all of them a second visit that answers not-modified with the page's
-    validators."""
+    """The crawl that ``pages`` stands for: a full response for each page at the time of its
+    id, and some time after it, between those of other pages, a second visit that answers
+    not-modified.  Every seventh page has no ETag, and every eleventh visit brings neither
+    that nor a date."""
     body = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("length"))
-    etag = F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"'))
-    pair = F.explode(F.array(F.lit("response"), F.lit("revisit"))).alias("kind")
-    both = base.select("*", etag.alias("etag"), pair)
-    last = pages.agg(F.max("page_id")).first()[0] or 0
-    first = F.create_map(F.lit("ETag"), F.col("etag"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.col("length").cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"))
-    second = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), F.col("etag")), F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("max-age=600"), F.lit("Connection"), F.lit("close"))
-    again = F.col("kind") == "revisit"
+    p = F.col("page_id")
+    etag = F.when(p % 7 != 0, F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"')))
+    both = base.select("*", etag.alias("etag"), F.concat(F.lit("day "), F.floor(p / 10).cast("string")).alias("day"), F.explode(F.array(F.lit("response"), F.lit("revisit"))).alias("kind"))
+    again, bare = F.col("kind") == "revisit", p % 11 == 0
+    fields = lambda *pairs: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]), lambda e: e["value"].isNotNull()))
+    first = fields(("ETag", F.col("etag")), ("Last-Modified", F.col("day")), ("Content-Type", F.lit("text/html")), ("Content-Length", F.col("length").cast("string")), ("Cache-Control", F.lit("max-age=60")))
+    second = fields(("etag", F.when(~bare, F.concat(F.lit("W/"), F.col("etag")))), ("last-modified", F.when(~bare, F.col("day"))), ("Content-Length", F.lit("0")), ("Cache-Control", F.lit("max-age=600")), ("Connection", F.lit("close")))
     return both.select(
-        (F.col("page_id") * 2 + again.cast("long")).alias("record_id"), "url", (F.col("page_id") + F.when(again, F.lit(last + 1)).otherwise(0)).alias("ts"), "kind",
+        (p * 2 + again.cast("long")).alias("record_id"), "url", (p + F.when(again, p * 7919 % 1009).otherwise(0)).alias("ts"), "kind",
         F.when(again, 304).otherwise(200).alias("status"), F.when(again, second).otherwise(first).alias("headers"), F.when(~again, F.col("digest")).alias("payload_digest"), F.when(~again, F.col("length")).alias("payload_length"),
     )
 
@@ -207,14 +214,21 @@ p AS (
       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid|msclkid|mc_cid|mc_eid)(=|$)'))) AS q
   FROM s
 ), c AS (SELECT page_id, digest, n, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM p),
-l AS (SELECT canonical_url, max(page_id) AS response_page_id FROM c WHERE canonical_url IS NOT NULL GROUP BY canonical_url)
-SELECT c.page_id, c.canonical_url,
-  CASE WHEN l.response_page_id IS NULL THEN 'unresolved' WHEN d.digest[1:16] = c.digest[1:16] THEN 'resolved' ELSE 'mismatch' END AS outcome,
-  coalesce(l.response_page_id, -1) AS response_page_id,
-  CASE WHEN d.digest[1:16] = c.digest[1:16] THEN CAST(200 AS INTEGER) ELSE CAST(-1 AS INTEGER) END AS status,
-  CASE WHEN d.digest[1:16] = c.digest[1:16] THEN
-    'cache-control: max-age=600' || chr(10) || 'content-length: ' || CAST(d.n AS VARCHAR) || chr(10) || 'content-type: text/html' || chr(10) || 'etag: W/"' || c.digest[1:16] || '"' END AS headers,
-  CASE WHEN d.digest[1:16] = c.digest[1:16] THEN d.digest END AS payload_digest,
-  CASE WHEN d.digest[1:16] = c.digest[1:16] THEN d.n ELSE CAST(-1 AS BIGINT) END AS payload_length
-FROM c LEFT JOIN l ON c.canonical_url = l.canonical_url LEFT JOIN c AS d ON d.page_id = l.response_page_id
+r AS (
+  SELECT *, CASE WHEN page_id % 7 <> 0 THEN '"' || digest[1:16] || '"' END AS etag, 'day ' || CAST(page_id // 10 AS VARCHAR) AS day,
+    page_id * 4294967296 + page_id * 2 AS at, (page_id + page_id * 7919 % 1009) * 4294967296 + page_id * 2 + 1 AS again, page_id % 11 = 0 AS bare FROM c
+), j AS (
+  SELECT v.page_id, v.canonical_url, d.page_id AS base, d.digest, d.n, d.etag AS old_tag, d.day AS old_day, CASE WHEN NOT v.bare THEN v.etag END AS new_tag, CASE WHEN NOT v.bare THEN v.day END AS new_day
+  FROM r AS v ASOF LEFT JOIN (SELECT * FROM r WHERE canonical_url IS NOT NULL) AS d ON v.canonical_url = d.canonical_url AND v.again > d.at
+), o AS (
+  SELECT *, CASE WHEN base IS NULL THEN 'unresolved' WHEN new_tag = old_tag OR (new_tag IS NULL OR old_tag IS NULL) AND new_day = old_day THEN 'resolved'
+    WHEN new_tag IS NOT NULL AND old_tag IS NOT NULL OR new_day IS NOT NULL THEN 'mismatch' ELSE 'unverified' END AS outcome FROM j
+)
+SELECT page_id, canonical_url, outcome, coalesce(base, -1) AS response_page_id,
+  CASE WHEN outcome = 'resolved' THEN CAST(200 AS INTEGER) ELSE CAST(-1 AS INTEGER) END AS status,
+  CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || CAST(n AS VARCHAR) || chr(10) || 'content-type: text/html'
+    || CASE WHEN new_tag IS NOT NULL THEN chr(10) || 'etag: W/' || new_tag WHEN old_tag IS NOT NULL THEN chr(10) || 'etag: ' || old_tag ELSE '' END || chr(10) || 'last-modified: ' || coalesce(new_day, old_day) END AS headers,
+  CASE WHEN outcome = 'resolved' THEN digest END AS payload_digest,
+  CASE WHEN outcome = 'resolved' THEN n ELSE CAST(-1 AS BIGINT) END AS payload_length
+FROM o
 """
