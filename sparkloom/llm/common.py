@@ -21,13 +21,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.  The cluster names it in
-    ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder is made and set."""
+    ``spark.checkpoint.dir``; only where that is unset and all runs on one machine (as in
+    tests) a temporary folder is made and set."""
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not path:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

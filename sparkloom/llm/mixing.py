@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCKS = 1024
+BLOCKS, BLOCK_TOKENS = 1024, 1 << 24  # blocks of a source at least, and their tokens at most (if one source had all)
 GRID, ROUNDS = 32, 5
 SEED = 20240601
 
@@ -75,13 +75,14 @@ def exponent(totals: DataFrame, total: float, budget: float | None, target_entro
     return max(found, default=1.0)
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float | str | None = "total", target_entropy: float | None = 0.95, max_repetition: float | None = 4.0, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float | str | None = "total", target_entropy: float | None = 0.95, max_repetition: float | None = 4.0, blocks: int | None = None, seed: int = SEED) -> DataFrame:
     """The selected copies: doc_id, text_hash, source, n_copies, n_tokens, weight, epoch,
     block and place.  ``budget``: tokens, "total" for as many as there are, or "cover" for
     the least that takes every source once."""
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(source_col).cast("string").alias("source"), tokens(text_col).alias("n"))
     sized = written(hashed.groupBy("doc_id", "text_hash", "source").agg(F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n_tokens")), "sized")
     key = F.coalesce(F.xxhash64("source"), F.lit(0))
+    blocks = blocks or max(BLOCKS, -(-(sized.agg(F.sum(F.col("n_tokens") * F.col("n_copies"))).first()[0] or 0) // BLOCK_TOKENS))
     sized = sized.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(blocks))).withColumn("mass", F.col("n_tokens") * F.col("n_copies"))
     block_mass = written(sized.groupBy("source", "block").agg(F.sum("mass").alias("block_mass")), "blocks")
     totals = block_mass.groupBy("source").agg(F.sum("block_mass").alias("total"))

@@ -7,8 +7,8 @@ pseudonyms in every document, different ones stay different, and a pseudonym is
 valid value of the same format and length.
 
 Formats: payment cards (Luhn), IBAN (mod 97), US social security numbers, telephone
-numbers, IPv4 addresses, calendar dates, the local part of e-mail addresses, and access
-keys, passwords and tokens of assignments.  What fails its check stays as it is.
+numbers, IPv4 addresses, calendar dates (also before a time), e-mail addresses but for their
+top domain, and access keys, passwords and tokens of assignments and bearer tokens.  What fails its check stays as it is.
 
 Defined cases
   * null text stays null and empty text empty; ids, other columns and repeated rows are
@@ -32,20 +32,21 @@ KEY = b"sparkloom: give a key of your own"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-MAYBE = re.compile(r"[0-9@]|AKIA|(?i:passw|pwd|token|secret|api[_-]?key)")
+MAYBE = re.compile(r"[0-9@]|AKIA|(?i:passw|pwd|token|secret|bearer|api[_-]?key)")  # of all that PII can match
 PII = re.compile(
     r"""
-    (?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))
+    (?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
   | (?P<access>(?<![A-Z0-9a-z])AKIA[0-9A-Z]{16}(?![A-Z0-9a-z]))
-  | (?P<secret>(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?)(?P<value>[A-Za-z0-9_+/-]{8,}))
+  | (?P<secret>(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?)(?P<value>[^\s"'<>,;]{7,}[^\s"'<>,;.:!?)\]}]))
+  | (?P<bearer>(?i:(?<![a-z])bearer\s{1,3})(?P<carried>(?=[A-Za-z._~+/-]*\d)[A-Za-z0-9._~+/-]{15,}[A-Za-z0-9]))
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-  | (?P<iso>(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\w-]))
-  | (?P<slash>(?<![\w/.-])\d{2}(?P<sep>[/.])\d{2}(?P=sep)\d{4}(?![\w/-]|\.\d))
-  | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
+  | (?P<iso>(?<![\w.-])\d{4}-\d{2}-\d{2}(?=T\d{2}:\d{2}|(?!\w|-\w)))
+  | (?P<slash>(?<![\w/.-])\d{2}(?P<sep>[/.])\d{2}(?P=sep)\d{4}(?![\w/]|-\w|\.\d))
+  | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\w))
   | (?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))
   | (?P<intl>(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w))
-  | (?P<nanp>(?<![\w+-])(?:\(\d{3}\)[ ]?|\d{3}[-.])\d{3}[-.]\d{4}(?![\w-]))
-  | (?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}(?:(?P=gap)\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-]))
+  | (?P<nanp>(?<![\w+-])(?:\(\d{3}\)[ ]?|\d{3}[-.])\d{3}[-.]\d{4}(?!\w|-\w))
+  | (?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}(?:(?P=gap)\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w|-\w))
     """,
     re.X | re.A,
 )
@@ -220,11 +221,13 @@ def grouped(f: Feistel, kind: str, text: str) -> str:
 
 def pseudonym(f: Feistel, m: re.Match) -> str:
     text = m[0]
-    kind = next(k for k in ("email", "access", "secret", "iban", "iso", "slash", "ssn", "ip", "intl", "nanp", "card") if m[k] is not None)
+    kind = next(k for k in ("email", "access", "secret", "bearer", "iban", "iso", "slash", "ssn", "ip", "intl", "nanp", "card") if m[k] is not None)
     if kind in ("card", "iban"):
         return grouped(f, kind, text)
     if kind == "email":
-        return _characters(f, "email", text[:-1]) + "@"
+        local, _, domain = text.partition("@")
+        *names, top = domain.split(".")  # each name by itself, so that one host stays one host
+        return ".".join([f'{_characters(f, "email", local)}@{_characters(f, "domain", names[0])}', *(_characters(f, "domain", n) for n in names[1:]), top])
     if kind == "access":
         value = text[4:]
         sets = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -232,6 +235,8 @@ def pseudonym(f: Feistel, m: re.Match) -> str:
     if kind == "secret":
         at = m.start("value") - m.start()
         return text[:at] + _characters(f, "secret", m["value"])
+    if kind == "bearer":
+        return text[: m.start("carried") - m.start()] + _characters(f, "secret", m["carried"])
     return {"iso": iso, "slash": slash, "ssn": ssn, "ip": ip, "intl": intl, "nanp": nanp}[kind](f, text)
 
 

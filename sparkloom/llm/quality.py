@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, crc32_of_id, int64s, utf8, written
 
@@ -199,17 +200,28 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, thres
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier accepts, all columns as they came."""
+def accepted(docs: DataFrame, labels: DataFrame, held_out: int = HELD_OUT, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that the classifier accepts, all columns as they came.  They are written
+    with their statistics, which so are taken once, for the fit and for the scores."""
     bounded_batches(docs.sparkSession)
-    model = fit(measured(docs), labels, held_out)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_statistics", T.ArrayType(T.DoubleType()))])
+
+    def measure(batches):
+        for batch in batches:
+            m = pa.array([statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], m], [*batch.schema.names[:-1], "_statistics"])
+
+    whole = written(docs.select(*docs.columns, utf8(text_col).alias("_bytes")).mapInArrow(measure, schema), "measured")
+    each = [F.col("_statistics")[k].alias(c) for k, c in enumerate(STATISTICS)]
+    model = fit(whole.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_of_id(id_col) % FOLDS).alias("bucket"), *each), labels, held_out)
 
     def keep(batches):
         for batch in batches:
-            m = np.array([statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(model(m) >= threshold))
+            if batch.num_rows:
+                m = np.asarray(batch.column(batch.num_columns - 1).flatten()).reshape(-1, len(STATISTICS))
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(model(m) >= threshold))
 
-    return docs.select(*docs.columns, utf8("text").alias("_bytes")).mapInArrow(keep, docs.schema)
+    return whole.mapInArrow(keep, docs.schema)
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

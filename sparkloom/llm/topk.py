@@ -1,10 +1,12 @@
 """Exact top-k search: tiled matrix products of queries and shards, partial selection per
 tile, and tree merging of per-query top lists.
 
-Queries are packed into blocks in a written table and go through the candidates in rounds.
-A round holds at most about ``ROUND_QUERIES`` vectors, so what is broadcast has a fixed
-bound however many queries there are; a task keeps one top list per query of the round
-and emits it once, and two levels of windows merge the lists of all tasks.
+Queries are dealt to rounds and go through the candidates one round after the other.  A
+round holds at most about ``ROUND_QUERIES`` vectors and ``ROUND_BYTES``; it is broadcast, its
+lists are written, and it is dropped before the next comes, so that neither the driver nor
+an executor ever holds more than one round, however many queries there are.  A task keeps
+one top list per query of the round and emits it once, and two levels of windows merge the
+lists of all tasks.
 
 Defined cases
   * a vector that is null, is empty, or holds a null or non-finite component takes no part,
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
 
-ROUND_QUERIES = 65_536
+ROUND_QUERIES, ROUND_BYTES = 65_536, 64 << 20
 TILE_ROWS = 4_096
 TILE_QUERIES = 512
 ABSENT = np.int64(-(2**63) + 1)
@@ -142,11 +144,16 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     bounded_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), is_query.alias("q")).where("id is not null and v is not null and size(v) > 0")
     queries = written(rows.where("q").groupBy("id").agg(F.min("v").alias("v")), "queries")
-    rounds = max(1, -(-queries.count() // round_queries))
+    count, width = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    rounds = max(1, -(-count // round_queries), -(-count * (width or 0) * 8 // ROUND_BYTES))
     blocks = queries.withColumn("round", F.pmod(F.xxhash64("id"), F.lit(rounds)))
     candidates, lists = rows.select("id", "v"), []
-    for r in range(rounds):
-        held = blocks.where(F.col("round") == r).select("id", "v").mapInArrow(_pack, "n long, ids binary, vectors binary").collect()
+
+    def best(df: DataFrame, *keys: str) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+    for r in range(rounds if count else 0):
+        held = blocks.where(F.col("round") == r).select("id", "v").mapInArrow(_pack, "n long, ids binary, vectors binary").collect()  # one round
         if not held:
             continue
         assert sum(x.n for x in held) <= 2 * round_queries, "a round of queries is far over its bound"
@@ -154,17 +161,17 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
         parts = [np.frombuffer(x.vectors, np.int64).reshape(x.n, -1) for x in held]
         width = max(p.shape[1] for p in parts)
         a = np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
-        lists.append(candidates.mapInArrow(_scan(k, spark.sparkContext.broadcast((ids_q, a))), "query_id long, vec_id long, score long, branch long"))
+        del held, parts
+        shared = spark.sparkContext.broadcast((ids_q, a))
+        found = candidates.mapInArrow(_scan(k, shared), "query_id long, vec_id long, score long, branch long")
+        lists.append(written(best(best(found, "query_id", "branch"), "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top"))
+        shared.destroy()
     if not lists:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = lists[0]
     for more in lists[1:]:
         found = found.unionAll(more)
-
-    def best(df: DataFrame, *keys: str) -> DataFrame:
-        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-
-    return best(best(found, "query_id", "branch"), "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found
 
 
 def op7_exact_top_k(spark, sf_dir: str) -> DataFrame:
