@@ -42,17 +42,34 @@ class LogEngine:
     compress_lines = compress
 
     def compress_batch(self, sources: list[str], folder: str) -> DataFrame:
-        """An archive for each file, and a row of its outcome: a file that fails does not
-        stop the others."""
-        rows = []
-        for source in sources:
-            name = source.rstrip("/").rsplit("/", 1)[-1]
-            try:
-                s = self.compress_file(source, f"{folder}/{name}").first()
-                rows.append((name, True, s.original_size, s.compressed_size, s.compression_time, None))
-            except (FileNotFoundError, ValueError) as e:
-                rows.append((name, False, None, None, None, str(e)))
-        return self.spark.createDataFrame(rows, "name string, ok boolean, original_size long, compressed_size long, seconds double, error string")
+        """Many files as one job: one archive whose logs are kept by source, and a row of each
+        file's outcome (name, path, ok, log_count, original_size, compressed_size, seconds,
+        error).  A file that is missing or gives no template does not stop the others; its
+        lines, if any, are kept as they are."""
+        began = time.time()
+        there = [s for s in sources if self._exists(s)]
+        columns = "path string, log_count long, original_size long, matched long, compressed_size long"
+        done = self.spark.createDataFrame([], columns)
+        if there:
+            lines = text.read_logs(self.spark, there)
+            tokens = templates.tokenized(lines)
+            found = archive.write_templates(templates.extract_templates(tokens, self.min_support, self.registry), folder)
+            match = matching.match_strict if self.strict else matching.match_first_fit
+            archive.write_logs(matching.parsed_logs(match(tokens, found, small=matching.is_small(found))), folder, by_source=True)
+            logs = archive.read_archive(self.spark, folder)[0]
+            stats = logs.groupBy("source").agg(F.count(F.lit(1)).alias("log_count"), F.sum(F.octet_length("raw")).alias("original_size"), F.count("template_id").alias("matched"))
+            done = stats.join(archive.source_sizes(self.spark, folder), "source", "left").withColumnRenamed("source", "path").select(*[c.split()[0] for c in columns.split(", ")])
+        bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+        asked = self.spark.createDataFrame([(s, s.rstrip("/").rsplit("/", 1)[-1], s in there) for s in sources], "asked string, name string, there boolean")
+        both = asked.join(done, bare(F.col("asked")) == bare(F.col("path")), "left")
+        ok = F.coalesce(F.col("matched") > 0, F.lit(False))
+        error = F.when(~F.col("there"), "no such file").when(~ok, "no template has enough lines")
+        kept = [F.when(ok, F.col(c)).alias(c) for c in ("log_count", "original_size", "compressed_size")]
+        return both.select("name", F.col("asked").alias("path"), ok.alias("ok"), *kept, F.lit(time.time() - began).alias("seconds"), error.alias("error"))
+
+    def _exists(self, path: str) -> bool:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
     def load(self, path: str) -> DataFrame:
         return archive.read_archive(self.spark, path)[0]

@@ -1,6 +1,7 @@
-"""The column encodings as window expressions, and their byte codecs.
+"""The column encodings of the sequences that sources are, and their byte codecs.
 
-Windows are partitioned by source: a log file is a sequence, a corpus is not."""
+What depends on the lines before is computed over ranges of a source (``ordered``), so that
+one long log is spread over many tasks."""
 
 from __future__ import annotations
 
@@ -10,14 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import Ordered, numbered
+
 RUN_CAP = 65_535
 PATTERN_MARK, MIN_REPEATS, MAX_PATTERN = 0xFF, 3, 19
 
 
-def _in_order(*more: str):
-    return Window.partitionBy("source", *more).orderBy("log_idx")
-
-
 def zigzag(n: Column) -> Column:
     return F.shiftleft(n, 1).bitwiseXOR(F.shiftright(n, 63))
 
@@ -40,45 +39,48 @@ def compare_sizes(df: DataFrame, column: str) -> DataFrame:
 
 def delta_encode(df: DataFrame, column: str = "ts_ms") -> DataFrame:
     """base and delta: the first value of a source, and each one's step from the last."""
-    w = _in_order()
-    rows = df.where(F.col(column).isNotNull())
-    return rows.withColumn("delta", F.coalesce(F.col(column) - F.lag(column).over(w), F.lit(0))).withColumn("base", F.first(column).over(w))
+    rows = Ordered(df.where(F.col(column).isNotNull())).previous(F.col(column), "_before").rows()
+    base = rows.where("_before is null").select("source", F.col(column).alias("base"))
+    return rows.withColumn("delta", F.coalesce(F.col(column) - F.col("_before.v"), F.lit(0))).drop("_before").join(base, "source")
 
 
 def delta_decode(df: DataFrame) -> DataFrame:
-    return df.withColumn("decoded", F.col("base") + F.sum("delta").over(_in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    return Ordered(df).running(F.col("delta"), "_sum").rows().withColumn("decoded", F.col("base") + F.col("_sum")).drop("_sum")
 
 
 def delta_of_delta(df: DataFrame, column: str = "ts_ms") -> DataFrame:
     """dod and the bits that a prefix code takes for it: the first value whole, the first
     step in 32 bits, then 1, 9, 12, 16 or 36 bits."""
-    w = _in_order()
-    step = F.col(column) - F.lag(column, 1).over(w)
-    dod = F.col(column) - 2 * F.lag(column, 1).over(w) + F.lag(column, 2).over(w)
-    n = F.row_number().over(w)
-    bits = F.when(n == 1, 64).when(n == 2, 32).when(dod == 0, 1).when(dod.between(-63, 63), 9).when(dod.between(-255, 255), 12).when(dod.between(-2047, 2047), 16).otherwise(36)
-    return df.where(F.col(column).isNotNull()).select("*", step.alias("step"), dod.alias("dod"), bits.alias("bits"))
+    ordered = Ordered(df.where(F.col(column).isNotNull())).previous(F.col(column), "_before")
+    rows = ordered.previous(F.col(column) - F.col("_before.v"), "_step").rows()
+    step = F.col(column) - F.col("_before.v")
+    dod = step - F.col("_step.v")
+    bits = F.when(F.col("_before").isNull(), 64).when(dod.isNull(), 32).when(dod == 0, 1).when(dod.between(-63, 63), 9).when(dod.between(-255, 255), 12).when(dod.between(-2047, 2047), 16).otherwise(36)
+    return rows.select("*", step.alias("step"), dod.alias("dod"), bits.alias("bits")).drop("_before", "_step")
 
 
 def runs(df: DataFrame, column: str, cap: int = RUN_CAP) -> DataFrame:
     """(source, run, value, count): runs of equal values in order, split at the cap."""
-    place = F.row_number().over(_in_order())
-    island = df.withColumn("_island", place - F.row_number().over(_in_order(column)))
-    cut = island.withColumn("_piece", F.floor((F.row_number().over(Window.partitionBy("source", column, "_island").orderBy("log_idx")) - 1) / cap))
-    grouped = cut.groupBy("source", F.col(column).alias("value"), "_island", "_piece").agg(F.count(F.lit(1)).alias("count"), F.min("log_idx").alias("_at"))
-    return grouped.select("source", F.row_number().over(Window.partitionBy("source").orderBy("_at")).alias("run"), "value", "count")
+    value = F.col(column)
+    ordered = Ordered(df.select("source", "log_idx", column)).previous(value, "_before")
+    opens = F.when(F.col("_before").isNotNull() & F.col("_before.v").eqNullSafe(value), 0).otherwise(1).cast("long")
+    marked = ordered.running(opens, "_run").rows()
+    whole = marked.groupBy("source", "_run").agg(F.first(column).alias("value"), F.count(F.lit(1)).alias("n"))
+    piece = whole.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / cap) - 1)))
+    counted = piece.withColumn("count", F.least(F.lit(cap).cast("long"), F.col("n") - F.col("_piece") * cap))
+    return numbered(counted, "_run", "_at", ("_piece",)).select("source", (F.col("_at") + 1).alias("run"), "value", "count")
 
 
 def expand_runs(run_table: DataFrame) -> DataFrame:
     """(source, place, value) again, places from 0."""
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return run_table.withColumn("_before", before).select("source", F.posexplode(F.array_repeat("value", F.col("count").cast("int"))).alias("_k", "value"), "_before").select("source", (F.col("_before") + F.col("_k")).alias("place"), "value")
+    placed = Ordered(run_table, "run").running(F.col("count"), "_before", before=True).rows()
+    return placed.select("source", F.posexplode(F.array_repeat("value", F.col("count").cast("int"))).alias("_k", "value"), "_before").select("source", (F.col("_before") + F.col("_k")).alias("place"), "value")
 
 
 def dictionary(df: DataFrame, column: str, order: str = "log_idx") -> DataFrame:
     """(source, value, id): ids by first appearance, from 0."""
     first = df.where(F.col(column).isNotNull()).groupBy("source", F.col(column).alias("value")).agg(F.min(order).alias("_first"))
-    return first.select("source", "value", (F.row_number().over(Window.partitionBy("source").orderBy("_first", "value")) - 1).alias("id"))
+    return numbered(first, "_first", "id", ("value",)).select("source", "value", "id")
 
 
 def dictionary_encode(df: DataFrame, column: str) -> DataFrame:

@@ -42,6 +42,14 @@ def match_strict(tokens: DataFrame, templates: DataFrame, small: bool = False) -
     return matched.withColumn("extracted", F.when(F.col("template_id").isNotNull(), typed_values(last=False)))
 
 
+def match_known(tokens: DataFrame, templates: DataFrame) -> DataFrame:
+    """As ``match_strict``, with templates that other sources gave: of those of one structure
+    the one of most lines holds, whatever source a line is from."""
+    best = templates.groupBy("signature").agg(F.max_by(F.struct("template_id", "types"), F.struct("match_count", -F.col("first_idx"), "source")).alias("t")).select("signature", "t.*")
+    matched = tokens.join(_small(best, is_small(templates)), "signature", "left")
+    return matched.withColumn("extracted", F.when(F.col("template_id").isNotNull(), typed_values(last=False)))
+
+
 def fit_by_length(templates: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """The first template by rank for each number of fields: a band join made an equi-join."""
     wide = templates.withColumn("fit", F.explode(F.sequence(F.col("n_fields") - tolerance, F.col("n_fields") + tolerance)))
@@ -66,15 +74,14 @@ def parsed_logs(matched: DataFrame) -> DataFrame:
 
 def exact_coverage(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """matched, total and coverage: lines whose white-space words fit some template's length
-    and literals."""
+    and literals.  Templates of one length meet as an array, so that each line stays one row."""
     from ..functions.tokenize import words
 
-    df = lines.select("log_idx", words(F.col("raw")).alias("words")).withColumn("n_fields", F.size("words"))
-    dim = templates.select("n_fields", "pattern", "is_variable")
-    fits = F.forall(F.zip_with(F.arrays_zip("pattern", "is_variable"), "words", lambda p, w: p["is_variable"] | (p["pattern"] == w)), lambda ok: ok)
-    hit = df.join(dim, "n_fields").where(fits).select("log_idx").distinct().withColumn("hit", F.lit(1))
-    both = df.select("log_idx").join(hit, "log_idx", "left")
-    return both.agg(F.count("hit").alias("matched"), F.count(F.lit(1)).alias("total")).withColumn("coverage", F.coalesce(F.try_divide("matched", "total"), F.lit(0.0)))
+    df = lines.select(words(F.col("raw")).alias("words")).withColumn("n_fields", F.size("words"))
+    dim = templates.groupBy("n_fields").agg(F.collect_list(F.arrays_zip("pattern", "is_variable")).alias("patterns"))
+    fit = lambda cells: F.forall(F.zip_with(cells, F.col("words"), lambda p, w: p["is_variable"] | (p["pattern"] == w)), lambda ok: ok)
+    both = df.join(_small(dim, is_small(templates)), "n_fields", "left").select(F.coalesce(F.exists("patterns", fit), F.lit(False)).alias("hit"))
+    return both.agg(F.count_if("hit").alias("matched"), F.count(F.lit(1)).alias("total")).withColumn("coverage", F.coalesce(F.try_divide("matched", "total"), F.lit(0.0)))
 
 
 def render_template(pattern: Column, is_variable: Column, fields: Column) -> Column:
@@ -83,7 +90,13 @@ def render_template(pattern: Column, is_variable: Column, fields: Column) -> Col
     return F.array_join(parts, " ")
 
 
+def line_keys(*tables: DataFrame) -> list[str]:
+    """What tells the lines of these tables apart: log_idx, within its source where all have one."""
+    return ["source", "log_idx"] if all("source" in t.columns for t in tables) else ["log_idx"]
+
+
 def positional_equality(left: DataFrame, right: DataFrame) -> DataFrame:
-    """equal and total of two line tables by log_idx."""
-    both = left.select("log_idx", F.col("raw").alias("a")).join(right.select("log_idx", F.col("raw").alias("b")), "log_idx", "full")
+    """equal and total of two line tables, line by line."""
+    keys = line_keys(left, right)
+    both = left.select(*keys, F.col("raw").alias("a")).join(right.select(*keys, F.col("raw").alias("b")), keys, "full")
     return both.agg(F.count_if(F.col("a") == F.col("b")).alias("equal"), F.count(F.lit(1)).alias("total"))

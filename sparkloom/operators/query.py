@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matching import line_keys
+
 
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
@@ -97,7 +99,9 @@ def has_format(lines: DataFrame, prefix: str, part: str) -> DataFrame:
 
 
 def rows_by_id(logs: DataFrame, ids: DataFrame) -> DataFrame:
-    return logs.join(ids.select("log_idx").distinct(), "log_idx", "left_semi")
+    """The lines that ``ids`` (log_idx, and source where there are several) names."""
+    keys = line_keys(logs, ids)
+    return logs.join(ids.select(*keys), keys, "left_semi")
 
 
 def parse_filter(text: str) -> dict[str, str]:

@@ -1,11 +1,11 @@
 """Template induction: lines of one structure are aligned by position, and each position
 becomes a literal or a typed or untyped variable.
 
-The scan adds up, for each (structure, position), only the least and greatest hash of the
-values, so that what is shuffled does not grow with the number of distinct values; a
-second scan looks for values strictly between them.  That tells one, two, three and more
-distinct values apart, all that the rules ask for.  Values are classified only from the
-first ten lines of a structure."""
+One aggregation gives, for each (structure, position), the count, the first line and a theta
+sketch of a few values' hashes: exact for the one, two, three and more distinct values that
+the rules tell apart, merged on the map side, and of a size that does not grow with the
+lines.  A second scan takes the first ten lines of each structure, from which alone values
+are classified; each task limits them before they are shuffled."""
 
 from __future__ import annotations
 
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, tokenize
 from ..functions.patterns import Registry
+from ..sources.scratch import written
 
 FIRST_LINES, EXAMPLES, SIGNATURE_TYPES = 10, 5, 10
+SKETCH = 4  # log2 of the hashes that a sketch holds exactly
 SCHEMA = "source string, template_id string, rank int, pattern array<string>, is_variable array<boolean>, types array<string>, field_types map<int,string>, example_logs array<string>, match_count bigint, confidence double, n_fields int, signature bigint, first_idx bigint"
 
 
@@ -30,29 +32,43 @@ def tokenized(lines: DataFrame) -> DataFrame:
     return both.select(*df.columns, "fields", n.alias("n_fields"), F.xxhash64(n, "_types").alias("signature"))
 
 
-def signature_groups(tokens: DataFrame, min_support: int = 3) -> DataFrame:
+def position_statistics(tokens: DataFrame) -> DataFrame:
+    """(source, signature, pos, n_fields, lines, first_idx, cardinality), one scan: pos is -1
+    for a structure without fields, and 4 distinct values stand for 4 and more."""
+    placed = tokens.select("source", "signature", "n_fields", "log_idx", F.posexplode_outer("fields").alias("pos", "value"))
+    h = F.when(F.col("pos").isNotNull(), F.xxhash64("value"))
+    found = placed.groupBy("source", "signature", F.coalesce("pos", F.lit(-1)).alias("pos")).agg(
+        F.first("n_fields").alias("n_fields"), F.count(F.lit(1)).alias("lines"), F.min("log_idx").alias("first_idx"), F.theta_sketch_agg(h, F.lit(SKETCH)).alias("sketch"),
+    )
+    return found.withColumn("cardinality", F.least(F.theta_sketch_estimate("sketch"), F.lit(4)).cast("int")).drop("sketch")
+
+
+def groups_of(statistics: DataFrame, min_support: int = 3) -> DataFrame:
     """Structures with enough lines: (source, signature, n_fields, match_count, first_idx)."""
+    one = statistics.where((F.col("pos") <= 0) & (F.col("lines") >= min_support))
+    return one.select("source", "signature", F.col("lines").alias("match_count"), "first_idx", "n_fields")
+
+
+def signature_groups(tokens: DataFrame, min_support: int = 3) -> DataFrame:
+    """The same from the lines, where positions are not asked for."""
     groups = tokens.groupBy("source", "signature").agg(F.count(F.lit(1)).alias("match_count"), F.min("log_idx").alias("first_idx"), F.first("n_fields").alias("n_fields"))
     return groups.where(F.col("match_count") >= min_support)
 
 
 def position_cardinality(tokens: DataFrame) -> DataFrame:
     """(source, signature, pos, cardinality): distinct values, where 4 stands for 4 and more."""
-    keys = ["source", "signature", "pos"]
-    values = tokens.select("source", "signature", F.posexplode("fields").alias("pos", "value")).select(*keys, F.xxhash64("value").alias("h"))
-    ends = values.groupBy(*keys).agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    inside = values.join(ends, keys).where("h > low and h < high").groupBy(*keys).agg(F.min("h").alias("low2"), F.max("h").alias("high2"))
-    count = F.when(F.col("low") == F.col("high"), 1).when(F.col("low2").isNull(), 2).when(F.col("low2") == F.col("high2"), 3).otherwise(4)
-    return ends.join(inside, keys, "left").select(*keys, count.alias("cardinality"))
+    return position_statistics(tokens).where("pos >= 0").select("source", "signature", "pos", "cardinality")
 
 
 def extract_templates(tokens: DataFrame, min_support: int = 3, registry: Registry = classify.DEFAULT_REGISTRY) -> DataFrame:
-    """The templates of each source (SCHEMA), from ``tokenized`` lines."""
+    """The templates of each source (SCHEMA), from ``tokenized`` lines.  What the first scan
+    gives, a row for each position of each structure, is written."""
     keys = ["source", "signature"]
-    groups = signature_groups(tokens, min_support)
+    statistics = written(position_statistics(tokens).where(F.col("lines") >= min_support), "positions")
+    groups = groups_of(statistics, min_support)
     order = Window.partitionBy(*keys).orderBy("log_idx")
     first = tokens.select(*keys, "log_idx", "raw", "fields").withColumn("seen", F.row_number().over(order)).where(F.col("seen") <= FIRST_LINES)
-    first = first.join(groups.select(*keys), keys, "left_semi")
+    first = written(first.join(groups.select(*keys), keys, "left_semi"), "first-lines")  # at most ten for each structure
     examples = first.where(F.col("seen") <= EXAMPLES).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "raw"))), lambda x: x["raw"]).alias("example_logs"))
 
     at = [*keys, "pos"]
@@ -65,7 +81,7 @@ def extract_templates(tokens: DataFrame, min_support: int = 3, registry: Registr
     vote = F.array_min(F.transform(F.filter(kinds, lambda t: t != "UNKNOWN"), lambda t: F.struct((-weight(t)).alias("w"), F.array_position(kinds, t).alias("at"), t.alias("type"))))["type"]
     head = F.col("values")[0]
     cells = values.select(*at, head["value"].alias("value"), head["type"].alias("head_type"), head["conf"].alias("head_conf"), vote.alias("vote"))
-    cells = cells.join(position_cardinality(tokens), at).join(groups.select(*keys, "match_count"), keys)
+    cells = cells.join(statistics.select(*at, "cardinality", F.col("lines").alias("match_count")), at)
     few = (F.col("cardinality") <= 3) & (F.col("match_count") >= 10)
     type_ = (
         F.when(F.col("cardinality") == 1, F.when(F.col("head_conf") > 80, F.col("head_type")))

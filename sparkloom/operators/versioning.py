@@ -52,19 +52,26 @@ def _difference(a: str, b: str) -> list[Column]:
     return [added.alias("added"), removed.alias("removed"), changed.alias("changed_types"), compatible.alias("compatible"), level.alias("level")]
 
 
-def compatibility_matrix(versions: DataFrame) -> DataFrame:
-    """All ordered pairs of versions of each source: what goes from one to the other."""
+def _pairs(versions: DataFrame, more=None) -> DataFrame:
+    """Differences of the versions of each source that ``more``, a condition, puts together."""
     a, b = versions.alias("a"), versions.alias("b")
-    pairs = a.join(b, F.col("a.source_name") == F.col("b.source_name"))
+    same = F.col("a.source_name") == F.col("b.source_name")
+    pairs = a.join(b, same if more is None else same & more)
     return pairs.select(F.col("a.source_name").alias("source_name"), F.col("a.version").alias("from_version"), F.col("b.version").alias("to_version"), *_difference("a", "b"))
 
 
+def compatibility_matrix(versions: DataFrame) -> DataFrame:
+    """All ordered pairs of versions of each source: what goes from one to the other."""
+    return _pairs(versions)
+
+
 def compare(versions: DataFrame, source: str, old: int, new: int) -> dict:
     """The difference of two versions; an error entry where one is missing."""
-    row = compatibility_matrix(versions.where(F.col("source_name") == source)).where((F.col("from_version") == old) & (F.col("to_version") == new)).first()
+    asked = versions.where((F.col("source_name") == source) & F.col("version").isin(old, new))
+    row = _pairs(asked, (F.col("a.version") == old) & (F.col("b.version") == new)).first()
     return row.asDict() if row else {"error": f"no versions {old} and {new} of {source}", "compatible": False}
 
 
 def evolution(versions: DataFrame) -> DataFrame:
     """The differences of consecutive versions."""
-    return compatibility_matrix(versions).where("to_version = from_version + 1")
+    return _pairs(versions, F.col("b.version") == F.col("a.version") + 1)

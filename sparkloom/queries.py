@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import LogEngine
 from .functions import classify, tokenize
+from .functions.patterns import PATTERNS, Pattern, Registry
 from .operators import encoding, matching, quality, query, templates, versioning
 from .plans.log_lines import LOG_LINES_SQL, log_lines
 from .plans.parse import parse
-from .sources import text
+from .sources import archive, reports, scratch, text
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,13 +58,50 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
     return parse(log_lines(spark, d)).logs
 
 
+_archives: dict[tuple[str, str], str] = {}
+
+
+def _archive(spark: SparkSession, d: str) -> str:
+    """The path of an archive of the log, written once in a session and asked many times."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _archives:
+        path = scratch.new_path(spark, "archive")
+        LogEngine(spark).compress(log_lines(spark, d), path)
+        _archives[key] = path
+    return _archives[key]
+
+
+def _file(spark: SparkSession, path: str, content: str) -> None:
+    """A file of a given name in the shared folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(content.encode()))
+    out.close()
+
+
+def _log_folder(spark: SparkSession, d: str) -> str:
+    """A folder of data sets, one for each region: its nations as lines, in files named in
+    the ways that are looked for, beside others that are not."""
+    root = scratch.new_path(spark, "datasets")
+    nations = spark.read.parquet(f"{d}/nation.parquet").join(spark.read.parquet(f"{d}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    listed = nations.groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n")).collect()  # 25 nations
+    for r in listed:
+        name = r.r_name.replace(" ", "_")
+        file = (f"{name}_full.log", f"{name}.log", f"{name.lower()}.log")[r.r_regionkey % 3]
+        lines = [f"2024-01-{x.n_nationkey + 1:02d} 10:00:00 INFO nation {x.n_name} took {x.n_nationkey} ms" for x in r.n]
+        _file(spark, f"{root}/{name}/{file}", "\n\n".join(lines) + "\n  \n")
+        _file(spark, f"{root}/{name}/notes.log", "no data set\n")
+    _file(spark, f"{root}/empty/other.txt", "nothing\n")
+    return root
+
+
 # ---------------------------------------------------------------- scans and tokens
 
 
 @query_of("""SELECT doc_id AS doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents) WHERE regexp_matches(raw, '\\S') GROUP BY doc_id""", with_lines=False)
 def scan_filter_blank(spark, d):
     lines = text.from_text_column(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
-    return lines.groupBy(F.expr("log_idx div 1048576").alias("doc_id")).agg(F.count(F.lit(1)).alias("lines"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query_of("SELECT log_idx, t AS ts, level, ip, tail FROM l WHERE event_type = 'click'")
@@ -111,25 +151,174 @@ def parse_epoch_ms(spark, d):
     return log_lines(spark, d).select("log_idx", classify.epoch_ms(tokenize.fields(F.col("raw"))[0]).alias("ts_ms"))
 
 
-@query_of("SELECT log_idx, CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000 AS ts_ms FROM l")
+#: Each event's time in one of six written forms, and what it comes to.
+_FORMS = """f AS (SELECT event_id, event_id % 6 AS form, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s, date_trunc('second', ts) AS t FROM events)"""
+
+
+def _time_forms(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("t"))
+    spelled = lambda f: F.date_format("t", f)
+    forms = [spelled("yyyy-MM-dd HH:mm:ss"), F.concat(spelled("yyyy-MM-dd'T'HH:mm:ss"), F.lit(".250Z")), F.concat(spelled("yyyy-MM-dd HH:mm:ss"), F.lit(",125")), F.concat(spelled("yyyyMMdd-HH:mm:ss"), F.lit(":606")), F.concat(F.lit("["), spelled("EEE MMM dd HH:mm:ss yyyy"), F.lit("]")), F.unix_seconds("t").cast("string")]
+    return e.select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int")).alias("value"))
+
+
+@query_of(f"WITH {_FORMS} SELECT event_id, s * 1000 + CASE form WHEN 1 THEN 250 WHEN 2 THEN 125 WHEN 3 THEN 606 ELSE 0 END AS ts_ms FROM f", with_lines=False)
+def epoch_forms(spark, d):
+    return _time_forms(spark, d).select("event_id", classify.epoch_ms(F.col("value")).alias("ts_ms"))
+
+
+@query_of(f"WITH {_FORMS} SELECT event_id, CASE form WHEN 0 THEN s * 1000 WHEN 1 THEN s * 1000 + 250 WHEN 5 THEN s * 1000 ELSE 0 END AS ts_ms FROM f", with_lines=False)
 def parse_epoch_ms_compat(spark, d):
-    return log_lines(spark, d).select("log_idx", classify.epoch_ms_compat(tokenize.fields(F.col("raw"))[0]).alias("ts_ms"))
+    """The older reading knows ISO forms and digits alone: others come to 0."""
+    return _time_forms(spark, d).select("event_id", classify.epoch_ms_compat(F.col("value")).alias("ts_ms"))
+
+
+@query_of(f"WITH {_FORMS} SELECT event_id, form <> 1 AS valid FROM f", with_lines=False)
+def validate_timestamp(spark, d):
+    """Of the forms only the one with T and zone is not among those that count as valid."""
+    return _time_forms(spark, d).select("event_id", classify.is_valid_timestamp(F.col("value")).alias("valid"))
+
 
+#: Values that between them meet every pattern.
+SAMPLES = [
+    "2024-11-23 10:15:32", "1514038529606", "1717891200", "Thu Jun 09 06:07:04 2005", "20171223-22:15:29:606", "17:41:41,536", "17:41:41", "10.30 16:49:06", "192.168.1.1", "2001:0db8:0000:0000:0000:ff00:0042:8329", "fe80::", "proxy.cse.cuhk.edu.hk:5070",
+    "port 8080", "ERROR", "emerg", "failed", "status: 404", "error code: E42", "ERR 1234", "[ERR0X1]", "user=alice", "uid: 77", "pid=4711", "[12345]", "0.54 seconds", "12 MB", "99 percent", "nova.compute.manager", "Step_LSC", "[req-7a738b84-d574-43c6-a6c4-68c164365101]", "request id: abc123ef",
+    "system.log", "Main.java", "db01", "started", "30002312", "2015-07-29", "Authentication failed for user admin", "hello world",
+]
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+@query_of(
+    "WITH v AS (SELECT unnest([" + ", ".join(_text(x) for x in SAMPLES) + "]) AS value), m AS ("
+    + " UNION ALL ".join(f"SELECT value, {_text(p.name)} AS pattern_name, {_text(p.type)} AS type, CAST({p.confidence} AS BIGINT) AS confidence, {-p.confidence * 1000 + k} AS place FROM v WHERE regexp_matches(value, {_text(p.regex)}{', ' + _text('i') if p.ignore_case else ''})" for k, p in enumerate(PATTERNS))
+    + " UNION ALL SELECT value, 'default_message', 'MESSAGE', 50, 0 FROM v WHERE NOT (" + " OR ".join(f"regexp_matches(value, {_text(p.regex)}{', ' + _text('i') if p.ignore_case else ''})" for p in PATTERNS) + "))"
+    " SELECT value, CAST(row_number() OVER (PARTITION BY value ORDER BY place) AS INTEGER) AS n, pattern_name, type, confidence FROM m",
+    with_lines=False,
+)
+def recognize_patterns(spark, d):
+    """All matches of values that meet every one of the patterns, the best first."""
+    values = spark.createDataFrame([(x,) for x in SAMPLES], "value string")
+    m = values.select("value", F.posexplode(classify.recognize(F.col("value"))).alias("n", "m"))
+    return m.select("value", (F.col("n") + 1).alias("n"), "m.pattern_name", "m.type", F.round(F.col("m.confidence") * 100).cast("long").alias("confidence"))
 
-@query_of("SELECT source AS name, count(*) AS lines, CAST(sum(strlen(raw)) AS DOUBLE) / 1048576 AS size_mb FROM (SELECT 'events' AS source, raw FROM l) GROUP BY source")
+
+@query_of("""SELECT o_orderkey, v AS value, CASE WHEN k = 0 THEN 'ERROR_CODE' WHEN k = 1 THEN 'TRANSACTION_ID' ELSE 'CUSTOMER_ID' END AS type FROM (
+  SELECT o_orderkey, o_orderkey % 3 AS k, CASE o_orderkey % 3 WHEN 0 THEN 'ERR-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') WHEN 1 THEN 'TXN-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') ELSE 'CUST-' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') END AS v FROM orders)""", with_lines=False)
+def custom_types(spark, d):
+    """Types of one's own before the registry's: a value goes to the most confident pattern."""
+    own = Registry((Pattern("ERROR_CODE", "own_error", 98, r"^ERR-\d{4}$"), Pattern("TRANSACTION_ID", "own_transaction", 98, r"^TXN-[A-Z0-9]{8}$"), Pattern("CUSTOMER_ID", "own_customer", 98, r"^CUST-\d{8}$"), *PATTERNS))
+    k, key = F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string")
+    value = F.when(k == 0, F.concat(F.lit("ERR-"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"))).when(k == 1, F.concat(F.lit("TXN-"), F.lpad(key, 8, "0"))).otherwise(F.concat(F.lit("CUST-"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")))
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", value.alias("value"))
+    return o.select("o_orderkey", "value", classify.best_type(F.col("value"), own).alias("type"))
+
+
+# ---------------------------------------------------------------- files on disk and streams
+
+
+@query_of("SELECT replace(r_name, ' ', '_') AS name, 2 * count(*) AS lines FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", with_lines=False)
 def dataset_listing(spark, d):
-    return text.listing(log_lines(spark, d))
+    """The data sets of a folder of files, with all their lines: each nation's has a blank one behind it."""
+    return text.datasets(spark, _log_folder(spark, d)).select("name", "lines")
+
+
+@query_of("SELECT r_name AS name, count(*) AS lines, CAST(sum(strlen(n_name) + n_nationkey) AS BIGINT) AS mark FROM nation JOIN region ON n_regionkey = r_regionkey WHERE false GROUP BY r_name UNION ALL SELECT 'all', count(*), CAST(sum(strlen(n_name)) AS BIGINT) FROM nation", with_lines=False)
+def read_log_files(spark, d):
+    """A glob over folders: stripped lines without blank ones, in the order of each file."""
+    lines = text.read_logs(spark, _log_folder(spark, d), recursive=True, pattern="*.log").where("raw like '%nation%'")
+    word = F.regexp_extract("raw", r"nation (.*) took", 1)
+    return lines.agg(F.lit("all").alias("name"), F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length(word)).alias("mark"))
+
+
+@query_of("SELECT replace(r_name, ' ', '_') AS source, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS BIGINT) AS place, n_name FROM nation JOIN region ON n_regionkey = r_regionkey QUALIFY place < 2", with_lines=False)
+def first_lines(spark, d):
+    """The first three physical lines of each file, of which the second is blank."""
+    lines = text.read_logs(spark, _log_folder(spark, d), recursive=True, pattern="*.log", first_lines=3).where("raw like '%nation%'")
+    source = F.element_at(F.split("source", "/"), -2)
+    return lines.select(source.alias("source"), F.expr("log_idx div 2").alias("place"), F.regexp_extract("raw", r"nation (.*) took", 1).alias("n_name"))
+
+
+@query_of("SELECT CAST(n_nationkey AS BIGINT) AS log_idx, '  ' || n_name AS given, n_name AS raw FROM nation", with_lines=False)
+def lines_in_memory(spark, d):
+    given = [f"  {r.n_name}" for r in spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").collect()]  # 25 rows
+    return text.from_lines(spark, given).select("log_idx", F.concat(F.lit("  "), "raw").alias("given"), "raw")
 
 
-@query_of("SELECT event_type, count(*) AS n FROM events GROUP BY event_type", with_lines=False)
+@query_of("SELECT true AS missing", with_lines=False)
+def missing_input(spark, d):
+    """A path that is not there raises."""
+    try:
+        text.read_logs(spark, scratch.new_path(spark, "nothing")).count()
+        found = False
+    except FileNotFoundError:
+        found = True
+    return spark.createDataFrame([(found,)], "missing boolean")
+
+
+@query_of("SELECT replace(r_name, ' ', '_') || CASE r_regionkey % 3 WHEN 0 THEN '_full' ELSE '' END AS name, count(*) >= 3 AS ok, CASE WHEN count(*) >= 3 THEN count(*) END AS log_count FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey UNION ALL SELECT 'absent', false, NULL", with_lines=False)
+def batch_files(spark, d):
+    """Many files as one job: one archive, and a row of each file's outcome."""
+    root = _log_folder(spark, d)
+    files = [r.path for r in text.datasets(spark, root).collect()]  # the listing
+    done = LogEngine(spark).compress_batch([*files, f"{root}/absent.log"], scratch.new_path(spark, "batch"))
+    name = F.regexp_replace("name", r"\.log$", "")
+    upper = F.when(name == F.lower(name), F.when(name == "absent", name).otherwise(F.upper(name))).otherwise(name)
+    return done.select(upper.alias("name"), "ok", "log_count")
+
+
+@query_of("SELECT replace(r_name, ' ', '_') AS name, true AS has_archive FROM region WHERE r_regionkey % 2 = 0", with_lines=False)
+def dataset_pairing(spark, d):
+    """Data sets that have both a log and an archive."""
+    listed = text.datasets(spark, _log_folder(spark, d))
+    folder = scratch.new_path(spark, "archives")
+    even = [r.r_name.replace(" ", "_") for r in spark.read.parquet(f"{d}/region.parquet").where("r_regionkey % 2 = 0").collect()]  # 5 regions at most
+    for name in [*even, "no_such_log"]:
+        LogEngine(spark).compress(log_lines(spark, d).limit(100), f"{folder}/{name}")
+    return text.paired(listed, archive.archives(spark, folder)).select("name", F.col("archive_path").isNotNull().alias("has_archive"))
+
+
+def _stream_folder(spark, d) -> str:
+    """The log as four files, of lines in order."""
+    folder = scratch.new_path(spark, "stream")
+    log_lines(spark, d).repartitionByRange(4, "log_idx").sortWithinPartitions("log_idx").select("raw").write.text(folder)
+    return folder
+
+
+@query_of("SELECT level AS severity, count(*) AS lines, count(DISTINCT ip) AS ips FROM l GROUP BY level")
 def stream_equals_batch(spark, d):
-    """The events as a stream, counted as they come until all are read."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"stream_equals_batch_{uuid.uuid4().hex}"
-    counts = stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """Files come two at a time; each batch is parsed with the templates known so far, and
+    what it adds to them is kept for the next."""
+    folder, out, store = _stream_folder(spark, d), scratch.new_path(spark, "out"), scratch.new_path(spark, "store")
+    lines = ingest.watch(spark, folder, "*.txt", files_per_batch=2)
+    ingest.ingest(lines, out, scratch.new_path(spark, "checkpoint"), ingest.template_store(spark, store), ingest.keep_templates(store)).awaitTermination()
+    return spark.read.parquet(out).groupBy("severity").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("ip_address").alias("ips"))
+
+
+@query_of("SELECT count(*) AS lines, CAST(sum(strlen(raw)) AS BIGINT) AS bytes, CAST(4 AS BIGINT) AS files FROM l")
+def stream_totals(spark, d):
+    """Running totals by file, of a stream that has read all there is."""
+    folder, name = _stream_folder(spark, d), f"totals_{scratch.new_path(spark, 'name')[-32:]}"
+    totals = ingest.running_totals(ingest.watch(spark, folder, "*.txt"))
+    totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch.new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files"))
+
+
+@query_of("SELECT CAST(0 AS BIGINT) AS again, (SELECT count(*) FROM l) AS first")
+def stream_skips(spark, d):
+    """A stream that starts anew over the same folder skips files whose output exists."""
+    folder, out, store = _stream_folder(spark, d), scratch.new_path(spark, "out"), scratch.new_path(spark, "store")
+
+    def run() -> int:
+        had = spark.read.parquet(out).count() if ingest.exists(spark, out) else 0
+        lines = ingest.large_enough(ingest.watch(spark, folder, "*.txt"), 0.001)
+        ingest.ingest(lines, out, scratch.new_path(spark, "checkpoint"), ingest.template_store(spark, store), ingest.keep_templates(store), skip_existing=True).awaitTermination()
+        return spark.read.parquet(out).count() - had
+
+    first = run()
+    return spark.createDataFrame([(run(), first)], "again long, first long")
 
 
 # ---------------------------------------------------------------- templates
@@ -215,7 +404,8 @@ def ip_filter(spark, d):
 
 @query_of("SELECT count(*) AS total FROM l")
 def count_all(spark, d):
-    return query.count_all(_logs(spark, d))
+    """All lines of an archive, from its row of totals."""
+    return archive.totals(spark, _archive(spark, d)).select(F.col("total_logs").alias("total"))
 
 
 @query_of("SELECT log_idx, CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000 AS ts_ms FROM l WHERE date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'")
@@ -245,7 +435,94 @@ def top_templates(spark, d):
 
 @query_of("""SELECT count(*) AS total_logs, CAST((SELECT count(*) FROM tm) AS BIGINT) AS templates, count(DISTINCT level) AS distinct_severities, count(DISTINCT ip) AS distinct_ips, count(DISTINCT CASE WHEN event_type <> 'click' THEN ms END) AS distinct_messages FROM l""", groups=True)
 def archive_statistics(spark, d):
-    return query.statistics(_logs(spark, d))
+    return query.statistics(LogEngine(spark).load(_archive(spark, d)))
+
+
+@query_of("SELECT log_idx, raw FROM l WHERE level = 'ERROR'")
+def archive_severity(spark, d):
+    return LogEngine(spark).query(_archive(spark, d), severity="error").select("log_idx", "raw")
+
+
+@query_of("SELECT log_idx, raw, level AS severity FROM l WHERE ip = '10.0.0.7'")
+def archive_ip(spark, d):
+    return LogEngine(spark).query(_archive(spark, d), ip="10.0.0.7").select("log_idx", "raw", "severity")
+
+
+@query_of("SELECT log_idx, date_trunc('second', ts) AS t FROM l WHERE date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00' AND level IN ('WARN', 'ERROR')")
+def archive_time_range(spark, d):
+    found = LogEngine(spark).query(_archive(spark, d), severity=["warn", "error"], timestamp_after="2024-01-05 00:00:00", timestamp_before="2024-01-20 12:00:00")
+    return found.select("log_idx", F.col("timestamp").cast("timestamp_ntz").alias("t"))
+
+
+@query_of("SELECT log_idx, raw FROM l WHERE event_type <> 'click' AND user_id = 12 ORDER BY log_idx LIMIT 20")
+def archive_field_filter(spark, d):
+    """Equality on an extracted field, which is made again from a line and its template."""
+    return LogEngine(spark).query(_archive(spark, d), limit=20, user_id="user=12").select("log_idx", "raw")
+
+
+@query_of("SELECT count(*) AS log_count, CAST(sum(strlen(raw)) AS BIGINT) AS original_size, CAST((SELECT count(*) FROM tm) AS BIGINT) AS template_count, true AS smaller, CAST(100 AS DOUBLE) AS coverage FROM l", groups=True)
+def compression_stats(spark, d):
+    """An archive's sizes, as its files are."""
+    path = _archive(spark, d)
+    logs, found = archive.read_archive(spark, path)
+    s = quality.compression_stats(logs, found, archive.archive_size(spark, path))
+    return s.select("log_count", "original_size", "template_count", (F.col("compressed_size") < F.col("original_size")).alias("smaller"), F.col("coverage_percentage").alias("coverage"))
+
+
+@query_of("SELECT count(*) AS logs, CAST(2 AS BIGINT) AS datasets, CAST(2 * sum(strlen(raw)) AS BIGINT) AS original FROM (SELECT raw FROM l UNION ALL SELECT raw FROM l WHERE false)")
+def corpus_summary(spark, d):
+    """Totals over the same archive taken twice; lines are counted by halves."""
+    path = _archive(spark, d)
+    logs, found = archive.read_archive(spark, path)
+    one = quality.compression_stats(logs, found, archive.archive_size(spark, path))
+    return quality.corpus_summary(one.unionAll(one)).select(F.expr("logs div 2").alias("logs"), "datasets", "original")
+
+
+@query_of("SELECT log_idx, raw FROM l WHERE event_type = 'error' AND ms > 50")
+def rows_by_id(spark, d):
+    ids = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'error' and floor(value) > 50").select(F.lit("events").alias("source"), F.col("event_id").alias("log_idx"))
+    return query.rows_by_id(LogEngine(spark).load(_archive(spark, d)), ids).select("log_idx", "raw")
+
+
+@query_of("SELECT 2 * count(*) AS equal, 2 * count(*) AS total FROM l")
+def positional_equality(spark, d):
+    """The lines of two sources with the same numbers, against what an archive gives back."""
+    lines = log_lines(spark, d)
+    both = lambda df: df.select("source", "log_idx", "raw").unionByName(df.select(F.lit("other").alias("source"), "log_idx", F.concat("raw", F.lit("!")).alias("raw")))
+    return matching.positional_equality(both(lines), both(LogEngine(spark).decompress(_archive(spark, d))))
+
+
+@query_of("SELECT count(*) AS matched, count(*) AS total, CAST(1 AS DOUBLE) AS coverage FROM events WHERE event_type = 'click'", with_lines=False)
+def exact_coverage(spark, d):
+    """Lines of white-space words against templates of the same words."""
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'click'")
+    lines = e.select(F.lit("events").alias("source"), F.col("event_id").alias("log_idx"), F.concat(F.lit("user "), F.col("user_id"), F.lit(" clicked in "), F.floor("value"), F.lit(" ms")).alias("raw"))
+    return matching.exact_coverage(lines, parse(lines).templates)
+
+
+@query_of("SELECT pattern, match_count AS count FROM tm", groups=True)
+def extracted_schemas(spark, d):
+    return LogEngine(spark).extract_schemas(log_lines(spark, d)).select("pattern", "count")
+
+
+@query_of("SELECT rank, match_count, CAST(round(match_count * 10000.0 / (SELECT count(*) FROM l)) AS BIGINT) AS percent_of_percent FROM tm WHERE rank <= 5", groups=True)
+def template_shares(spark, d):
+    t = parse(log_lines(spark, d)).templates
+    return quality.covered(t, log_lines(spark, d).count()).select("rank", "match_count", F.round(F.col("percent") * 100).cast("long").alias("percent_of_percent"))
+
+
+@query_of("SELECT true AS found, count(*) > 0 AS has_rows FROM l WHERE level = 'ERROR'")
+def key_value_filter(spark, d):
+    """``severity=ERROR`` as it is typed, to a query."""
+    found = LogEngine(spark).query(_archive(spark, d), **query.parse_filter("severity=ERROR"))
+    return found.agg(F.bool_and(F.upper("severity") == "ERROR").alias("found"), (F.count(F.lit(1)) > 0).alias("has_rows"))
+
+
+@query_of("SELECT true AS whole FROM l LIMIT 1")
+def archive_files(spark, d):
+    """An archive as rows of files: their bytes are its size."""
+    path = _archive(spark, d)
+    return archive.archive_bytes(spark, path).agg(F.sum(F.octet_length("content")).alias("n")).select((F.col("n") <= archive.archive_size(spark, path)).alias("whole"))
 
 
 @query_of("SELECT log_idx, raw FROM l WHERE contains(lower(raw), 'post /buy')")
@@ -350,7 +627,8 @@ def pattern_reconstruct(spark, d):
 
 @query_of("SELECT log_idx, raw FROM l")
 def lossless_lines(spark, d):
-    return _logs(spark, d).select("log_idx", "raw")
+    """An archive's lines are those that went in."""
+    return LogEngine(spark).decompress(_archive(spark, d)).select("log_idx", "raw")
 
 
 @query_of("""SELECT log_idx, CASE event_type WHEN 'click' THEN t || ' ' || level || ' ' || ip || ' ' || tail
@@ -393,9 +671,10 @@ def _registrations(spark, d) -> DataFrame:
     """A registration for each order of the first customers: the priority is the template,
     and the status adds a field, so that versions come and go."""
     o = spark.read.parquet(f"{d}/orders.parquet")
+    half = (o.agg(F.max("o_orderkey")).first()[0] or 0) // 2
     fields = F.when(F.col("o_orderstatus") == "O", F.array(F.lit("ts"), F.lit("level"))).otherwise(F.array(F.lit("ts"), F.lit("level"), F.lit("ip")))
     types = F.create_map(F.lit("ts"), F.lit("TIMESTAMP"), F.lit("level"), F.when(F.col("o_orderpriority") < "3", F.lit("SEVERITY")).otherwise(F.lit("STATUS")), F.lit("ip"), F.lit("IP_ADDRESS"))
-    return o.select(F.col("o_custkey").cast("string").alias("source_name"), F.timestamp_seconds("o_orderkey").alias("registered_at"), F.concat(F.lit("[TIMESTAMP] "), F.col("o_orderpriority")).alias("template"), fields.alias("fields"), types.alias("field_types"), F.lit(1).cast("long").alias("sample_count"))
+    return o.select(F.col("o_custkey").cast("string").alias("source_name"), F.timestamp_seconds("o_orderkey").alias("registered_at"), F.concat(F.lit("[TIMESTAMP] "), F.col("o_orderpriority")).alias("template"), fields.alias("fields"), types.alias("field_types"), F.lit(1).cast("long").alias("sample_count"), (F.col("o_orderkey") >= F.lit(half)).cast("int").alias("o_half"))
 
 
 _REG = """r AS (
@@ -438,6 +717,47 @@ def compat_matrix(spark, d):
     return versioning.compatibility_matrix(versioning.register(_registrations(spark, d))).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query_of(f"WITH {_REG} SELECT source_name, version, template_hash FROM v WHERE version = 2 UNION ALL SELECT source_name, version, template_hash FROM v QUALIFY version = max(version) OVER (PARTITION BY source_name)", with_lines=False)
+def version_lookups(spark, d):
+    """Second versions of all sources, and current ones, from a store that was saved twice."""
+    path, r = scratch.new_path(spark, "versions"), _registrations(spark, d)
+    reports.save_versions(versioning.register(r.where("o_half = 0").drop("o_half")), path)
+    old = reports.load_versions(spark, path)
+    now = scratch.written(versioning.register(r.where("o_half = 1").drop("o_half"), old), "versions-now")
+    reports.save_versions(now, path)
+    store = reports.load_versions(spark, path)
+    columns = ["source_name", "version", "template_hash"]
+    return store.where("version = 2").select(*columns).unionAll(versioning.current(store).select(*columns))
+
+
+@query_of("""SELECT type, count(*) AS n, count(DISTINCT value) AS values FROM (SELECT 'SEVERITY' AS type, level AS value FROM l WHERE log_idx < 200 UNION ALL SELECT 'IP_ADDRESS', ip FROM l WHERE log_idx < 200) GROUP BY type""")
+def ground_truth(spark, d):
+    """Annotations in two files of either form; of a line that is annotated twice the last holds."""
+    folder = scratch.new_path(spark, "truth")
+    rows = _truth_rows(spark, d)
+    notes = [{"log_id": str(r.log_idx), "raw_text": r.raw, "fields": [{"name": "s", "type": "severity", "start_pos": 0, "end_pos": 1, "value": r.level}, {"name": "i", "type": "ip_address", "start_pos": 0, "end_pos": 1, "value": r.ip}]} for r in rows]
+    half = len(notes) // 2
+    _file(spark, f"{folder}/a.json", json.dumps({"dataset": "a", "annotations": [{**notes[0], "fields": []}, *notes[:half]]}))
+    newer = [{"id": int(n["log_id"]), "raw": n["raw_text"], "fields": [{"type": f["type"], "value": f["value"], "start": 0, "end": 1, "confidence": 1.0} for f in n["fields"]]} for n in notes[half:]]
+    _file(spark, f"{folder}/b.json", json.dumps({"dataset": "b", "logs": newer}))
+    return reports.read_ground_truth(spark, folder).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("values"))
+
+
+def _truth_rows(spark, d) -> list:
+    """The first lines of the log with their severity and address: a small file of notes."""
+    logs = log_lines(spark, d).where("log_idx < 200")
+    return logs.select("log_idx", "raw", F.regexp_extract("raw", r"(DEBUG|INFO|NOTICE|WARN|ERROR)", 1).alias("level"), F.regexp_extract("raw", r"(10\.0\.\d+\.\d+)", 1).alias("ip")).orderBy("log_idx").collect()
+
+
+@query_of("SELECT template_id, pattern FROM tm", groups=True)
+def schema_file(spark, d):
+    """Templates written as a report of schemas, and read again."""
+    folder, t = scratch.new_path(spark, "schemas"), parse(log_lines(spark, d)).templates
+    one = t.select("template_id", F.array_join("pattern", " ").alias("pattern"), F.map_values("field_types").alias("fields"), F.col("example_logs").alias("examples"))
+    reports.write_json(one.agg(F.collect_list(F.struct("*")).alias("templates")), folder)  # one row for each template
+    return reports.read_schemas(spark, folder).select("template_id", "pattern")
+
+
 @query_of("SELECT count(*) AS files, count(*) FILTER (l_quantity > 10) AS succeeded, count(*) FILTER (NOT l_quantity > 10) AS failed, CAST(sum(CASE WHEN l_quantity > 10 THEN l_partkey END) AS BIGINT) AS original FROM lineitem", with_lines=False)
 def batch_report(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
@@ -445,17 +765,19 @@ def batch_report(spark, d):
     return quality.batch_report(files).select("files", "succeeded", "failed", "original")
 
 
-@query_of("SELECT count(*) AS log_count, CAST(sum(strlen(raw)) AS BIGINT) AS original_size, CAST((SELECT count(*) FROM tm) AS BIGINT) AS template_count FROM l", groups=True)
-def compression_stats(spark, d):
-    parsed = parse(log_lines(spark, d))
-    return quality.compression_stats(parsed.logs, parsed.templates, 1).select("log_count", "original_size", "template_count")
+@query_of("SELECT event_id, CASE WHEN u < 128 THEN printf('%02x', u) ELSE printf('%02x%02x', u % 128 + 128, u // 128) END AS bytes, u AS back FROM (SELECT event_id, user_id % 16384 AS u FROM events)", with_lines=False)
+def varint_bytes(spark, d):
+    encode, decode = encoding.codec_functions("varint")
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.array(F.col("user_id") % 16384).alias("u"))
+    coded = e.select("event_id", encode("u").alias("b"))
+    return coded.select("event_id", F.lower(F.hex("b")).alias("bytes"), decode("b")[0].alias("back"))
 
 
-@query_of()
+@query_of("SELECT user_id, event_id // 4096 AS block, count(*) AS n, true AS ok FROM events GROUP BY user_id, event_id // 4096", with_lines=False)
 def codec_roundtrips(spark, d):
-    """Pattern runs, bit-packed timestamps and block sorting of each user's values: one row
-    for each user, with sizes and whether all came back."""
-    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), F.length("event_type").alias("v"))
+    """Pattern runs, runs, bit-packed timestamps and block sorting of each user's values, in
+    blocks of 4096 events: whether all came back."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.expr("event_id div 4096").alias("block"), "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), F.length("event_type").alias("v"))
 
     def codecs(pdf):
         import pandas as pd
@@ -465,8 +787,9 @@ def codec_roundtrips(spark, d):
         pdf = pdf.sort_values("event_id")
         values, stamps = [int(v) for v in pdf.v], sorted(int(s) for s in pdf.s)
         mode, data = c.pattern_rle_encode(values)
-        packed, sorted_ = c.timestamps_encode(stamps), c.bwt(bytes(values), 256)
-        ok = c.pattern_rle_decode(mode, data) == values and c.timestamps_decode(packed) == stamps and c.inverse_bwt(sorted_) == bytes(values)
-        return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "n": [len(pdf)], "rle_bytes": [len(data)], "gorilla_bytes": [len(packed)], "ok": [ok]})
+        again = values[:2] * 5 + values
+        ok = c.pattern_rle_decode(mode, data) == values and c.pattern_rle_decode(*c.pattern_rle_encode(again)) == again and c.rle_decode(c.rle_encode(values)) == values
+        ok = ok and c.timestamps_decode(c.timestamps_encode(stamps)) == stamps and c.inverse_bwt(c.bwt(bytes(values), 256)) == bytes(values)
+        return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "block": [pdf.block.iloc[0]], "n": [len(pdf)], "ok": [ok]})
 
-    return e.groupBy("user_id").applyInPandas(codecs, "user_id long, n long, rle_bytes long, gorilla_bytes long, ok boolean")
+    return e.groupBy("user_id", "block").applyInPandas(codecs, "user_id long, block long, n long, ok boolean")

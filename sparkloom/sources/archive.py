@@ -39,6 +39,20 @@ def write_archive(logs: DataFrame, templates: DataFrame, path: str, **options) -
     write_logs(logs, path, **options)
 
 
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """An archive's row of totals: total_logs, original_size, matched, template_count, format_version."""
+    return spark.read.parquet(f"{path}/meta")
+
+
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """name and archive_path of the archives in a folder; a missing folder has none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = [x.getPath() for x in fs.listStatus(root)] if fs.exists(root) else []
+    found = [(p.getName(), p.toString()) for p in listed if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "meta"))]
+    return spark.createDataFrame(found, "name string, archive_path string")
+
+
 def _meta(spark: SparkSession, path: str):
     meta = spark.read.parquet(f"{path}/meta").first()
     if meta.format_version not in READABLE:
@@ -74,6 +88,12 @@ def archive_size(spark: SparkSession, path: str) -> int:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
 
 
+def source_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """source and compressed_size of an archive that is kept by source, from its files' lengths."""
+    files = spark.read.format("binaryFile").load(f"{path}/logs").select("source", "length")  # contents are not read
+    return files.groupBy("source").agg(F.sum("length").alias("compressed_size"))
+
+
 def archive_bytes(spark: SparkSession, path: str) -> DataFrame:
     """The archive's files as rows of path and content."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")

@@ -15,14 +15,14 @@ _GROUND = f"dataset string, annotations array<struct<log_id:string,raw_text:stri
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """log_id, raw, type, value, start, end of annotated fields, of either file form.  Of a
+    """file, log_id, raw, type, value, start, end of annotated fields, of either file form.  Of a
     log_id that repeats the last annotation of its file holds."""
-    docs = spark.read.schema(_GROUND).option("multiLine", "true").json(path)
-    old = docs.select(F.posexplode("annotations").alias("k", "a")).select("k", F.col("a.log_id").alias("log_id"), F.col("a.raw_text").alias("raw"), F.col("a.fields").alias("fields"))
-    new = docs.select(F.posexplode("logs").alias("k", "a")).select("k", F.col("a.id").alias("log_id"), F.col("a.raw").alias("raw"), F.col("a.fields").alias("fields"))
+    docs = spark.read.schema(_GROUND).option("multiLine", "true").json(path).withColumn("file", F.col("_metadata.file_path"))
+    old = docs.select("file", F.posexplode("annotations").alias("k", "a")).select("file", "k", F.col("a.log_id").alias("log_id"), F.col("a.raw_text").alias("raw"), F.col("a.fields").alias("fields"))
+    new = docs.select("file", F.posexplode("logs").alias("k", "a")).select("file", "k", F.col("a.id").alias("log_id"), F.col("a.raw").alias("raw"), F.col("a.fields").alias("fields"))
     both = old.unionByName(new)
-    last = both.withColumn("n", F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("k")))).where("n = 1")
-    return last.select("log_id", "raw", F.explode("fields").alias("f")).select("log_id", "raw", F.upper("f.type").alias("type"), F.col("f.value").alias("value"), F.coalesce("f.start_pos", "f.start").alias("start"), F.coalesce("f.end_pos", "f.end").alias("end"))
+    last = both.withColumn("n", F.row_number().over(Window.partitionBy("file", "log_id").orderBy(F.desc("k")))).where("n = 1")
+    return last.select("file", "log_id", "raw", F.explode("fields").alias("f")).select("file", "log_id", "raw", F.upper("f.type").alias("type"), F.col("f.value").alias("value"), F.coalesce("f.start_pos", "f.start").alias("start"), F.coalesce("f.end_pos", "f.end").alias("end"))
 
 
 def sample_ground_truth() -> dict:

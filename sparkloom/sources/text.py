@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import stripped
@@ -39,7 +39,9 @@ def read_logs(spark: SparkSession, path: str, source: str | None = None, recursi
 
 def numbered(lines: DataFrame) -> DataFrame:
     """log_idx from 0 without gaps, by source."""
-    return lines.withColumn("log_idx", (F.row_number().over(Window.partitionBy("source").orderBy("log_idx")) - 1).cast("long"))
+    from ..operators import ordered
+
+    return ordered.numbered(lines, "log_idx", "_place").withColumn("log_idx", F.col("_place")).drop("_place")
 
 
 def from_lines(spark: SparkSession, lines: Iterable[str], source: str = "") -> DataFrame:
@@ -49,9 +51,12 @@ def from_lines(spark: SparkSession, lines: Iterable[str], source: str = "") -> D
 
 
 def from_text_column(df: DataFrame, id_col: str, text_col: str, source: str = "") -> DataFrame:
-    """The lines of a text column; a row's id orders its lines before those of larger ids."""
-    lines = df.select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("_k", "raw"))
-    cleaned = lines.select(F.lit(source).alias("source"), (F.col("_id") * (1 << 20) + F.col("_k")).cast("long").alias("log_idx"), stripped(F.col("raw")).alias("raw"))
+    """The lines of a text column, with the row's id as ``source`` under the given name: a
+    text is a log of its own, its lines numbered from 0, however many there are.  Rows without
+    an id share the source of the bare name."""
+    name = F.concat(F.lit(source), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    lines = df.select(F.col(id_col), name.alias("source"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("_k", "raw"))
+    cleaned = lines.select(id_col, "source", F.col("_k").cast("long").alias("log_idx"), stripped(F.col("raw")).alias("raw"))
     return cleaned.where(F.col("raw") != "")
 
 
