@@ -72,6 +72,11 @@ def parsed_logs(matched: DataFrame) -> DataFrame:
     )
 
 
+def ordinal(template_id: Column) -> Column:
+    """A template id's number; 0 for what is no id."""
+    return F.coalesce(F.regexp_extract(template_id, r"^T(\d+)$", 1).try_cast("int"), F.lit(0))
+
+
 def exact_coverage(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """matched, total and coverage: lines whose white-space words fit some template's length
     and literals.  Templates of one length meet as an array, so that each line stays one row."""

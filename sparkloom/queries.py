@@ -371,6 +371,11 @@ def match_first_fit(spark, d):
     return parse(log_lines(spark, d), strict=False).logs.select("log_idx", "template_id")
 
 
+@query_of("SELECT log_idx, CAST(substr(template_id, 2) AS INTEGER) AS ordinal FROM layout JOIN tm USING (kind)", groups=True)
+def template_ordinals(spark, d):
+    return _logs(spark, d).select("log_idx", matching.ordinal(F.col("template_id")).alias("ordinal"))
+
+
 @query_of("""SELECT log_idx, CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000 AS ts_ms, level AS severity, ip AS ip_address, CASE WHEN event_type = 'click' THEN tail ELSE 'user=' || CAST(user_id AS VARCHAR) END AS user_id,
   CASE WHEN event_type <> 'click' THEN CAST(ms AS VARCHAR) END AS message FROM l""")
 def extract_fields(spark, d):

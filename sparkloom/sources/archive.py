@@ -21,14 +21,15 @@ def write_templates(templates: DataFrame, path: str) -> DataFrame:
     return templates.sparkSession.read.parquet(f"{path}/templates")
 
 
-def write_logs(logs: DataFrame, path: str, level: int = 9, by_source: bool = False) -> None:
-    """Lines with their typed columns, and totals, beside templates that are there.
+def write_logs(logs: DataFrame, path: str, level: int = 9, by_source: bool = False, codec: str = "zstd") -> None:
+    """Lines with their typed columns, and totals, beside templates that are there, by any
+    codec that Parquet has (``level`` is zstd's).
     Dictionaries, runs and deltas are Parquet's own; the address column has a Bloom filter.
     What follows from a line and its template is not stored: ``with_fields`` makes it again."""
     spark = logs.sparkSession
     logs = logs.select(*COLUMNS, F.when(F.col("template_id").isNotNull(), F.col("message")).alias("message"))
     bloom = {"parquet.bloom.filter.enabled#ip_address": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(128 << 10)}
-    writer = logs.sortWithinPartitions("source", "ts_ms", "log_idx").write.mode("overwrite").options(**bloom).option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level))
+    writer = logs.sortWithinPartitions("source", "ts_ms", "log_idx").write.mode("overwrite").options(**bloom).option("compression", codec).option("parquet.compression.codec.zstd.level", str(level))
     (writer.partitionBy("source") if by_source else writer).parquet(f"{path}/logs")
     totals = spark.read.parquet(f"{path}/logs").agg(F.count(F.lit(1)).alias("total_logs"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("original_size"), F.count_if(F.col("template_id").isNotNull()).alias("matched"))
     totals.withColumn("format_version", F.lit(FORMAT)).withColumn("template_count", F.lit(spark.read.parquet(f"{path}/templates").count())).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")

@@ -1,5 +1,7 @@
 """Encodings: round trips, and windows against the byte codecs."""
 
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -96,3 +98,33 @@ def test_codec_functions(spark, name):
     encode, decode = c.codec_functions(name)
     df = spark.createDataFrame([([5, 5, 7, 300],), ([],), ([0],)], "v array<long>")
     assert all(r.v == r.back for r in df.select("v", decode(encode("v")).alias("back")).collect())
+
+
+def test_one_source_is_spread(spark):
+    """A long sequence goes through many ranges, and gives what one pass would."""
+    from itertools import groupby
+
+    from sparkloom.operators.ordered import SLICE, Ordered, numbered
+
+    rng = random.Random(3)
+    rows = [(s, i, rng.randrange(1, 4), rng.randrange(5) if s == "a" else 1) for s in "ab" for i in range(0, 600, 2)]
+    df = spark.createDataFrame(rows, "source string, log_idx long, ts_ms long, v int").repartition(5).cache()
+    ordered = Ordered(df, slices=7)
+    assert ordered.df.where("source = 'a'").select(SLICE).distinct().count() > 2
+    got = ordered.running(F.col("ts_ms"), "sum").previous(F.col("v"), "prev").rows().collect()
+    for s in "ab":
+        mine = sorted((r for r in got if r.source == s), key=lambda r: r.log_idx)
+        total, last = 0, None
+        for r in mine:
+            total += r.ts_ms
+            assert r["sum"] == total and (r.prev is None if last is None else r.prev.v == last)
+            last = r.v
+        values = [r.v for r in mine]
+        runs = [(r.value, r["count"]) for r in c.runs(df.where(F.col("source") == s), "v", cap=100).orderBy("run").collect()]
+        want = [(v, n) for v, g in groupby(values) for size in [len(list(g))] for n in [100] * (size // 100) + [size % 100] * (size % 100 > 0)]
+        assert runs == want
+    places = numbered(df, "log_idx", "place").collect()
+    assert all(r.place == r.log_idx // 2 for r in places)
+    ids = {(r.source, r.value): r.id for r in c.dictionary(df, "v").collect()}
+    assert sorted(i for (s, _), i in ids.items() if s == "a") == [0, 1, 2, 3, 4] and ids["b", 1] == 0
+    assert numbered(df.limit(0), "log_idx", "place").count() == 0

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import quality, versioning
+from sparkloom.operators import matching, quality, query, versioning
 from sparkloom.plans.parse import parse
 from sparkloom.sources import reports, text
 from sparkloom.streaming import ingest
@@ -118,3 +118,48 @@ def test_stream_drift(spark, tmp_path):
     drift = []
     ingest.ingest(ingest.watch(spark, str(logs)), str(tmp_path / "o"), str(tmp_path / "c"), lambda: first, lambda t, n: drift.extend(" ".join(r.pattern) for r in t.collect())).awaitTermination()
     assert drift == ["new shape [MESSAGE]"]
+
+
+def test_stream_with_templates_of_several_files(spark, tmp_path):
+    """Templates that two files gave serve a third, and each of its lines comes once."""
+    logs, out, store = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "store")
+    logs.mkdir()
+    line = "[2024-01-01 00:00:0{}] [info] took {} ms".format
+
+    def run():
+        lines = ingest.watch(spark, str(logs))
+        ingest.ingest(lines, out, str(tmp_path / "c"), ingest.template_store(spark, store), ingest.keep_templates(store)).awaitTermination()
+        return spark.read.parquet(out)
+
+    for name in ("a.log", "b.log"):
+        (logs / name).write_text("\n".join(line(i % 10, i) for i in range(20)))
+    assert run().count() == 40 and spark.read.parquet(store).count() == 2
+    (logs / "c.log").write_text("\n".join([*(line(i % 10, i) for i in range(20)), *(f"new shape {i}" for i in range(5))]))
+    got = run()
+    assert got.count() == 65 and got.where("source like '%c.log' and severity = 'info'").count() == 20
+    assert spark.read.parquet(store).count() == 3  # the drift is kept
+    (logs / "d.log").write_text("\n".join(f"new shape {i}" for i in range(4)))
+    assert run().where("source like '%d.log' and template_id is not null").count() == 4
+
+
+def test_stream_skips_what_is_there(spark, tmp_path):
+    logs, out = tmp_path / "logs", str(tmp_path / "out")
+    logs.mkdir()
+    (logs / "a.log").write_text("\n".join(f"took {i} ms" for i in range(20)))
+    for k in range(2):  # a second stream, with a checkpoint of its own
+        ingest.ingest(ingest.watch(spark, str(logs)), out, str(tmp_path / f"c{k}"), lambda: None, skip_existing=True).awaitTermination()
+    assert spark.read.parquet(out).count() == 20
+
+
+def test_annotations_of_files_that_share_ids(spark, tmp_path):
+    for name, value in (("a", "1.1.1.1"), ("b", "2.2.2.2")):
+        notes = [{"log_id": "1", "raw_text": v, "fields": [{"name": "i", "type": "ip_address", "start_pos": 0, "end_pos": 7, "value": v}]} for v in ("0.0.0.0", value)]
+        (tmp_path / f"{name}.json").write_text(json.dumps({"dataset": name, "annotations": notes}))
+    assert sorted(r.value for r in reports.read_ground_truth(spark, str(tmp_path / "*.json")).collect()) == ["1.1.1.1", "2.2.2.2"]
+
+
+def test_lines_of_two_sources(spark):
+    one, two = text.from_lines(spark, ["a", "b"], "x"), text.from_lines(spark, ["c", "d"], "y")
+    both = one.unionByName(two)
+    assert tuple(matching.positional_equality(both, both).first()) == (4, 4)
+    assert [r.raw for r in query.rows_by_id(both, two.limit(1)).collect()] == ["c"]
