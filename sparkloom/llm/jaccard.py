@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, pieces, split_words, text, written
-from .components import components
+from .components import components, hot_join
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 4  # a pair at the threshold misses all bands with a chance of 4e-7
@@ -307,13 +307,13 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
     keys = classes.where("n > 0").select("cid", band.alias("band", "key")).select("cid", "key")
-    # a join, not a window: a band that very many share is split between tasks
-    met = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key")
+    alike = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("n", F.col("size")), "bands")
+    met = hot_join(keys, alike, "key", "n", alike.agg(F.sum("n")).first()[0] or 0)
     buckets = _tiled(met.join(classes.select("cid", "sig"), "cid"), "key", "size", 2 * tile).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     loose = components(buckets.mapInArrow(_candidates(threshold, tolerance), "a long, b long"))
 
-    sizes = loose.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = loose.join(sizes, "component").withColumnRenamed("id", "cid").join(classes.select("cid", "uid", "d1", "d2"), "cid")
+    sizes = loose.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("n", F.col("size"))
+    members = hot_join(loose, sizes, "component", "n", loose.count()).withColumnRenamed("id", "cid").join(classes.select("cid", "uid", "d1", "d2"), "cid")
     texts = members.join(rows.select("uid", "text"), "uid").select("component", "size", "cid", "d1", "d2", "text")
     groups = _tiled(texts, "component", "size", tile).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     verified = written(groups.mapInArrow(_verify(size, threshold, tolerance), "a long, b long, links long"), "links")
@@ -321,8 +321,9 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     final = components(verified.select("a", "b")).select(F.col("id").alias("cid"), "component")
 
     tied = classes.select("cid", "d1", "d2", "uid", "copy_id", "n_copies").join(links, "cid", "left").join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    heads = tied.groupBy("component").agg(F.min("uid").alias("class_uid"), F.min("copy_id").alias("class_id"))
-    tied = tied.join(heads, "component").select("d1", "d2", "component", "class_uid", "class_id", "copy_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    tied = written(tied, "tied")
+    heads = tied.groupBy("component").agg(F.min("uid").alias("class_uid"), F.min("copy_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    tied = hot_join(tied, heads, "component", "n", tied.count()).select("d1", "d2", "component", "class_uid", "class_id", "copy_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     return sketch.select("uid", "doc_id", "text_hash", "d1", "d2").join(tied, ["d1", "d2"]).drop("d1", "d2")
 
 

@@ -211,6 +211,26 @@ def test_pipeline(spark, tmp_path):
     assert ids(corpus_pipeline.run(spark, d)) == ids(after["packing"])
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and empty texts, rows that repeat, null ids and sources; and no rows at all."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(i, words(rng, 60, 900), "en", f"s{i % 2}", 1) for i in range(30)]
+    odd = [(100, None, None, None, None), (101, "", "en", "s0", 0), (None, "no id at all here", None, "s1", 5), rows[3], rows[3], (3, "another text of id three", "en", "s0", 9)]
+    for name, some in (("some", [*rows, *odd]), ("none", [])):
+        spark.createDataFrame(some, DOCUMENTS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(r[0], 1, 0) for r in some[:20]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert {r.doc_id for r in got} >= {*range(30)} and {100, 101} & {r.doc_id for r in got}  # null and empty are copies: one of them stays
+
+
 def test_registered_queries():
     import __spark_entry__
 

@@ -138,6 +138,22 @@ def test_keep_one(spark, edge_docs, edge_rows):
     assert 104 not in ids and ids.count(3) == 1 and 5 in ids
 
 
+def test_keep_one_tells_classes_of_one_id_apart(spark):
+    a, b, c = ("first text of many words " * 3, "second text that is another one " * 3, "third of them all " * 4)
+    rows = [(3, b, "s"), (5, a, "s"), (5, b, "s"), (5, c, "s"), (5, c, "s"), (7, b.upper(), "s"), (None, a, "s")]
+    kept = sorted((r.doc_id, r.text) for r in jaccard.keep_one(rows_to_docs(spark, rows).repartition(3)).collect())
+    assert len(kept) == 3 and {t for _, t in kept} >= {b, c} and (3, b) in kept and (5, c) in kept
+
+
+def test_band_that_all_share(spark):
+    """One key with most rows: near copies of one text, and every link is counted."""
+    rng = random.Random(7)
+    base = words(rng, 300, 5_000).split()
+    rows = [(i, " ".join([*base[:290], f"x{i}"]), "s") for i in range(150)] + [(1000 + i, words(rng, 80, 5_000), "s") for i in range(20)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(rows_to_docs(spark, rows).repartition(4), tile=32).collect()}
+    assert all(got[i] == (0, 149) for i in range(150)) and all(got[1000 + i] == (1000 + i, 0) for i in range(20))
+
+
 def test_join_of_nothing(no_docs):
     assert jaccard.near_duplicates(no_docs).count() == 0 and jaccard.keep_one(no_docs).count() == 0
 

@@ -3,6 +3,7 @@
 import datetime
 import gzip
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -195,23 +196,95 @@ def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "x", 3) for i, u, h in rows], "page_id long, url string, html string, host string, node int")
 
 
+def whole(k, **more):
+    return f"Buy now\n\nWe use cookies\n\n{want(k)}\n\nRead the guide"
+
+
 def test_mark_up_alone(spark):
+    """One page tells nothing of what repeats: what is no text by the standard goes, no more."""
     (r,) = html_tree.extract(pages(spark, [(1, "http://a.example/1", page(1))])).collect()
-    assert r.text == want(1) + "\n\nRead the guide" and r.n_chars == len(r.text)
+    assert r.text == whole(1) and r.n_chars == len(r.text)
+
+
+def tree_by_hand(rows):
+    """Texts of (url's host, html) pages by the definitions, in plain loops."""
+    weight = html_tree.PRIOR_PAGES * math.log(html_tree.PRIOR_PAGES)
+    parsed = [(host, *html_tree.parse(source)) for host, source in rows]
+    seen = {(host, max((t for t, _ in blocks), key=len, default=""), k, n.label, n.article, n.content, n.layout) for host, blocks, nodes in parsed for k, n in nodes.items() if n.content}
+
+    def same(counts):
+        return sum(n * math.log(n) for n in counts.values())
+
+    def measure(some):
+        content, layout = Counter((x[4], x[5]) for x in some), Counter(x[6] for x in some)
+        c = same(content)
+        return 0.9 * c + (0.1 * same(layout) if c > 0 else 0), len(some) * math.log(len(some))
+
+    def prior(some, before):
+        s, most = measure(some)
+        return (s + weight * before) / (most + weight)
+
+    label = {x[3]: prior([y for y in seen if y[3] == x[3]], 0) for x in seen}
+    place = {x[2]: prior([y for y in seen if y[2] == x[2]], label[x[3]]) for x in seen}
+    out = []
+    for host, blocks, nodes in parsed:
+        gone = set()
+        for k, n in nodes.items():
+            here = [y for y in seen if y[0] == host and y[2] == k]
+            if here and 1 - prior(here, place[k]) < (html_tree.LOW_IN_ARTICLE if any(y[4] for y in here) else html_tree.LOW):
+                gone.add(n.place)
+        left = [t for t, chain in blocks if gone.isdisjoint(chain)]
+        out.append("\n\n".join(left or [t for t, _ in blocks]))
+    return out
+
+
+def test_tree_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(f"h{rng.randrange(4)}.example", page(k, promo=f"Buy {rng.randrange(3)}", teaser=rng.choice([f"Own {k}", "Read the guide", "Read more"]))) for k in range(60)]
+    rows += [(h, s) for h, s in rows[:10]] + [("h9.example", "<div class='x'><p>only</p></div>"), ("h9.example", "")]
+    got = {r.page_id: r.text for r in html_tree.extract(pages(spark, [(i, f"http://{h}/{i}", s) for i, (h, s) in enumerate(rows)]).repartition(3)).collect()}
+    assert [got[i] for i in range(len(rows))] == tree_by_hand(rows)
 
 
 def test_site_tree_cuts_what_repeats(spark):
-    rows = [(k, f"https://a.example/{k}", page(k)) for k in range(12)] + [(50 + k, "http://one.example/", page(50 + k, teaser=f"Own words {k}")) for k in range(8)]
+    rows = [(k, f"https://a.example/{k}", page(k)) for k in range(12)] + [(50 + k, "http://one.example/", page(50 + k, teaser=f"Own words {k}")) for k in range(60)]
     got = {r.page_id: r.text for r in html_tree.extract(pages(spark, rows).repartition(3)).collect()}
     for k in range(12):
         assert got[k] == want(k)
-    for k in range(8):
-        assert got[50 + k].endswith(f"\n\nOwn words {k}")
+    for k in range(60):  # what is its own on sixty pages of a host stays, whatever other hosts have there
+        assert got[50 + k] == want(50 + k) + f"\n\nOwn words {k}"
 
 
 def test_copies_of_a_page_do_not_cut_it(spark):
-    rows = [(k, "http://a.example/x", page(1)) for k in range(30)]
-    assert {r.text for r in html_tree.extract(pages(spark, rows)).collect()} == {want(1) + "\n\nRead the guide"}
+    rows = [(k, "http://a.example/x", page(1)) for k in range(30)] + [(100 + k, "http://b.example/x", page(1, promo=f"Buy {k}")) for k in range(30)]
+    got = {r.page_id: r.text for r in html_tree.extract(pages(spark, rows)).collect()}
+    assert all(want(1) in t for t in got.values())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_tree_on_the_tables(spark, monkeypatch, sf):
+    """The tree changes pages; without its cuts mark-up alone is left."""
+    folder = f"/root/testdata/{sf}"
+    got = {r.page_id: r.text for r in html_tree.op6_html_extraction(spark, folder).collect()}
+    plain = {r.page_id: html_tree.page_text(r.html or "") for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    assert sum(got[k] != plain[k] for k in plain) > 0.5 * len(plain)
+    cuts = html_tree.low_branches
+    monkeypatch.setattr(html_tree, "low_branches", lambda parsed: cuts(parsed).limit(0))
+    assert {r.page_id: r.text for r in html_tree.op6_html_extraction(spark, folder).collect()} == plain
+
+
+def test_many_cuts_are_joined(spark, monkeypatch):
+    rows = [(k, f"https://a{k % 3}.example/{k}", page(k)) for k in range(30)]
+    once = sorted((r.page_id, r.text) for r in html_tree.extract(pages(spark, rows)).collect())
+    monkeypatch.setattr(html_tree, "BROADCAST_CUTS", -1)
+    assert sorted((r.page_id, r.text) for r in html_tree.extract(pages(spark, rows)).collect()) == once
+
+
+def test_forms_that_wrap_a_page():
+    assert html_tree.page_text("<form><div>login</div><article><p>text</p></article></form><p>out</p>") == "text\n\nout"
+    assert html_tree.page_text("<body><form id='aspnet'><div><p>all of it</p></div></form></body>") == "all of it"
+    assert html_tree.page_text("<p>text</p><form><p>subscribe</p></form>") == "text"
 
 
 def test_html_edges(spark):
@@ -224,20 +297,20 @@ def test_html_edges(spark):
     assert html_tree.extract(pages(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "post-comments", "comment-body", "articleComments", "page-footer", "main-menu", "ad-container", "cookie_notice", "share-buttons", "header", "newsletterSignup"])
-def test_noise_by_class(name):
-    assert html_tree.page_text(f"<body><div class='{name}'>x <p>y</p></div><article class='post'><p>z</p><article class='comment'>first</article></article></body>", set()) == "z"
-    assert html_tree.page_text(f"<body><div id='{name}'>x</div><p>z</p></body>", set()) == "z"
+@pytest.mark.parametrize("name", ["post-comments", "comment-body", "articleComments", "disqus_thread"])
+def test_reader_comments_by_class(name):
+    assert html_tree.page_text(f"<body><div class='{name}'>x <p>y</p></div><article class='post'><p>z</p><article class='comment'>first</article></article></body>") == "z"
+    assert html_tree.page_text(f"<body><div id='{name}'>x</div><p>z</p></body>") == "z"
 
 
-@pytest.mark.parametrize("name", ["content", "with-sidebar", "sidebar-layout", "no-ads", "story-text", "shareholder", "adopted", "main page-wrapper"])
+@pytest.mark.parametrize("name", ["content", "with-comments", "sidebar", "no-ads", "story-text", "shareholder", "adopted", "main page-wrapper"])
 def test_no_noise_by_class(name):
     assert html_tree.page_text(f"<body><div class='{name}'><p>z</p></div></body>", set()) == "z"
 
 
 def test_line_breaks_and_inline_elements(spark):
     (r,) = html_tree.extract(pages(spark, [(1, "u", "<main><p>one<br>two <em>th</em>ree<span class='ad'>Buy</span> end</p><div>x<p>y</p>z</div></main>")])).collect()
-    assert r.text == "one two three end\n\nx\n\ny\n\nz"
+    assert r.text == "one two threeBuy end\n\nx\n\ny\n\nz"
 
 
 # ---------------------------------------------------------------- WARC
@@ -279,6 +352,30 @@ def test_revisits_brute_force(spark):
     assert warc.resolve_revisits(captures(spark, [])).count() == 0
 
 
+def test_revisits_of_one_url_at_one_time(spark):
+    """A burst is spread over slices: its captures follow each other by record id."""
+    rows = [(i, "http://h.example/a", 7, "revisit" if i % 2 else "response", 200, {"etag": "x"}, None, i) for i in range(400)] + [(900, "http://h.example/a", 10**15, "revisit", 304, {"etag": "x"}, None, None)]
+    got = {r.record_id: r.response_id for r in warc.resolve_revisits(captures(spark, rows), 9).collect()}
+    assert got == {i: i - 1 for i in range(1, 400, 2)} | {900: 398}
+
+
+def test_revisits_without_url_or_time(spark):
+    rows = [(1, "http://h.example/a", None, "response", 200, {"etag": "x"}, None, 1), (2, "http://h.example/a", None, "revisit", 304, {"etag": "x"}, None, None), (3, None, 5, "response", 200, {"etag": "x"}, None, 1), (4, None, 6, "revisit", 304, {"etag": "x"}, None, None), (5, "http://h.example/a", 9, "revisit", 304, {"etag": "x"}, None, None)]
+    assert {r.record_id: (r.outcome, r.response_id) for r in warc.resolve_revisits(captures(spark, rows)).collect()} == {k: ("unresolved", None) for k in (2, 4, 5)}
+
+
+def test_warc_query(spark, tmp_path):
+    """The registered query on odd pages, and on none."""
+    schema = "page_id long, url string, html string"
+    rows = [(1, "http://a.example/x", "one"), (2, "http://a.example/x/", "one"), (3, None, "two"), (None, "http://a.example/y", None), (4, "http://a.example/y", None), (4, "http://a.example/y", None)]
+    for name, some in (("some", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(str(tmp_path / name / "pages.parquet"))
+    assert warc.op8_warc_revisits(spark, str(tmp_path / "none")).count() == 0
+    got = warc.op8_warc_revisits(spark, str(tmp_path / "some")).collect()
+    assert len(got) == len(rows) and {r.outcome for r in got if r.page_id == 3} == {"unresolved"}
+    assert warc.read_warc(spark, str(tmp_path / "none" / "pages.parquet" / "_SUCCESS")).count() == 0
+
+
 def test_warc_files(spark, tmp_path):
     one = warc.format_record("response", "<urn:1>", "http://a.example/", "2024-01-01T00:00:00Z", 200, {"Content-Type": "text/html"}, b"hello\r\n\r\nworld")
     two = warc.format_record("revisit", "<urn:2>", "http://a.example/", "2024-01-02T00:00:00Z", 304, {}, b"")
@@ -341,8 +438,8 @@ def told(w, ids):
 
 
 def test_lm_counts_and_gain(spark, monkeypatch):
-    monkeypatch.setattr(attention_lm, "LEAST_IDS", 400_000)
-    rows = lm_rows()
+    monkeypatch.setattr(attention_lm, "LEAST_IDS", 1_000_000)
+    rows = lm_rows(150)
     got = [r for r in check_lm(rows_to_docs(spark, rows).coalesce(1), rows) if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
