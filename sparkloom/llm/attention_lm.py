@@ -38,7 +38,7 @@ from .common import bounded_batches, crc32_of_id, kept, pieces, split_words, tex
 
 DIM, INNER, STRIDE = 40, 16, 32
 #: Windows of one step, ids read at least, and bytes of training text for each task.
-BATCH, LEAST_IDS, TASK_BYTES = 128, 4_000_000, 32 << 20
+BATCH, LEAST_IDS, TASK_BYTES = 128, 4_000_000, 8 << 20
 #: The first way along the documents goes in rounds of so many 64ths, later ways in halves.
 ROUNDS, LATER_ROUNDS = (1, 1, 2, 4, 8, 16, 32), (32, 32)
 RATE, LAST_RATE = 0.03, 0.001
