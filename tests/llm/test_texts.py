@@ -445,11 +445,32 @@ def told(w, ids):
     return out
 
 
-def test_lm_counts_and_gain(spark, monkeypatch):
-    monkeypatch.setattr(attention_lm, "LEAST_IDS", 1_000_000)
-    rows = lm_rows(150)
-    got = [r for r in check_lm(rows_to_docs(spark, rows).coalesce(1), rows) if r.held_out]
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+def test_lm_counts(spark, little):
+    rows = lm_rows(60)
+    check_lm(rows_to_docs(spark, rows).repartition(3), rows)
+
+
+def test_lm_gain():
+    """Held-out texts are likelier than by the base once enough ids are read."""
+    rows = lm_rows(400)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train, rest = ([t for i, t, _ in rows if held(i) == k] for k in (False, True))
+    path = attention_lm.default_tokenizer()
+    counted = Counter(w for t in train for w in [*t.encode().split(), attention_lm.END])
+    subwords = attention_lm.Subwords(path)
+    often = Counter({subwords.tokenizer.token_to_id(c): 0 for c in attention_lm.LETTER_BYTES})
+    for w, n in counted.items():
+        if w != attention_lm.END:
+            often.update({int(i): n * k for i, k in Counter(subwords([w])[0].tolist()).items()})
+    ids = sorted(often, key=lambda i: (-often[i], i))
+    model = attention_lm.Words(path, np.array(ids))
+    stream = lambda texts: model.stream(model.rows(pa.array(texts)))
+    weights, rng = attention_lm.initial(np.array([len(train), *(often[i] for i in ids)], float), 5), np.random.default_rng(0)
+    for way in range(16):
+        weights, _ = attention_lm.descend(weights, 0.02 * 0.05 ** (way / 15), [stream(train)], rng)
+    n, v = sum(counted.values()), len(counted)
+    base = sum(math.log10((counted[w] + 1) / (n + v + 1)) for t in rest for w in [*t.encode().split(), attention_lm.END])
+    assert attention_lm.log_probabilities(attention_lm.tables(weights), *stream(rest)).sum() / math.log(10) > base
 
 
 def test_lm_score_by_brute_force(spark, monkeypatch, little):
