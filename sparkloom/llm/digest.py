@@ -138,8 +138,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return spark.createDataFrame([], RESULT)
     nexts = spark.createDataFrame([(p, q) for p, q in zip(parts, parts[1:] + parts[:1])], "part long, next_part long")
     firsts = done.where("side = 1").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
-    # whole texts: they meet by shuffle, never by broadcast
-    lasts = done.where("side = 2").select("part", "doc_id", "text").join(nexts, "part").hint("merge").join(firsts.hint("merge"), "next_part")
+    # whole texts meet by shuffle; of what is broadcast there is one row of two numbers for each partition
+    lasts = done.where("side = 2").select("part", "doc_id", "text").join(F.broadcast(nexts), "part").hint("merge").join(firsts.hint("merge"), "next_part")
     ends = lasts.select("doc_id", "text", "following").mapInArrow(_ends, RESULT)
     return done.where("side = 0").drop("part", "side", "text").unionByName(ends)
 
