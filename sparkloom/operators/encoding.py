@@ -15,6 +15,7 @@ from .ordered import Ordered, numbered
 
 RUN_CAP = 65_535
 PATTERN_MARK, MIN_REPEATS, MAX_PATTERN = 0xFF, 3, 19
+SHORT_BLOCK = 64
 
 
 def zigzag(n: Column) -> Column:
@@ -275,6 +276,11 @@ def bwt(data: bytes, block: int = 256 << 10) -> bytes:
     for at in range(0, len(data), block):
         piece = np.frombuffer(data[at : at + block], np.uint8)
         n = len(piece)
+        if n <= SHORT_BLOCK:  # rotations as they are, without arrays
+            text = piece.tobytes()
+            turned = sorted(range(n), key=lambda k: text[k:] + text[:k])
+            out += struct.pack("<II", n, turned.index(0)) + bytes(text[k - 1] for k in turned)
+            continue
         rank, step = piece.astype(np.int64), 1
         order = np.argsort(rank, kind="stable")
         while True:
@@ -297,8 +303,8 @@ def inverse_bwt(data: bytes) -> bytes:
     out, at = bytearray(), 0
     while at < len(data):
         n, row = struct.unpack("<II", data[at : at + 8])
-        last = np.frombuffer(data[at + 8 : at + 8 + n], np.uint8)
-        follow = np.argsort(last, kind="stable").tolist()
+        last = data[at + 8 : at + 8 + n]
+        follow = sorted(range(n), key=last.__getitem__) if n <= SHORT_BLOCK else np.argsort(np.frombuffer(last, np.uint8), kind="stable").tolist()
         piece = bytearray()
         for _ in range(n):
             row = follow[row]
@@ -329,3 +335,21 @@ def codec_functions(name: str):
         return data.map(lambda d: None if d is None else decode(bytes(d)))
 
     return encoded, decoded
+
+
+def came_back(values: list[int], stamps: list[int]) -> bool:
+    """Whether pattern runs, runs and block sorting give the values again, and bit-packed
+    timestamps the stamps."""
+    again, data = values[:2] * 5 + values, varints_encode(values)
+    ok = all(pattern_rle_decode(*pattern_rle_encode(x)) == x for x in (values, again)) and rle_decode(rle_encode(values)) == values
+    return ok and timestamps_decode(timestamps_encode(stamps)) == stamps and inverse_bwt(bwt(data, 256)) == data
+
+
+def came_back_function():
+    """``came_back`` for DataFrames: of the values and the stamps of a row, as arrays."""
+
+    @F.pandas_udf("boolean")
+    def whole(values: pd.Series, stamps: pd.Series) -> pd.Series:
+        return pd.Series([came_back(v.tolist(), s.tolist()) for v, s in zip(values, stamps)], dtype=bool)
+
+    return whole

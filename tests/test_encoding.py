@@ -128,3 +128,28 @@ def test_one_source_is_spread(spark):
     ids = {(r.source, r.value): r.id for r in c.dictionary(df, "v").collect()}
     assert sorted(i for (s, _), i in ids.items() if s == "a") == [0, 1, 2, 3, 4] and ids["b", 1] == 0
     assert numbered(df.limit(0), "log_idx", "place").count() == 0
+
+
+def test_roundtrips_of_odd_events(spark, tmp_path):
+    """Nulls are not coded, long names are, and blocks are read many at a time."""
+    from sparkloom import queries
+
+    rows = [(0, 1, "2024-01-01 00:00:00", "view"), (1, 1, None, None), (2, 1, "2024-01-01 00:00:09", "x" * 300), (4096, 1, "2024-01-02 00:00:00", "click"), (3, None, "2024-01-01 00:00:00", "view")]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = queries.codec_roundtrips(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, 0, 3, True), (1, 1, 1, True), (None, 0, 1, True)], key=str)
+    assert "GroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
+def test_block_sorting_of_short_blocks():
+    """Blocks of either way of sorting give the same bytes."""
+    rng = random.Random(3)
+    cases = [bytes(rng.choice(b"ab") for _ in range(n)) for n in range(c.SHORT_BLOCK + 1)]
+    short, c.SHORT_BLOCK = c.SHORT_BLOCK, 0
+    try:
+        want = [c.bwt(x) for x in cases]
+    finally:
+        c.SHORT_BLOCK = short
+    assert [c.bwt(x) for x in cases] == want
+    assert [c.inverse_bwt(c.bwt(x)) for x in cases] == cases
