@@ -25,8 +25,9 @@ def register(events: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     changed = F.when(F.col("template_hash").eqNullSafe(F.lag("template_hash").over(order)), 0).otherwise(1)
     numbered = rows.withColumn("changed", changed).withColumn("v", F.sum("changed").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.struct(F.col("version").isNull(), "version", "registered_at")
-    first = lambda c: F.min_by(c, at).alias(c)
-    return numbered.groupBy("source_name", F.col("v").cast("int").alias("version")).agg(first("registered_at"), first("template"), first("fields"), first("field_types"), F.sum("sample_count").alias("sample_count"), F.first("template_hash").alias("template_hash")).select(*cols)
+    first = F.min_by(F.struct("registered_at", "template", "fields", "field_types", "template_hash"), at).alias("first")
+    opened = numbered.groupBy("source_name", F.col("v").cast("int").alias("version")).agg(first, F.sum("sample_count").alias("sample_count"))
+    return opened.select("source_name", "version", "first.*", "sample_count").select(*cols)
 
 
 def get_version(versions: DataFrame, source: str, version: int) -> DataFrame:

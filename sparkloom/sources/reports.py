@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import versioning
+from .scratch import written
+
+#: Folders of a version store.
+BUCKETS = 64
 
 _FIELD = "name string, type string, start_pos int, end_pos int, start int, end int, value string, confidence double"
 _GROUND = f"dataset string, annotations array<struct<log_id:string,raw_text:string,fields:array<struct<{_FIELD.replace(' ', ':').replace(',:', ',')}>>>>, logs array<struct<id:string,raw:string,fields:array<struct<{_FIELD.replace(' ', ':').replace(',:', ',')}>>>>"
@@ -39,18 +43,29 @@ def read_schemas(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("templates").alias("t")).select("t.*")
 
 
-def load_versions(spark: SparkSession, path: str) -> DataFrame:
-    """The version store; an empty one where there is none."""
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    schema = f"{versioning.SCHEMA}, bucket int"
     try:
-        return spark.read.schema(versioning.SCHEMA).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], versioning.SCHEMA)
+        return spark.createDataFrame([], schema)
+
+
+def load_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The version store; an empty one where there is none."""
+    return _stored(spark, path).drop("bucket")
 
 
 def save_versions(versions: DataFrame, path: str) -> None:
-    """Writes the sources of ``versions`` over what the store has of them, and leaves others."""
-    writer = versions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("source_name").parquet(path)
+    """Writes the sources of ``versions`` over what the store has of them, and leaves others.
+    Sources are dealt to ``BUCKETS`` folders by hash, so that their number does not grow with
+    that of sources; a folder that any of the sources falls into is written anew."""
+    new = written(versions.withColumn("bucket", F.pmod(F.xxhash64("source_name"), F.lit(BUCKETS)).cast("int")), "versions")
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+    sources = new.select(F.col("source_name").alias("_source")).distinct()
+    others = _stored(new.sparkSession, path).where(F.col("bucket").isin(touched)).join(sources, F.col("source_name").eqNullSafe(F.col("_source")), "left_anti")
+    rows = new.unionByName(others).repartition("bucket").sortWithinPartitions("bucket", "source_name", "version")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -163,3 +163,18 @@ def test_lines_of_two_sources(spark):
     both = one.unionByName(two)
     assert tuple(matching.positional_equality(both, both).first()) == (4, 4)
     assert [r.raw for r in query.rows_by_id(both, two.limit(1)).collect()] == ["c"]
+
+
+def test_store_of_many_sources(spark, tmp_path):
+    """A store has as many folders however many sources it has, and keeps names as they are."""
+    path = str(tmp_path / "store")
+    names = [None, "", "a=b/c", *map(str, range(200))]
+    of = lambda sources, when, t: spark.createDataFrame([(n, when, t, ["f"], {"f": "X"}, 1) for n in sources], "source_name string, registered_at string, template string, fields array<string>, field_types map<string,string>, sample_count long").withColumn("registered_at", F.to_timestamp("registered_at"))
+    reports.save_versions(versioning.register(of(names, "2024-01-01 00:00:00", "one")), path)
+    assert len(list((tmp_path / "store").glob("*=*"))) <= reports.BUCKETS
+    again = [None, "", "7"]
+    old = reports.load_versions(spark, path).where(F.coalesce("source_name", F.lit("")).isin("", "7"))
+    reports.save_versions(versioning.register(of(again, "2024-01-02 00:00:00", "two"), old), path)
+    got = {(r.source_name, r.version, r.template) for r in reports.load_versions(spark, path).collect()}
+    assert got == {(n, 1, "one") for n in names} | {(n, 2, "two") for n in again}
+    assert reports.load_versions(spark, path).count() == len(names) + len(again)
