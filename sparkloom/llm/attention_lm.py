@@ -486,7 +486,8 @@ def vocabulary(counts: DataFrame, tokenizer: str) -> tuple[np.ndarray, np.ndarra
     """The tokenizer's ids that the counted words hold and those of all bytes, and how often
     each own id is met (the end first)."""
     often = counts.mapInArrow(_subwords(tokenizer), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the tokenizer's ids
-    of_id = {Subwords(tokenizer).tokenizer.token_to_id(c): 0 for c in LETTER_BYTES}
+    read = Subwords(tokenizer).tokenizer  # once: it is slow to read
+    of_id = {read.token_to_id(c): 0 for c in LETTER_BYTES}
     of_id.update({r.id: r.n for r in often})
     ids = sorted(of_id, key=lambda i: (-of_id[i], i))
     ends = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.sum("n")).first()[0]

@@ -579,3 +579,13 @@ def test_attention_is_causal_and_a_distribution():
     assert np.allclose(before[:50], after[:50]) and np.allclose(before[90:], after[90:]) and not np.allclose(before[51:90], after[51:90])
     every = [attention_lm.log_probabilities(attention_lm.tables(w), np.array([*stream[:40], k]), np.array([0]))[-1] for k in range(30)]
     assert np.exp(every).sum() == pytest.approx(1)
+
+
+def test_vocabulary_reads_the_tokenizer_once(spark, monkeypatch):
+    made, init = [], attention_lm.Subwords.__init__
+    monkeypatch.setattr(attention_lm.Subwords, "__init__", lambda self, path: made.append(path) or init(self, path))
+    counts = spark.createDataFrame([(bytearray(b"the"), 3), (bytearray(attention_lm.END), 2)], "word binary, n long")
+    # counted here alone: the tasks' own reading is in other processes
+    ids, often = attention_lm.vocabulary(counts, attention_lm.default_tokenizer())
+    assert len(made) == 1
+    assert len(ids) >= 256 and often[0] == 2 and often[1] == 3
