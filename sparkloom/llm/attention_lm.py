@@ -14,6 +14,8 @@ documents and are averaged, weighted by ids.  The rounds' shares of the document
 together they read each document once; where that is less than ``LEAST_IDS`` ids, all
 documents are read over again until it is enough.
 
+Every text's ids are written once: all rounds and the scoring read these, not the texts.
+
 The base counts every word of every training document.  Counts of the ``TOP_WORDS`` most
 frequent words are broadcast; those of all others are joined, so that every base is exact.
 
@@ -44,6 +46,8 @@ ROUNDS, LATER_ROUNDS = (1, 1, 2, 4, 8, 16, 32), (32, 32)
 RATE, LAST_RATE = 0.03, 0.001
 TOP_WORDS, STORE_WORDS = 200_000, 400_000
 TEXT_BYTES = 2 << 20
+#: Windows of attention, and ids told, at a time: their arrays fit the cache of a core.
+SOME, COLUMNS = 16, 2048
 FOLDS, HELD_OUT = 7, 2
 END = b"\xff"  # no byte of UTF-8, so no word
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
@@ -254,14 +258,17 @@ def _times(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[2]) @ matrix).reshape(*x.shape[:2], -1)
 
 
-def attention(w: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray, there: np.ndarray, ahead: int):
+def attention(w: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray, there: np.ndarray | None, ahead: int):
     """What each told place sees of the places before it.  Scores are kept as (window, place,
-    told), so that sums run along what is told."""
+    told), so that sums run along what is told.  ``there``: None if all places are that any
+    counted one sees."""
     a = k @ q.transpose(0, 2, 1)
     gap, later = _MASKS[ahead]
     a += w["distance"][gap] + later
-    if not there.all():
-        a += np.where(there, np.float32(0), NEVER)[:, :, None]
+    if there is not None:
+        some = np.flatnonzero(~there[:, 0])  # only windows at a text's begin lack places before told ones
+        if len(some):
+            a[some] += np.where(there[some], np.float32(0), NEVER)[:, :, None]
     np.minimum(a, np.float32(60), out=a)
     np.exp(a, out=a)
     total = a.sum(1)[:, :, None] + np.float32(1e-30)
@@ -271,23 +278,21 @@ def attention(w: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray, there: np.nd
 
 
 #: The products of a place's embedding, side by side in one matrix.
-_SIDE = (("query", INNER), ("key", INNER), ("value", INNER), ("last", DIM))
+_SIDE = (("query", INNER), ("key", INNER), ("value", INNER), ("last", DIM), ("before", DIM))
 _AT = {name: slice(at, at + width) for (name, width), at in zip(_SIDE, np.cumsum([0, *(n for _, n in _SIDE)]).tolist())}
 
 
-def attend(w: dict, read: np.ndarray, there: np.ndarray):
-    """The state that tells each id of the windows, and what it was made of."""
-    x = w["embed"][read]
-    all_ = _times(x, np.concatenate([w[name] for name, _ in _SIDE], 1))
-    q, k, v, last = (all_[:, :, _AT[name]] for name, _ in _SIDE)
-    seen, a, total = attention(w, q, k, v, there, 0)
-    mask = there[:, :-1, None].astype(x.dtype)
+def attend(w: dict, side: np.ndarray, read: np.ndarray):
+    """The state that tells each id of some windows, and what it was made of.  ``side``: the
+    products by ``_SIDE`` of the embeddings that ``read`` points at.  Windows begin within
+    their text, so that no counted place sees one that is not there."""
+    all_ = side.take(read, 0)
+    q, k, v, last, before = (all_[:, :, _AT[name]] for name, _ in _SIDE)
+    seen, a, total = attention(w, q, k, v, None, 0)
     state = _times(seen, w["mix"])
     state += last
-    earlier = _times(x, w["before"])[:, :-1]
-    earlier *= mask
-    state[:, 1:] += earlier
-    return state, (x, q, k, v, a, total, seen, mask)
+    state[:, 1:] += before[:, :-1]
+    return state, (q, k, v, a, total, seen)
 
 
 def tables(w: dict) -> dict:
@@ -298,10 +303,10 @@ def tables(w: dict) -> dict:
 def attend_scored(t: dict, read: np.ndarray, there: np.ndarray) -> np.ndarray:
     """As ``attend``, for the windows' second halves, from tables."""
     late, here = read[:, STRIDE:], slice(STRIDE - 1, -1)
-    seen, _, _ = attention(t, t["query"][late], t["key"][read], t["value"][read], there, STRIDE)
+    seen, _, _ = attention(t, t["query"].take(late, 0), t["key"].take(read, 0), t["value"].take(read, 0), there, STRIDE)
     out = _times(seen, t["mix"])
-    out += t["last"][late]
-    earlier = t["before"][read[:, here]]
+    out += t["last"].take(late, 0)
+    earlier = t["before"].take(read[:, here], 0)
     if not there[:, here].all():
         earlier *= there[:, here, None]
     out += earlier
@@ -330,77 +335,85 @@ def tell(w: dict, h: np.ndarray, ids: np.ndarray, grads: dict | None = None):
     width = class_width(size)
     of = ids // width
     order = np.argsort(of.astype(np.int16), kind="stable")
-    h, of, at = h[order], of[order], np.arange(n)
+    h, of = h[order], of[order]
     own = ids[order] - of * width
-    z = w["class"] @ h.T
-    z += w["class_bias"][:, None]
-    logp, total = _chosen(z, of, at)
+    logp, at = np.zeros(n, h.dtype), np.arange(COLUMNS)
     if grads is not None:
-        _pull(z, total, of, at)
-        scale = np.float32(1 / n)
-        grads["class"], grads["class_bias"], dh = (z @ h) * scale, z.sum(1) * scale, z.T @ w["class"]
-        grads["member"], grads["member_bias"] = np.zeros_like(w["member"]), np.zeros_like(w["member_bias"])
-    cuts = np.searchsorted(of, np.arange(len(w["class"]) + 1)).tolist()
-    for c, (begin, end) in enumerate(zip(cuts, cuts[1:])):
-        if begin == end:
-            continue
-        lo = c * width
-        matrix, x, mine, here = w["member"][lo : lo + width], h[begin:end], own[begin:end], at[: end - begin]
+        grads.update({k: np.zeros_like(w[k]) for k in ("class", "class_bias", "member", "member_bias")})
+        dh = np.zeros_like(h)
+
+    def block(name: str, rows: slice, begin: int, end: int, mine: np.ndarray) -> None:
+        """One softmax over some rows of the output weights for some of the ids."""
+        matrix, x, here = w[name][rows], h[begin:end], at[: end - begin]
         z = matrix @ x.T
-        z += w["member_bias"][lo : lo + width, None]
-        part, total = _chosen(z, mine, here)
+        z += w[name + "_bias"][rows, None]
+        part, total = _chosen(z, mine[begin:end], here)
         logp[begin:end] += part
         if grads is not None:
-            _pull(z, total, mine, here)
-            np.matmul(z, x, out=grads["member"][lo : lo + width])
-            z.sum(1, out=grads["member_bias"][lo : lo + width])
+            _pull(z, total, mine[begin:end], here)
+            grads[name][rows] += z @ x
+            grads[name + "_bias"][rows] += z.sum(1)
             dh[begin:end] += z.T @ matrix
+
+    for begin in range(0, n, COLUMNS):
+        block("class", slice(None), begin, min(begin + COLUMNS, n), of)
+    cuts = np.searchsorted(of, np.arange(len(w["class"]) + 1)).tolist()
+    for c, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        for begin in range(low, high, COLUMNS):
+            block("member", slice(c * width, (c + 1) * width), begin, min(begin + COLUMNS, high), own)
     back = np.empty_like(order)
-    back[order] = at
+    back[order] = np.arange(n)
     if grads is None:
         return logp[back]
-    for g in (grads["member"], grads["member_bias"], dh):
-        g *= scale
+    for g in (*(grads[k] for k in ("class", "class_bias", "member", "member_bias")), dh):
+        g *= np.float32(1 / n)
     return logp[back], dh[back]
 
 
 def gradient(w: dict, read, there, ids, use) -> tuple[float, dict]:
-    """Mean loss over the ids that count, and its gradient."""
+    """Mean loss over the ids that count, and its gradient.  Attention goes by ``SOME`` windows
+    at a time, whose arrays stay in a core's cache; products of embeddings are made once for
+    each different id that is read, and so are their gradients."""
     grads: dict[str, np.ndarray] = {}
-    state, (x, q, k, v, a, total, seen, mask) = attend(w, read, there)
-    if use.all():
-        logp, dh = tell(w, state.reshape(-1, DIM), ids.ravel(), grads)
-        dh = dh.reshape(state.shape)
-    else:
-        logp, d = tell(w, state[use], ids[use], grads)
-        dh = np.zeros_like(state)
-        dh[use] = d
     flat = lambda y: y.reshape(-1, y.shape[2])
-    grads["mix"] = flat(seen).T @ flat(dh)
-    part = _times(dh, w["mix"].T)
-    part /= total
-    ds = v @ part.transpose(0, 2, 1)
-    ds *= a
-    side = np.empty((*x.shape[:2], sum(n for _, n in _SIDE)), x.dtype)  # the gradients by the products, side by side
-    side[:, :, _AT["value"]] = a @ part
-    a *= ds.sum(1)[:, None, :] / total.transpose(0, 2, 1)
-    ds -= a
-    side[:, :, _AT["query"]], side[:, :, _AT["key"]], side[:, :, _AT["last"]] = ds.transpose(0, 2, 1) @ k, ds @ q, dh
-    grads["distance"] = np.bincount(_MASKS[0][0].ravel(), weights=ds.sum(0).ravel(), minlength=2 * STRIDE).astype(x.dtype)
-    before = np.zeros_like(dh)
-    np.multiply(dh[:, 1:], mask, out=before[:, :-1])
-    both, into = flat(x).T @ flat(side), flat(x).T @ flat(before)
-    for name, _ in _SIDE:
-        grads[name] = both[:, _AT[name]]
-    grads["before"] = into
-    dx = flat(side) @ np.concatenate([w[name] for name, _ in _SIDE], 1).T
-    dx += flat(before) @ w["before"].T
     where = read.ravel()
     order = np.argsort(where.astype(np.uint16) if len(w["embed"]) < 1 << 16 else where, kind="stable")
-    sorted_ = where[order]
-    first = np.nonzero(np.diff(sorted_, prepend=-1))[0]
+    opens = np.diff(where[order], prepend=-1) != 0
+    first = np.flatnonzero(opens)
+    met = where[order[first]]
+    at = np.empty(len(where), np.int64)
+    at[order] = np.cumsum(opens) - 1
+    at = at.reshape(read.shape)
+    side, x = np.concatenate([w[name] for name, _ in _SIDE], 1), w["embed"][met]
+    products = x @ side
+    cuts = [slice(k, k + SOME) for k in range(0, len(read), SOME)]
+    made = [attend(w, products, at[cut]) for cut in cuts]
+    state = np.concatenate([m[0] for m in made])
+    counted = np.flatnonzero(use)
+    logp, d = tell(w, flat(state)[counted], ids.ravel()[counted], grads)
+    dh_all = np.zeros_like(state)
+    flat(dh_all)[counted] = d
+    by_all = np.empty((*read.shape, side.shape[1]), state.dtype)  # the gradients by the products, side by side
+    grads["mix"], distance = np.zeros_like(w["mix"]), 0
+    for cut, (_, (q, k, v, a, total, seen)) in zip(cuts, made):
+        dh, by = dh_all[cut], by_all[cut]
+        grads["mix"] += flat(seen).T @ flat(dh)
+        part = _times(dh, w["mix"].T)
+        part /= total
+        ds = v @ part.transpose(0, 2, 1)
+        ds *= a
+        by[:, :, _AT["value"]] = a @ part
+        a *= ds.sum(1)[:, None, :] / total.transpose(0, 2, 1)
+        ds -= a
+        by[:, :, _AT["query"]], by[:, :, _AT["key"]], by[:, :, _AT["last"]] = ds.transpose(0, 2, 1) @ k, ds @ q, dh
+        by[:, :-1, _AT["before"]], by[:, -1, _AT["before"]] = dh[:, 1:], 0
+        distance += ds.sum(0)
+    grads["distance"] = np.bincount(_MASKS[0][0].ravel(), weights=distance.ravel(), minlength=2 * STRIDE).astype(state.dtype)
+    by = np.add.reduceat(flat(by_all).take(order, 0), first, axis=0)
+    both = x.T @ by
+    grads.update({name: both[:, _AT[name]] for name, _ in _SIDE})
     grads["embed"] = np.zeros_like(w["embed"])
-    grads["embed"][sorted_[first]] = np.add.reduceat(dx[order], first, axis=0)
+    grads["embed"][met] = by @ side.T
     return -float(logp.mean()), grads
 
 
@@ -415,13 +428,21 @@ class Descent:
         loss, grads = gradient(self.w, *window)
         self.n += 1
         rate = self.rate * min(1.0, self.n / 10) / (1 - 0.9**self.n)
+        root = np.float32(1 - 0.99**self.n)
         for name, g in grads.items():
             m, v = self.m[name], self.v[name]
             m *= np.float32(0.9)
             m += np.float32(0.1) * g
             v *= np.float32(0.99)
-            v += np.float32(0.01) * g * g
-            self.w[name] -= np.float32(rate) * m / (np.sqrt(v / np.float32(1 - 0.99**self.n)) + np.float32(1e-8))
+            g = g * g
+            g *= np.float32(0.01)
+            v += g
+            np.divide(v, root, out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= np.float32(rate)
+            self.w[name] -= g
         return loss
 
 
@@ -448,8 +469,9 @@ def log_probabilities(table: dict, stream: np.ndarray, begins: np.ndarray) -> np
     for at in range(0, len(base), 512):
         cut = slice(at, at + 512)
         read, there, ids, use = cut_windows(stream, base[cut], low[cut], high[cut], STRIDE)
-        state = attend_scored(table, read, there)
-        out[(base[cut][:, None] + np.arange(STRIDE))[use]] = tell(table, state[use], ids[use])
+        state = np.concatenate([attend_scored(table, read[k : k + 2 * SOME], there[k : k + 2 * SOME]) for k in range(0, len(read), 2 * SOME)])
+        counted = np.flatnonzero(use)
+        out[(base[cut][:, None] + np.arange(STRIDE)).ravel()[counted]] = tell(table, state.reshape(-1, DIM)[counted], ids.ravel()[counted])
     return out
 
 
@@ -510,23 +532,16 @@ def _unpacked(data: bytes, like: dict, kind=np.float32) -> dict:
     return out
 
 
-def _round(path: str, shared, rate: float, seed: int):
+def _round(shared, rate: float, seed: int):
     """The weights that a task comes to, times the ids it read: (n, weights)."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        ids, weights = shared.value
-        words = kept(f"lm {hash(ids.tobytes())}", "words", lambda: Words(path, ids))
-
-        def streams():
-            for batch in batches:
-                for part in pieces(batch, 0, TEXT_BYTES):
-                    if len(words.index) > STORE_WORDS:
-                        words.reset(STORE_WORDS // 2)
-                    yield words.stream(words.rows(part.column(0)))
-
-        found, told = descend(weights, rate, streams(), np.random.default_rng([seed, TaskContext.get().partitionId()]))
+        steady()
+        weights = shared.value
+        streams = (stored(part.column(0), len(weights["embed"])) for batch in batches for part in pieces(batch, 0, TEXT_BYTES))
+        found, told = descend(weights, rate, streams, np.random.default_rng([seed, TaskContext.get().partitionId()]))
         if told:
             yield pa.RecordBatch.from_arrays([pa.array([told]), pa.array([(np.frombuffer(_packed(found), np.float32) * np.float64(told)).tobytes()], pa.binary())], ["n", "weights"])
 
@@ -543,8 +558,11 @@ def _added(batches):
 
 
 def train(rows: DataFrame, tokenizer: str, ids: np.ndarray, counts: np.ndarray, size: int, seed: int = 5) -> dict:
-    """Weights after all rounds.  ``rows``: text, and part from 0 to 63; ``size``: its bytes."""
+    """Weights after all rounds.  ``rows``: ids as ``encoded`` gives them, or text, and part
+    from 0 to 63; ``size``: the texts' bytes."""
     context = rows.sparkSession.sparkContext
+    if "ids" not in rows.columns:
+        rows = encoded(rows.select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("fold"), F.col("part").cast("long"), "text"), tokenizer, ids, b"", np.zeros(1))
     weights, total = initial(counts, seed), counts.sum()
     tasks = max(context.defaultParallelism, math.ceil(size / TASK_BYTES))
     ways = math.ceil(LEAST_IDS / total) if total else 0
@@ -553,9 +571,9 @@ def train(rows: DataFrame, tokenizer: str, ids: np.ndarray, counts: np.ndarray,
         for k, parts in enumerate(LATER_ROUNDS if way else ROUNDS):
             done = (way + (at + parts / 2) / 64) / ways
             rate = RATE * (LAST_RATE / RATE) ** done
-            shared = context.broadcast((ids, weights))
-            here = rows.where(F.col("part").between(at, at + parts - 1)).select("text").coalesce(tasks)
-            found = here.mapInArrow(_round(tokenizer, shared, rate, seed + 100 * way + k), "n long, weights binary")
+            shared = context.broadcast(weights)
+            here = rows.where(F.col("part").between(at, at + parts - 1)).select("ids").coalesce(tasks)
+            found = here.mapInArrow(_round(shared, rate, seed + 100 * way + k), "n long, weights binary")
             n = tasks
             while n > 16:  # sums meet by sixteens, so that no task holds many
                 n = -(-n // 16)
@@ -597,26 +615,24 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[int, bytes, np.ndarray
     return least, b"\n".join(bytes(r.words) for r in found), np.where(n > 0, np.log10(n + 1), np.nan)
 
 
-class Scorer:
-    """A worker's state: the model, the frequent words' counts, and words as they are met."""
+class Reader:
+    """A worker's state: the frequent words' counts, and words as they are met."""
 
-    def __init__(self, path: str, ids: np.ndarray, weights: dict, names: bytes, logs: np.ndarray):
-        self.tables, self.words = tables(weights), Words(path, ids)
+    def __init__(self, path: str, ids: np.ndarray, names: bytes, logs: np.ndarray):
+        self.words = Words(path, ids)
         self.count = dict(zip(names.split(b"\n") if names else (), logs[1:].tolist()))
         self.logs = Growing(np.float64)
         self.logs.add(logs[:1])
 
-    def score(self, texts: pa.Array):
-        """For each text: tokens, known frequent ones, their base sum, log10 probability, and
-        its words that are not frequent."""
+    def read(self, texts: pa.Array):
+        """For each text: tokens, known frequent ones, their base sum and its words that are
+        not frequent; then all ids and where each text's begin."""
         if len(self.words.index) > STORE_WORDS:
             self.words.reset(STORE_WORDS // 2)
             self.logs.size = STORE_WORDS // 2
         rows = self.words.rows(texts)
         names = self.words.names
         self.logs.add([self.count.get(w, math.nan) for w in names[self.logs.size :]])
-        stream, begins = self.words.stream(rows)
-        total = np.add.reduceat(log_probabilities(self.tables, stream, begins), begins) / math.log(10)
         ends = np.nonzero(rows == 0)[0]
         starts = np.concatenate([[0], ends[:-1] + 1])
         logs = self.logs.values[rows]
@@ -624,53 +640,103 @@ class Scorer:
         rare = np.nonzero(~known & (rows != 0))[0]
         cuts = np.concatenate([[0], np.searchsorted(rare, ends)]).astype(np.int32)
         others = pa.ListArray.from_arrays(pa.array(cuts), pa.array([names[i] for i in rows[rare].tolist()], pa.binary()))
-        return ends - starts + 1, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(np.where(known, logs, 0), starts), total, others
+        return ends - starts + 1, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(np.where(known, logs, 0), starts), others, *self.words.stream(rows)
+
+
+def id_kind(size: int):
+    """How ids of a vocabulary of that size are stored."""
+    return np.uint16 if size <= 1 << 16 else np.int32
+
+
+def cells(stream: np.ndarray, begins: np.ndarray, size: int) -> pa.Array:
+    """Each text's ids as bytes."""
+    data = stream.astype(id_kind(size))
+    offsets = (np.append(begins, len(stream)) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
 
+def stored(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of ``cells``, and where each text's begin."""
+    kind = np.dtype(id_kind(size))
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], kind, (offsets[-1] - offsets[0]) // kind.itemsize, offsets[0])
+    return data.astype(np.int64), (offsets[:-1] - offsets[0]) // kind.itemsize
 
-def _score(path: str, shared, name: str, held_out: int):
+
+def _encode(path: str, shared, name: str):
     def run(batches):
         from pyspark import TaskContext
 
-        scorer = kept(f"lm {name}", "scorer", lambda: Scorer(path, *shared.value))
+        reader = kept(f"lm {name}", "reader", lambda: Reader(path, *shared.value))
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in pieces(batch, 2, TEXT_BYTES):
+            for part in pieces(batch, 3, TEXT_BYTES):
                 n = part.num_rows
-                counts, known, base, score, rare = scorer.score(part.column(2))
-                fold = np.asarray(part.column(1), dtype=np.int64)
+                counts, known, base, rare, stream, begins = reader.read(part.column(3))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid, rid + n)), part.column(0), pa.array(fold == held_out), pa.array(counts), pa.array(known), pa.array(base), pa.array(score), rare],
-                    ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
+                    [pa.array(np.arange(rid, rid + n)), *(part.column(k) for k in range(3)), pa.array(counts), pa.array(known), pa.array(base), rare, cells(stream, begins, reader.words.vocabulary.size)],
+                    ["rid", "doc_id", "fold", "part", "n_tokens", "known", "base", "rare", "ids"],
                 )
                 rid += n
 
     return run
 
 
+def encoded(rows: DataFrame, tokenizer: str, ids: np.ndarray, names: bytes, logs: np.ndarray) -> DataFrame:
+    """Every text's ids, written: all texts are split and looked up once, for all rounds of
+    training and for scoring; and what their frequent words add to the base, and the others.
+    ``rows``: doc_id, fold, part, text."""
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast((ids, names, logs))
+    run = _encode(tokenizer, shared, f"{shared._jbroadcast.id()}-{context.applicationId}")
+    return written(rows.mapInArrow(run, "rid long, doc_id long, fold long, part long, n_tokens long, known long, base double, rare array<binary>, ids binary"), "ids")
+
+
+def _score(shared, name: str, held_out: int):
+    def run(batches):
+        def ready():
+            steady()
+            return tables(shared.value)
+
+        model = kept(f"lm {name}", "model", ready)
+        for batch in batches:
+            for part in pieces(batch, 6, TEXT_BYTES):
+                stream, begins = stored(part.column(6), len(model["member"]))
+                score = np.add.reduceat(log_probabilities(model, stream, begins), begins) / math.log(10)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(np.asarray(part.column(2)) == held_out), *(part.column(k) for k in range(3, 6)), pa.array(score)],
+                    ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score"],
+                )
+
+    return run
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, tokenizer: str | None = None, top_words: int = TOP_WORDS, seed: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every
     document, learning from those outside the fold."""
     spark = docs.sparkSession
     bounded_batches(spark)
     tokenizer = tokenizer or default_tokenizer()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_of_id(id_col) % folds).alias("fold"), text(text_col).alias("text"))
-    learnt = rows.where(F.col("fold") != held_out).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(64)).alias("part"))
-    counts = written(learnt.select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    part = F.pmod(F.xxhash64(F.col(id_col).cast("long"), text(text_col)), F.lit(64)).alias("part")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_of_id(id_col) % folds).cast("long").alias("fold"), part, text(text_col).alias("text"))
+    learnt = F.col("fold") != held_out
+    counts = written(rows.where(learnt).select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     size = counts.agg(F.sum(F.col("n") * (F.octet_length("word") + 1))).first()[0] or 0
     ids, often = vocabulary(counts, tokenizer)
-    weights = train(learnt, tokenizer, ids, often, size, seed)
     least, names, logs = frequent_words(counts, top_words)
-    shared = spark.sparkContext.broadcast((ids, weights, names, logs))
+    read = encoded(rows, tokenizer, ids, names, logs)
+    weights = train(read.where(learnt).select("part", "ids"), tokenizer, ids, often, size, seed)
+    shared = spark.sparkContext.broadcast(weights)
 
-    run = _score(tokenizer, shared, f"{shared._jbroadcast.id()}-{spark.sparkContext.applicationId}", held_out)
-    scored = written(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>"), "scored")
+    run = _score(shared, f"{shared._jbroadcast.id()}-{spark.sparkContext.applicationId}", held_out)
+    scored = written(read.select("rid", "doc_id", "fold", "n_tokens", "known", "base", "ids").mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"), "scored")
     rare = counts.where((F.floor(F.log2("n") * 8) < least) & (F.col("word") != F.lit(bytearray(END))))
-    met = scored.select("rid", F.explode("rare").alias("word")).join(rare, "word")
+    met = read.select("rid", F.explode("rare").alias("word")).join(rare, "word")
     more = met.groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("sum"))
     base = F.col("base") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(tokens + distinct + 1))
     known = F.col("known") + F.coalesce("more", F.lit(0))
-    return scored.drop("rare").join(more, "rid", "left").select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return scored.join(more, "rid", "left").select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:

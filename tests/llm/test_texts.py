@@ -581,6 +581,45 @@ def test_attention_is_causal_and_a_distribution():
     assert np.exp(every).sum() == pytest.approx(1)
 
 
+def test_lm_reads_texts_twice(spark, little):
+    """Texts are read once for the counts and once for their ids; rounds and scoring take these."""
+    rows = lm_rows(60)
+    read = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    plain = rows_to_docs(spark, rows)
+    docs = plain.mapInArrow(watched, plain.schema)
+    check_lm(docs, rows)
+    assert read.value == 2 * len(rows)
+
+
+@pytest.mark.parametrize("size", [300, 1 << 16, 70_000])
+def test_lm_stored_ids(size):
+    """What is written of ids comes back, also from a slice."""
+    stream, begins = np.array([1, size - 1, 0, 0, 5, size // 2, 0]), np.array([0, 3, 4])
+    cells = attention_lm.cells(stream, begins, size)
+    for at in range(3):
+        back, starts = attention_lm.stored(cells[at:], size)
+        assert back.tolist() == stream[begins[at] :].tolist() and starts.tolist() == (begins[at:] - begins[at]).tolist()
+
+
+def test_lm_gradient_by_parts(monkeypatch):
+    """Windows and ids by parts give the gradient of all at once, with texts that end in a window."""
+    w, window, *_ = lm_window()
+    monkeypatch.setattr(attention_lm, "SOME", 1000)
+    monkeypatch.setattr(attention_lm, "COLUMNS", 1000)
+    loss, whole = attention_lm.gradient(w, *window)
+    monkeypatch.setattr(attention_lm, "SOME", 2)
+    monkeypatch.setattr(attention_lm, "COLUMNS", 3)
+    by_parts, parts = attention_lm.gradient(w, *window)
+    assert by_parts == pytest.approx(loss, rel=1e-12)
+    assert all(np.allclose(whole[k], parts[k], rtol=1e-9, atol=1e-12) for k in w)
+
+
 def test_vocabulary_reads_the_tokenizer_once(spark, monkeypatch):
     made, init = [], attention_lm.Subwords.__init__
     monkeypatch.setattr(attention_lm.Subwords, "__init__", lambda self, path: made.append(path) or init(self, path))
