@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_lines(spark: SparkSession, sf_dir: str, carried: bool = False) -> DataFrame:
     """source, log_idx and raw: one line for each event.  A table of fewer splits than there
-    are cores is dealt out, as a folder of log files would be."""
+    are cores is dealt out, as a folder of log files would be.
+
+    From user 65,536 on the third octet, as in the SQL below, is over 255 and the word no
+    address; ``carried``: the second one takes the carry, so that every user has an address."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     cores = spark.sparkContext.defaultParallelism
     if len(e.inputFiles()) < cores:
         e = e.repartition(cores)
     level = F.expr("case event_type when 'error' then 'ERROR' when 'purchase' then 'WARN' when 'signup' then 'NOTICE' when 'click' then 'INFO' else 'DEBUG' end")
-    ip = F.expr("concat('10.0.', user_id div 256, '.', user_id % 256)")
+    octets = "pmod(user_id div 65536, 256), '.', pmod(user_id div 256, 256), '.', pmod(user_id, 256)" if carried else "'0.', user_id div 256, '.', user_id % 256"
+    ip = F.expr(f"concat('10.', {octets})")
     tail = F.expr("concat('user=', user_id, ' ', event_type, ' took ', cast(floor(value) as bigint), ' ms')")
     ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     raw = (
