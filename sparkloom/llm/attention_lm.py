@@ -48,6 +48,8 @@ TOP_WORDS, STORE_WORDS = 200_000, 400_000
 TEXT_BYTES = 2 << 20
 #: Windows of attention, and ids told, at a time: their arrays fit the cache of a core.
 SOME, COLUMNS = 16, 2048
+#: Rows of a group that are summed for all groups at once, and weights stepped at a time.
+MANY, CELLS = 16, 1 << 15
 FOLDS, HELD_OUT = 7, 2
 END = b"\xff"  # no byte of UTF-8, so no word
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
@@ -258,191 +260,236 @@ def _times(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[2]) @ matrix).reshape(*x.shape[:2], -1)
 
 
-def attention(w: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray, there: np.ndarray | None, ahead: int):
-    """What each told place sees of the places before it.  Scores are kept as (window, place,
-    told), so that sums run along what is told.  ``there``: None if all places are that any
-    counted one sees."""
+def attention(bias: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray, there: np.ndarray | None):
+    """What each told place sees of the places before it, times the sum of its weights, which
+    is the last column as ``v`` ends with a one.  Scores are kept as (window, place, told).
+    ``there``: None if all places are that any counted one sees."""
     a = k @ q.transpose(0, 2, 1)
-    gap, later = _MASKS[ahead]
-    a += w["distance"][gap] + later
+    a += bias
     if there is not None:
         some = np.flatnonzero(~there[:, 0])  # only windows at a text's begin lack places before told ones
         if len(some):
             a[some] += np.where(there[some], np.float32(0), NEVER)[:, :, None]
-    np.minimum(a, np.float32(60), out=a)
+    if a.max() > 60:
+        np.minimum(a, np.float32(60), out=a)
     np.exp(a, out=a)
-    total = a.sum(1)[:, :, None] + np.float32(1e-30)
-    seen = a.transpose(0, 2, 1) @ v
-    seen /= total
-    return seen, a, total
+    return a.transpose(0, 2, 1) @ v, a
+
+
+def _bias(w: dict, ahead: int) -> np.ndarray:
+    gap, later = _MASKS[ahead]
+    return w["distance"][gap] + later
 
 
 #: The products of a place's embedding, side by side in one matrix.
-_SIDE = (("query", INNER), ("key", INNER), ("value", INNER), ("last", DIM), ("before", DIM))
+_SIDE = (("query", INNER), ("key", INNER), ("last", DIM), ("before", DIM), ("value", INNER))
 _AT = {name: slice(at, at + width) for (name, width), at in zip(_SIDE, np.cumsum([0, *(n for _, n in _SIDE)]).tolist())}
+_SEEN = slice(_AT["value"].start, _AT["value"].stop + 1)  # the value and a one
 
 
-def attend(w: dict, side: np.ndarray, read: np.ndarray):
-    """The state that tells each id of some windows, and what it was made of.  ``side``: the
-    products by ``_SIDE`` of the embeddings that ``read`` points at.  Windows begin within
-    their text, so that no counted place sees one that is not there."""
-    all_ = side.take(read, 0)
-    q, k, v, last, before = (all_[:, :, _AT[name]] for name, _ in _SIDE)
-    seen, a, total = attention(w, q, k, v, None, 0)
-    state = _times(seen, w["mix"])
-    state += last
-    state[:, 1:] += before[:, :-1]
-    return state, (q, k, v, a, total, seen)
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+
+
+def outputs(w: dict) -> dict:
+    """The output weights with their biases as a last column, for states that end with a one."""
+    return {name: np.concatenate([w[name], w[name + "_bias"][:, None]], 1) for name in ("class", "member")}
 
 
 def tables(w: dict) -> dict:
     """Products of every id's embedding, so that scoring looks them up."""
-    return {**{k: w["embed"] @ w[k] for k in ("query", "key", "value", "last", "before")}, **{k: w[k] for k in ("mix", "distance", "member", "member_bias", "class", "class_bias")}}
+    of = {name: w["embed"] @ w[name] for name, _ in _SIDE}
+    return {"early": _with_one(np.concatenate([of["key"], of["value"]], 1)), "late": np.concatenate([of["query"], of["last"]], 1), "before": of["before"], "bias": _bias(w, STRIDE), "mix": w["mix"], **outputs(w)}
 
 
-def attend_scored(t: dict, read: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """As ``attend``, for the windows' second halves, from tables."""
-    late, here = read[:, STRIDE:], slice(STRIDE - 1, -1)
-    seen, _, _ = attention(t, t["query"].take(late, 0), t["key"].take(read, 0), t["value"].take(read, 0), there, STRIDE)
+def attend_scored(t: dict, read: np.ndarray, there: np.ndarray, state: np.ndarray) -> None:
+    """The states that tell the ids of the windows' second halves, from tables, into ``state``."""
+    here = slice(STRIDE - 1, -1)
+    late, early = t["late"].take(read[:, STRIDE:], 0), t["early"].take(read, 0)
+    seen, _ = attention(t["bias"], late[:, :, :INNER], early[:, :, :INNER], early[:, :, INNER:], there)
+    seen = seen[:, :, :-1] / (seen[:, :, -1:] + np.float32(1e-30))
     out = _times(seen, t["mix"])
-    out += t["last"].take(late, 0)
+    out += late[:, :, INNER:]
     earlier = t["before"].take(read[:, here], 0)
-    if not there[:, here].all():
-        earlier *= there[:, here, None]
-    out += earlier
-    return out
+    earlier[~there[:, STRIDE - 1], 0] = 0  # a text's first place has none before it
+    np.add(out, earlier, out=state[:, :, :DIM])
 
 
-def _chosen(z: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each column's own row; ``z`` becomes e^z, whose sums come with it."""
-    z -= z.max(0)
-    part = z[own, at]
-    np.exp(z, out=z)
-    total = z.sum(0)
-    return part - np.log(total), total
-
-
-def _pull(z: np.ndarray, total: np.ndarray, own: np.ndarray, at: np.ndarray) -> None:
-    """e^z to the gradient of the loss by z."""
-    z *= 1 / total
-    z[own, at] -= 1
-
-
-def tell(w: dict, h: np.ndarray, ids: np.ndarray, grads: dict | None = None):
-    """Natural log probability of each id given its state; with ``grads`` also the gradient
-    of the mean loss by state, and by the output weights into ``grads``."""
-    size, n = len(w["member"]), len(ids)
-    width = class_width(size)
+def tell(w: dict, states: np.ndarray, every: np.ndarray, counted: np.ndarray, grads: dict | None = None, shifted: bool = False):
+    """Natural log probability of each counted id given its state, which ends with a one; with
+    ``grads`` also the gradient of the mean loss by all states, and by the output weights added
+    to ``grads``.  ``w``: as ``outputs`` gives them.  Powers are taken without a shift by the
+    greatest, and all over again with it if a sum is out of range (``shifted``)."""
+    ids, n, width = every[counted], len(counted), class_width(len(w["member"]))
     of = ids // width
     order = np.argsort(of.astype(np.int16), kind="stable")
-    h, of = h[order], of[order]
+    h, of = states.take(counted[order], 0), of[order]
     own = ids[order] - of * width
-    logp, at = np.zeros(n, h.dtype), np.arange(COLUMNS)
-    if grads is not None:
-        grads.update({k: np.zeros_like(w[k]) for k in ("class", "class_bias", "member", "member_bias")})
-        dh = np.zeros_like(h)
+    mine, total = np.zeros(n, h.dtype), np.ones((2, n), h.dtype)
+    at, scale = np.arange(COLUMNS), h.dtype.type(1 / max(n, 1))
+    found = None if grads is None else {k: np.zeros_like(w[k]) for k in ("class", "member")}
+    dh = None if grads is None else np.empty_like(h)
 
-    def block(name: str, rows: slice, begin: int, end: int, mine: np.ndarray) -> None:
+    def block(name: str, rows: slice, begin: int, end: int, row: np.ndarray, sums: np.ndarray) -> None:
         """One softmax over some rows of the output weights for some of the ids."""
-        matrix, x, here = w[name][rows], h[begin:end], at[: end - begin]
+        matrix, x, sums = w[name][rows], h[begin:end], sums[begin:end]
         z = matrix @ x.T
-        z += w[name + "_bias"][rows, None]
-        part, total = _chosen(z, mine[begin:end], here)
-        logp[begin:end] += part
-        if grads is not None:
-            _pull(z, total, mine[begin:end], here)
-            grads[name][rows] += z @ x
-            grads[name + "_bias"][rows] += z.sum(1)
-            dh[begin:end] += z.T @ matrix
-
-    for begin in range(0, n, COLUMNS):
-        block("class", slice(None), begin, min(begin + COLUMNS, n), of)
+        if shifted:
+            z -= z.max(0)
+        flat, place = z.reshape(-1), row[begin:end] * len(x) + at[: len(x)]
+        mine[begin:end] += flat[place]
+        np.exp(z, out=z)
+        z.sum(0, out=sums)
+        if found is not None:
+            z *= scale / sums
+            flat[place] -= scale
+            found[name][rows] += z @ x
+            if name == "class":
+                np.matmul(z.T, matrix, out=dh[begin:end])
+            else:
+                dh[begin:end] += z.T @ matrix
+
     cuts = np.searchsorted(of, np.arange(len(w["class"]) + 1)).tolist()
-    for c, (low, high) in enumerate(zip(cuts, cuts[1:])):
-        for begin in range(low, high, COLUMNS):
-            block("member", slice(c * width, (c + 1) * width), begin, min(begin + COLUMNS, high), own)
-    back = np.empty_like(order)
-    back[order] = np.arange(n)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        for begin in range(0, n, COLUMNS):
+            block("class", slice(None), begin, min(begin + COLUMNS, n), of, total[0])
+        for c, (low, high) in enumerate(zip(cuts, cuts[1:])):
+            for begin in range(low, high, COLUMNS):
+                block("member", slice(c * width, (c + 1) * width), begin, min(begin + COLUMNS, high), own, total[1])
+    if not shifted and n and not (total.min() > 1e-25 and total.max() < 1e25):
+        return tell(w, states, every, counted, grads, True)
+    logp = np.empty_like(mine)
+    logp[order] = mine - np.log(total).sum(0)
     if grads is None:
-        return logp[back]
-    for g in (*(grads[k] for k in ("class", "class_bias", "member", "member_bias")), dh):
-        g *= np.float32(1 / n)
-    return logp[back], dh[back]
+        return logp
+    for name, g in found.items():
+        grads[name] += g[:, :-1]
+        grads[name + "_bias"] += g[:, -1]
+    out = np.zeros((len(states), DIM), h.dtype)
+    out[counted[order]] = dh[:, :-1]
+    return logp, out
+
+
+def summed(rows: np.ndarray, order: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of groups of rows, of which ``order`` has the places group by group, from
+    ``first`` on, ``count`` of each; groups fall in size.  All groups' first rows are added at
+    once, then the second ones, and so on; the rest of large groups by group."""
+    out = rows.take(order[first], 0)
+    more = np.searchsorted(-count, -np.arange(1, MANY + 1))  # groups of more than 1, 2, ... rows
+    for k, n in enumerate(more[:-1].tolist(), 1):
+        if not n:
+            return out
+        out[:n] += rows.take(order[first[:n] + k], 0)
+    for g in range(int(more[-1])):
+        out[g] += rows.take(order[first[g] + MANY : first[g] + count[g]], 0).sum(0)
+    return out
 
 
-def gradient(w: dict, read, there, ids, use) -> tuple[float, dict]:
-    """Mean loss over the ids that count, and its gradient.  Attention goes by ``SOME`` windows
-    at a time, whose arrays stay in a core's cache; products of embeddings are made once for
-    each different id that is read, and so are their gradients."""
-    grads: dict[str, np.ndarray] = {}
+def laid_out(w: dict) -> tuple[np.ndarray, dict]:
+    """Zeros of the weights' shapes, one after the other in one array."""
+    flat = np.zeros(sum(x.size for x in w.values()), next(iter(w.values())).dtype)
+    return flat, _views(flat, w)
+
+
+def _views(flat: np.ndarray, like: dict) -> dict:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+def gradient(w: dict, read, there, ids, use, grads: dict | None = None) -> tuple[float, dict]:
+    """Mean loss over the ids that count, and its gradient, added to ``grads`` if given.
+    Attention goes by ``SOME`` windows at a time, whose arrays stay in a core's cache; products
+    of embeddings are made once for each different id that is read, and so are their gradients.
+    Windows begin within their text, so that no counted place sees one that is not there."""
+    grads = laid_out(w)[1] if grads is None else grads
     flat = lambda y: y.reshape(-1, y.shape[2])
     where = read.ravel()
     order = np.argsort(where.astype(np.uint16) if len(w["embed"]) < 1 << 16 else where, kind="stable")
-    opens = np.diff(where[order], prepend=-1) != 0
-    first = np.flatnonzero(opens)
+    first = np.flatnonzero(np.diff(where[order], prepend=-1))
+    count = np.diff(first, append=len(where))
+    falling = np.argsort(-count, kind="stable")
+    first, count = first[falling], count[falling]
     met = where[order[first]]
-    at = np.empty(len(where), np.int64)
-    at[order] = np.cumsum(opens) - 1
-    at = at.reshape(read.shape)
-    side, x = np.concatenate([w[name] for name, _ in _SIDE], 1), w["embed"][met]
-    products = x @ side
+    at = np.empty(len(w["embed"]), np.int64)
+    at[met] = np.arange(len(met))
+    at = at[read]
+    side, x, kind = np.concatenate([w[name] for name, _ in _SIDE], 1), w["embed"][met], w["embed"].dtype
+    products, bias, mix = _with_one(x @ side), _bias(w, 0), w["mix"]
     cuts = [slice(k, k + SOME) for k in range(0, len(read), SOME)]
-    made = [attend(w, products, at[cut]) for cut in cuts]
-    state = np.concatenate([m[0] for m in made])
-    counted = np.flatnonzero(use)
-    logp, d = tell(w, flat(state)[counted], ids.ravel()[counted], grads)
-    dh_all = np.zeros_like(state)
-    flat(dh_all)[counted] = d
-    by_all = np.empty((*read.shape, side.shape[1]), state.dtype)  # the gradients by the products, side by side
-    grads["mix"], distance = np.zeros_like(w["mix"]), 0
-    for cut, (_, (q, k, v, a, total, seen)) in zip(cuts, made):
-        dh, by = dh_all[cut], by_all[cut]
-        grads["mix"] += flat(seen).T @ flat(dh)
-        part = _times(dh, w["mix"].T)
-        part /= total
-        ds = v @ part.transpose(0, 2, 1)
+    state, seen = np.empty((*read.shape, DIM + 1), kind), np.empty((*read.shape, INNER + 1), kind)
+    state[:, :, DIM] = 1
+    made = []
+    for cut in cuts:
+        all_ = products.take(at[cut], 0)
+        seen[cut], a = attention(bias, all_[:, :, _AT["query"]], all_[:, :, _AT["key"]], all_[:, :, _SEEN], None)
+        made.append((all_, a))
+        total = seen[cut][:, :, -1:]
+        total += kind.type(1e-30)
+        some = seen[cut][:, :, :-1]
+        some /= total
+        here = state[cut][:, :, :DIM]
+        np.add(_times(some, mix), all_[:, :, _AT["last"]], out=here)
+        here[:, 1:] += all_[:, :-1, _AT["before"]]
+    logp, dh_all = tell(outputs(w), flat(state), ids.ravel(), np.flatnonzero(use), grads)
+    dh_all = dh_all.reshape(*read.shape, DIM)
+    values, total = seen[:, :, :-1], seen[:, :, -1:]
+    grads["mix"] += flat(values).T @ flat(dh_all)
+    pull = np.empty_like(seen)  # by what is seen, over the sum; less its mean
+    np.divide(_times(dh_all, mix.T), total, out=pull[:, :, :-1])
+    pull[:, :, -1] = -np.einsum("wpi,wpi->wp", values, pull[:, :, :-1])
+    by_all, distance = np.empty((*read.shape, side.shape[1]), kind), 0  # the gradients by the products, side by side
+    for cut, (all_, a) in zip(cuts, made):
+        dh, by, part = dh_all[cut], by_all[cut], pull[cut]
+        ds = all_[:, :, _SEEN] @ part.transpose(0, 2, 1)
         ds *= a
-        by[:, :, _AT["value"]] = a @ part
-        a *= ds.sum(1)[:, None, :] / total.transpose(0, 2, 1)
-        ds -= a
-        by[:, :, _AT["query"]], by[:, :, _AT["key"]], by[:, :, _AT["last"]] = ds.transpose(0, 2, 1) @ k, ds @ q, dh
-        by[:, :-1, _AT["before"]], by[:, -1, _AT["before"]] = dh[:, 1:], 0
+        np.matmul(a, part[:, :, :-1], out=by[:, :, _AT["value"]])
+        np.matmul(ds.transpose(0, 2, 1), all_[:, :, _AT["key"]], out=by[:, :, _AT["query"]])
+        np.matmul(ds, all_[:, :, _AT["query"]], out=by[:, :, _AT["key"]])
+        by[:, :, _AT["last"]], by[:, :-1, _AT["before"]], by[:, -1, _AT["before"]] = dh, dh[:, 1:], 0
         distance += ds.sum(0)
-    grads["distance"] = np.bincount(_MASKS[0][0].ravel(), weights=distance.ravel(), minlength=2 * STRIDE).astype(state.dtype)
-    by = np.add.reduceat(flat(by_all).take(order, 0), first, axis=0)
+    grads["distance"] += np.bincount(_MASKS[0][0].ravel(), weights=distance.ravel(), minlength=2 * STRIDE).astype(kind)
+    by = summed(flat(by_all), order, first, count)
     both = x.T @ by
-    grads.update({name: both[:, _AT[name]] for name, _ in _SIDE})
-    grads["embed"] = np.zeros_like(w["embed"])
-    grads["embed"][met] = by @ side.T
+    for name, _ in _SIDE:
+        grads[name] += both[:, _AT[name]]
+    grads["embed"][met] += by @ side.T
     return -float(logp.mean()), grads
 
 
 class Descent:
-    """Adam's steps from given weights."""
+    """Adam's steps from given weights, which lie in one array, as do their gradients; a part
+    that fits the cache is stepped at a time."""
 
     def __init__(self, weights: dict, rate: float):
-        self.w, self.rate, self.n = {k: v.copy() for k, v in weights.items()}, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+        self.rate, self.n = rate, 0
+        self.flat, self.w = laid_out(weights)
+        for k, x in weights.items():
+            self.w[k][...] = x
+        self.g, self.grads = laid_out(weights)
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)  # means of g and g^2, times 10 and 100
 
     def step(self, *window) -> float:
-        loss, grads = gradient(self.w, *window)
+        self.g[...] = 0
+        loss, _ = gradient(self.w, *window, self.grads)
         self.n += 1
         rate = self.rate * min(1.0, self.n / 10) / (1 - 0.9**self.n)
-        root = np.float32(1 - 0.99**self.n)
-        for name, g in grads.items():
-            m, v = self.m[name], self.v[name]
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * g
-            v *= np.float32(0.99)
-            g = g * g
-            g *= np.float32(0.01)
+        root = math.sqrt(0.01 / (1 - 0.99**self.n))
+        kind = self.flat.dtype.type
+        for at in range(0, len(self.flat), CELLS):
+            g, m, v, w = (x[at : at + CELLS] for x in (self.g, self.m, self.v, self.flat))
+            m *= kind(0.9)
+            m += g
+            v *= kind(0.99)
+            g *= g
             v += g
-            np.divide(v, root, out=g)
-            np.sqrt(g, out=g)
-            g += np.float32(1e-8)
+            np.sqrt(v, out=g)
+            g += kind(1e-8 / root)
             np.divide(m, g, out=g)
-            g *= np.float32(rate)
-            self.w[name] -= g
+            g *= kind(0.1 * rate / root)
+            w -= g
         return loss
 
 
@@ -469,9 +516,11 @@ def log_probabilities(table: dict, stream: np.ndarray, begins: np.ndarray) -> np
     for at in range(0, len(base), 512):
         cut = slice(at, at + 512)
         read, there, ids, use = cut_windows(stream, base[cut], low[cut], high[cut], STRIDE)
-        state = np.concatenate([attend_scored(table, read[k : k + 2 * SOME], there[k : k + 2 * SOME]) for k in range(0, len(read), 2 * SOME)])
+        state = np.ones((len(read), STRIDE, DIM + 1), table["mix"].dtype)
+        for k in range(0, len(read), 2 * SOME):
+            attend_scored(table, read[k : k + 2 * SOME], there[k : k + 2 * SOME], state[k : k + 2 * SOME])
         counted = np.flatnonzero(use)
-        out[(base[cut][:, None] + np.arange(STRIDE)).ravel()[counted]] = tell(table, state.reshape(-1, DIM)[counted], ids.ravel()[counted])
+        out[(base[cut][:, None] + np.arange(STRIDE)).ravel()[counted]] = tell(table, state.reshape(-1, DIM + 1), ids.ravel(), counted)
     return out
 
 
@@ -524,12 +573,7 @@ def _packed(weights: dict) -> bytes:
 
 
 def _unpacked(data: bytes, like: dict, kind=np.float32) -> dict:
-    out, at = {}, 0
-    flat = np.frombuffer(data, kind)
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
-        at += like[k].size
-    return out
+    return _views(np.frombuffer(data, kind), like)
 
 
 def _round(shared, rate: float, seed: int):
