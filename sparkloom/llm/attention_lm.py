@@ -30,13 +30,14 @@ from __future__ import annotations
 
 import math
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc32_of_id, kept, pieces, split_words, text, written
+from .common import bounded_batches, coded_words, crc32_of_id, kept, pieces, split_words, text, written
 
 DIM, INNER, STRIDE = 40, 16, 32
 #: Windows of one step, ids read at least, and bytes of training text for each task.
@@ -180,15 +181,17 @@ class Words:
         """The rows of all words, row 0 after each text."""
         words, codes, counts = split_words(texts)
         index = self.index
-        fresh = [w for w in words if w not in index]
-        if fresh:
+        table = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
+        at = np.flatnonzero(table < 0)
+        if len(at):
+            fresh = [words[k] for k in at.tolist()]
+            table[at] = np.arange(len(index), len(index) + len(at))
             flat, lengths = self.vocabulary(fresh)
             index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
             self.names += fresh
             self.start.add(self.flat.size + np.cumsum(lengths) - lengths)
             self.length.add(lengths)
             self.flat.add(flat)
-        table = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
         inner = np.ones(len(codes) + len(counts), bool)
         inner[np.cumsum(counts + 1) - 1] = False
         rows = np.zeros(len(inner), np.int32)
@@ -531,9 +534,9 @@ def _words(batches):
     """(word, n): the words of some texts at a time, with the texts' ends."""
     for batch in batches:
         for part in pieces(batch, 0):
-            words, codes, _ = split_words(part.column(0))
+            words, codes, _ = coded_words(part.column(0))
             n = np.bincount(codes, minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array(np.append(n, part.num_rows))], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.array(np.append(n, part.num_rows))], ["word", "n"])
 
 
 def _subwords(path: str):

@@ -106,7 +106,7 @@ def pieces(batch: pa.RecordBatch, column: int, size: int = 8 << 20):
         at = end
 
 
-def split_words(texts: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def coded_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words between ASCII white space, in ASCII lower case unless told otherwise: the
     distinct words, each word's place among them, and the number of words of each text."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
@@ -117,4 +117,10 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[list[bytes], np.nd
         counts -= np.bincount(np.repeat(np.arange(len(counts)), counts)[empty], minlength=len(counts))
         flat = flat.filter(pa.array(~empty))
     coded = flat.dictionary_encode()
-    return coded.dictionary.cast(pa.binary()).to_pylist(), np.asarray(coded.indices), counts
+    return coded.dictionary.cast(pa.binary()), np.asarray(coded.indices), counts
+
+
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """As ``coded_words``, with the distinct words as a list."""
+    words, codes, counts = coded_words(texts, lower)
+    return words.to_pylist(), codes, counts

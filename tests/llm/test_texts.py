@@ -684,3 +684,26 @@ def test_lm_step_takes_little_more_than_its_products():
 
     took = [least(lambda: attention_lm.gradient(w, *window)) / least(products) for _ in range(3)]
     assert min(took) < 6.3, took
+
+
+def test_lm_looks_each_word_up_once():
+    class Watched(dict):
+        asked = 0
+
+        def _ask(self, how, *args):
+            Watched.asked += 1
+            return how(self, *args)
+
+        get = lambda self, *args: self._ask(dict.get, *args)
+        __getitem__ = lambda self, key: self._ask(dict.__getitem__, key)
+        __contains__ = lambda self, key: self._ask(dict.__contains__, key)
+
+    path = attention_lm.default_tokenizer()
+    subwords = attention_lm.Subwords(path)
+    words = attention_lm.Words(path, np.array(sorted(subwords.tokenizer.token_to_id(c) for c in attention_lm.LETTER_BYTES)))
+    words.index = Watched(words.index)
+    for text, want in (("one two  one", [1, 2, 1, 0]), ("two three é", [2, 3, 4, 0])):
+        Watched.asked = 0
+        assert words.rows(pa.array([text])).tolist() == want
+        assert Watched.asked == len(set(text.split()))
+    assert words.names == [attention_lm.END, b"one", b"two", b"three", "é".encode()]
